@@ -4,22 +4,27 @@
 subsequence over the summed lengths), ``difflib`` the matching-block ratio of
 Python's standard library. Both are 0..1 here; pairs reach the Python side in
 Arrow batches and only after the equi-joins and the native bound have
-removed everything that cannot match.
+removed everything that cannot match. A batch scores equal pairs once.
 """
 
 from __future__ import annotations
 
+import sys
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+# Executors get these functions with the task, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 METHODS = ("indel", "difflib")
+_CACHE = 65536
 _SLACK = 1e-9  # keeps the whole-number edit bound on the lossless side
 
 
-@lru_cache(maxsize=65536)
 def indel_ratio(a: str, b: str) -> float:
     """1 - (inserted + deleted characters) / summed length, by bit-parallel subsequence length."""
     total = len(a) + len(b)
@@ -37,7 +42,6 @@ def indel_ratio(a: str, b: str) -> float:
     return 1.0 - (total - 2 * common) / total
 
 
-@lru_cache(maxsize=65536)
 def difflib_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
@@ -54,8 +58,9 @@ def similarity(a: Column | str, b: Column | str, method: str = "indel") -> Colum
 
     @F.pandas_udf("double")
     def score(left: pd.Series, right: pd.Series) -> pd.Series:
+        known = lru_cache(maxsize=_CACHE)(ratio)
         return pd.Series(
-            [None if x is None or y is None else ratio(x, y) for x, y in zip(left, right)], dtype="float64"
+            [None if x is None or y is None else known(x, y) for x, y in zip(left, right)], dtype="float64"
         )
 
     return score(a, b)
@@ -67,9 +72,10 @@ def best_label_similarity(name: Column | str, labels: Column | str, method: str
 
     @F.pandas_udf("double")
     def best(names: pd.Series, label_lists: pd.Series) -> pd.Series:
+        known = lru_cache(maxsize=_CACHE)(ratio)
         return pd.Series(
             [
-                max((ratio(name, label) for label in labels), default=0.0) if name else 0.0
+                max((known(name, label) for label in labels), default=0.0) if name else 0.0
                 for name, labels in zip(names, label_lists)
             ],
             dtype="float64",

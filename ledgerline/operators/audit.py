@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions.text import clean_key, from_pence, to_number, to_pence, within_factor
 from ledgerline.operators.ordering import ROW
-from ledgerline.operators.runs import LABEL, SCOPE, contiguous_runs
+from ledgerline.operators.runs import LABEL, SCOPE, in_runs
 from ledgerline.operators.simjoin import closest_to
 from ledgerline.operators.skew import attach
 
@@ -67,12 +67,13 @@ def check_runs(
 ) -> DataFrame:
     """A1 on an ordered table (``grn``/``blk``): one row per contiguous run, money as text.
 
+    Run numbers (``run_no``) are used if the table carries them.
     ``list_pages=False`` leaves out the page_names text; the long form of the
     same fact is ``run_pages``.
     """
     if one_page not in df.columns:
         one_page = None
-    runs = contiguous_runs(df, scope, label).filter(F.col("run_no").isNotNull())
+    runs = in_runs(df, scope, label)
     first = F.struct(*[clean_key(c).alias(c) for c in scope], label, *([one_page] if one_page else []))
     extra = [
         F.min_by(first, ROW).alias("_first"),
@@ -90,7 +91,7 @@ def check_runs(
 
 def run_pages(df: DataFrame, page: str = "page_name") -> DataFrame:
     """Long form of page_names: the distinct pages of each run."""
-    return contiguous_runs(df).filter("run_no is not null").select("run_no", page).distinct()
+    return in_runs(df).select("run_no", page).distinct()
 
 
 def leave_one_out(

@@ -34,8 +34,7 @@ def resolve_continued(
     rows = df.withColumns({g: F.coalesce(F.col(c).cast("string"), F.lit("")) for g, c in zip(groups, scope)})
     rows = order_rows(rows, [*groups, page, *order_by], blocks)
     name = clean_key(label)
-    rows = number_runs(rows, [*groups, page, name], "_run", blank=name == "")
-    rows = number_runs(rows, [*groups, page], "_sheet")
+    rows = number_runs(rows, {"_run": ([*groups, page, name], name == ""), "_sheet": ([*groups, page], None)})
     runs = rows.filter("_run is not null").groupBy("_run").agg(
         F.min_by(F.struct(F.col(label).alias("name"), continued, "_sheet", *groups), ROW).alias("r"),
         F.min(ROW).alias(ROW),

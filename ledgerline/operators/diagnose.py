@@ -10,7 +10,7 @@ from ledgerline.functions.similarity import may_reach, similarity
 from ledgerline.functions.text import fraction, from_pence, normalise_name, squash, to_pence
 from ledgerline.operators.audit import leave_one_out
 from ledgerline.operators.ordering import BLOCK, ROW
-from ledgerline.operators.runs import LABEL, SCOPE, contiguous_runs
+from ledgerline.operators.runs import LABEL, SCOPE, in_runs
 from ledgerline.operators.skew import attach
 
 PAGE_NUMBER = r"(\d+)_(\d+)\.[A-Za-z]+$"
@@ -90,7 +90,7 @@ def explain_missing_totals(
     ``df`` is the ordered table, ``checks`` the result of ``check_runs`` on it.
     """
     open_runs = checks.filter("not has_total_row")
-    rows = contiguous_runs(df, scope, label).filter("run_no is not null")
+    rows = in_runs(df, scope, label)
     rows = attach(rows, open_runs.select("run_no", "first_grn"), ["run_no"], BLOCK, how="inner")
     rows = rows.select(
         "run_no", BLOCK, ROW, to_pence("total_val", strip_currency).alias("_pence"), "occupier", "first_grn"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerline.functions.similarity import ratio_function
@@ -14,6 +16,8 @@ from ledgerline.operators.runs import SCOPE
 from ledgerline.operators.skew import attach
 from ledgerline.storage import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PAGE_BLOCK = 100_000
 
 
@@ -34,8 +38,7 @@ def page_boundaries(
             "_scope": F.struct(*[trim_text(c).alias(f"s{i}") for i, c in enumerate(scope)]),
         }
     )
-    keyed = number_runs(keyed, [page], "_page_no")
-    keyed = number_runs(keyed, [page, "_norm", "_scope"], "_stretch")
+    keyed = number_runs(keyed, {"_page_no": ([page], None), "_stretch": ([page, "_norm", "_scope"], None)})
     filled = clean_key(label) != ""
     info = F.struct(trim_text(label).alias("name"), F.col("_norm").alias("norm"), "_scope", "_stretch")
     pages = keyed.groupBy("_page_no").agg(

@@ -76,17 +76,36 @@ def build_lookup(truth: DataFrame, order: str = "row_no") -> tuple[DataFrame, Da
     return by_key, fallback, candidates
 
 
-def _record_columns(record: Column, found: Column) -> dict[str, Column]:
+ADMIN = (*VERIFIED, *EFFECTIVE)
+
+
+def _with_keys(df: DataFrame, page: str, parish: str) -> DataFrame:
+    return df.withColumns({"page": trim_text(page), "parish_norm": normalise_parish(parish)})
+
+
+def _admin_columns(record: Column, found: Column, otherwise: Column | None = None) -> dict[str, Column]:
+    """The six admin columns from a record; both triples hold the effective values."""
     out = {}
     for verified, effective in zip(VERIFIED, EFFECTIVE):
-        value = F.when(found, record[effective]).otherwise("")
-        out[verified] = value
-        out[effective] = value
+        for column in (verified, effective):
+            kept = F.lit("") if otherwise is None else F.col(column)
+            out[column] = F.when(found, record[effective]).otherwise(kept)
     return out
 
 
-def _with_keys(df: DataFrame, page: str, parish: str) -> DataFrame:
-    return df.withColumns({"page": trim_text(page), "parish_norm": normalise_parish(parish)})
+def cascade(keys: DataFrame, lookup: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """J2 on distinct (page, parish_norm): exact hit with a county, else the page's fallback, else blank."""
+    by_key, fallback, _ = lookup
+    found = keys.join(by_key, ["page", "parish_norm"], "left").join(fallback, "page", "left")
+    exact = F.coalesce(F.col("rec.county_effective"), F.lit("")) != ""
+    found = found.withColumns(
+        {
+            METHOD: F.when(exact, "parish_key").when(F.col("fallback").isNotNull(), "page_fallback").otherwise("unresolved"),
+            "_chosen": F.when(exact, F.col("rec")).otherwise(F.col("fallback")),
+        }
+    )
+    columns = _admin_columns(F.col("_chosen"), F.col("_chosen").isNotNull())
+    return found.withColumns(columns).drop("rec", "fallback", "_chosen")
 
 
 def join_admin(
@@ -98,24 +117,15 @@ def join_admin(
     label: str = "townland_filled",
     order: str = "row_no",
 ) -> DataFrame:
-    """Exact (page, parish) hit with a county, else the page's fallback, else blank.
+    """Add the six admin columns, the join method and townland_gv.
 
     The cascade runs on the distinct (page, parish) keys; rows get the result
     through a salted join, so neither a hot page nor a large truth table needs
     a broadcast.
     """
-    by_key, fallback, _ = build_lookup(truth, order)
     rows = _with_keys(df, page, parish)
     keys = rows.select("page", "parish_norm").distinct()
-    resolved = keys.join(by_key, ["page", "parish_norm"], "left").join(fallback, "page", "left")
-    exact = F.coalesce(F.col("rec.county_effective"), F.lit("")) != ""
-    found = exact | F.col("fallback").isNotNull()
-    record = F.when(exact, F.col("rec")).otherwise(F.col("fallback"))
-    method = F.when(exact, "parish_key").when(found, "page_fallback").otherwise("unresolved")
-    resolved = resolved.select(
-        "page", "parish_norm", *[v.alias(n) for n, v in _record_columns(record, found).items()], method.alias(METHOD)
-    )
-    out = attach(rows, resolved, ["page", "parish_norm"], salt)
+    out = attach(rows, cascade(keys, build_lookup(truth, order)), ["page", "parish_norm"], salt)
     return out.drop("page", "parish_norm").withColumn("townland_gv", F.col(label))
 
 
@@ -131,64 +141,51 @@ def clean_overrides(overrides: DataFrame, order: str = "row_no") -> DataFrame:
     return keyed.groupBy("page", "parish_norm").agg(F.max_by("override", "row_no").alias("override"))
 
 
-def resolve_fuzzy(
-    df: DataFrame,
-    truth: DataFrame,
-    row_order: Sequence[str],
-    salt: Column | str,
-    overrides: DataFrame | None = None,
-    threshold: float = 0.9,
-    margin: float = 5.0,
-    method: str = "indel",
-    page: str = "page_name",
-    parish: str = "parish",
-    order: str = "row_no",
+def _overridden(groups: DataFrame, overrides: DataFrame | None) -> DataFrame:
+    """The override of each group: its own parish before the whole page; it needs a county."""
+    if overrides is None:
+        return groups.withColumn("_override", F.lit(None).cast("struct<" + ",".join(f"{c}:string" for c in EFFECTIVE) + ">"))
+    rules = clean_overrides(overrides)
+    exact = rules.withColumnRenamed("override", "_exact")
+    whole = rules.filter("parish_norm = ''").select("page", F.col("override").alias("_whole"))
+    both = groups.join(exact, ["page", "parish_norm"], "left").join(whole, "page", "left")
+    chosen = F.coalesce("_exact", "_whole")
+    usable = F.coalesce(chosen["county_effective"], F.lit("")) != ""
+    return both.withColumn("_override", F.when(usable, chosen)).drop("_exact", "_whole")
+
+
+def _shown_labels() -> Column:
+    """the normalised labels of a candidate."""
+    shown = [F.col(f"rec.{c}") for c in ("parish_gv_display", "parish_display", "parish_effective")]
+    forms = [
+        F.when(is_filled(c), F.array(normalise_name(c), normalise_parish(c))).otherwise(F.array().cast("array<string>"))
+        for c in shown
+    ]
+    return F.array_distinct(F.flatten(F.array(*forms)))
+
+
+def match_groups(
+    groups: DataFrame,
+    candidates: DataFrame,
+    overrides: DataFrame | None,
+    threshold: float,
+    margin: float,
+    method: str,
 ) -> tuple[DataFrame, DataFrame]:
-    """Overrides, then the clearly best similar candidate of the page; the rest goes to review.
+    """J3 on distinct (page, parish_norm, complete, llm_parish): (decisions, review rows).
 
-    Works on distinct (page, parish) keys whose rows lack a county. Returns
-    the updated rows and the review table (K4).
+    A decision is (page, parish_norm, record, method). Only groups of pages
+    that have candidates, without an override and without a county, are scored.
     """
     limit = fraction(threshold) * 100.0
-    _, _, candidates = build_lookup(truth, order)
-    known = candidates.select("page").distinct().withColumn("_known", F.lit(True))
-    rows = _with_keys(df, page, parish)
-    groups = rows.groupBy("page", "parish_norm").agg(
-        F.bool_and(is_filled("county_effective")).alias("_complete"),
-        F.min_by(parish, F.struct(*row_order)).alias("llm_parish"),
-    )
-    groups = groups.join(known, "page", "left").filter("parish_norm <> '' and _known").drop("_known")
-
-    overridden = None
-    if overrides is not None:
-        rules = clean_overrides(overrides)
-        exact = rules.withColumnRenamed("override", "_exact")
-        whole = rules.filter("parish_norm = ''").select("page", F.col("override").alias("_whole"))
-        groups = groups.join(exact, ["page", "parish_norm"], "left").join(whole, "page", "left")
-        chosen = F.coalesce("_exact", "_whole")
-        groups = groups.withColumn(
-            "_override", F.when(F.coalesce(chosen["county_effective"], F.lit("")) != "", chosen)
-        ).drop("_exact", "_whole")
-        overridden = groups.filter("_override is not null").select(
-            "page", "parish_norm", F.col("_override").alias("rec"), F.lit("override").alias("method")
-        )
-        groups = groups.filter("_override is null").drop("_override")
-
-    scored = groups.filter("not _complete").join(candidates, "page")
-    shown = [F.col(f"rec.{c}") for c in ("parish_gv_display", "parish_display", "parish_effective")]
-    labels = F.flatten(
-        F.array(
-            *[
-                F.when(is_filled(c), F.array(normalise_name(c), normalise_parish(c))).otherwise(
-                    F.array().cast("array<string>")
-                )
-                for c in shown
-            ]
-        )
-    )
-    scored = scored.withColumn(
-        "score", best_label_similarity("parish_norm", F.array_distinct(labels), method) * 100.0
+    known = candidates.select("page").distinct()
+    groups = _overridden(groups.filter("parish_norm <> ''").join(known, "page", "left_semi"), overrides)
+    overridden = groups.filter("_override is not null").select(
+        "page", "parish_norm", F.col("_override").alias("_rec"), F.lit("override").alias("_method")
     )
+    scored = groups.filter("_override is null and not complete").join(candidates, "page")
+    scored = scored.withColumn("_labels", _shown_labels())
+    scored = scored.withColumn("score", best_label_similarity("parish_norm", "_labels", method) * 100.0)
     best_first = Window.partitionBy("page", "parish_norm").orderBy(F.desc("score"), "rank")
     top = scored.withColumn("_rn", F.row_number().over(best_first)).filter(F.col("_rn") <= TOP_CANDIDATES)
     ranked = top.groupBy("page", "parish_norm", "llm_parish").agg(
@@ -201,26 +198,12 @@ def resolve_fuzzy(
         .otherwise("fuzzy_parish")
     )
     ranked = ranked.withColumn("status", status)
-
     applied = ranked.filter("status = 'fuzzy_parish'").select(
         "page",
         "parish_norm",
-        F.struct(*[best["rec"][c].alias(c) for c in EFFECTIVE]).alias("rec"),
-        F.col("status").alias("method"),
-    )
-    if overridden is not None:
-        applied = applied.unionByName(overridden)
-    updated = attach(
-        rows, applied.withColumnRenamed("method", "_method"), ["page", "parish_norm"], salt
+        F.struct(*[best["rec"][c].alias(c) for c in EFFECTIVE]).alias("_rec"),
+        F.col("status").alias("_method"),
     )
-    changed = F.col("_method").isNotNull()
-    updates = {}
-    for verified, effective in zip(VERIFIED, EFFECTIVE):
-        for column in (verified, effective):
-            updates[column] = F.when(changed, F.col(f"rec.{effective}")).otherwise(F.col(column))
-    updates[METHOD] = F.when(changed, F.col("_method")).otherwise(F.col(METHOD))
-    updated = updated.withColumns(updates).drop("rec", "_method", "page", "parish_norm")
-
     queued = ranked.filter("status <> 'fuzzy_parish'").withColumn("c", F.explode("top"))
     queued = queued.select(
         F.col("page").alias("page_name"),
@@ -235,16 +218,91 @@ def resolve_fuzzy(
         F.col("c.rec.parish_gv_display").alias("parish_gv"),
         *[F.col(f"c.rec.{c}") for c in EFFECTIVE],
     )
+    return applied.unionByName(overridden), queued
+
+
+def unknown_pages(rows: DataFrame, candidates: DataFrame, parish: str) -> DataFrame:
+    """Review rows for the distinct parishes of pages that the truth table does not know."""
     unknown = rows.select("page", "parish_norm", F.col(parish).alias("llm_parish")).distinct()
-    unknown = unknown.filter("llm_parish is not null").join(known, "page", "left_anti")
-    blank = {c: F.lit("") for c in REVIEW_COLUMNS[6:]}
-    unknown = unknown.select(
+    unknown = unknown.filter("llm_parish is not null").join(candidates.select("page").distinct(), "page", "left_anti")
+    return unknown.select(
         F.col("page").alias("page_name"),
         "llm_parish",
         F.col("parish_norm").alias("llm_parish_norm"),
         F.lit("no_gv_rows").alias("status"),
         F.lit(None).cast("int").alias("candidate_rank"),
         F.lit(None).cast("double").alias("score"),
-        *[v.alias(c) for c, v in blank.items()],
+        *[F.lit("").alias(c) for c in REVIEW_COLUMNS[6:]],
     )
-    return updated, queued.unionByName(unknown)
+
+
+def _decide(table: DataFrame) -> DataFrame:
+    """Overwrite the admin columns and the method where a decision is present."""
+    changed = F.col("_method").isNotNull()
+    columns = _admin_columns(F.col("_rec"), changed, otherwise=F.lit(None))
+    columns[METHOD] = F.when(changed, F.col("_method")).otherwise(F.col(METHOD))
+    return table.withColumns(columns).drop("_rec", "_method")
+
+
+def resolve_fuzzy(
+    df: DataFrame,
+    truth: DataFrame,
+    row_order: Sequence[str],
+    salt: Column | str,
+    overrides: DataFrame | None = None,
+    threshold: float = 0.9,
+    margin: float = 5.0,
+    method: str = "indel",
+    page: str = "page_name",
+    parish: str = "parish",
+    order: str = "row_no",
+) -> tuple[DataFrame, DataFrame]:
+    """J3/J4 on joined rows: (updated rows, review table K4).
+
+    Overrides come first, then the clearly best similar candidate of the page;
+    the rest goes to review.
+    """
+    candidates = build_lookup(truth, order)[2]
+    rows = _with_keys(df, page, parish)
+    groups = rows.groupBy("page", "parish_norm").agg(
+        F.bool_and(is_filled("county_effective")).alias("complete"),
+        F.min_by(parish, F.struct(*row_order)).alias("llm_parish"),
+    )
+    decisions, queued = match_groups(groups, candidates, overrides, threshold, margin, method)
+    updated = _decide(attach(rows, decisions, ["page", "parish_norm"], salt)).drop("page", "parish_norm")
+    return updated, queued.unionByName(unknown_pages(rows, candidates, parish))
+
+
+def resolve_admin(
+    df: DataFrame,
+    truth: DataFrame,
+    row_order: Sequence[str],
+    salt: Column | str,
+    overrides: DataFrame | None = None,
+    threshold: float = 0.9,
+    margin: float = 5.0,
+    method: str = "indel",
+    fuzzy_before_fallback: bool = False,
+    page: str = "page_name",
+    parish: str = "parish",
+    label: str = "townland_filled",
+    order: str = "row_no",
+) -> tuple[DataFrame, DataFrame]:
+    """J2 and J3 together, both on the distinct keys, so rows are joined once.
+
+    ``fuzzy_before_fallback`` also scores groups that only have the page's
+    fallback; by default a fallback county settles a group.
+    """
+    lookup = build_lookup(truth, order)
+    rows = _with_keys(df, page, parish)
+    keys = rows.groupBy("page", "parish_norm").agg(F.min_by(parish, F.struct(*row_order)).alias("llm_parish"))
+    resolved = cascade(keys, lookup)
+    settled = is_filled("county_effective")
+    if fuzzy_before_fallback:
+        settled = settled & (F.col(METHOD) != "page_fallback")
+    groups = resolved.select("page", "parish_norm", "llm_parish", settled.alias("complete"))
+    decisions, queued = match_groups(groups, lookup[2], overrides, threshold, margin, method)
+    values = _decide(resolved.drop("llm_parish").join(decisions, ["page", "parish_norm"], "left"))
+    out = attach(rows, values, ["page", "parish_norm"], salt)
+    out = out.drop("page", "parish_norm").withColumn("townland_gv", F.col(label))
+    return out, queued.unionByName(unknown_pages(rows, lookup[2], parish))

@@ -71,51 +71,56 @@ def with_previous(
 
 def number_runs(
     df: DataFrame,
-    key: Sequence[str | Column],
-    name: str = "run_no",
-    blank: Column | None = None,
+    runs: Mapping[str, tuple[Sequence[str | Column], Column | None]],
     row: str = ROW,
     block: str = BLOCK,
 ) -> DataFrame:
-    """Number the contiguous runs of equal ``key`` in row order, from 0.
+    """Number contiguous runs of equal keys in row order, from 0.
 
-    Rows for which ``blank`` holds belong to no run (null number) and end the
-    run before them.
+    ``runs`` maps each new column to (key, blank): rows for which ``blank``
+    holds belong to no run (null number) and end the run before them. All
+    numberings share one sort. ``df`` is read twice, so it should be a table
+    or a cheap expression over one.
     """
-    value = F.struct(*key)
-    if blank is not None:
-        value = F.when(~blank, value)
     window = _in_block(row, block)
-    local = df.withColumn("_key", value)
-    local = local.withColumn(
-        "_start",
-        (F.col("_key").isNotNull() & ~F.lag("_key").over(window).eqNullSafe(F.col("_key"))).cast("bigint"),
-    )
-    edges = local.groupBy(block).agg(
-        F.min_by(F.struct("_key"), row).alias("_head"),
-        F.max_by(F.struct("_key"), row).alias("_tail"),
-        F.sum("_start").alias("_starts"),
-    )
+    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
     by_block = Window.orderBy(block)
-    previous = F.lag("_tail").over(by_block)
-    joined = F.coalesce(
-        (F.col("_head._key").isNotNull() & F.col("_head._key").eqNullSafe(previous["_key"])).cast("bigint"),
-        F.lit(0),
-    )
-    edges = edges.withColumn("_joined", joined)
-    edges = edges.select(
+    keys = {}
+    for name, (key, blank) in runs.items():
+        value = F.struct(*key)
+        keys[f"_key_{name}"] = value if blank is None else F.when(~blank, value)
+    local = df.withColumns(keys)
+    starts, edges, bases, counts, numbers = {}, [], [], {}, {}
+    for name in runs:
+        key, start = F.col(f"_key_{name}"), F.col(f"_start_{name}")
+        starts[f"_start_{name}"] = (
+            key.isNotNull() & ~F.lag(key).over(window).eqNullSafe(key)
+        ).cast("bigint")
+        head, tail = F.col(f"_head_{name}.k"), F.col(f"_tail_{name}")
+        edges += [
+            F.min_by(F.struct(key.alias("k")), row).alias(f"_head_{name}"),
+            F.max_by(F.struct(key.alias("k")), row).alias(f"_tail_{name}"),
+            F.sum(start).alias(f"_starts_{name}"),
+        ]
+        # 1 if the first run of a block only goes on with the last run of the block before
+        joined = (head.isNotNull() & head.eqNullSafe(F.lag(tail).over(by_block)["k"])).cast("bigint")
+        joined = F.coalesce(joined, F.lit(0))
+        bases.append((name, joined, F.col(f"_starts_{name}")))
+        counts[f"_count_{name}"] = F.sum(start).over(so_far)
+        numbers[name] = F.when(key.isNotNull(), F.col(f"_base_{name}") + F.col(f"_count_{name}") - 1)
+    local = local.withColumns(starts)
+    table = local.groupBy(block).agg(*edges)
+    table = table.withColumns({f"_joined_{name}": joined for name, joined, _ in bases})
+    table = table.select(
         block,
-        (
-            F.sum(F.col("_starts") - F.col("_joined")).over(by_block) - F.col("_starts")
-        ).alias("_base"),
-    )
-    running = F.sum("_start").over(window.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        local.withColumn("_count", running)
-        .join(F.broadcast(edges), block)
-        .withColumn(name, F.when(F.col("_key").isNotNull(), F.col("_base") + F.col("_count") - 1))
-        .drop("_key", "_start", "_count", "_base")
+        *[
+            (F.sum(n - F.col(f"_joined_{name}")).over(by_block) - n).alias(f"_base_{name}")
+            for name, _, n in bases
+        ],
     )
+    numbered = local.withColumns(counts).join(F.broadcast(table), block).withColumns(numbers)
+    extra = [f"_{part}_{name}" for name in runs for part in ("key", "start", "count", "base")]
+    return numbered.drop(*extra)
 
 
 def fill_down(

@@ -23,7 +23,13 @@ def contiguous_runs(
 ) -> DataFrame:
     """Number the runs of equal (scope, label); a blank label ends a run and has none."""
     keys = [clean_key(c) for c in (*scope, label)]
-    return number_runs(df, keys, name, blank=clean_key(label) == "", row=row, block=block)
+    return number_runs(df, {name: (keys, clean_key(label) == "")}, row, block)
+
+
+def in_runs(df: DataFrame, scope: Sequence[str] = SCOPE, label: str = LABEL, name: str = "run_no") -> DataFrame:
+    """The rows of all runs; numbers them unless the table carries run numbers."""
+    numbered = df if name in df.columns else contiguous_runs(df, scope, label, name)
+    return numbered.filter(F.col(name).isNotNull())
 
 
 def forward_fill(
