@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions.text import clean_key, to_int
 
@@ -55,45 +55,57 @@ def _is_block_list(parishes: Column) -> Column:
     )
 
 
-def repair_shape(text: Column) -> Column:
-    """JSON text of a page document, or null if the shape cannot be repaired.
+def repair_shape(df: DataFrame, text: str, name: str = "document") -> DataFrame:
+    """add the JSON text of a page document, or null if the shape cannot be repaired.
 
     A bare array becomes one block of parish UNKNOWN, {parish?, entries} is
-    wrapped, blocks without entries get an empty list.
+    wrapped, blocks without entries get an empty list. Each step is a column
+    of its own, so no step is evaluated twice.
     """
-    value = F.try_parse_json(text)
-    blocks = F.try_variant_get(value, "$.parishes", "variant")
-    entries = F.try_variant_get(value, "$.entries", "variant")
-    parish = F.try_variant_get(value, "$.parish", "string")
-    label = F.when(F.coalesce(parish, F.lit("")) == "", F.lit(UNKNOWN_PARISH)).otherwise(parish)
-    listed = F.to_json(F.array(label))
-    quoted = F.substring(listed, F.lit(2), F.length(listed) - 2)
-    kind = _kind(value)
-    one_block = lambda name, inner: F.concat(
-        F.lit('{"parishes":[{"parish":'), name, F.lit(',"entries":'), inner, F.lit("}]}")
+    steps = df.withColumn("_value", F.try_parse_json(text))
+    value = F.col("_value")
+    steps = steps.withColumns(
+        {
+            "_kind": _kind(value),
+            "_blocks": F.try_variant_get(value, "$.parishes", "variant"),
+            "_items": _items(value, "$.parishes"),
+            "_entries": F.try_variant_get(value, "$.entries", "variant"),
+            "_label": F.coalesce(
+                F.nullif(F.try_variant_get(value, "$.parish", "string"), F.lit("")), F.lit(UNKNOWN_PARISH)
+            ),
+        }
     )
-    items = _items(value, "$.parishes")
+    kind, items, entries = F.col("_kind"), F.col("_items"), F.col("_entries")
     incomplete = F.exists(items, lambda p: F.try_variant_get(p, "$.entries", "variant").isNull())
+    steps = steps.withColumn(
+        "_plan",
+        F.when(kind == "ARRAY", "wrap_list")
+        .when(kind != "OBJECT", "reject")
+        .when(F.col("_blocks").isNotNull(), F.when(~F.coalesce(_is_block_list(items), F.lit(False)), "reject").when(incomplete, "complete").otherwise("keep"))
+        .when(_kind(entries) == "ARRAY", "wrap_block")
+        .otherwise("reject"),
+    )
+
+    def one_block(label: Column, inner: Column) -> Column:
+        listed = F.to_json(F.array(label))
+        quoted = F.substring(listed, F.lit(2), F.length(listed) - 2)
+        return F.concat(F.lit('{"parishes":[{"parish":'), quoted, F.lit(',"entries":'), inner, F.lit("}]}"))
+
     loose = F.from_json(text, "parishes array<struct<parish: string, entries: array<variant>>>")
     no_entries = F.array().cast("array<variant>")
-    completed = F.to_json(
-        F.struct(
-            F.transform(
-                loose["parishes"], lambda p: p.withField("entries", F.coalesce(p["entries"], no_entries))
-            ).alias("parishes")
-        )
-    )
-    nested = F.when(_is_block_list(items), F.when(incomplete, completed).otherwise(text))
-    return (
-        F.when(kind == "ARRAY", one_block(F.lit(f'"{UNKNOWN_PARISH}"'), text))
-        .when((kind == "OBJECT") & blocks.isNotNull(), nested)
-        .when((kind == "OBJECT") & (_kind(entries) == "ARRAY"), one_block(quoted, F.to_json(entries)))
+    completed = F.transform(loose["parishes"], lambda p: p.withField("entries", F.coalesce(p["entries"], no_entries)))
+    plan = F.col("_plan")
+    repaired = (
+        F.when(plan == "keep", F.col(text))
+        .when(plan == "complete", F.to_json(F.struct(completed.alias("parishes"))))
+        .when(plan == "wrap_list", one_block(F.lit(UNKNOWN_PARISH), F.col(text)))
+        .when(plan == "wrap_block", one_block(F.col("_label"), F.to_json(entries)))
     )
+    return steps.withColumn(name, repaired).drop("_value", "_kind", "_blocks", "_items", "_entries", "_label", "_plan")
 
 
-def can_flatten(text: Column) -> Column:
-    """Whether a valid JSON text is absent of blocks or holds a list of blocks with lists of objects."""
-    value = F.try_parse_json(text)
+def can_flatten(value: Column) -> Column:
+    """Whether a JSON variant has no blocks or a list of blocks with lists of objects."""
     blocks = F.try_variant_get(value, "$.parishes", "variant")
     items = _items(value, "$.parishes")
     objects_only = F.forall(

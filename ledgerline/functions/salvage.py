@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions.documents import is_strict_json
 
@@ -94,33 +94,38 @@ def salvage(content: str) -> tuple[str | None, bool, str | None]:
     return None, False, None
 
 
-@F.pandas_udf(RESULT)
-def _salvage_batch(contents: pd.Series) -> pd.DataFrame:
-    rows = [(None, None, None) if c is None else salvage(c) for c in contents]
-    return pd.DataFrame(rows, columns=["json", "recovered", "tier"])
-
-
-def native_reading(content: Column) -> tuple[Column, Column]:
-    """(JSON text, tier) of a well-formed reply, null if it needs repair."""
-    text = F.replace(content, F.lit(MISPRINT[0]), F.lit(MISPRINT[1]))
-    closed = text.rlike(CLOSED_FENCE)
-    fenced = F.when(closed, F.regexp_extract(text, CLOSED_FENCE, 1)).otherwise(F.regexp_extract(text, OPEN_FENCE, 1))
-    body = _braces(fenced)
-    use_fence = text.contains("```") & (body != "")
-    reading = F.when(use_fence, body).otherwise(_braces(text))
-    # a } before the first { inside a fence is a case for the repair tier
-    crossed = text.contains("```") & (body == "") & fenced.contains("{") & fenced.contains("}")
-    usable = (reading != "") & ~reading.rlike(r"^\{\s*\}$") & ~crossed & is_strict_json(reading)
-    return F.when(usable, reading), F.when(usable, F.when(use_fence, "fence").otherwise("object"))
-
-
-def extract_json(df, content: str, name: str = "reply"):
-    """Add struct column ``name`` (json, recovered, tier) for the reply text in ``content``."""
-    reading, tier = native_reading(F.col(content))
-    checked = df.withColumns({"_json": reading, "_tier": tier})
-    hard = F.when(F.col("_json").isNull(), F.col(content))
-    checked = checked.withColumn("_hard", _salvage_batch(hard))
-    easy = F.struct(F.col("_json").alias("json"), F.lit(False).alias("recovered"), F.col("_tier").alias("tier"))
-    return checked.withColumn(name, F.when(F.col("_json").isNotNull(), easy).otherwise(F.col("_hard"))).drop(
-        "_json", "_tier", "_hard"
+def _repaired(content: Column) -> Column:
+    @F.pandas_udf(RESULT)
+    def batch(contents: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if c is None else salvage(c) for c in contents]
+        return pd.DataFrame(rows, columns=["json", "recovered", "tier"])
+
+    return batch(content)
+
+
+def extract_json(df: DataFrame, content: str, name: str = "reply") -> DataFrame:
+    """Add struct column ``name`` (json, recovered, tier) for the reply text in ``content``.
+
+    Each step is a column of its own, so no step is evaluated twice.
+    """
+    text, fenced, body, reading = (F.col(c) for c in ("_text", "_fenced", "_body", "_reading"))
+    steps = df.withColumn("_text", F.replace(F.col(content), F.lit(MISPRINT[0]), F.lit(MISPRINT[1])))
+    closed = F.regexp_extract(text, CLOSED_FENCE, 1)
+    steps = steps.withColumn(
+        "_fenced",
+        F.when(text.contains("```"), F.when(text.rlike("```[\\s\\S]*```"), closed).otherwise(F.regexp_extract(text, OPEN_FENCE, 1))),
+    )
+    steps = steps.withColumn("_body", F.coalesce(_braces(fenced), F.lit("")))
+    steps = steps.withColumn("_reading", F.when(body != "", body).otherwise(_braces(text)))
+    # a } before the first { inside a fence is a case for the repair tiers
+    crossed = (body == "") & fenced.contains("{") & fenced.contains("}")
+    usable = (reading != "") & ~reading.rlike(r"^\{\s*\}$") & ~F.coalesce(crossed, F.lit(False))
+    steps = steps.withColumn("_strict", F.when(usable, is_strict_json(reading)).otherwise(False))
+    strict = F.col("_strict")
+    steps = steps.withColumn("_hard", _repaired(F.when(~strict, F.col(content))))
+    easy = F.struct(
+        reading.alias("json"), F.lit(False).alias("recovered"), F.when(body != "", "fence").otherwise("object").alias("tier")
+    )
+    return steps.withColumn(name, F.when(strict, easy).otherwise(F.col("_hard"))).drop(
+        "_text", "_fenced", "_body", "_reading", "_strict", "_hard"
     )

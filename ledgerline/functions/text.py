@@ -18,8 +18,15 @@ IMAGE_SUFFIX_PATTERN = r"(?i)\.jpe?g$"
 COMMENT_OR_BLANK = r"(?U)^\s*(#.*)?$"
 
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
+_EDGE_SPACE_OR_NAN = r"(?U)^\s*(?i:nan)?\s*$|^\s+|\s+$"
 _SPACE_RUN = r"(?U)\s+"
 _WHOLE_NUMBER = r"^[+-]?[0-9]+$"
+# The name between an optional prefix and the suffixes; those taken off last stand first.
+_PARISH_FRAME = (
+    "^(?:" + "|".join(PARISH_PREFIXES) + ")?(.*?)"
+    + "".join(rf" ?(?:\Q{suffix}\E)?" for suffix in reversed(PARISH_SUFFIXES))
+    + "$"
+)
 
 
 def _col(c: Column | str) -> Column:
@@ -33,8 +40,7 @@ def trim_text(c: Column | str) -> Column:
 
 def clean_key(c: Column | str) -> Column:
     """null, blank and the text 'nan' become ''; case and punctuation stay."""
-    text = trim_text(c)
-    return F.when(F.lower(text) == "nan", F.lit("")).otherwise(text)
+    return F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), _EDGE_SPACE_OR_NAN, "")
 
 
 def is_filled(c: Column | str) -> Column:
@@ -44,22 +50,18 @@ def is_filled(c: Column | str) -> Column:
 
 def prefer(first: Column | str, second: Column | str) -> Column:
     """the first filled value, trimmed, else ''."""
-    return F.when(is_filled(first), trim_text(first)).when(is_filled(second), trim_text(second)).otherwise("")
+    return F.coalesce(F.nullif(clean_key(first), F.lit("")), clean_key(second))
 
 
 def normalise_name(c: Column | str, apostrophes: str = APOSTROPHES) -> Column:
     """lower case, no apostrophes, punctuation or hyphens, single spaces."""
-    bare = F.translate(F.lower(trim_text(c)), apostrophes + NAME_PUNCTUATION, "")
-    return trim_text(F.regexp_replace(bare, _SPACE_RUN, " "))
+    bare = F.translate(F.lower(F.coalesce(_col(c).cast("string"), F.lit(""))), apostrophes + NAME_PUNCTUATION, "")
+    return F.trim(F.regexp_replace(bare, _SPACE_RUN, " "))
 
 
 def normalise_parish(c: Column | str) -> Column:
     """F10 without the leading label and the trailing part/continued marks."""
-    prefixes = "|".join(PARISH_PREFIXES)
-    name = trim_text(F.regexp_replace(normalise_name(c), f"^(?:{prefixes})", ""))
-    for suffix in PARISH_SUFFIXES:
-        name = trim_text(F.regexp_replace(name, rf"\Q{suffix}\E\z", ""))
-    return name
+    return F.trim(F.regexp_replace(normalise_name(c), _PARISH_FRAME, "$1"))
 
 
 def squash(c: Column | str) -> Column:

@@ -106,7 +106,7 @@ def resolve_and_cluster(
     known = is_present("county_gv")
     if df.filter(known).isEmpty():
         return df.withColumn(CANONICAL, normalise_name("townland_gv"))
-    resolved = resolve_continued(df.filter(known), order_by, threshold, page, method=method)
+    resolved = materialize(resolve_continued(df.filter(known), order_by, threshold, page, method=method))
     clustered = add_canonical(resolved, threshold=threshold, method=method)
     rest = df.filter(~known).withColumn(CANONICAL, F.lit(""))
     return clustered.unionByName(rest)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerline.functions.documents import repair_shape
 from ledgerline.functions.salvage import extract_json
 from ledgerline.functions.text import result_name
+from ledgerline.storage import materialize
 
 STATUSES = ("written", "skipped_existing", "parse_failed", "normalize_failed")
 
@@ -16,6 +17,8 @@ def finalise_replies(replies: DataFrame, existing: DataFrame | None = None, only
 
     With ``only_missing`` the ids whose page is in ``existing`` (page_file)
     are skipped before any parsing; without it every reply is written again.
+    The result is written once: documents, failures and counts all read it,
+    and no filter on the status repeats the parsing.
     """
     todo = replies.withColumn("page_file", result_name("custom_id")).withColumn("_skip", F.lit(False))
     if only_missing and existing is not None:
@@ -23,15 +26,15 @@ def finalise_replies(replies: DataFrame, existing: DataFrame | None = None, only
         todo = todo.join(present, "page_file", "left").withColumn("_skip", F.col("_there").isNotNull()).drop("_there")
     todo = todo.withColumn("_text", F.when(~F.col("_skip"), F.col("text")))
     read = extract_json(todo, "_text", "reply")
-    shaped = read.withColumn("document", F.when(F.col("reply.json").isNotNull(), repair_shape(F.col("reply.json"))))
+    shaped = repair_shape(read.withColumn("_json", F.col("reply.json")), "_json", "document")
     status = (
         F.when(F.col("_skip"), "skipped_existing")
         .when(F.col("reply.json").isNull(), "parse_failed")
         .when(F.col("document").isNull(), "normalize_failed")
         .otherwise("written")
     )
-    return shaped.select(
-        "custom_id", "page_file", status.alias("status"), "reply.tier", "reply.recovered", "document"
+    return materialize(
+        shaped.select("custom_id", "page_file", status.alias("status"), "reply.tier", "reply.recovered", "document")
     )
 
 

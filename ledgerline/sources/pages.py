@@ -26,14 +26,15 @@ def scan_pages(spark: SparkSession, folder: str, model: str, glob: str = PAGE_GL
 
 def read_documents(texts: DataFrame, model: str, page: str = "page_name", text: str = "text") -> DataFrame:
     """Classify and type page texts that are already in a table."""
-    body = trim_text(text)
-    docs = texts.select(F.col(page).alias("page_name"), body.alias("text"))
-    docs = docs.withColumn("document", F.when(is_strict_json(F.col("text")), typed_document(F.col("text"))))
+    docs = texts.select(F.col(page).alias("page_name"), trim_text(text).alias("text"))
+    docs = docs.withColumn("_strict", is_strict_json(F.col("text")))
+    strict = F.when(F.col("_strict"), F.col("text"))
+    docs = docs.withColumns({"document": typed_document(strict), "_flat": can_flatten(F.try_parse_json(strict))})
     entries = F.aggregate("document", F.lit(0), lambda n, p: n + F.size(p["entries"]))
     status = (
         F.when(F.col("text") == "", "empty")
-        .when(F.col("document").isNull(), "malformed")
-        .when(~can_flatten(F.col("text")), "unflattenable")
+        .when(~F.col("_strict"), "malformed")
+        .when(~F.col("_flat"), "unflattenable")
         .when(entries == 0, "no_rows")
         .otherwise("ok")
     )
