@@ -118,7 +118,7 @@ def can_flatten(value: Column) -> Column:
 
 
 def typed_document(text: Column) -> Column:
-    """blocks with default values: flags as int, missing text as '', no blocks as an empty list."""
+    """blocks with default values: flags as int, missing text as '', no blocks as an empty list; null for null."""
     blocks = F.from_json(text, DOCUMENT_SCHEMA)["parishes"]
 
     def entry(e: Column) -> Column:
@@ -133,13 +133,14 @@ def typed_document(text: Column) -> Column:
 
     p_entries_type = f"array<struct<{_ENTRY}>>"
     empty = F.array().cast(f"array<struct<parish: string, entries: {p_entries_type}>>")
-    return F.transform(F.coalesce(blocks, empty), block)
+    return F.when(text.isNotNull(), F.transform(F.coalesce(blocks, empty), block))
 
 
 def document_statistics(document: Column) -> Column:
     """Number of blocks, entries and distinct non-blank names of a typed document."""
     entries = F.flatten(F.transform(document, lambda p: p["entries"]))
     names = F.array_distinct(F.filter(F.transform(entries, lambda e: e["townland"]), lambda n: clean_key(n) != ""))
-    return F.struct(
-        F.size(document).alias("parishes"), F.size(entries).alias("entries"), F.size(names).alias("townlands")
+    known = document.isNotNull()
+    return F.when(
+        known, F.struct(F.size(document).alias("parishes"), F.size(entries).alias("entries"), F.size(names).alias("townlands"))
     )

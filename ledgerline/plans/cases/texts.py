@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
+from ledgerline.functions.documents import document_statistics
 from ledgerline.operators.lookup import admin_records
-from ledgerline.plans.cases.base import case, cents, money_sql, table
+from ledgerline.plans.cases.base import case, cents, money_sql, spread, table
 from ledgerline.sinks import page_display
 from ledgerline.sources.pages import fill_names, flatten_documents, load_counts, read_documents
-from ledgerline.functions.documents import document_statistics
+from ledgerline.storage import materialize
 
 
 @case(
@@ -198,8 +199,8 @@ def document_pages(spark, folder):
     )
     text = F.to_json(F.struct(blocks.alias("parishes")))
     text = F.when(F.col("source") == "src3", F.substring_index(text, "]", 1)).when(F.col("source") == "src5", "").otherwise(text)
-    pages = table(spark, folder, "documents").select(F.concat(F.lit("DOC_"), F.lpad("doc_id", 9, "0")).alias("page_name"), text.alias("text"))
-    return read_documents(pages, "documents")
+    pages = spread(table(spark, folder, "documents")).select(F.concat(F.lit("DOC_"), F.lpad("doc_id", 9, "0")).alias("page_name"), text.alias("text"))
+    return materialize(read_documents(pages, "documents"))
 
 
 _ENTRY_SQL = """

@@ -8,6 +8,7 @@ from ledgerline.functions.documents import (
     FLAG_DEFAULTS, TEXT_FIELDS, can_flatten, document_statistics, is_strict_json, typed_document,
 )
 from ledgerline.functions.text import clean_key, trim_text
+from ledgerline.storage import materialize
 
 PAGE_GLOB = "*.jpg.json"
 ROW_ORDER = ("page_name", "parish_idx", "entry_idx")
@@ -30,6 +31,7 @@ def read_documents(texts: DataFrame, model: str, page: str = "page_name", text:
     docs = docs.withColumn("_strict", is_strict_json(F.col("text")))
     strict = F.when(F.col("_strict"), F.col("text"))
     docs = docs.withColumns({"document": typed_document(strict), "_flat": can_flatten(F.try_parse_json(strict))})
+    docs = docs.withColumn("document", F.when(F.col("_flat"), F.col("document")))
     entries = F.aggregate("document", F.lit(0), lambda n, p: n + F.size(p["entries"]))
     status = (
         F.when(F.col("text") == "", "empty")
@@ -46,13 +48,15 @@ def read_documents(texts: DataFrame, model: str, page: str = "page_name", text:
 
 def flatten_documents(docs: DataFrame) -> DataFrame:
     """One row per entry with its ordinals, without fill."""
-    blocks = docs.filter("status = 'ok'").select(
-        "page_name", "target_filename", "llm", F.posexplode("document").alias("parish_idx", "_p")
+    # Unusable pages have no document. The outer form keeps the optimizer from
+    # testing the document before the explode, which would parse every text twice.
+    blocks = docs.select(
+        "page_name", "target_filename", "llm", F.posexplode_outer("document").alias("parish_idx", "_p")
     )
     entries = blocks.select(
         "page_name", "target_filename", "llm", "parish_idx", F.col("_p.parish").alias("parish"),
-        F.posexplode("_p.entries").alias("entry_idx", "_e"),
-    )
+        F.posexplode_outer("_p.entries").alias("entry_idx", "_e"),
+    ).filter("entry_idx is not null")
     return entries.select(
         "page_name", "target_filename", "llm", "parish_idx", "entry_idx", "parish",
         *[F.col(f"_e.{c}") for c in TEXT_FIELDS], *[F.col(f"_e.{c}") for c in FLAG_DEFAULTS],
@@ -81,8 +85,8 @@ def fill_names(rows: DataFrame) -> DataFrame:
 
 
 def load_pages(spark: SparkSession, folder: str, model: str) -> tuple[DataFrame, DataFrame]:
-    """(filled rows, quarantine) of a folder of page documents."""
-    docs = scan_pages(spark, folder, model)
+    """(filled rows, quarantine) of a folder of page documents; each file is read and parsed once."""
+    docs = materialize(scan_pages(spark, folder, model))
     quarantine = docs.filter("status <> 'ok'").select("page_name", "llm", "status", "text")
     return fill_names(flatten_documents(docs)), quarantine
 
