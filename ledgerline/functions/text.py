@@ -86,17 +86,20 @@ def to_pence(c: Column | str, strip_currency: bool = True) -> Column:
     ``strip_currency`` also reads amounts that carry a pound sign; without it
     the sign counts as a token (or spoils one).
     """
-    text = _col(c).cast("string")
+    text = F.coalesce(_col(c).cast("string"), F.lit(""))
     if strip_currency:
         text = F.translate(text, "£", " ")
-    tokens = F.split(trim_text(text), _SPACE_RUN)
+    tokens = F.array_remove(F.split(text, _SPACE_RUN), "")
 
-    def part(index: int) -> Column:
-        digits = F.translate(F.get(tokens, F.lit(index)), ",", "")
-        return F.coalesce(F.when(digits.rlike(_WHOLE_NUMBER), digits.try_cast("bigint")), F.lit(0))
+    def share(token: Column, weight: Column) -> Column:
+        digits = F.translate(token, ",", "")
+        number = F.coalesce(F.when(digits.rlike(_WHOLE_NUMBER), digits.try_cast("bigint")), F.lit(0))
+        # further tokens have no weight; a missing one makes the amount null
+        return F.when(weight.isNull(), F.lit(0)).when(token.isNotNull(), number * weight).cast("bigint")
 
-    amount = part(0) * PENCE_PER_POUND + part(1) * PENCE_PER_SHILLING + part(2)
-    return F.when(F.size(tokens) >= 3, amount).otherwise(F.lit(0)).cast("bigint")
+    weights = F.array(*[F.lit(w).cast("bigint") for w in (PENCE_PER_POUND, PENCE_PER_SHILLING, 1)])
+    parts = F.zip_with(tokens, weights, share)
+    return F.coalesce(F.aggregate(parts, F.lit(0).cast("bigint"), lambda total, part: total + part), F.lit(0))
 
 
 def from_pence(c: Column | str) -> Column:

@@ -79,12 +79,15 @@ def check_runs(
         F.min_by(first, ROW).alias("_first"),
         F.min(ROW).alias("first_grn"),
         F.max(ROW).alias("last_grn"),
-        F.count_distinct(page).alias("page_count"),
+        F.collect_set(page).alias("_pages") if list_pages else F.count_distinct(page).alias("page_count"),
     ]
-    money = {n: to_pence(n, strip_currency) for n in ("land_val", "total_val")}
+    runs = runs.withColumns({f"_{n}": to_pence(n, strip_currency) for n in ("land_val", "total_val")})
+    runs = runs.withColumn("_flag", to_number("is_total"))
+    money = {n: F.col(f"_{n}") for n in ("land_val", "total_val")}
+    checked = total_vs_detail(runs, ["run_no"], F.col("_flag"), money, F.col(ROW), extra=extra)
     if list_pages:
-        extra.append(F.array_join(F.array_sort(F.collect_set(page)), ",").alias("page_names"))
-    checked = total_vs_detail(runs, ["run_no"], to_number("is_total"), money, F.col(ROW), extra=extra)
+        names = F.array_join(F.array_sort("_pages"), ",")
+        checked = checked.withColumns({"page_count": F.size("_pages").cast("bigint"), "page_names": names}).drop("_pages")
     text = {c: from_pence(c) for c in ("sum_land_val", "total_land_val", "sum_total_val", "total_total_val")}
     return checked.select("*", "_first.*").drop("_first").withColumns(text)
 

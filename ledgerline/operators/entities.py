@@ -161,11 +161,11 @@ def scope_inventory(
 
 def entity_summary(df: DataFrame, keys: Sequence[str] = CANONICAL_KEYS, page: str = "target_filename") -> DataFrame:
     """A3: pages (sorted, ', '-joined), page count and one-page flag per entity."""
-    pages = df.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_set(page)), ", ").alias("pages"),
-        F.count_distinct(page).alias("page_count"),
+    found = df.groupBy(*keys).agg(F.collect_set(page).alias("_pages"))
+    count = F.size("_pages").cast("bigint")
+    return found.select(
+        *keys, F.array_join(F.array_sort("_pages"), ", ").alias("pages"), count.alias("page_count"), (count == 1).alias("is_one_page")
     )
-    return pages.withColumn("is_one_page", F.col("page_count") == 1)
 
 
 def pages_to_check(df: DataFrame, keys: Sequence[str] = CANONICAL_KEYS, page: str = "target_filename") -> DataFrame:

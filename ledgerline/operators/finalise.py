@@ -44,9 +44,15 @@ def finalise_counts(finalised: DataFrame) -> DataFrame:
     return finalised.agg(*counts, F.count("*").alias("attempted"))
 
 
-def dead_letters(finalised: DataFrame, provider: str) -> DataFrame:
-    """Failure records (K12) of the replies that could not be written."""
+def dead_letters(finalised: DataFrame, provider: str, jobs: DataFrame | None = None) -> DataFrame:
+    """Failure records (K12) of the replies that could not be written; ``jobs`` supplies their image path."""
+    failed = finalised.filter(F.col("status").isin("parse_failed", "normalize_failed"))
+    path = F.col("custom_id")
+    if jobs is not None:
+        failed = failed.join(jobs.select("custom_id", F.col("local_path").alias("_path")), "custom_id", "left")
+        path = F.coalesce("_path", "custom_id")
     error = F.when(F.col("status") == "parse_failed", "no JSON found in reply").otherwise("document shape rejected")
-    return finalised.filter(F.col("status").isin("parse_failed", "normalize_failed")).select(
-        F.lit("finalize").alias("stage"), F.lit(provider).alias("provider"), "custom_id", error.alias("error")
+    return failed.select(
+        F.lit("finalize").alias("stage"), F.lit(provider).alias("provider"), "custom_id", error.alias("error"),
+        path.alias("local_path"),
     )

@@ -81,7 +81,7 @@ def _fold(threshold: float, method: str):
                 carried = None
             elif not (name is not None and passes):
                 carried, carried_norm = last, last_norm
-        out = pd.DataFrame({"_page_no": pages["_page_no"].to_numpy(), BLOCK: pages[BLOCK].to_numpy(), "name": names})
+        out = pages[["_page_no", BLOCK, "_lead"]].assign(name=names)
         # the outgoing name, on every row, so that a block's result is one table
         out["out_name"] = carried
         out["out_norm"] = carried_norm if carried is not None else None
@@ -91,7 +91,7 @@ def _fold(threshold: float, method: str):
 
 
 def link_names(pages: DataFrame, threshold: float, method: str, page_block: int = PAGE_BLOCK) -> DataFrame:
-    """The name each page takes over, as (_page_no, name); exact and parallel over blocks of pages.
+    """The name each page takes over, as (_page_no, _lead, name); exact and parallel over blocks of pages.
 
     Blocks are walked independently, each starting from the plain last name of
     the page before it. A block is walked again only while the name its
@@ -107,6 +107,7 @@ def link_names(pages: DataFrame, threshold: float, method: str, page_block: int
         before.select(
             "_page_no",
             BLOCK,
+            "_lead",
             F.coalesce(linked, F.lit(False)).alias("linked"),
             F.col("first.norm").alias("first_norm"),
             F.col("last.name").alias("last_name"),
@@ -118,11 +119,9 @@ def link_names(pages: DataFrame, threshold: float, method: str, page_block: int
         )
     )
     walk = _fold(fraction(threshold) * 100.0, method)
-    schema = f"_page_no bigint, {BLOCK} int, name string, out_name string, out_norm string"
-    borders = table.groupBy(BLOCK).agg(
-        F.min_by(F.struct(F.col("prev_name").alias("in_name"), F.col("prev_norm").alias("in_norm")), "_page_no").alias("b")
-    )
-    used = materialize(borders.select(BLOCK, "b.*"))
+    schema = f"_page_no bigint, {BLOCK} int, _lead bigint, name string, out_name string, out_norm string"
+    border = F.struct(F.col("prev_name").alias("in_name"), F.col("prev_norm").alias("in_norm"))
+    used = table.groupBy(BLOCK).agg(F.min_by(border, "_page_no").alias("b")).select(BLOCK, "b.*")
     pending, done = used, None
     while True:
         walked = table.join(F.broadcast(pending), BLOCK).groupBy(BLOCK).applyInPandas(walk, schema)
@@ -136,9 +135,10 @@ def link_names(pages: DataFrame, threshold: float, method: str, page_block: int
         )
         same = used.select(BLOCK, F.col("in_name").alias("u_name"), F.col("in_norm").alias("u_norm"))
         differs = ~(F.col("in_name").eqNullSafe(F.col("u_name")) & F.col("in_norm").eqNullSafe(F.col("u_norm")))
-        pending = materialize(given.join(same, BLOCK).filter(differs).select(BLOCK, "in_name", "in_norm"))
+        pending = given.join(same, BLOCK).filter(differs).select(BLOCK, "in_name", "in_norm")
         if pending.isEmpty():
-            return done.select("_page_no", "name")
+            return done.select("_page_no", "_lead", "name")
+        pending = materialize(pending)
         used = materialize(used.join(F.broadcast(pending), BLOCK, "left_anti").unionByName(pending))
 
 
@@ -161,8 +161,7 @@ def link_pages(
     """
     keyed, pages = page_boundaries(df, page, label, scope)
     names = link_names(pages, threshold, method, page_block)
-    lead = pages.select("_page_no", "_lead").join(names.filter("name is not null"), "_page_no")
-    lead = lead.select(F.col("_lead").alias("_stretch"), F.col("name").alias("_taken"))
+    lead = names.filter("name is not null").select(F.col("_lead").alias("_stretch"), F.col("name").alias("_taken"))
     out = attach(keyed, lead, ["_stretch"], BLOCK)
     return out.withColumn(name, F.coalesce("_taken", label)).drop(
         "_norm", "_scope", "_page_no", "_stretch", "_taken"

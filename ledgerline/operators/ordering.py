@@ -4,8 +4,9 @@
 rows and writes them once. Every later scan works inside the resulting blocks
 and carries state over block borders through a table with one row per block,
 so neither a hot key nor the whole table ever meets in one task. That block
-table has as many rows as the range exchange had partitions, which bounds the
-broadcasts below.
+table has as many rows as the range exchange had partitions. This bounds the
+broadcasts below and the one number per block that becomes an array literal
+in the plan.
 """
 
 from __future__ import annotations
@@ -22,9 +23,14 @@ _ID_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
 
 def order_rows(df: DataFrame, order_by: Sequence[str | Column], blocks: int | None = None) -> DataFrame:
-    """Add ``grn`` (dense row number from 0, in order) and ``blk`` (its block)."""
+    """Add ``grn`` (dense row number from 0, in order) and ``blk`` (its block).
+
+    There are ``blocks`` blocks, by default as many as the session's shuffle
+    partitions.
+    """
     order_by = list(order_by)
-    ranged = df.repartitionByRange(blocks, *order_by) if blocks else df.repartitionByRange(*order_by)
+    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(blocks, *order_by)
     tagged = materialize(
         ranged.sortWithinPartitions(*order_by).withColumn("_seq", F.monotonically_increasing_id())
     )
@@ -32,16 +38,21 @@ def order_rows(df: DataFrame, order_by: Sequence[str | Column], blocks: int | No
         "_seq", F.col("_seq").bitwiseAND((1 << _ID_BITS) - 1)
     )
     before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy(BLOCK)
-        .agg(F.count("*").alias("_n"))
-        .select(BLOCK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    return (
-        tagged.join(F.broadcast(offsets), BLOCK)
-        .withColumn(ROW, F.col("_offset") + F.col("_seq"))
-        .drop("_offset", "_seq")
-    )
+    sizes = tagged.groupBy(BLOCK).agg(F.count("*").alias("_n"))
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    (offsets,) = _per_block(sizes.select(BLOCK, offset.alias("offset")), ["offset"], BLOCK)
+    return tagged.withColumn(ROW, offsets + F.col("_seq")).drop("_seq")
+
+
+def _per_block(table: DataFrame, columns: Sequence[str], block: str) -> list[Column]:
+    """Whole-number columns of a block table as lookups by block: one literal array each, no join."""
+    rows = {r[block]: r for r in table.select(block, *columns).collect()}
+    span = range(max(rows, default=-1) + 1)
+    out = []
+    for column in columns:
+        values = ",".join(str(rows[b][column] if b in rows else 0) for b in span)
+        out.append(F.get(F.split(F.lit(values), ",").cast("array<bigint>"), F.col(block)))
+    return out
 
 
 def dense_blocks(df: DataFrame, row: str, size: int = 250_000, block: str = BLOCK) -> DataFrame:
@@ -79,8 +90,8 @@ def number_runs(
 
     ``runs`` maps each new column to (key, blank): rows for which ``blank``
     holds belong to no run (null number) and end the run before them. All
-    numberings share one sort. ``df`` is read twice, so it should be a table
-    or a cheap expression over one.
+    numberings share one sort; the counts inside the blocks are written once,
+    after which the result is a plain scan.
     """
     window = _in_block(row, block)
     so_far = window.rowsBetween(Window.unboundedPreceding, 0)
@@ -89,38 +100,29 @@ def number_runs(
     for name, (key, blank) in runs.items():
         value = F.struct(*key)
         keys[f"_key_{name}"] = value if blank is None else F.when(~blank, value)
-    local = df.withColumns(keys)
-    starts, edges, bases, counts, numbers = {}, [], [], {}, {}
+    starts, counts, edges, joined, bases = {}, {}, [], {}, []
     for name in runs:
-        key, start = F.col(f"_key_{name}"), F.col(f"_start_{name}")
-        starts[f"_start_{name}"] = (
-            key.isNotNull() & ~F.lag(key).over(window).eqNullSafe(key)
-        ).cast("bigint")
-        head, tail = F.col(f"_head_{name}.k"), F.col(f"_tail_{name}")
+        key, start, count = (F.col(f"_{part}_{name}") for part in ("key", "start", "count"))
+        starts[f"_start_{name}"] = (key.isNotNull() & ~F.lag(key).over(window).eqNullSafe(key)).cast("bigint")
+        counts[f"_count_{name}"] = F.sum(start).over(so_far)
         edges += [
             F.min_by(F.struct(key.alias("k")), row).alias(f"_head_{name}"),
             F.max_by(F.struct(key.alias("k")), row).alias(f"_tail_{name}"),
-            F.sum(start).alias(f"_starts_{name}"),
+            F.max(count).alias(f"_starts_{name}"),
         ]
         # 1 if the first run of a block only goes on with the last run of the block before
-        joined = (head.isNotNull() & head.eqNullSafe(F.lag(tail).over(by_block)["k"])).cast("bigint")
-        joined = F.coalesce(joined, F.lit(0))
-        bases.append((name, joined, F.col(f"_starts_{name}")))
-        counts[f"_count_{name}"] = F.sum(start).over(so_far)
-        numbers[name] = F.when(key.isNotNull(), F.col(f"_base_{name}") + F.col(f"_count_{name}") - 1)
-    local = local.withColumns(starts)
-    table = local.groupBy(block).agg(*edges)
-    table = table.withColumns({f"_joined_{name}": joined for name, joined, _ in bases})
-    table = table.select(
-        block,
-        *[
-            (F.sum(n - F.col(f"_joined_{name}")).over(by_block) - n).alias(f"_base_{name}")
-            for name, _, n in bases
-        ],
-    )
-    numbered = local.withColumns(counts).join(F.broadcast(table), block).withColumns(numbers)
-    extra = [f"_{part}_{name}" for name in runs for part in ("key", "start", "count", "base")]
-    return numbered.drop(*extra)
+        head, tail = F.col(f"_head_{name}.k"), F.lag(F.col(f"_tail_{name}")).over(by_block)["k"]
+        joined[f"_joined_{name}"] = F.coalesce((head.isNotNull() & head.eqNullSafe(tail)).cast("bigint"), F.lit(0))
+        total = F.col(f"_starts_{name}")
+        bases.append((F.sum(total - F.col(f"_joined_{name}")).over(by_block) - total).alias(f"_base_{name}"))
+    local = materialize(df.withColumns(keys).withColumns(starts).withColumns(counts).drop(*starts))
+    table = local.groupBy(block).agg(*edges).withColumns(joined).select(block, *bases)
+    found = _per_block(table, [f"_base_{name}" for name in runs], block)
+    numbers = {
+        name: F.when(F.col(f"_key_{name}").isNotNull(), base + F.col(f"_count_{name}") - 1)
+        for name, base in zip(runs, found)
+    }
+    return local.withColumns(numbers).drop(*[f"_{part}_{name}" for name in runs for part in ("key", "count")])
 
 
 def fill_down(

@@ -45,13 +45,14 @@ def enrich(
 ) -> tuple[DataFrame, DataFrame]:
     """Ordered, joined, linked, flagged and run-numbered rows, and the join review.
 
-    Each step reads its input more than once, so each input is a written table.
+    The ordered, linked and run-numbered tables are written, as later steps
+    read them more than once.
     """
     ordered = order_rows(rows, ROW_ORDER, blocks)
     joined, review = resolve_admin(ordered, truth, [ROW], BLOCK, overrides, threshold, method=method)
-    linked = materialize(link_pages(materialize(joined), PAGE_LINK_THRESHOLD, method=method))
+    linked = materialize(link_pages(joined, PAGE_LINK_THRESHOLD, method=method))
     flagged = flag_one_page(linked, BLOCK, page="target_filename")
-    return materialize(contiguous_runs(materialize(flagged))), review
+    return contiguous_runs(flagged), review
 
 
 def analyse_rows(

@@ -49,13 +49,15 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
     Errors carry a blank name, low values an upper-case one; the ``k`` of the
     properties decides the flags.
     """
-    k = F.get_json_object("props", "$.k").try_cast("int")
+    k, pence = F.col("k"), F.col("pence")
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + 1
     label = (
         F.when(F.col("event_type") == "error", "").when(F.col("value") < 20, F.upper("event_type")).otherwise(F.col("event_type"))
     )
-    pence = cents("value")
-    events = table(spark, folder, "events").select(
+    events = spread(table(spark, folder, "events")).withColumns(
+        {"k": F.get_json_object("props", "$.k").try_cast("int"), "pence": cents("value")}
+    )
+    events = events.select(
         "event_id",
         "ts",
         "user_id",
@@ -69,8 +71,8 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k < 50, "").otherwise(F.concat(F.lit("u"), F.col("user_id"))).alias("occupier"),
         F.when(k >= 90, 1).when(k >= 85, 2).otherwise(0).alias("is_total"),
         F.when(k >= 50, 1).otherwise(0).alias("is_continued"),
-        F.col("event_type"),
-        k.alias("k"),
+        "event_type",
+        "k",
     )
     return events.withColumns({"target_filename": F.col("page_name"), "townland_linked": F.col("name")})
 

@@ -148,7 +148,7 @@ def _refinalised(spark, folder):
     "dead_letters",
     f"""WITH {_REPLIES_SQL} {_EXISTING_SQL}
     SELECT 'finalize' AS stage, 'chat' AS provider, custom_id,
-           CASE WHEN status = 'parse_failed' THEN 'no JSON found in reply' ELSE 'document shape rejected' END AS error
+           CASE WHEN status = 'parse_failed' THEN 'no JSON found in reply' ELSE 'document shape rejected' END AS error, custom_id AS local_path
     FROM results WHERE status IN ('parse_failed', 'normalize_failed') AND custom_id NOT IN (FROM existing)""",
 )
 def failures_of_replies(spark, folder):

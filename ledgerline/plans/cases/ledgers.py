@@ -172,7 +172,7 @@ def pages_of_ledger_runs(spark, folder):
 
 
 def _report(spark, folder):
-    rows = materialize(contiguous_runs(ordered_ledger(spark, folder)))
+    rows = contiguous_runs(ordered_ledger(spark, folder))
     checks = materialize(check_runs(rows))
     return rows, checks, explain_missing_totals(rows, checks)
 

@@ -28,7 +28,7 @@ def finalise_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: st
         result = finalise_replies(replies, done.filter(F.col("llm") == provider), only_missing=True)
         sinks.write_documents(result, f"{out}/documents", provider)
         failed = dead_letters(result, provider)
-        line_errors = errors.select(F.lit("line").alias("stage"), F.lit(provider).alias("provider"), "custom_id", "error")
+        line_errors = errors.select(F.lit("line").alias("stage"), F.lit(provider).alias("provider"), "custom_id", "error", F.col("custom_id").alias("local_path"))
         sinks.append_failures(failed.unionByName(line_errors), f"{out}/failures")
 
     return lines.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
