@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline import sinks
+from ledgerline.functions.text import trim_text
 from ledgerline.operators.finalise import dead_letters, finalise_replies
 from ledgerline.sources.replies import latest_replies, parse_chat_replies, parse_generate_replies
 
@@ -17,13 +18,14 @@ def finalise_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: st
     A batch that is run again after a failure finds its pages already written
     and skips them.
     """
-    lines = spark.readStream.text(folder).withColumn(
-        "line_order", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    )
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.readStream.text(folder).select("value", place.alias("place"))
 
     def handle(batch: DataFrame, _batch_id: int) -> None:
         session = batch.sparkSession
-        replies, errors = latest_replies(PARSERS[layout](batch))
+        order = F.struct("place", F.monotonically_increasing_id().alias("line"))
+        ordered = batch.withColumn("line_order", order).filter(trim_text("value") != "")
+        replies, errors = latest_replies(PARSERS[layout](ordered))
         done = session.read.schema("page_file string, document string, llm string").json(f"{out}/documents")
         result = finalise_replies(replies, done.filter(F.col("llm") == provider), only_missing=True)
         sinks.write_documents(result, f"{out}/documents", provider)
