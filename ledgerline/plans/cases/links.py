@@ -14,7 +14,8 @@ from ledgerline.operators.linking import link_pages
 from ledgerline.operators.lookup import REVIEW_COLUMNS, join_admin, resolve_admin
 from ledgerline.operators.simjoin import best_match, similar_pairs
 from ledgerline.operators.skew import hash_salt
-from ledgerline.plans.cases.base import LEDGER_ORDER, LEDGER_SQL, case, ledger, ordered_ledger, table
+from ledgerline.plans.analyse import analyse_rows
+from ledgerline.plans.cases.base import CHECKS_SQL, LEDGER_SQL, case, ledger, ordered_ledger, table
 from ledgerline.plans.cases.texts import normal_sql, parish_sql, part_truth
 from ledgerline.storage import materialize
 
@@ -236,9 +237,7 @@ def canonical_part_names(spark, folder):
     return found.select("p_partkey", "townland_canonical")
 
 
-@case(
-    "page_link",
-    f"""WITH {LEDGER_SQL},
+_LINK_SQL = f"""{LEDGER_SQL},
     numbered AS (SELECT *, dense_rank() OVER (ORDER BY page_name) AS page_no FROM seq),
     firsts AS (
       SELECT page_no, arg_min(name, grn) FILTER (name <> '') AS first_name, arg_max(name, grn) FILTER (name <> '') AS last_name,
@@ -254,15 +253,56 @@ def canonical_part_names(spark, folder):
       FROM firsts f JOIN leads USING (page_no) WINDOW w AS (ORDER BY page_no)),
     chains AS (SELECT *, sum(CASE WHEN linked AND passes THEN 0 ELSE 1 END) OVER (ORDER BY page_no) AS chain FROM pages),
     sent AS (SELECT *, first_value(last_name) OVER (PARTITION BY chain ORDER BY page_no) AS out_name FROM chains),
-    taken AS (SELECT page_no, stop, CASE WHEN linked THEN lag(out_name) OVER (ORDER BY page_no) END AS taken FROM sent)
-    SELECT event_id, CASE WHEN taken IS NOT NULL AND grn < stop THEN taken ELSE name END AS townland_linked
-    FROM numbered JOIN taken USING (page_no)""",
-)
+    taken AS (SELECT page_no, stop, CASE WHEN linked THEN lag(out_name) OVER (ORDER BY page_no) END AS taken FROM sent),
+    linked_seq AS (
+      SELECT * REPLACE (CASE WHEN taken IS NOT NULL AND grn < stop THEN taken ELSE name END AS name) FROM numbered JOIN taken USING (page_no))"""
+
+
+@case("page_link", f"WITH {_LINK_SQL} SELECT event_id, name AS townland_linked FROM linked_seq")
 def link_ledger_pages(spark, folder):
     rows = ordered_ledger(spark, folder)
     return link_pages(rows, 0.77, label="name").select("event_id", "townland_linked")
 
 
+_LINKED_CHECKS_SQL = CHECKS_SQL.removeprefix(LEDGER_SQL).replace("FROM seq WINDOW", "FROM linked_seq WINDOW")
+
+
+@case(
+    "ledger_analysis",
+    f"""WITH {_LINK_SQL} {_LINKED_CHECKS_SQL},
+    one AS (SELECT parish_effective, name, true AS single FROM linked_seq WHERE name <> '' GROUP BY ALL HAVING count(DISTINCT page_name) = 1),
+    flagged AS (SELECT c.*, coalesce(single, false) AS single FROM checks c LEFT JOIN one ON one.parish_effective = c.parish_effective AND one.name = c.townland_linked)
+    SELECT 'events' AS llm, (SELECT count(DISTINCT page_name) FROM ledger) AS pages_processed, (SELECT count(*) FROM ledger) AS entry_rows,
+           count(*) AS townland_segments, count(*) FILTER (has_total_row) AS segments_with_total_row, count(*) FILTER (valuation_ok) AS valuation_pass_count,
+           count(*) FILTER (single) AS one_page_townlands_segments, count(*) FILTER (NOT single) AS multi_page_townlands_segments,
+           CAST(0 AS BIGINT) AS pages_missing_gv_join, CAST(0 AS BIGINT) AS gv_join_review_rows
+    FROM flagged""",
+)
+def analyse_ledger(spark, folder):
+    """The whole analysis, from unordered rows and a truth table to the summary."""
+    return _ledger_analysis(ledger(spark, folder)).summary.select(
+        "llm", "pages_processed", "entry_rows", "townland_segments", "segments_with_total_row", "valuation_pass_count",
+        "one_page_townlands_segments", "multi_page_townlands_segments", "pages_missing_gv_join", "gv_join_review_rows",
+    )
+
+
+def _ledger_analysis(events):
+    """``analyse_rows`` on ledger rows; the truth table lists every page with its own scope."""
+    no_text = F.lit(None).cast("string")
+    truth = events.select(
+        "target_filename", F.col("county_effective").alias("county"), no_text.alias("county_gv"), F.col("barony_effective").alias("barony"),
+        no_text.alias("barony_gv"), F.concat(F.lit("PARISH OF "), "parish_effective").alias("parish"), F.col("parish_effective").alias("parish_gv"),
+        no_text.alias("townland"), F.lit(0).alias("row_no"),
+    ).distinct()
+    rows = events.select(
+        "event_id", "page_name", "target_filename", F.lit("events").alias("llm"), F.lit(0).alias("parish_idx"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("entry_idx"), F.col("parish_effective").alias("parish"),
+        F.col("name").alias("townland_filled"), "land_val", "total_val", "is_total", "occupier",
+    )
+    nothing = events.sparkSession.createDataFrame([], "page_name string, llm string, status string, text string")
+    return analyse_rows(rows, nothing, materialize(truth), "events")
+
+
 _CONTINUED_SQL = f"""{LEDGER_SQL},
     starts AS (
       SELECT *, CASE WHEN name = '' THEN 0 WHEN lag(name) OVER w = name THEN 0 ELSE 1 END AS s
