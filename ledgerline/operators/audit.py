@@ -146,7 +146,7 @@ def check_entity(
     names = df.withColumn("_at", F.struct(*order))
     close = closest_to(names, label, "_at", entity)
     exact = F.max(F.when(F.col(label) == entity, F.col(label))).alias("exact")
-    chosen = df.agg(exact).crossJoin(F.broadcast(close))  # one row each
+    chosen = close.join(df.agg(exact).withColumn("expected", F.lit(entity)), "expected")
     chosen = chosen.select(
         F.lit(entity).alias("entity"), F.coalesce("exact", "matched").alias("matched"), "score"
     )

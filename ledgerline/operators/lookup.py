@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerline.functions.similarity import best_label_similarity
 from ledgerline.functions.text import fraction, is_filled, normalise_name, normalise_parish, prefer, trim_text
 from ledgerline.operators.skew import attach
+from ledgerline.storage import materialize
 
 EFFECTIVE = ("county_effective", "barony_effective", "parish_effective")
 VERIFIED = ("county_gv", "barony_gv", "parish_gv")
@@ -58,9 +59,10 @@ def admin_records(truth: DataFrame, order: str = "row_no") -> DataFrame:
 def build_lookup(truth: DataFrame, order: str = "row_no") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(by page and parish, page fallback, distinct candidates per page).
 
-    The first row of a key wins, unless only a later one has a county.
+    The first row of a key wins, unless only a later one has a county. The
+    records are written once, as all three tables are derived from them.
     """
-    records = admin_records(truth, order)
+    records = materialize(admin_records(truth, order))
     has_county = F.col("rec.county_effective") != ""
     by_key = (
         records.withColumn("parish_norm", F.explode("parish_keys"))
@@ -296,7 +298,7 @@ def resolve_admin(
     lookup = build_lookup(truth, order)
     rows = _with_keys(df, page, parish)
     keys = rows.groupBy("page", "parish_norm").agg(F.min_by(parish, F.struct(*row_order)).alias("llm_parish"))
-    resolved = cascade(keys, lookup)
+    resolved = materialize(cascade(keys, lookup))
     settled = is_filled("county_effective")
     if fuzzy_before_fallback:
         settled = settled & (F.col(METHOD) != "page_fallback")

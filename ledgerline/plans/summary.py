@@ -39,7 +39,7 @@ def check_metrics(checks: DataFrame, by: list[str] | None = None, flag: str = FL
 
 
 def performance_summary(df: DataFrame, checks: DataFrame, model: str, review: DataFrame | None = None) -> DataFrame:
-    """A4: the one-row summary of a model; every joined side has exactly one row."""
+    """A4: the one-row summary of a model, from three one-row aggregates that meet on the model name."""
     missing = F.when(F.coalesce("county_effective", F.lit("")) == "", F.col("page_name"))
     rows = df.agg(
         F.lit(model).alias("llm"),
@@ -47,9 +47,10 @@ def performance_summary(df: DataFrame, checks: DataFrame, model: str, review: Da
         F.count("*").alias("entry_rows"),
         F.count_distinct(missing).alias("pages_missing_gv_join"),
     )
-    out = rows.crossJoin(F.broadcast(check_metrics(checks)))
+    named = lambda df: df.withColumn("llm", F.lit(model))
+    out = rows.join(named(check_metrics(checks)), "llm")
     if review is not None:
-        out = out.crossJoin(F.broadcast(review.agg(F.count("*").alias("gv_join_review_rows"))))
+        out = out.join(named(review.agg(F.count("*").alias("gv_join_review_rows"))), "llm")
     return out
 
 
@@ -68,4 +69,5 @@ def compare_models(summaries: DataFrame, checks_a: DataFrame, checks_b: DataFram
     """One row per model with its pass rate, and the number of pages checked in both."""
     common = checked_pages(checks_a).intersect(checked_pages(checks_b)).agg(F.count("*").alias("common_pages"))
     columns = ["llm", "valuation_pass_pct", "valuation_pass_count", "segments_with_total_row"]
-    return summaries.select(*columns).crossJoin(F.broadcast(common))
+    per_model = summaries.select(*columns).withColumn("_all", F.lit(True))
+    return per_model.join(common.withColumn("_all", F.lit(True)), "_all").drop("_all")
