@@ -100,7 +100,8 @@ def _repaired(content: Column) -> Column:
         rows = [(None, None, None) if c is None else salvage(c) for c in contents]
         return pd.DataFrame(rows, columns=["json", "recovered", "tier"])
 
-    return batch(content)
+    # not to be moved or repeated by the optimizer
+    return batch.asNondeterministic()(content)
 
 
 def extract_json(df: DataFrame, content: str, name: str = "reply") -> DataFrame:

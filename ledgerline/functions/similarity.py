@@ -52,6 +52,11 @@ def ratio_function(method: str):
     return indel_ratio if method == "indel" else difflib_ratio
 
 
+def _once(udf):
+    """Keep the optimizer from moving or repeating the call: it stays after the steps that thin out the pairs."""
+    return udf.asNondeterministic()
+
+
 def similarity(a: Column | str, b: Column | str, method: str = "indel") -> Column:
     """Similarity of two text columns, 0..1."""
     ratio = ratio_function(method)
@@ -63,7 +68,7 @@ def similarity(a: Column | str, b: Column | str, method: str = "indel") -> Colum
             [None if x is None or y is None else known(x, y) for x, y in zip(left, right)], dtype="float64"
         )
 
-    return score(a, b)
+    return _once(score)(a, b)
 
 
 def best_label_similarity(name: Column | str, labels: Column | str, method: str = "indel") -> Column:
@@ -81,7 +86,7 @@ def best_label_similarity(name: Column | str, labels: Column | str, method: str
             dtype="float64",
         )
 
-    return best(name, labels)
+    return _once(best)(name, labels)
 
 
 def edit_budget(length_a: Column, length_b: Column, threshold: float) -> Column:

@@ -108,7 +108,7 @@ def similar_pairs(
         F.least(s, l).alias("name_a"),
         F.greatest(s, l).alias("name_b"),
     ).distinct()
-    # The score is computed once per surviving pair, then filtered.
+    # one score per distinct surviving pair
     scored = pairs.withColumn("similarity", similarity("name_a", "name_b", method))
     return scored.filter(F.col("similarity") * 100.0 >= limit * 100.0)
 
@@ -150,6 +150,7 @@ def best_match(
     threshold: float,
     method: str = "indel",
     clean: Callable[[Column], Column] = normalise_name,
+    salts: int = 4,
 ) -> DataFrame:
     """For each distinct (block, name) the most similar candidate of its block.
 
@@ -168,8 +169,10 @@ def best_match(
 
     def half(short_is_wanted: bool) -> DataFrame:
         a = wanted_keys.withColumn("_key", F.explode(_signatures(F.col("_w"), limit, short_is_wanted)))
+        a = a.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
         b = offered_keys.withColumn("_key", F.explode(_signatures(F.col("_c"), limit, not short_is_wanted)))
-        joined = a.join(b, [*block, "_key"])
+        b = b.withColumn("_salt", F.pmod(F.xxhash64("_c"), F.lit(salts)))
+        joined = a.join(b, [*block, "_key", "_salt"])
         return joined.filter(may_reach(F.col("_w"), F.col("_c"), limit)).select(*block, "_w", "_c")
 
     pairs = half(True).unionByName(half(False)).distinct()
