@@ -7,14 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions.similarity import may_reach, similarity
-from ledgerline.functions.text import fraction, from_pence, normalise_name, squash, to_pence
+from ledgerline.functions.text import PAGE_NUMBER, fraction, from_pence, normalise_name, squash, to_pence
 from ledgerline.operators.audit import leave_one_out
 from ledgerline.operators.ordering import BLOCK, ROW
 from ledgerline.operators.runs import LABEL, SCOPE, in_runs
 from ledgerline.operators.skew import attach
 
-PAGE_NUMBER = r"(\d+)_(\d+)\.[A-Za-z]+$"
-
 
 def similar_neighbours(
     runs: DataFrame,

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.functions.similarity import ratio_function
-from ledgerline.functions.text import clean_key, fraction, normalise_name, trim_text
+from ledgerline.functions.text import PAGE_NUMBER, clean_key, fraction, normalise_name, trim_text
 from ledgerline.operators.ordering import BLOCK, ROW, dense_blocks, number_runs, with_previous
 from ledgerline.operators.runs import SCOPE
 from ledgerline.operators.skew import attach
@@ -90,7 +90,16 @@ def _fold(threshold: float, method: str):
     return run
 
 
-def link_names(pages: DataFrame, threshold: float, method: str, page_block: int = PAGE_BLOCK) -> DataFrame:
+def follows(page: Column, previous: Column) -> Column:
+    """Whether a page name carries the next number of the same volume."""
+    part = lambda c, i: F.regexp_extract(c, PAGE_NUMBER, i)
+    step = part(page, 2).try_cast("bigint") - part(previous, 2).try_cast("bigint")
+    return F.coalesce((part(page, 1) == part(previous, 1)) & (step == 1), F.lit(False))
+
+
+def link_names(
+    pages: DataFrame, threshold: float, method: str, page_block: int = PAGE_BLOCK, adjacent_only: bool = False
+) -> DataFrame:
     """The name each page takes over, as (_page_no, _lead, name); exact and parallel over blocks of pages.
 
     Blocks are walked independently, each starting from the plain last name of
@@ -99,10 +108,12 @@ def link_names(pages: DataFrame, threshold: float, method: str, page_block: int
     once no border changes. Block tables have one row per ``page_block`` pages.
     """
     pages = dense_blocks(pages, "_page_no", page_block)
-    before = with_previous(pages, {"_prev": "last"}, row="_page_no")
+    before = with_previous(pages, {"_prev": "last", "_prev_page": "_page"}, row="_page_no")
     linked = F.col("_prev").isNotNull() & F.col("first").isNotNull() & (
         F.col("_prev._scope") == F.col("first._scope")
     )
+    if adjacent_only:
+        linked = linked & follows(F.col("_page"), F.col("_prev_page"))
     table = materialize(
         before.select(
             "_page_no",
@@ -151,16 +162,18 @@ def link_pages(
     scope: Sequence[str] = SCOPE,
     method: str = "indel",
     page_block: int = PAGE_BLOCK,
+    adjacent_only: bool = False,
 ) -> DataFrame:
     """W6 on an ordered table: the lead run of a page takes the name its predecessor ends with.
 
-    Neighbours are pages next to each other in row order. Both border rows
+    Neighbours are pages next to each other in row order, with
+    ``adjacent_only`` also in page number. Both border rows
     must share the scope and their names must be similar enough. A name read
     from a page is the one it took over itself, so it travels over any number
     of pages.
     """
     keyed, pages = page_boundaries(df, page, label, scope)
-    names = link_names(pages, threshold, method, page_block)
+    names = link_names(pages, threshold, method, page_block, adjacent_only)
     lead = names.filter("name is not null").select(F.col("_lead").alias("_stretch"), F.col("name").alias("_taken"))
     out = attach(keyed, lead, ["_stretch"], BLOCK)
     return out.withColumn(name, F.coalesce("_taken", label)).drop(

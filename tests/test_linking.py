@@ -96,3 +96,13 @@ def test_continuation_equals_sequential_model(spark):
                     fresh[scope] = runs[-1][0][2]
             last.update(fresh)
         assert {r.i: r.v for r in got} == want
+
+
+def test_adjacent_numbers_only(spark):
+    names = ["Carrivcashel", "Carrycashel", "Carycashel"]
+    rows = [(i, f"EV_LOG_001_{n:03d}.jpg", names[i], "C", "B", "P", 0) for i, n in enumerate((9, 10, 12))]
+    df = order_rows(spark.createDataFrame(rows, "i int, page_name string, v string, c string, b string, p string, cont int"), ["i"], 2)
+    got = {r.i: r.townland_linked for r in link_pages(df, 0.77, label="v", scope=SCOPE, adjacent_only=True).collect()}
+    assert got == {0: "Carrivcashel", 1: "Carrivcashel", 2: "Carycashel"}
+    anyway = {r.townland_linked for r in link_pages(df, 0.77, label="v", scope=SCOPE).collect()}
+    assert anyway == {"Carrivcashel"}
