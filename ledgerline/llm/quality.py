@@ -8,7 +8,7 @@ from ledgerline.llm.base import WORD_SEPARATORS, case, table
 from ledgerline.llm.lines import normal_line
 from ledgerline.storage import materialize
 
-SYMBOLS = "#*$%&|<>"
+NOT_SYMBOLS = "[^#*$%&|<>]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
@@ -16,14 +16,6 @@ MAX_DOCS_PER_HOST = 10  # a line in more documents of one host is removed
 MIN_LEFT = 0.5  # a document that keeps a smaller share of its words is depleted
 
 
-def _count_of(text: Column, characters: str) -> Column:
-    """How many of the text's code points are among ``characters``."""
-    rest = text
-    for c in characters:
-        rest = F.replace(rest, F.lit(c), F.lit(""))
-    return F.length(text) - F.length(rest)
-
-
 def words_of(text: Column) -> Column:
     """Array of words; empty for a text without a word."""
     trimmed = F.btrim(text, F.lit(WORD_SEPARATORS))
@@ -71,13 +63,12 @@ def base_signals(
         F.transform("_with_word", normal_line),
         lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")),
     )
-    t = F.col("_text")
     return rows.select(
         "doc_id",
         "_host",
         F.size(w).cast("bigint").alias("n_words"),
-        (F.length(t) - _count_of(t, WORD_SEPARATORS)).cast("bigint").alias("word_chars"),
-        _count_of(t, SYMBOLS).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+        F.length(F.regexp_replace("_text", NOT_SYMBOLS, "")).cast("bigint").alias("n_symbols"),
         (F.size("_with_word") - F.size(F.array_distinct("_with_word"))).cast("bigint").alias("n_dup_lines"),
         F.coalesce(F.when(F.size(s) > 0, covered), F.lit(0)).cast("bigint").alias("n_repeat_words"),
         counts.alias("_lines"),
