@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions.text import clean_key, is_filled, normalise_name, trim_text
+from ledgerline.operators.components import connected_components
 from ledgerline.operators.continuation import resolve_continued
 from ledgerline.operators.lookup import EFFECTIVE, VERIFIED
 from ledgerline.operators.simjoin import similar_pairs
@@ -19,38 +20,11 @@ CANONICAL_KEYS = (*VERIFIED, CANONICAL)
 
 
 def components(
-    pairs: DataFrame, block: Sequence[str], a: str = "name_a", b: str = "name_b", max_rounds: int = 60
+    pairs: DataFrame, block: Sequence[str], a: str = "name_a", b: str = "name_b", on_round: Callable[[int], None] | None = None
 ) -> DataFrame:
-    """G1: smallest name of the connected component of each paired name, as (block, name, canonical).
-
-    Each round passes the smallest label to neighbours and then jumps to the
-    label of the label, so long chains shrink quickly. Every round is written
-    to the shared folder; the loop ends when no label changes.
-    """
-    block = list(block)
-    one_way = pairs.select(*block, F.col(a).alias("name"), F.col(b).alias("other"))
-    other_way = pairs.select(*block, F.col(b).alias("name"), F.col(a).alias("other"))
-    edges = materialize(one_way.unionByName(other_way))
-    labels = materialize(
-        edges.groupBy(*block, "name").agg(F.least(F.col("name"), F.min("other")).alias("canonical"))
-    )
-    for _ in range(max_rounds):
-        offers = (
-            edges.join(labels, [*block, "name"])
-            .groupBy(*block, F.col("other").alias("name"))
-            .agg(F.min("canonical").alias("offer"))
-        )
-        best = labels.join(offers, [*block, "name"], "left")
-        best = best.select(*block, "name", "canonical", F.least("canonical", "offer").alias("next"))
-        jump = labels.select(*block, F.col("name").alias("next"), F.col("canonical").alias("far"))
-        best = best.join(jump, [*block, "next"], "left")
-        moved = materialize(
-            best.select(*block, "name", F.least("next", "far").alias("label"), F.col("canonical").alias("old"))
-        )
-        labels = moved.select(*block, "name", F.col("label").alias("canonical"))
-        if moved.filter("label <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    """G1: smallest name of the connected component of each paired name, as (block, name, canonical)."""
+    found = connected_components(pairs, a, b, block, on_round)
+    return found.withColumnsRenamed({"node": "name", "component": "canonical"})
 
 
 def canonical_map(
