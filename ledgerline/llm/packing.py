@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerline.llm.base import case, map_rows, table
 from ledgerline.llm.tokens import Encoder
@@ -138,77 +138,121 @@ def _sweep_blocks(state: DataFrame, blocks: int, opens: bool, capacity: int) ->
     return ranged.sortWithinPartitions(*order).mapInArrow(sweep, _STATE)
 
 
+def plan_borders(classes: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Where the free rows of each class stand on the stack of free documents, from (blk, kind, size, count).
+
+    Classes come in the order of the blocks, the gaps of a block before its documents.
+    Returns (blk, kind, size, first rank in the block, height, pops): a document of rank r pushes
+    at height + r - first. A gap pops ``pops`` documents one after the other, as many as surely fit: the
+    stack's top is its largest document.
+    """
+    out, stack, height = [], [], 0
+    rank: dict[tuple[int, int], int] = {}
+    for blk, kind, size, count in sorted(classes, key=lambda c: (c[0], -c[1], c[2])):
+        first = rank.get((blk, kind), 0)
+        rank[blk, kind] = first + count
+        if kind == DOC:
+            out.append((blk, kind, size, first, height, 0))
+            stack.append([size, count])
+            height += count
+            continue
+        waiting = sum(n for _, n in stack)
+        pops = max(1, min(size // stack[-1][0], -(-waiting // count))) if stack else 1
+        out.append((blk, kind, size, first, height, pops))
+        height -= pops * count
+        taken = pops * count
+        while stack and taken:
+            step = min(taken, stack[-1][1])
+            stack[-1][1] -= step
+            taken -= step
+            if not stack[-1][1]:
+                stack.pop()
+    return out
+
+
 def _match_borders(swept: DataFrame, capacity: int) -> DataFrame:
-    """Match what the blocks left free: a gap takes the nearest free document of the blocks before.
+    """Match what the blocks left free: a gap takes the nearest free documents of the blocks before.
 
-    Free gaps of a block come first, its free documents then go on the stack.
-    With the height of the stack at every block, each free row knows the height it pushes or pops,
-    and a document belongs to the gap that follows it at its height. A height occurs at most twice a block.
+    The free documents form a stack over the blocks; each free row knows the height at which it
+    pushes or pops, and a document belongs to the gap that next comes down to its height. A
+    block passes a height at most twice, so no group of this step is large.
     """
-    free, rest = swept.filter("blk IS NOT NULL"), swept.filter("blk IS NULL")
-    ends = free.groupBy("blk").agg(F.sum(F.when(F.col("kind") == DOC, 1).otherwise(0)).alias("docs"), F.count("*").alias("n"))
-    bases, height = [], 0
-    for r in sorted(ends.collect(), key=lambda r: r.blk):  # one row per block
-        gaps = r.n - r.docs
-        bases.append((r.blk, height, height - gaps))
-        height += r.docs - gaps
-    spark = swept.sparkSession
-    base = spark.createDataFrame(bases, "blk int, before bigint, after bigint")
-    at = F.when(F.col("kind") == GAP, F.col("before") - F.col("nth") - 1).otherwise(F.col("after") + F.col("nth"))
-    placed = free.join(base, "blk").withColumn("height", at)
-    side = F.when(F.col("kind") == GAP, 0).otherwise(1)
-    order = Window.partitionBy("height").orderBy("blk", side)
-    pair = placed.withColumns(
-        {
-            "_next": F.lead(F.struct("kind", "size", "id")).over(order),
-            "_last": F.lag(F.struct("kind", "size", "id")).over(order),
-        }
+    free, rest = swept.filter("blk IS NOT NULL"), swept.filter("blk IS NULL").select("kind", "size", "id", "seq")
+    counts = free.groupBy("blk", "kind", "size").count().collect()  # blocks hold ranges of sizes: about one row per size and block
+    plan = plan_borders([tuple(r) for r in counts])
+    base = swept.sparkSession.createDataFrame(plan, "blk int, kind int, size bigint, first bigint, height bigint, pops int")
+    at = F.col("nth") - F.col("first")
+    slot = F.explode(F.sequence(F.lit(0), F.greatest(F.col("pops") - 1, F.lit(0)))).alias("slot")
+    rows = free.join(base, ["blk", "kind", "size"]).select("blk", "kind", "size", "id", "pops", at.alias("at"), "height", slot)
+    is_doc = F.col("kind") == DOC
+    height = F.when(is_doc, F.col("height") + F.col("at")).otherwise(F.col("height") - F.col("at") * F.col("pops") - F.col("slot") - 1)
+    rows = rows.withColumns({"height": height, "side": F.when(is_doc, 1).otherwise(0)})
+    order = Window.partitionBy("height").orderBy("blk", "side")
+    met = rows.select(
+        "kind", "size", "id", "slot",
+        F.lead("kind").over(order).alias("_next"),
+        F.when(F.lag("kind").over(order) == DOC, F.struct(F.lag("size").over(order).alias("size"), F.lag("id").over(order).alias("id"))).alias("_doc"),
+    )
+    unmet = met.filter(is_doc & ~F.col("_next").eqNullSafe(F.lit(GAP))).select("kind", "size", "id", F.lit(None).cast("bigint").alias("seq"))
+    gap = Window.partitionBy("id").orderBy("slot")
+    size = F.coalesce("_doc.size", F.lit(0))
+    filled = met.filter(~is_doc).select(
+        "size", "id", "slot", "_doc", F.sum(size).over(gap).alias("_upto"), F.sum(size).over(Window.partitionBy("id")).alias("_all")
     )
-    kept = lambda kind, size, item, seq: F.struct(
-        kind.cast("int").alias("kind"), size.alias("size"), item.alias("id"), seq.cast("bigint").alias("seq")
+    left = F.col("size") - F.col("_all")
+    outcome = F.array(
+        F.when(F.col("_doc").isNotNull(), _row(PLACED, F.lit(capacity) - F.col("size") + F.col("_upto") - F.col("_doc.size"), F.col("_doc.id"), F.col("id"))),
+        F.when((F.col("slot") == 0) & (left > 0), _row(GAP, left, F.col("id"))),
     )
-    is_doc, none = F.col("kind") == DOC, F.lit(None)
-    outcome = (
-        F.when(is_doc & (F.col("_next.kind") == GAP), kept(F.lit(PLACED), F.lit(capacity) - F.col("_next.size"), F.col("id"), F.col("_next.id")))
-        .when(~is_doc & (F.col("_last.kind") == DOC), kept(F.lit(GAP), F.col("size") - F.col("_last.size"), F.col("id"), none))
-        .otherwise(kept(F.col("kind"), F.col("size"), F.col("id"), none))
+    return rest.unionByName(unmet).unionByName(filled.select(F.inline(F.array_compact(outcome))))
+
+
+def _row(kind: int, size: Column, item: Column, seq: Column | None = None) -> Column:
+    seq = F.lit(None) if seq is None else seq
+    return F.struct(
+        F.lit(kind).alias("kind"), size.cast("bigint").alias("size"), item.cast("bigint").alias("id"), seq.cast("bigint").alias("seq")
     )
-    crossed = pair.select(outcome.alias("o")).select("o.*")
-    return rest.select("kind", "size", "id", "seq").unionByName(crossed)
 
 
-def _open(state: DataFrame, sizes: dict[int, int], capacity: int) -> DataFrame:
-    """Open sequences for as many of the largest documents as the free ones fill; ties by a hash of the id."""
-    wanted = max(1, -(-sum(s * n for s, n in sizes.items()) // capacity))
+def _opened(condition: Column, capacity: int, size: str = "size", item: str = "id") -> Column:
+    """Rows of a document: placed first in a sequence of its own, whose gap is open; else still free."""
+    gap = _row(GAP, F.lit(capacity) - F.col(size), F.col(item))
+    placed = _row(PLACED, F.lit(0), F.col(item), F.col(item))
+    return F.when(condition, F.array(placed, gap)).otherwise(F.array(_row(DOC, F.col(size), F.col(item))))
+
+
+def _open(state: DataFrame, docs: dict[int, int], wanted: int, capacity: int, turn: int) -> DataFrame:
+    """Open ``wanted`` sequences with the largest documents; among equal sizes a hash of the id decides."""
     limit, share = 0, 1.0
-    for size in sorted(sizes, reverse=True):
-        if wanted <= sizes[size]:
-            limit, share = size, wanted / sizes[size]
+    for size in sorted(docs, reverse=True):
+        if wanted <= docs[size]:
+            limit, share = size, wanted / docs[size]
             break
-        wanted -= sizes[size]
-    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003))
-    one = state.filter((F.col("kind") == DOC) & (F.col("size") == limit)).agg(F.min_by("id", draw)).first()[0]
-    seed = (F.col("kind") == DOC) & (
-        (F.col("size") > limit) | ((F.col("size") == limit) & ((draw < share * 1_000_003) | (F.col("id") == F.lit(one))))
-    )
-    opened = F.when(
-        seed,
-        F.array(
-            F.struct(F.lit(PLACED).alias("kind"), F.lit(0).cast("bigint").alias("size"), "id", F.col("id").alias("seq")),
-            F.struct(F.lit(GAP).alias("kind"), (F.lit(capacity) - F.col("size")).alias("size"), "id", F.lit(None).cast("bigint").alias("seq")),
-        ),
-    ).otherwise(F.array(F.struct("kind", "size", "id", F.lit(None).cast("bigint").alias("seq"))))
-    return state.select(F.inline(opened))
-
-
-def _matches(docs: dict[int, int], gaps: dict[int, int]) -> int:
-    """How many documents a sweep with one document per gap can place, from the counts by size."""
-    waiting = placed = 0
+        wanted -= docs[size]
+    draw = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1_000_003))
+    is_doc = F.col("kind") == DOC
+    one = state.filter(is_doc & (F.col("size") == limit)).agg(F.min_by("id", draw)).first()[0]  # at least one
+    seed = (F.col("size") > limit) | ((F.col("size") == limit) & ((draw < share * 1_000_003) | F.col("id").eqNullSafe(F.lit(one))))
+    return state.select(F.inline(F.when(is_doc, _opened(seed, capacity)).otherwise(F.array(_row(GAP, F.col("size"), F.col("id"))))))
+
+
+def fitting(docs: dict[int, int], gaps: dict[int, int]) -> int:
+    """Tokens of documents that a sweep over all gaps can place at least, from the counts by size."""
+    stack: list[list[int]] = []
+    volume = 0
     for size in sorted(docs.keys() | gaps.keys()):
-        waiting += docs.get(size, 0)
-        taken = min(waiting, gaps.get(size, 0))
-        waiting, placed = waiting - taken, placed + taken
-    return placed
+        if size in docs:
+            stack.append([size, docs[size]])
+        count = gaps.get(size, 0)
+        while stack and count:
+            pops = size // stack[-1][0]
+            taken = min(stack[-1][1], pops * count)
+            volume += taken * stack[-1][0]
+            count -= -(-taken // pops)
+            stack[-1][1] -= taken
+            if not stack[-1][1]:
+                stack.pop()
+    return volume
 
 
 def best_fit(units: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, on_round=None) -> DataFrame:
@@ -216,22 +260,11 @@ def best_fit(units: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK
 
     A sequence is named after its first unit. Units longer than half the
     capacity open sequences at the start, as no two of them share one; more
-    are opened, for the largest units, when gaps fit fewer than a tenth of the
+    are opened, for the largest units, when the gaps fit less than a tenth of the
     rest. What the driver sees of a round are counts by size and by block. When no
     more than ``block_rows`` rows matter, they form one block, which ends the packing.
     """
-    large = F.col("length") * 2 > capacity
-    state = units.select(
-        F.inline(
-            F.when(
-                large,
-                F.array(
-                    F.struct(F.lit(PLACED).alias("kind"), F.lit(0).cast("bigint").alias("size"), F.col("unit").alias("id"), F.col("unit").alias("seq")),
-                    F.struct(F.lit(GAP).alias("kind"), (F.lit(capacity) - F.col("length")).alias("size"), F.col("unit").alias("id"), F.lit(None).cast("bigint").alias("seq")),
-                ),
-            ).otherwise(F.array(F.struct(F.lit(DOC).alias("kind"), F.col("length").alias("size"), F.col("unit").alias("id"), F.lit(None).cast("bigint").alias("seq"))))
-        )
-    )
+    state = units.select(F.inline(_opened(F.col("length") * 2 > capacity, capacity, "length", "unit")))
     state, done, rounds = materialize(state), [], 0
     while True:
         done.append(state.filter(F.col("kind") == PLACED))
@@ -241,16 +274,16 @@ def best_fit(units: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK
             break
         rounds += 1
         gaps = {r["size"]: r["count"] for r in counts if r["kind"] == GAP and r["size"] >= min(docs)}
-        free, room = sum(docs.values()), sum(gaps.values())
+        rows, tokens, fit = sum(docs.values()) + sum(gaps.values()), sum(s * n for s, n in docs.items()), fitting(docs, gaps)
         useful = state.filter((F.col("kind") == DOC) | ((F.col("kind") == GAP) & (F.col("size") >= min(docs))))
         if on_round:
-            on_round(rounds, free, room)
-        if free + room <= block_rows:
+            on_round(rounds, sum(docs.values()), sum(gaps.values()))
+        if rows <= block_rows:
             state = materialize(_sweep_blocks(useful, 1, True, capacity))
-        elif _matches(docs, gaps) * 10 < free:
-            state = materialize(_open(useful, docs, capacity))
+        elif fit * 10 < tokens:
+            state = materialize(_open(useful, docs, -(-(tokens - fit) // capacity), capacity, rounds))
         else:
-            swept = materialize(_sweep_blocks(useful, -(-(free + room) // block_rows), False, capacity))
+            swept = materialize(_sweep_blocks(useful, -(-rows // block_rows), False, capacity))
             state = materialize(_match_borders(swept, capacity))
     placed = done[0]
     for part in done[1:]:
