@@ -75,7 +75,7 @@ def with_previous(
         .select(block, row, F.lag("_last").over(Window.orderBy(block)).alias("_carry"))
     )
     out = df.withColumn("_before", F.lag(values).over(_in_block(row, block)))
-    out = out.join(F.broadcast(tails), [block, row], "left")
+    out = out.join(tails, [block, row], "left")
     merged = F.coalesce("_before", "_carry")
     return out.withColumns({new: merged[new] for new in columns}).drop("_before", "_carry")
 
@@ -161,7 +161,7 @@ def fill_down(
     carried = F.when(key.eqNullSafe(F.col("_carry_key")), F.col("_carry"))
     return (
         local.withColumn("_filled", F.last("_value", ignorenulls=True).over(window))
-        .join(F.broadcast(tails), block)
+        .join(tails, block)
         .withColumn(name, F.coalesce("_filled", carried))
         .drop("_value", "_filled", "_carry_key", "_carry")
     )
