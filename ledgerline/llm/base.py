@@ -51,6 +51,20 @@ def map_rows(df: DataFrame, each_batch: Callable[[], Callable], schema: str) ->
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, each_text: Callable[[], Callable[[list], list]], text: str) -> DataFrame:
+    """Rows of ``df``, all columns, for whose texts ``each_text()`` (made once per task) says True; nothing is shuffled."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = each_text()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                yield part.filter(pa.array(keeps(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm.base import WORD, case, map_rows, table
+from ledgerline.llm.base import WORD_SEPARATORS, case, filter_rows, map_rows, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the functions travel with the tasks
 
@@ -17,32 +17,65 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 PERMUTATIONS = 64
 ITEMS_PER_BLOCK = 20_000  # items searched for in one pass over the documents
-CACHE_WORDS = 300_000
+CHUNK = 1 << 18  # bytes hashed at once
+BITS = 22  # of the first look-up
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; forgets when it grows too large."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
-        return value
+def _tables(seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, and the powers of an odd number and of its inverse modulo 2**64."""
+    values = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
+    inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
+    powers, inverses = np.full(CHUNK, _STEP, np.uint64), np.full(CHUNK, inverse, np.uint64)
+    powers[0] = inverses[0] = 1
+    return values, np.cumprod(powers, dtype=np.uint64), np.cumprod(inverses, dtype=np.uint64)
+
+
+class WordHashes:
+    """64-bit hashes of the words of a text: sums of byte values times powers, from running totals, then mixed."""
+
+    def __init__(self) -> None:
+        self.values, self.powers, self.inverses = _tables()
+        self.separator = np.zeros(256, bool)
+        self.separator[list(WORD_SEPARATORS.encode())] = True
+
+    def __call__(self, text: str) -> np.ndarray:
+        data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+        gap = self.separator[data]
+        edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))  # starts and ends of words in turn
+        starts, ends = edge[::2], edge[1::2]
+        out, done = np.empty(len(starts), np.uint64), 0
+        while done < len(starts):  # a very long text in parts
+            first = int(starts[done])
+            upto = max(done + 1, int(np.searchsorted(ends, first + CHUNK, "right")))
+            part = data[first : int(ends[upto - 1])]
+            s, e = starts[done:upto] - first, ends[done:upto] - first
+            if len(part) > CHUNK:  # one word longer than a part
+                total = np.zeros(1, np.uint64)
+                for i in range(0, len(part), CHUNK):
+                    piece = part[i : i + CHUNK]
+                    total = total * self.powers[7] + (self.values[piece] * self.powers[: len(piece)]).sum(dtype=np.uint64)
+                out[done] = total[0]
+            else:
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(self.values[part] * self.powers[: len(part)], out=sums[1:])
+                out[done:upto] = (sums[e] - sums[s]) * self.inverses[s]
+            done = upto
+        out ^= out >> np.uint64(32)
+        return out * np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingle_hashes(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
     """Hashes of the word shingles in order; a text with fewer words is one shingle, one without words has none."""
-    words = WORD.findall((text or "").lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = hashes(text or "")
+    if not len(h):
+        return h
     n = max(1, len(h) - size + 1)
     out = np.full(n, np.uint64(min(len(h), size)))
     for i in range(min(size, len(h))):
-        out = (out * _STEP + h[i : i + n]) * np.uint64(0xBF58476D1CE4E5B9)
+        out *= _STEP
+        out += h[i : i + n]
+        out *= np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(29)
     return out
 
@@ -88,14 +121,18 @@ def index_items(rows: list[tuple], permutations: int = PERMUTATIONS) -> Items:
     return Items(ids, shingles, classes, every)
 
 
+def _held(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
+
+
 class Searcher:
     """Finds the items of a block in texts."""
 
     def __init__(self, items: Items, containment: float, permutations: int) -> None:
         self.items, self.containment, self.permutations = items, containment, permutations
         self.hashes = WordHashes()
-        self.bits = np.zeros(1 << 20, bool)  # low bits of the items' shingles, a cheap first look
-        self.bits[(items.all_shingles & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.bits = np.zeros(1 << BITS, bool)  # leading bits of the items' shingles, a cheap first look
+        self.bits[(items.all_shingles >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
     def candidates(self, h: np.ndarray) -> set[int]:
         """Items that share a minimum with a window of their size class.
@@ -104,9 +141,9 @@ class Searcher:
         an unbroken item lies whole in one. A window without any shingle of
         any item cannot share a minimum, so its signature is not computed.
         """
-        near = np.flatnonzero(self.bits[(h & np.uint64(0xFFFFF)).astype(np.int64)])
+        near = np.flatnonzero(self.bits[(h >> np.uint64(64 - BITS)).view(np.int64)])
         if len(near):
-            near = near[np.isin(h[near], self.items.all_shingles)]
+            near = near[_held(h[near], self.items.all_shingles)]
         found: set[int] = set()
         if not len(near):
             return found
@@ -130,8 +167,7 @@ class Searcher:
         for i in sorted(found):
             own = np.unique(h) if own is None else own
             item = self.items.shingles[i]
-            at = np.searchsorted(own, item)
-            share = float((own[np.minimum(at, len(own) - 1)] == item).mean())
+            share = float(_held(item, own).mean())
             if share >= self.containment:
                 out.append((i, share))
         return out
@@ -183,6 +219,28 @@ def find_items(
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def without_items(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    containment: float = CONTAINMENT,
+    permutations: int = PERMUTATIONS,
+    block: int = ITEMS_PER_BLOCK,
+) -> DataFrame:
+    """The rows, all columns, that hold no item (see ``find_items``)."""
+    asked = items.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text")).filter("_text IS NOT NULL")
+    for part in _blocks(asked, block):
+
+        def keeps(part=part):
+            searcher = Searcher(index_items(part, permutations), containment, permutations)
+            return lambda bodies: [not searcher.matches(body) for body in bodies]
+
+        docs = filter_rows(docs, keeps, text)
+    return docs
+
+
 def _blocks(items: DataFrame, size: int):
     """The item rows in blocks of a bounded size."""
     count = items.count()
