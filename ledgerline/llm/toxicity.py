@@ -14,6 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.llm.base import case, map_rows, remainder, table
+from ledgerline.storage import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the functions travel with the tasks
 
@@ -158,7 +159,8 @@ def fit_lexicon(
     share = F.when(F.col("_y") == 1, sample_per_class / sizes[1]).otherwise(sample_per_class / sizes[0])
     draw = F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) / 1_000_003
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).filter("_text IS NOT NULL")
-    sample = known.filter(draw < share).join(rows, "_id").select("_text", F.col("_y").cast("int").alias("_y"))
+    drawn = F.broadcast(known.filter(draw < share))  # its size is bounded by the sample's
+    sample = materialize(rows.join(drawn, "_id").select("_text", F.col("_y").cast("int").alias("_y")))
 
     def count_beginnings():
         folding = Folding()
