@@ -231,10 +231,21 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id names their component: one document of each group. Rows with a null id stay, as no id can stand for them."""
-    found = near_duplicates(docs, doc_id, text)
-    others = found.filter("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(others, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """One document of each group: the row whose id names the component.
+
+    Of repeated rows of an id one stays. Rows with a null id stay, as no id can stand for them.
+    """
+    found = near_duplicates(docs, doc_id, text).filter("doc_id IS NOT NULL")
+    others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(others, F.col(doc_id) == F.col("_gone"), "left_anti")
+    repeated = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    if repeated.isEmpty():  # then no id needs its rows compared
+        return kept
+    again = F.col(doc_id) == F.col("_again")
+    one = kept.join(repeated, again, "left_semi").groupBy(F.col(doc_id).alias("_id")).agg(
+        F.min_by(F.struct(*kept.columns), F.xxhash64(text)).alias("_row")
+    )
+    return kept.join(repeated, again, "left_anti").unionByName(one.select("_row.*"))
 
 
 @case("op5_simhash")
