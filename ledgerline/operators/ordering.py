@@ -50,7 +50,7 @@ def _per_block(table: DataFrame, columns: Sequence[str], block: str) -> list[Col
     span = range(max(rows, default=-1) + 1)
     out = []
     for column in columns:
-        values = ",".join(str(rows[b][column] if b in rows else 0) for b in span)
+        values = ",".join(str(rows[b][column] if b in rows else 0) for b in span) or "0"
         out.append(F.get(F.split(F.lit(values), ",").cast("array<bigint>"), F.col(block)))
     return out
 
