@@ -96,4 +96,5 @@ def edit_budget(length_a: Column, length_b: Column, threshold: float) -> Column:
 
 def may_reach(a: Column, b: Column, threshold: float) -> Column:
     """Native, lossless bound: an edit distance above the budget cannot reach the threshold."""
-    return F.levenshtein(a, b) <= edit_budget(F.length(a), F.length(b), threshold)
+    budget = edit_budget(F.length(a), F.length(b), threshold)
+    return F.call_function("levenshtein", a, b, budget) >= 0  # stops early; -1 above the budget

@@ -105,19 +105,24 @@ def leave_one_out(
     salt: Column | str,
     payload: Sequence[str] = (),
     min_rows: int = 3,
+    among: DataFrame | None = None,
 ) -> DataFrame:
     """A10: per group the row whose value is closest to the sum of all other rows.
 
     Candidates are positive, leave a positive rest and agree within a factor
     of two; ties go to the first row in ``order``. Groups without a candidate
     are absent. Returns by + order + payload of the row, value, rest, and
-    whether it is the last row.
+    whether it is the last row. ``among`` (by, more payload columns) names the groups that count; it meets
+    the group totals, not the rows.
     """
     position = F.struct(*order)
     totals = df.groupBy(*by).agg(
         F.sum(value).alias("_sum"), F.count("*").alias("_rows"), F.max(position).alias("_last")
     )
-    rows = attach(df, totals.filter(F.col("_rows") >= min_rows), by, salt, how="inner")
+    totals = totals.filter(F.col("_rows") >= min_rows)
+    if among is not None:
+        totals = totals.join(among, list(by))
+    rows = attach(df, totals, by, salt, how="inner")
     rest = F.col("_sum") - F.col(value)
     candidates = rows.withColumn("_rest", rest).filter(
         (F.col(value) > 0) & (F.col("_rest") > 0) & within_factor(F.col(value), F.col("_rest"))

@@ -11,7 +11,6 @@ from ledgerline.functions.text import PAGE_NUMBER, fraction, from_pence, normali
 from ledgerline.operators.audit import leave_one_out
 from ledgerline.operators.ordering import BLOCK, ROW
 from ledgerline.operators.runs import LABEL, SCOPE, in_runs
-from ledgerline.operators.skew import attach
 
 
 def similar_neighbours(
@@ -88,12 +87,9 @@ def explain_missing_totals(
     ``df`` is the ordered table, ``checks`` the result of ``check_runs`` on it.
     """
     open_runs = checks.filter("not has_total_row")
-    rows = in_runs(df, scope, label)
-    rows = attach(rows, open_runs.select("run_no", "first_grn"), ["run_no"], BLOCK, how="inner")
-    rows = rows.select(
-        "run_no", BLOCK, ROW, to_pence("total_val", strip_currency).alias("_pence"), "occupier", "first_grn"
-    )
-    totals = leave_one_out(rows, ["run_no"], "_pence", [ROW], BLOCK, payload=["occupier", "first_grn"])
+    rows = in_runs(df, scope, label).select("run_no", BLOCK, ROW, to_pence("total_val", strip_currency).alias("_pence"), "occupier")
+    starts = open_runs.select("run_no", "first_grn")
+    totals = leave_one_out(rows, ["run_no"], "_pence", [ROW], BLOCK, payload=["occupier", "first_grn"], among=starts)
     candidates = totals.select(
         "run_no",
         (F.col(ROW) - F.col("first_grn")).alias("candidate_row_pos"),

@@ -23,6 +23,17 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(trim_text("value") != "")
 
 
+def _parsed(lines: DataFrame, line: str, order: str) -> DataFrame:
+    """(value, line_order), each line parsed once: no later step can pull the parser over the explode."""
+    return lines.select(F.explode(F.array(F.try_parse_json(line))).alias("value"), F.col(order).alias("line_order"))
+
+
+def _as_rows(parsed: DataFrame, custom_id: Column, text: Column, error: Column) -> DataFrame:
+    """The reply columns as one row; a filter on them stays behind it."""
+    reply = F.struct(custom_id.alias("custom_id"), text.alias("text"), error.alias("error"))
+    return parsed.select(F.inline(F.array(reply)), "line_order")
+
+
 def _truthy(value: Column) -> Column:
     return ~F.coalesce(value.cast("string"), F.lit("")).isin(*_FALSY)
 
@@ -33,7 +44,7 @@ def _part(value: Column, path: str) -> Column:
 
 def parse_chat_replies(lines: DataFrame, line: str = "value", order: str = "line_order") -> DataFrame:
     """Form A: id, text, error (JSON or message), order; text and error may both be null for empty replies."""
-    value = F.try_parse_json(line)
+    lines, value = _parsed(lines, line, order), F.col("value")
     error, response = _part(value, "$.error"), _part(value, "$.response")
     body = _part(value, "$.response.body")
     content = _part(value, "$.response.body.choices[0].message.content")
@@ -45,15 +56,12 @@ def parse_chat_replies(lines: DataFrame, line: str = "value", order: str = "line
         .when(content.isNull(), "parse choices")
     )
     text = F.try_variant_get(value, "$.response.body.choices[0].message.content", "string")
-    return lines.select(
-        F.try_variant_get(value, "$.custom_id", "string").alias("custom_id"),
-        F.when(problem.isNull(), text).alias("text"), problem.alias("error"), F.col(order).alias("line_order"),
-    )
+    return _as_rows(lines, F.try_variant_get(value, "$.custom_id", "string"), F.when(problem.isNull(), text), problem)
 
 
 def parse_generate_replies(lines: DataFrame, line: str = "value", order: str = "line_order") -> DataFrame:
     """Form B: all text parts of the first candidate, joined; the response may sit under either name."""
-    value = F.try_parse_json(line)
+    lines, value = _parsed(lines, line, order), F.col("value")
     error = _part(value, "$.error")
     first, second = _part(value, "$.response"), _part(value, "$.generateContentResponse")
     response = F.when(F.coalesce(first.cast("string"), F.lit("null")) != "null", first).otherwise(second)
@@ -65,11 +73,7 @@ def parse_generate_replies(lines: DataFrame, line: str = "value", order: str = "
         .when(~_truthy(response), "no response")
         .when(parts.isNull(), "parse response")
     )
-    return lines.select(
-        F.try_variant_get(value, "$.key", "string").alias("custom_id"),
-        F.when(problem.isNull(), F.array_join(texts, "")).alias("text"),
-        problem.alias("error"), F.col(order).alias("line_order"),
-    )
+    return _as_rows(lines, F.try_variant_get(value, "$.key", "string"), F.when(problem.isNull(), F.array_join(texts, "")), problem)
 
 
 def latest_replies(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
