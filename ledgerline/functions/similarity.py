@@ -71,24 +71,6 @@ def similarity(a: Column | str, b: Column | str, method: str = "indel") -> Colum
     return _once(score)(a, b)
 
 
-def best_label_similarity(name: Column | str, labels: Column | str, method: str = "indel") -> Column:
-    """the highest similarity between a name and any label of an array; 0 without either."""
-    ratio = ratio_function(method)
-
-    @F.pandas_udf("double")
-    def best(names: pd.Series, label_lists: pd.Series) -> pd.Series:
-        known = lru_cache(maxsize=_CACHE)(ratio)
-        return pd.Series(
-            [
-                max((known(name, label) for label in labels), default=0.0) if name else 0.0
-                for name, labels in zip(names, label_lists)
-            ],
-            dtype="float64",
-        )
-
-    return _once(best)(name, labels)
-
-
 def edit_budget(length_a: Column, length_b: Column, threshold: float) -> Column:
     """Most inserted plus deleted characters a pair may need and still reach the threshold."""
     return F.floor((length_a + length_b) * (1.0 - threshold) + _SLACK).cast("int")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerline.functions.similarity import best_label_similarity
+from ledgerline.functions.similarity import similarity
 from ledgerline.functions.text import fraction, is_filled, normalise_name, normalise_parish, prefer, trim_text
 from ledgerline.operators.skew import attach
 from ledgerline.storage import materialize
@@ -166,6 +166,17 @@ def _shown_labels() -> Column:
     return F.array_distinct(F.flatten(F.array(*forms)))
 
 
+def _best_label_scores(scored: DataFrame, method: str) -> DataFrame:
+    """F25 for (page, parish_norm, rank, _labels): ``score``, 0..100. Each distinct (name, label) is scored once, however
+    many pages hold it; a pair without a label scores 0."""
+    pairs = scored.select("parish_norm", F.explode("_labels").alias("_label")).distinct()
+    known = pairs.withColumn("_score", similarity("parish_norm", "_label", method) * 100.0)
+    each = scored.select("page", "parish_norm", "rank", F.explode("_labels").alias("_label"))
+    best = each.join(known, ["parish_norm", "_label"]).groupBy("page", "parish_norm", "rank").agg(F.max("_score").alias("score"))
+    found = scored.join(best, ["page", "parish_norm", "rank"], "left")
+    return found.withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def match_groups(
     groups: DataFrame,
     candidates: DataFrame,
@@ -186,8 +197,7 @@ def match_groups(
         "page", "parish_norm", F.col("_override").alias("_rec"), F.lit("override").alias("_method")
     )
     scored = groups.filter("_override is null and not complete").join(candidates, "page")
-    scored = scored.withColumn("_labels", _shown_labels())
-    scored = scored.withColumn("score", best_label_similarity("parish_norm", "_labels", method) * 100.0)
+    scored = _best_label_scores(scored.withColumn("_labels", _shown_labels()), method)
     best_first = Window.partitionBy("page", "parish_norm").orderBy(F.desc("score"), "rank")
     top = scored.withColumn("_rn", F.row_number().over(best_first)).filter(F.col("_rn") <= TOP_CANDIDATES)
     ranked = top.groupBy("page", "parish_norm", "llm_parish").agg(

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ledgerline.functions.similarity import similarity
 from ledgerline.functions.text import trim_text
+from ledgerline.operators.components import connected_components
 from ledgerline.operators.continuation import resolve_continued
 from ledgerline.operators.entities import (
     add_canonical, entity_summary, flag_one_page, page_scope, pages_to_check, resolve_and_cluster, scope_inventory,
 )
 from ledgerline.operators.linking import link_pages
-from ledgerline.operators.lookup import REVIEW_COLUMNS, join_admin, resolve_admin
+from ledgerline.operators.lookup import REVIEW_COLUMNS, join_admin, resolve_admin, resolve_fuzzy
 from ledgerline.operators.simjoin import best_match, similar_pairs
 from ledgerline.operators.skew import hash_salt
 from ledgerline.plans.analyse import analyse_rows
@@ -152,7 +153,9 @@ cands AS (
 first_row AS (SELECT p_brand AS page, arg_min(p_name, p_partkey) AS fb FROM part GROUP BY 1),
 open_names AS (
   SELECT DISTINCT page, a FROM names n WHERE NOT EXISTS (SELECT 1 FROM cands c WHERE c.page = n.page AND c.b = n.a)),
-scored AS (SELECT page, a, b, rank, {INDEL_SQL} * 100.0 AS score FROM open_names JOIN cands USING (page)),
+met AS MATERIALIZED (SELECT DISTINCT a, b FROM open_names JOIN cands USING (page)),
+known AS MATERIALIZED (SELECT a, b, {INDEL_SQL} * 100.0 AS score FROM met),
+scored AS (SELECT page, a, b, rank, score FROM open_names JOIN cands USING (page) JOIN known USING (a, b)),
 ranked AS (
   SELECT *, row_number() OVER w AS rn, score - lead(score) OVER w AS gap FROM scored
   WINDOW w AS (PARTITION BY page, a ORDER BY score DESC, rank)),
@@ -185,6 +188,78 @@ def review_of_parts(spark, folder):
     return review.select("page_name", "llm_parish_norm", "status", "candidate_rank", "score", "parish")
 
 
+def _open_pages(spark, folder):
+    """Garbled parts whose pages name no county where the brand ends in 1, and customers on pages that the truth does not know."""
+    parts = table(spark, folder, "part")
+    none = F.lit(None).cast("string")
+    truth = parts.select(
+        F.col("p_brand").alias("target_filename"), F.when(~F.col("p_brand").endswith("1"), "C").alias("county"), none.alias("county_gv"),
+        F.lit("").alias("barony"), F.lit("").alias("barony_gv"), F.col("p_name").alias("parish"), F.lit("").alias("parish_gv"),
+        F.lit("").alias("townland"), F.col("p_partkey").alias("row_no"),
+    )
+    rows = parts.select(
+        F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.col("p_brand").alias("page_name"), garbled().alias("parish"), F.lit("t").alias("townland_filled")
+    )
+    customers = table(spark, folder, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.concat(F.lit("Nation"), F.col("c_nationkey")).alias("page_name"),
+        F.lower("c_mktsegment").alias("parish"), F.lit("t").alias("townland_filled"),
+    )
+    return rows.unionByName(customers), truth
+
+
+_OPEN_SQL = f"""{_FUZZY_SQL.replace("WHERE NOT EXISTS (SELECT 1 FROM cands c WHERE c.page = n.page AND c.b = n.a)", "WHERE right(page, 1) = '1'")},
+held AS (SELECT page, b FROM cands WHERE right(page, 1) <> '1')
+"""
+_OPEN_ROWS_SQL = f"""WITH {_OPEN_SQL}
+    SELECT 'p' || n.id AS id, CASE WHEN h.b IS NOT NULL THEN n.a WHEN right(n.page, 1) <> '1' THEN fb WHEN status = 'fuzzy_parish' THEN d.b ELSE '' END AS parish_effective,
+           CASE WHEN right(n.page, 1) = '1' THEN '' ELSE 'C' END AS county_effective,
+           CASE WHEN h.b IS NOT NULL THEN 'parish_key' WHEN right(n.page, 1) <> '1' THEN 'page_fallback' WHEN status = 'fuzzy_parish' THEN status
+                ELSE 'unresolved' END AS gv_join_method
+    FROM names n JOIN first_row USING (page) LEFT JOIN decided d ON d.page = n.page AND d.a = n.a LEFT JOIN held h ON h.page = n.page AND h.b = n.a
+    UNION ALL SELECT 'c' || c_custkey, '', '', 'unresolved' FROM customer"""
+
+
+def _shown_admin(rows):
+    return rows.select("id", "parish_effective", "county_effective", "gv_join_method")
+
+
+@case("cascade_default", _OPEN_ROWS_SQL)
+def default_cascade_on_parts(spark, folder):
+    rows, truth = _open_pages(spark, folder)
+    return _shown_admin(resolve_admin(rows, truth, ["id"], hash_salt(["id"]))[0])
+
+
+@case("cascade_two_steps", _OPEN_ROWS_SQL)
+def two_step_cascade_on_parts(spark, folder):
+    rows, truth = _open_pages(spark, folder)
+    joined = join_admin(rows, truth, hash_salt(["id"]))
+    return _shown_admin(resolve_fuzzy(joined, truth, ["id"], hash_salt(["id"]))[0])
+
+
+@case(
+    "cascade_review",
+    f"""WITH {_OPEN_SQL}
+    SELECT page AS page_name, a AS llm_parish_norm, status, CAST(rank AS INT) AS candidate_rank, round(score, 2) AS score, r.b AS parish
+    FROM ranked r JOIN decided d USING (page, a) WHERE rn <= 3 AND status <> 'fuzzy_parish'
+    UNION ALL SELECT DISTINCT 'Nation' || c_nationkey, lower(c_mktsegment), 'no_gv_rows', NULL, NULL, '' FROM customer""",
+)
+def review_of_open_pages(spark, folder):
+    rows, truth = _open_pages(spark, folder)
+    review = resolve_admin(rows, truth, ["id"], hash_salt(["id"]))[1]
+    return review.select("page_name", "llm_parish_norm", "status", "candidate_rank", "score", "parish")
+
+
+@case(
+    "chain_components",
+    "SELECT event_id AS node, min(event_id) OVER (PARTITION BY user_id) AS component FROM events QUALIFY count(*) OVER (PARTITION BY user_id) > 1",
+)
+def components_of_user_chains(spark, folder):
+    """The events of a user as one chain in an order that has nothing to do with their numbers."""
+    events = table(spark, folder, "events").select("event_id", "user_id")
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy(F.md5(F.col("event_id").cast("string"))))
+    return connected_components(events.select(before.alias("a"), F.col("event_id").alias("b")).filter("a IS NOT NULL"))
+
+
 @case(
     "similar_pairs",
     f"""
@@ -197,9 +272,37 @@ def similar_part_names(spark, folder):
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
-@case("similar_pairs_difflib")
+# Matched characters of columns a and b by the longest common block, first in a, then in b, and so on left and right of it.
+_BLOCKS_SQL = """
+grid AS (SELECT p, a, b, i, unnest(range(1, length(b) + 1)) AS j FROM (SELECT p, a, b, unnest(range(1, length(a) + 1)) AS i FROM close)),
+runs AS (
+  SELECT p, i, j, (SELECT max(k) FROM (SELECT unnest(range(1, least(length(a) - i, length(b) - j) + 2)) AS k) WHERE a[i:i + k - 1] = b[j:j + k - 1]) AS size
+  FROM grid WHERE a[i] = b[j]),
+parts AS (
+  SELECT p, 1 AS alo, length(a) + 1 AS ahi, 1 AS blo, length(b) + 1 AS bhi, CAST(0 AS BIGINT) AS size FROM close
+  UNION ALL
+  SELECT f.p, unnest([f.alo, f.i + f.k]), unnest([f.i, f.ahi]), unnest([f.blo, f.j + f.k]), unnest([f.j, f.bhi]), unnest([f.k, 0])
+  FROM (
+    SELECT s.p, s.alo, s.ahi, s.blo, s.bhi, r.i, r.j, least(r.size, s.ahi - r.i, s.bhi - r.j) AS k
+    FROM parts s JOIN runs r ON r.p = s.p AND r.i >= s.alo AND r.i < s.ahi AND r.j >= s.blo AND r.j < s.bhi
+    QUALIFY row_number() OVER (PARTITION BY s.p, s.alo, s.ahi, s.blo, s.bhi ORDER BY k DESC, r.i, r.j) = 1) f),
+matched AS (SELECT p, sum(size) AS m FROM parts GROUP BY p)
+"""
+
+
+@case(
+    "similar_pairs_difflib",
+    f"""
+    WITH RECURSIVE n AS (SELECT DISTINCT p_brand, p_name FROM part),
+    near AS (SELECT x.p_brand, x.p_name AS a, y.p_name AS b FROM n x JOIN n y ON x.p_brand = y.p_brand AND x.p_name < y.p_name),
+    forms AS MATERIALIZED (SELECT a, b, row_number() OVER () AS p FROM (SELECT DISTINCT a, b FROM near)),
+    close AS MATERIALIZED (SELECT * FROM forms WHERE {INDEL_SQL} * 100.0 >= 80.0), {_BLOCKS_SQL},
+    scored AS (SELECT a, b, 2.0::DOUBLE * m::DOUBLE / (length(a) + length(b)) AS ratio FROM close JOIN matched USING (p))
+    SELECT p_brand, a AS name_a, b AS name_b, round(ratio, 6) AS similarity FROM near JOIN scored USING (a, b) WHERE ratio * 100.0 >= 80.0""",
+)
 def similar_part_names_difflib(spark, folder):
-    return similar_pairs(table(spark, folder, "part"), ["p_brand"], "p_name", 0.8, method="difflib")
+    pairs = similar_pairs(table(spark, folder, "part"), ["p_brand"], "p_name", 0.8, method="difflib")
+    return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
 @case(
