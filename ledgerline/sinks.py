@@ -15,8 +15,8 @@ SHOWN_LEVELS = ("townland", "sublocation_1", "sublocation_2")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header line in every file, also when there are no rows."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """CSV with a header line in every file, also when there are no rows; text keeps its outer blanks."""
+    df.write.mode(mode).options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -45,9 +45,10 @@ def page_display(rows: DataFrame) -> DataFrame:
 
 
 def write_page_display(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K8: CSV folders by page; rows keep document order inside a page."""
-    shown = page_display(rows).repartition("page_name").sortWithinPartitions("page_name", "parish_idx", "entry_idx")
-    shown.drop("parish_idx", "entry_idx").write.mode(mode).partitionBy("page_name").option("header", True).csv(path)
+    """K8: CSV sorted by page over all files, rows in document order, with the page's name as a column."""
+    order = ["page_name", "parish_idx", "entry_idx"]
+    shown = page_display(rows).repartitionByRange(*order).sortWithinPartitions(*order)
+    write_csv(shown.drop("parish_idx", "entry_idx"), path, mode)
 
 
 def request_rows(

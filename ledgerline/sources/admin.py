@@ -12,14 +12,17 @@ OVERRIDE_COLUMNS = ("page_name", "llm_parish", "county_effective", "barony_effec
 
 
 def _as_text(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The wanted columns as text (missing ones null) and a row number in scan order."""
+    """The wanted columns as text (missing ones null) and, as ``row_no``, their own number or their place in the files."""
     present = {c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string") for c in columns}
-    row_no = F.col("row_no") if "row_no" in df.columns else F.monotonically_increasing_id()
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")
+    )
+    row_no = F.col("row_no").cast("bigint") if "row_no" in df.columns else place
     return df.select(*[v.alias(c) for c, v in present.items()], row_no.alias("row_no"))
 
 
 def _scan(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """CSV with header, or parquet. Several files need their own ``row_no`` column to fix the order."""
+    """CSV with header, or parquet. Without a ``row_no`` column rows count in the order of file names, however files are packed."""
     if path.endswith(".csv"):
         return _as_text(spark.read.csv(path, header=True, multiLine=True, escape='"'), columns)
     return _as_text(spark.read.parquet(path), columns)
