@@ -4,13 +4,15 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from ledgerline.plans.cases import ORACLES, QUERIES
 from tools.compare import TABLES, _agree, normal
 
 FOLDER = "/root/testdata/sf0.001"
 # one case of each kind; tools/compare.py runs all of them on larger tables
 SAMPLED = [
     "total_vs_detail", "leave_one_out", "page_link", "missing_breakdown", "cascade_lookup", "review_queue", "canonical_entities",
-    "reply_finalise_chat", "page_display", "build_requests_chat", "last_wins",
+    "reply_finalise_chat", "page_display", "build_requests_chat", "last_wins", "similar_pairs_difflib", "cascade_default", "cascade_review",
+    "truth_file", "name_files", "combined_file", "document_files", "old_field_names", "chain_components",
 ]
 
 
@@ -33,11 +35,10 @@ def test_query_equals_sql(spark, db, name):
 
 
 def test_registry(db):
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"similar_pairs_difflib"}
-    for name, sql in oracle_sql().items():
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) == set(ORACLES) <= set(oracle_sql())
+    for name, sql in ORACLES.items():
         db.execute("EXPLAIN " + sql)
-        assert list(inspect.signature(queries()[name]).parameters) == ["spark", "folder"]
+        assert len(inspect.signature(QUERIES[name]).parameters) == 2
 
 
 def test_entry(spark):

@@ -85,6 +85,23 @@ def test_components_equal_union_find(spark):
     assert {(r.b, r.name): r.canonical for r in got} == {v: find(v)[1] for v in list(parent)}
 
 
+def chain(order):
+    return [("b", *sorted(pair)) for pair in zip(order, order[1:])]
+
+
+@pytest.mark.parametrize("kind", ["sorted", "reversed", "shuffled", "adverse"])
+def test_components_of_long_chains(spark, kind):
+    names = [f"n{i:03d}" for i in range(400)]
+    order = list(reversed(names)) if kind == "reversed" else list(names)
+    if kind == "shuffled":
+        random.Random(1).shuffle(order)
+    if kind == "adverse":  # small names far apart, each beyond a settled stretch of larger ones
+        order = [names[i // 20 if i % 20 == 0 else 20 + i] for i in range(380)]
+    rounds = []
+    got = components(spark.createDataFrame(chain(order), "b string, name_a string, name_b string"), ["b"], on_round=rounds.append).collect()
+    assert {r.name: r.canonical for r in got} == dict.fromkeys(order, min(order)) and max(rounds) <= 10
+
+
 def test_add_canonical(spark):
     rows = [("C", "Ballymore"), ("c.", "BALLY-MORE"), ("C", "Ballymor"), ("C", ""), ("C", None), ("D", "Ballymor"), ("C", "Tully")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, county string, name string")

@@ -176,8 +176,7 @@ def test_analysis_of_a_folder(spark, tmp_path):
 
 def test_arriving_replies(spark, tmp_path):
     inbox, out = tmp_path / "in", tmp_path / "out"
-    inbox.mkdir()
-    (out / "documents").mkdir(parents=True)
+    inbox.mkdir()  # the output folder is new
 
     def arrive(name, *replies):
         lines = [{"custom_id": c, "response": {"body": {"choices": [{"message": {"content": t}}]}}} for c, t in replies]
