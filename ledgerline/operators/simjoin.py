@@ -6,62 +6,97 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerline.functions.similarity import edit_budget, may_reach, similarity
+from ledgerline.functions.similarity import may_reach, similarity
 from ledgerline.functions.text import fraction, normalise_name, squash
+from ledgerline.storage import materialize
 
 
-def _pieces(short: Column, long: Column, budget: Column, number: Column) -> tuple[Column, Column]:
-    """Start (from 0) and length of one of budget + 1 near-equal pieces of a string of length ``short``."""
-    count = budget + 1
-    base = F.floor(short / count).cast("int")
-    plain = count - F.pmod(short, count)
-    start = number * base + F.greatest(F.lit(0), number - plain)
-    return start, base + (number >= plain).cast("int")
+_EPS = 1e-9
+SPLIT_ROWS = 2000  # names that share a key and are joined by one task
 
 
-def _partner_lengths(length: Column, threshold: float, longer: bool) -> Column:
-    """Lengths a partner may have: the length gap alone must stay within the edit budget."""
-    ratio = (2.0 - threshold) / threshold
-    if longer:
-        return F.sequence(length, F.floor(length * ratio + 1e-9).cast("int"))
-    return F.sequence(F.greatest(F.lit(1), F.ceil(length / ratio - 1e-9).cast("int")), length)
+def _spoiled(threshold: float) -> tuple[float, float]:
+    """Pairs of neighbouring characters, per character of the shorter and of the longer name, that need not be common.
 
+    A deletion spoils two pairs of the shorter name and an insertion one. Both bounds are linear in the gap of
+    the lengths, so they are largest at equal lengths or at the widest gap.
+    """
+    t = threshold
+    return max(3 * (1 - t), 2 * (1 - t) / t), max(3 * (1 - t), 4 * (1 - t) / (2 - t))
 
-def _signatures(name: Column, threshold: float, short_side: bool) -> Column:
-    """Join keys such that any pair within its edit budget shares one.
 
-    A pair of lengths (s, l) may need at most k insertions and deletions. Cut
-    the shorter name into k + 1 pieces: one of them survives unchanged in the
-    longer name, shifted by no more than the edits on its left and right
-    allow. Both sides emit (s, l, piece number, piece text).
-    """
-    own = F.length(name)
+def _gram_length(threshold: float) -> int | None:
+    """From which length on a name keeps a pair of characters that its edits cannot spoil; None if never."""
+    share = _spoiled(threshold)[0]
+    if share >= 1:
+        return None
+    last = int(2 / (1 - share)) + 2
+    return max((n for n in range(1, last + 1) if n - 1 < int(share * n + _EPS) + 1), default=0) + 1
 
-    def per_partner(other: Column) -> Column:
-        short, long = (own, other) if short_side else (other, own)
-        budget = edit_budget(short, long, threshold)
-        gap = long - short
 
-        def per_piece(number: Column) -> Column:
-            start, size = _pieces(short, long, budget, number)
+def _tokens(name: Column) -> Column:
+    """(kind, text, occurrence) of all characters (kind 1) and pairs of neighbouring characters (kind 2) of a name."""
 
-            def key(at: Column) -> Column:
-                return F.xxhash64(short, long, number, F.substring(name, at + 1, size))
+    def of_size(size: int) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.length(name) - size + 1), lambda i: F.substring(name, i, size))
+        parts = F.when(F.length(name) >= size, parts).otherwise(F.array().cast("array<string>"))
+        earlier = lambda t, i: F.size(F.filter(F.slice(parts, F.lit(1), i), lambda u: u == t))
+        return F.transform(parts, lambda t, i: F.struct(F.lit(size).alias("kind"), t.alias("text"), earlier(t, i).alias("nth")))
 
-            if short_side:
-                return F.array(key(start))
-            removed, added = F.floor((budget - gap) / 2).cast("int"), F.floor((budget + gap) / 2).cast("int")
-            right = budget - number
-            low = start + F.greatest(-removed, -number, gap - right)
-            high = start + F.least(added, number, gap + right)
-            low, high = F.greatest(F.lit(0), low), F.least(long - size, high)
-            places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-            return F.transform(places, key)
+    return F.concat(of_size(1), of_size(2))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), budget), per_piece))
 
-    partners = _partner_lengths(own, threshold, longer=short_side)
-    return F.array_distinct(F.flatten(F.transform(partners, per_partner)))
+def rarest_tokens(names: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
+    """(block, name, kind, keys): the tokens of each distinct name as hashes, the rarest of all names first.
+
+    Written once: the order must be the same on both sides of a join. Kinds that no pair of
+    the name needs are left out.
+    """
+    grams = _gram_length(threshold)
+    length = F.length("name")
+    reach = (2 - threshold) / threshold
+    needs_chars = F.lit(True) if grams is None else length <= F.lit(int((grams - 1) * reach + _EPS))
+    needs_grams = F.lit(False) if grams is None else length >= grams
+    tokens = names.select(*block, "name", F.inline(_tokens(F.col("name"))))
+    tokens = tokens.filter(F.when(F.col("kind") == 1, needs_chars).otherwise(needs_grams))
+    seen = tokens.groupBy("kind", "text").agg(F.count("*").alias("_seen"))
+    rare_first = F.array_sort(F.collect_list(F.struct("_seen", "text", "nth")))  # at most the length of a name
+    sorted_ = tokens.join(seen, ["kind", "text"]).groupBy(*block, "name", "kind").agg(rare_first.alias("_sorted"))
+    keys = F.transform("_sorted", lambda t: F.xxhash64(F.col("kind"), t["text"], t["nth"]))
+    return materialize(sorted_.select(*block, "name", "kind", keys.alias("keys")))
+
+
+def _keys(tokens: DataFrame, block: Sequence[str], threshold: float, short_side: bool, name: str) -> DataFrame:
+    """(block, name, _key): so many of the rarest tokens that any pair within its edit budget shares one.
+
+    Long names use pairs of neighbouring characters, of which all but the spoiled ones are common; the
+    others characters, of which t (s + l) / 2 are common. Two sets that share c tokens share one
+    among the first size - c + 1 of each. No name has more than about one key per character and side.
+    """
+    grams, n = _gram_length(threshold), F.length("name")
+    shortest = F.ceil(n * threshold / (2 - threshold) - _EPS)
+    if short_side:
+        chars = n - F.ceil(n * threshold - _EPS) + 1
+        pairs = F.floor(n * _spoiled(threshold)[0] + _EPS) + 1
+        wanted = F.col("kind") == (F.lit(1) if grams is None else F.when(n >= grams, 2).otherwise(1))
+    else:
+        chars = n - F.ceil((shortest + n) * (threshold / 2) - _EPS) + 1
+        pairs = F.floor(n * _spoiled(threshold)[1] + _EPS) + 1
+        wanted = F.lit(True)
+    many = F.when(F.col("kind") == 1, chars).otherwise(pairs).cast("int")
+    return tokens.filter(wanted).select(*block, F.col("name").alias(name), F.explode(F.slice("keys", F.lit(1), many)).alias("_key"))
+
+
+def _meet(short: DataFrame, long: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
+    """Pairs (block, s, l) that share a key and may reach the threshold. Keys of many names are dealt to several tasks."""
+    on = [*block, "_key"]
+    hot = long.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > SPLIT_ROWS)
+    hot = materialize(hot.select(*on, F.ceil(F.col("_n") / SPLIT_ROWS).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = short.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    right = long.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64("l"), parts).cast("int")).drop("_parts")
+    met = left.join(right, [*on, "_salt"]).filter((F.length("s") <= F.length("l")) & may_reach(F.col("s"), F.col("l"), threshold))
+    return met.select(*block, "s", "l").distinct()
 
 
 def similar_pairs(
@@ -70,44 +105,21 @@ def similar_pairs(
     name: str,
     threshold: float,
     method: str = "indel",
-    salts: int = 4,
 ) -> DataFrame:
     """All pairs of distinct names of one block with similarity >= threshold.
 
     Returns block columns, ``name_a`` < ``name_b`` and ``similarity``. Pairs
-    meet on shared pieces (exact, no pair is lost) and are bounded by edit
-    distance inside the join, before anything is written. The short side is
-    salted and the long side repeated ``salts`` times, so a piece that many
-    names share is joined by several tasks.
+    meet on shared rare tokens (exact, no pair is lost) and are bounded by edit
+    distance inside the join, before anything is written. Rows without a value in a block column pair with none.
     """
     limit = fraction(threshold)
     if not 0.0 < limit <= 1.0:
         raise ValueError("threshold must be above 0")
     distinct = names.select(*block, F.col(name).alias("name")).filter("name <> ''").distinct()
-    keep = [F.col(b) for b in block]
-    short = distinct.select(
-        *keep,
-        F.col("name").alias("s"),
-        F.pmod(F.xxhash64("name"), F.lit(salts)).alias("_salt"),
-        F.explode(_signatures(F.col("name"), limit, short_side=True)).alias("_key"),
-    )
-    long = distinct.select(
-        *keep,
-        F.col("name").alias("l"),
-        F.explode(_signatures(F.col("name"), limit, short_side=False)).alias("_key"),
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    left, right = short.alias("x"), long.alias("y")
-    condition = (F.col("x._key") == F.col("y._key")) & (F.col("x._salt") == F.col("y._salt"))
-    for b in block:
-        condition = condition & F.col(f"x.{b}").eqNullSafe(F.col(f"y.{b}"))
-    s, l = F.col("x.s"), F.col("y.l")
-    ordered = (F.length(s) < F.length(l)) | ((F.length(s) == F.length(l)) & (s < l))
-    pairs = left.join(right, condition & ordered & may_reach(s, l, limit), "inner")
-    pairs = pairs.select(
-        *[F.col(f"x.{b}").alias(b) for b in block],
-        F.least(s, l).alias("name_a"),
-        F.greatest(s, l).alias("name_b"),
-    ).distinct()
+    tokens = rarest_tokens(distinct, block, limit)
+    short, long = _keys(tokens, block, limit, True, "s"), _keys(tokens, block, limit, False, "l")
+    pairs = _meet(short, long, block, limit).filter("s <> l")
+    pairs = pairs.select(*block, F.least("s", "l").alias("name_a"), F.greatest("s", "l").alias("name_b")).distinct()
     # one score per distinct surviving pair
     scored = pairs.withColumn("similarity", similarity("name_a", "name_b", method))
     return scored.filter(F.col("similarity") * 100.0 >= limit * 100.0)
@@ -150,14 +162,13 @@ def best_match(
     threshold: float,
     method: str = "indel",
     clean: Callable[[Column], Column] = normalise_name,
-    salts: int = 4,
 ) -> DataFrame:
     """For each distinct (block, name) the most similar candidate of its block.
 
     The first candidate in ``position`` order wins ties. Returns block, name,
     ``matched`` (null below the threshold) and ``score`` (best score among the
     candidates that can reach the threshold, else null). Candidates meet on
-    shared pieces as in ``similar_pairs``: below the threshold there is
+    shared tokens as in ``similar_pairs``: below the threshold there is
     nothing to report, so nothing is paired.
     """
     limit = fraction(threshold)
@@ -167,15 +178,14 @@ def best_match(
     offered_keys = offered.select(*block, "_c").filter("_c <> ''").distinct()
     wanted_keys = wanted.select(*block, "_w").filter("_w <> ''").distinct()
 
-    def half(short_is_wanted: bool) -> DataFrame:
-        a = wanted_keys.withColumn("_key", F.explode(_signatures(F.col("_w"), limit, short_is_wanted)))
-        a = a.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-        b = offered_keys.withColumn("_key", F.explode(_signatures(F.col("_c"), limit, not short_is_wanted)))
-        b = b.withColumn("_salt", F.pmod(F.xxhash64("_c"), F.lit(salts)))
-        joined = a.join(b, [*block, "_key", "_salt"])
-        return joined.filter(may_reach(F.col("_w"), F.col("_c"), limit)).select(*block, "_w", "_c")
-
-    pairs = half(True).unionByName(half(False)).distinct()
+    both = wanted_keys.withColumnRenamed("_w", "name").unionByName(offered_keys.withColumnRenamed("_c", "name")).distinct()
+    tokens = rarest_tokens(both, block, limit)
+    mine = tokens.join(wanted_keys.withColumnRenamed("_w", "name"), [*block, "name"], "left_semi")
+    theirs = tokens.join(offered_keys.withColumnRenamed("_c", "name"), [*block, "name"], "left_semi")
+    short = _meet(_keys(mine, block, limit, True, "s"), _keys(theirs, block, limit, False, "l"), block, limit)
+    long = _meet(_keys(theirs, block, limit, True, "s"), _keys(mine, block, limit, False, "l"), block, limit)
+    pairs = short.select(*block, F.col("s").alias("_w"), F.col("l").alias("_c"))
+    pairs = pairs.unionByName(long.select(*block, F.col("l").alias("_w"), F.col("s").alias("_c"))).distinct()
     pairs = pairs.withColumn("score", similarity("_w", "_c", method))
     pairs = pairs.filter(F.col("score") * 100.0 >= limit * 100.0)
     ranked = pairs.join(offered, [*block, "_c"]).groupBy(*block, "_w")

@@ -5,7 +5,7 @@ import pytest
 
 from ledgerline.functions.similarity import difflib_ratio, indel_ratio
 from ledgerline.operators.entities import add_canonical, components
-from ledgerline.operators.simjoin import best_match, closest_to, similar_pairs
+from ledgerline.operators.simjoin import _keys, best_match, closest_to, rarest_tokens, similar_pairs
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,42 @@ def test_similar_pairs_lose_nothing(spark, threshold, method):
     assert len(got) == len(want)
 
 
+def long_names(seed):
+    rng = random.Random(seed)
+    out = set()
+    for _ in range(12):
+        base = "".join(rng.choice("abcdefghij ") for _ in range(rng.randint(8, 80)))
+        for edits in range(0, 40, 4):
+            name = list(base)
+            for _ in range(min(edits, len(base) // 2)):
+                at = rng.randrange(len(name))
+                if rng.random() < 0.5:
+                    del name[at]
+                else:
+                    name.insert(at, rng.choice("xyz"))
+            out.add("".join(name))
+    return sorted(n for n in out if n)
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.77, 0.9])
+def test_long_names_lose_nothing_and_keys_are_linear(spark, threshold):
+    rows = long_names(9)
+    df = spark.createDataFrame([("b", n) for n in rows], "b string, name string")
+    got = {(r.name_a, r.name_b) for r in similar_pairs(df, ["b"], "name", threshold).collect()}
+    assert got == {p for p in itertools.combinations(rows, 2) if indel_ratio(*p) * 100 >= threshold * 100} and got
+    tokens = rarest_tokens(df, ["b"], threshold)
+    for short_side in (True, False):
+        keys = _keys(tokens, ["b"], threshold, short_side, "n").groupBy("n").count().collect()
+        assert max(r["count"] / len(r.n) for r in keys) < 4
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 1.0])
+def test_similar_pairs_at_other_thresholds(spark, threshold):
+    rows = names(11, 60)
+    got = similar_pairs(spark.createDataFrame([("b", n) for n in rows], "b string, n string"), ["b"], "n", threshold).collect()
+    assert {(r.name_a, r.name_b) for r in got} == {p for p in itertools.combinations(rows, 2) if indel_ratio(*p) * 100 >= threshold * 100}
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(3)
     edges = [("b%d" % (i % 2), f"n{rng.randint(0, 80):02d}", f"n{rng.randint(0, 80):02d}") for i in range(70)]
