@@ -6,12 +6,13 @@ import math
 import re
 import sys
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm.base import case, map_rows, remainder, table
+from ledgerline.llm.base import case, filter_rows, map_rows, remainder, table
 from ledgerline.storage import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the functions travel with the tasks
@@ -19,11 +20,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the functions tra
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"  # the vocabulary's mark of a word's beginning
 
-SAMPLE_PER_LANGUAGE = 2000  # bound of the labelled rows that fit the model, per language (expected size)
+SAMPLE_PER_LANGUAGE = 1000  # bound of the labelled rows that fit the model, per language (expected size)
 MIN_DOCS = 5  # a language needs so many labelled rows
 MAX_LANGUAGES = 200
 EVIDENCE_WORDS = 20  # a longer text counts as so many words of its average when scored
-CACHE_WORDS = 300_000  # scored words a task keeps
+CACHE_WORDS = 200_000  # scored tokens a task keeps
+PART_LETTERS = 1_000_000  # letters of texts whose words are scored together
+WORDS_AT_ONCE = 20_000
+COMMON_LETTERS = 64
+LONG_WORD = 40  # longer words are summed one by one, with rescaling
 UND = "und"
 
 
@@ -175,35 +180,153 @@ def fit_languages(
     return {"languages": languages, "models": models, "vocabulary": vocabulary}
 
 
-class WordScores(dict):
-    """Token -> row of its log probabilities; punctuation and digits in a token count for nothing."""
+class Trie:
+    """The vocabulary as a table of steps: node x letter -> node (0: none); 1 is the root."""
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        counts = Counter(c for p in pieces for c in p)
+        letters = sorted(counts, key=lambda c: (-counts[c], c))
+        self.letter = {c: i + 1 for i, c in enumerate(letters)}  # 0: any other letter
+        self.table = np.zeros(0x2FFF, np.int64)
+        for c, i in self.letter.items():
+            if ord(c) < len(self.table):
+                self.table[ord(c)] = i
+        steps, piece = [{}, {}], [-1, -1]
+        for text, number in pieces.items():
+            node = 1
+            for c in text:
+                at = steps[node].get(self.letter[c])
+                if at is None:
+                    at = steps[node][self.letter[c]] = len(steps)
+                    steps.append({})
+                    piece.append(-1)
+                node = at
+            piece[node] = number
+        parent = [n for n, own in enumerate(steps) for _ in own]
+        self.width = len(letters) + 1
+        keys = np.array(parent, np.int64) * self.width + np.array([c for own in steps for c in own], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], np.array([t for own in steps for t in own.values()], np.int64)[order]
+        self.piece = np.array(piece, np.int64)
+        self.common = np.zeros((len(steps), COMMON_LETTERS), np.int32)  # the steps by the usual letters, in full
+        for node, own in enumerate(steps):
+            for c, target in own.items():
+                if c < COMMON_LETTERS:
+                    self.common[node, c] = target
+        self.first = np.zeros(self.width, np.int64)
+        for c, node in steps[1].items():
+            self.first[c] = node
+
+    def codes(self, points: np.ndarray) -> np.ndarray:
+        """Letter numbers of code points."""
+        low = np.minimum(points, len(self.table) - 1)
+        out = self.table[low]
+        high = points >= len(self.table)
+        if high.any():
+            out[high] = [self.letter.get(chr(c), 0) for c in points[high]]
+        return out
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        usual = letter < COMMON_LETTERS
+        target = self.common[node, np.where(usual, letter, 0)]
+        if not usual.all():
+            key = (node * self.width + letter)[~usual]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            target[~usual] = np.where(self.keys[at] == key, self.targets[at], 0)
+        return target.astype(np.int64)
+
+
+def forward_words(words: list[str], trie: Trie, models: np.ndarray) -> np.ndarray:
+    """Log probabilities (word x language), every word's segmentations summed; for words of bounded length.
+
+    The forward sums of all words advance together, one letter at a time. ``models`` is
+    (piece + 1) x language, the last row for letters outside the vocabulary.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    begin = np.cumsum(sizes) - sizes
+    code = np.frombuffer("".join(START + w for w in words).encode("utf-32-le"), np.uint32)
+    letters = trie.codes(code)
+    within = np.arange(len(code)) - np.repeat(begin, sizes)
+    left = np.repeat(sizes, sizes) - within  # letters from here to the end of the word
+    start = np.arange(len(code))
+    node, length = trie.first[letters], 1
+    starts, ends, pieces = [start], [within + 1], [np.where(trie.piece[node] >= 0, trie.piece[node], len(models) - 1)]
+    while len(start):
+        go = (node > 0) & (left[start] > length)
+        start, node = start[go], node[go]
+        node = trie.step(node, letters[start + length])
+        length += 1
+        hit = (node > 0) & (trie.piece[node] >= 0)
+        starts.append(start[hit])
+        ends.append(within[start[hit]] + length)
+        pieces.append(trie.piece[node[hit]])
+    start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
+    word = np.repeat(np.arange(len(words)), sizes)[start]
+    start += word  # every word has one more place, for its end
+    target = begin[word] + word + end
+    order = np.lexsort((target, end))
+    start, target, piece = start[order], target[order], piece[order]
+    total = np.zeros((len(code) + len(words), models.shape[1]))
+    total[begin + np.arange(len(words))] = 1.0
+    bounds = np.cumsum(np.bincount(end, minlength=sizes.max() + 1))
+    for low, high in zip(bounds, bounds[1:]):
+        if low < high:
+            own = target[low:high]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            total[own[first]] = np.add.reduceat(total[start[low:high]] * models[piece[low:high]], first)
+    return np.log(np.maximum(total[begin + sizes + np.arange(len(words))], 1e-300))
+
+
+class WordScores:
+    """Log probabilities of words, kept from text to text."""
 
     def __init__(self, pieces: dict[str, int], models: list[list[float]]) -> None:
-        super().__init__()
         self.pieces, self.models, self.longest = pieces, models, max(map(len, pieces))
-        self.values = np.zeros((1024, len(models) + 1))
-
-    def __missing__(self, token: str) -> int:
-        row = len(self)
-        if row == len(self.values):
-            self.values = np.vstack([self.values, np.zeros_like(self.values)])
-        self.values[row] = 0.0
-        for word in LETTERS.findall(token.lower()):
-            self.values[row, :-1] += log_probability(word, self.pieces, self.models, self.longest)
-            self.values[row, -1] += 1
-        self[token] = row
-        return row
-
-    def text(self, body: str) -> np.ndarray:
-        """Summed log probabilities and the number of words of a text."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        sums = np.zeros(self.values.shape[1])
-        tokens = body.split()
-        for i in range(0, len(tokens), CACHE_WORDS):  # a very long text in parts
-            rows = [self[t] for t in tokens[i : i + CACHE_WORDS]]
-            sums += self.values[rows].sum(axis=0)
-        return sums
+        self.trie, self.columns = Trie(pieces), np.array(models).T.copy()
+        self.rows: dict[str, int] = {}
+        self.values = np.zeros((0, len(models)))
+
+    def _learn(self, words: list[str]) -> None:
+        own = [w for w in words if len(w) <= LONG_WORD]
+        values = [
+            forward_words(own[i : i + WORDS_AT_ONCE], self.trie, self.columns) for i in range(0, len(own), WORDS_AT_ONCE)
+        ]
+        for w in words:
+            if len(w) > LONG_WORD:
+                own.append(w)
+                values.append(np.array([log_probability(w, self.pieces, self.models, self.longest)]))
+        self.rows.update(zip(own, range(len(self.values), len(self.values) + len(own))))
+        self.values = np.concatenate([self.values, *values])
+
+    def texts(self, bodies: list[str]) -> list[tuple[np.ndarray, int]]:
+        """Summed log probabilities and the number of words of each text."""
+        split = [LETTERS.findall(body.lower()) for body in bodies]
+        found = set().union(*split)
+        if len(self.rows) > CACHE_WORDS:
+            self.rows, self.values = {}, self.values[:0]
+        fresh = [w for w in found if w not in self.rows]
+        if fresh:
+            self._learn(fresh)
+        get = self.rows.__getitem__
+        return [(self.values[list(map(get, words))].sum(axis=0), len(words)) if words else (None, 0) for words in split]
+
+
+def _verdicts(model: dict) -> Callable[[list[str | None]], list[tuple[str, float]]]:
+    """The function that names the language of texts, with its own kept words."""
+    languages = model["languages"]
+    if not languages:
+        return lambda bodies: [(UND, 0.0)] * len(bodies)
+    scores = WordScores(load_pieces(model["vocabulary"]), model["models"])
+
+    def one(sums: np.ndarray | None, words: int) -> tuple[str, float]:
+        if not words:
+            return UND, 0.0
+        log = sums * min(1.0, EVIDENCE_WORDS / words)
+        odds = np.exp(log - log.max())
+        best = int(odds.argmax())
+        return languages[best], float(odds[best] / odds.sum())
+
+    return lambda bodies: [one(*found) for found in scores.texts([b or "" for b in bodies])]
 
 
 def predict_language(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,29 +334,30 @@ def predict_language(docs: DataFrame, model: dict, doc_id: str = "doc_id", text:
 
     Words are lower-cased runs of letters; pieces do not cross words, so a
     text's probability is the product over its words, and equal words are
-    summed over their segmentations once per task. The score is the posterior
+    summed over their segmentations once as long as a task keeps them. The score is the posterior
     (equal priors) of the text's average word, counted at most 20 times.
     ``und`` with score 0: a null text, one without letters, or no learned language.
+    Repeated rows repeat; an empty table gives no row.
     """
-    languages, models, vocabulary = model["languages"], model["models"], model["vocabulary"]
 
     def score():
-        scores = WordScores(load_pieces(vocabulary), models)
-
-        def one(body: str | None) -> tuple[str, float]:
-            if not body or not languages:
-                return UND, 0.0
-            sums = scores.text(body)
-            if not sums[-1]:
-                return UND, 0.0
-            log = sums[:-1] * min(1.0, EVIDENCE_WORDS / sums[-1])
-            odds = np.exp(log - log.max())
-            best = int(odds.argmax())
-            return languages[best], float(odds[best] / odds.sum())
+        verdicts = _verdicts(model)
+
+        def columns(ids, part):
+            values = verdicts(part)
+            return {"doc_id": ids, "lang_pred": [v[0] for v in values], "score": [v[1] for v in values]}
 
         def work(batch):
-            values = [one(body) for body in batch.column(1).to_pylist()]
-            yield {"doc_id": batch.column(0), "lang_pred": [v[0] for v in values], "score": [v[1] for v in values]}
+            ids, part, size = [], [], 0
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(doc)
+                part.append(body.as_py())
+                size += len(part[-1] or "")
+                if size > PART_LETTERS:
+                    yield columns(ids, part)
+                    ids, part, size = [], [], 0
+            if ids:
+                yield columns(ids, part)
 
         return work
 
@@ -242,6 +366,16 @@ def predict_language(docs: DataFrame, model: dict, doc_id: str = "doc_id", text:
     return map_rows(rows, score, f"doc_id {kind}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: dict, text: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows whose text is in a learned language with at least that score; all columns."""
+
+    def keeps():
+        verdicts = _verdicts(model)
+        return lambda bodies: [name != UND and score >= min_score for name, score in verdicts(bodies)]
+
+    return filter_rows(docs, keeps, text)
+
+
 @case("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; every fifth id is held out from the labels that teach."""
