@@ -34,6 +34,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.files.minPartitionNum", cpus).config("spark.sql.files.openCostInBytes", "256k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -97,6 +97,11 @@ def run_pages(df: DataFrame, page: str = "page_name") -> DataFrame:
     return in_runs(df).select("run_no", page).distinct()
 
 
+def page_names(pages: DataFrame, page: str = "page_name") -> DataFrame:
+    """The page_names text of each run, for a sink that wants one cell; everything else works on ``run_pages``."""
+    return pages.groupBy("run_no").agg(F.array_join(F.array_sort(F.collect_set(page)), ",").alias("page_names"))
+
+
 def leave_one_out(
     df: DataFrame,
     by: Sequence[str],
@@ -149,15 +154,13 @@ def check_entity(
     first total row counts here.
     """
     names = df.withColumn("_at", F.struct(*order))
-    close = closest_to(names, label, "_at", entity)
-    exact = F.max(F.when(F.col(label) == entity, F.col(label))).alias("exact")
-    chosen = close.join(df.agg(exact).withColumn("expected", F.lit(entity)), "expected")
-    chosen = chosen.select(
-        F.lit(entity).alias("entity"), F.coalesce("exact", "matched").alias("matched"), "score"
-    )
+    exact = df.filter(F.col(label) == entity).agg(F.max(label)).scalar()
+    close = closest_to(names, label, "_at", entity).withColumn("exact", exact)
+    chosen = close.select(F.lit(entity).alias("entity"), F.coalesce("exact", "matched").alias("matched"), "score")
     money = {n: to_pence(n, strip_currency) for n in ("land_val", "total_val")}
+    own = df.join(chosen.select(F.col("matched").alias(label)), label, "left_semi")  # only the rows of the chosen name
     checks = total_vs_detail(
-        df, [label], to_number("is_total"), money, F.struct(*order), which_total="first"
+        own, [label], to_number("is_total"), money, F.struct(*order), which_total="first"
     ).withColumnRenamed(label, "matched")
     out = chosen.join(checks, "matched", "left")
     status = (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions.similarity import may_reach, similarity
 from ledgerline.functions.text import PAGE_NUMBER, fraction, from_pence, normalise_name, squash, to_pence
-from ledgerline.operators.audit import leave_one_out
+from ledgerline.operators.audit import leave_one_out, run_pages
 from ledgerline.operators.ordering import BLOCK, ROW
 from ledgerline.operators.runs import LABEL, SCOPE, in_runs
 
@@ -146,25 +146,32 @@ def next_page_in_corpus(pages: DataFrame, page: str = "page_name") -> DataFrame:
     return out.select(page, F.coalesce("next_in_corpus", F.lit(False)).alias("next_in_corpus"))
 
 
-def other_model_has_total(open_runs: DataFrame, other_checks: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Run numbers whose entity has a total row in the other model on one of the same pages."""
+def other_model_has_total(
+    open_runs: DataFrame, pages: DataFrame, other_checks: DataFrame, other_pages: DataFrame, scope: Sequence[str] = SCOPE, page: str = "page_name"
+) -> DataFrame:
+    """Run numbers whose entity has a total row in the other model on one of the same pages.
+
+    ``pages`` and ``other_pages`` are the run pages of the two readings (``run_pages``).
+    """
 
-    def keys(checks: DataFrame) -> DataFrame:
-        named = checks.withColumn("_page", F.explode(F.split("page_names", ",")))
-        return named.withColumn("_name", normalise_name(LABEL))
+    def keys(checks: DataFrame, of_runs: DataFrame) -> DataFrame:
+        named = checks.select("run_no", *scope, normalise_name(LABEL).alias("_name"))
+        return named.join(of_runs.select("run_no", F.col(page).alias("_page")), "run_no")
 
     on = ["_page", *scope, "_name"]
-    theirs = keys(other_checks.filter("has_total_row")).select(*on).distinct()
-    return keys(open_runs).join(theirs, on, "left_semi").select("run_no").distinct()
+    theirs = keys(other_checks.filter("has_total_row"), other_pages).select(*on).distinct()
+    return keys(open_runs, pages).join(theirs, on, "left_semi").select("run_no").distinct()
 
 
-def break_down_missing(report: DataFrame, df: DataFrame, other_checks: DataFrame, page: str = "page_name") -> DataFrame:
-    """Genuinely missing totals by page position, corpus coverage and the other model."""
+def break_down_missing(
+    report: DataFrame, df: DataFrame, other_checks: DataFrame, other_pages: DataFrame, page: str = "page_name"
+) -> DataFrame:
+    """Genuinely missing totals by page position, corpus coverage and the other model (its checks and run pages)."""
     missing = report.filter("category = 'genuinely_missing'")
     ends = df.groupBy(F.col(page).alias("_last_page")).agg(F.max(ROW).alias("last_grn"))
     coverage = next_page_in_corpus(df, page).withColumnRenamed(page, "_last_page")
     ends = ends.join(coverage, "_last_page").select("last_grn", "next_in_corpus")
-    found = other_model_has_total(missing, other_checks).withColumn("_found", F.lit(True))
+    found = other_model_has_total(missing, run_pages(df, page), other_checks, other_pages, page=page).withColumn("_found", F.lit(True))
     out = missing.join(ends, "last_grn", "left").join(found, "run_no", "left")
     bottom = F.col("next_in_corpus").isNotNull()
     sub = (

@@ -30,12 +30,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small unsplit file over all cores before heavy parsing; larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def cents(column: str):
     return F.round(F.col(column) * 100).cast("bigint")
 
@@ -54,7 +48,7 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
     label = (
         F.when(F.col("event_type") == "error", "").when(F.col("value") < 20, F.upper("event_type")).otherwise(F.col("event_type"))
     )
-    events = spread(table(spark, folder, "events")).withColumns(
+    events = table(spark, folder, "events").withColumns(
         {"k": F.get_json_object("props", "$.k").try_cast("int"), "pence": cents("value")}
     )
     events = events.select(

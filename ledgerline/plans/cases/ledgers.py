@@ -235,12 +235,13 @@ def repair_ledger(spark, folder):
     return repair_totals(rows, unflagged_checklist(report)).select("event_id", "is_total")
 
 
-def _other_checks(spark, folder):
-    """A second reading of the same pages, in which cheap clicks are totals too."""
+def _other_reading(spark, folder):
+    """Checks and run pages of a second reading of the same pages, in which cheap clicks are totals too."""
     other = ledger(spark, folder).withColumn(
         "is_total", F.when((F.col("event_type") == "click") & (F.col("k") < 30), 1).otherwise(F.col("is_total"))
     )
-    return materialize(check_runs(order_rows(other, LEDGER_ORDER)))
+    rows = contiguous_runs(order_rows(other, LEDGER_ORDER))
+    return materialize(check_runs(rows, list_pages=False)), run_pages(rows)
 
 
 _OTHER_SQL = """,
@@ -262,8 +263,9 @@ found AS (
     f"WITH {CHECKS_SQL} {_OTHER_SQL} SELECT run_no FROM found JOIN checks USING (run_no) WHERE NOT has_total_row",
 )
 def other_reading_has_total(spark, folder):
-    checks = materialize(check_runs(ordered_ledger(spark, folder)))
-    return other_model_has_total(checks.filter("not has_total_row"), _other_checks(spark, folder))
+    rows = contiguous_runs(ordered_ledger(spark, folder))
+    checks = materialize(check_runs(rows, list_pages=False))
+    return other_model_has_total(checks.filter("not has_total_row"), run_pages(rows), *_other_reading(spark, folder))
 
 
 _COVERAGE_SQL = """
@@ -291,7 +293,7 @@ def next_ledger_pages(spark, folder):
 )
 def break_down_ledger(spark, folder):
     rows, _, report = _report(spark, folder)
-    return break_down_missing(report, rows, _other_checks(spark, folder)).select("run_no", "subcategory")
+    return break_down_missing(report, rows, *_other_reading(spark, folder)).select("run_no", "subcategory")
 
 
 _RATE = "CASE WHEN {d} > 0 THEN round({n} * 100.0::DOUBLE / {d}, 2) ELSE CAST(0.0 AS DOUBLE) END"
@@ -350,15 +352,15 @@ def compare_readings(spark, folder):
     sales = ledger(spark, folder).withColumn(
         "townland_linked", F.when(F.col("event_type").isin("purchase", "signup"), F.col("name")).otherwise("")
     )
-    sales = order_rows(sales, LEDGER_ORDER)
-    a, b = materialize(check_runs(rows)), materialize(check_runs(sales))
+    rows, sales = contiguous_runs(rows), contiguous_runs(order_rows(sales, LEDGER_ORDER))
+    a, b = (materialize(check_runs(r, list_pages=False)) for r in (rows, sales))
     summaries = performance_summary(rows, a, "all_names").unionByName(performance_summary(sales, b, "sales_only"))
-    return compare_models(summaries, a, b).select("llm", "common_pages")
+    return compare_models(summaries, run_pages(rows), run_pages(sales)).select("llm", "common_pages")
 
 
 @case("checked_pages", f"WITH {RUNS_SQL} SELECT DISTINCT page_name FROM runs WHERE run_no IS NOT NULL")
 def pages_with_checks(spark, folder):
-    return checked_pages(check_runs(ordered_ledger(spark, folder)))
+    return checked_pages(run_pages(ordered_ledger(spark, folder)))
 
 
 @case(

@@ -39,7 +39,7 @@ def check_metrics(checks: DataFrame, by: list[str] | None = None, flag: str = FL
 
 
 def performance_summary(df: DataFrame, checks: DataFrame, model: str, review: DataFrame | None = None) -> DataFrame:
-    """A4: the one-row summary of a model, from three one-row aggregates that meet on the model name."""
+    """A4: the one-row summary of a model; the check metrics and the review count are scalar subqueries."""
     missing = F.when(F.coalesce("county_effective", F.lit("")) == "", F.col("page_name"))
     rows = df.agg(
         F.lit(model).alias("llm"),
@@ -47,10 +47,11 @@ def performance_summary(df: DataFrame, checks: DataFrame, model: str, review: Da
         F.count("*").alias("entry_rows"),
         F.count_distinct(missing).alias("pages_missing_gv_join"),
     )
-    named = lambda df: df.withColumn("llm", F.lit(model))
-    out = rows.join(named(check_metrics(checks)), "llm")
+    metrics = check_metrics(checks)
+    single = metrics.select(F.struct(*metrics.columns)).scalar()
+    out = rows.withColumn("_m", single).select(*rows.columns, *[F.col(f"_m.{c}") for c in metrics.columns])
     if review is not None:
-        out = out.join(named(review.agg(F.count("*").alias("gv_join_review_rows"))), "llm")
+        out = out.withColumn("gv_join_review_rows", review.agg(F.count("*")).scalar())
     return out
 
 
@@ -59,15 +60,14 @@ def category_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("category").count()
 
 
-def checked_pages(checks: DataFrame) -> DataFrame:
-    """Distinct pages named in a check table."""
-    names = checks.select(F.explode(F.split("page_names", ",")).alias("page_name"))
-    return names.select(F.trim("page_name").alias("page_name")).filter("page_name <> ''").distinct()
+def checked_pages(pages: DataFrame) -> DataFrame:
+    """Distinct pages of a table of run pages (``run_pages``) or of any table with page names."""
+    names = pages.select(F.trim("page_name").alias("page_name"))
+    return names.filter("page_name <> ''").distinct()
 
 
-def compare_models(summaries: DataFrame, checks_a: DataFrame, checks_b: DataFrame) -> DataFrame:
-    """One row per model with its pass rate, and the number of pages checked in both."""
-    common = checked_pages(checks_a).intersect(checked_pages(checks_b)).agg(F.count("*").alias("common_pages"))
+def compare_models(summaries: DataFrame, pages_a: DataFrame, pages_b: DataFrame) -> DataFrame:
+    """One row per model with its pass rate, and the number of pages checked in both (from their run pages)."""
+    common = checked_pages(pages_a).intersect(checked_pages(pages_b)).agg(F.count("*"))
     columns = ["llm", "valuation_pass_pct", "valuation_pass_count", "segments_with_total_row"]
-    per_model = summaries.select(*columns).withColumn("_all", F.lit(True))
-    return per_model.join(common.withColumn("_all", F.lit(True)), "_all").drop("_all")
+    return summaries.select(*columns).withColumn("common_pages", common.scalar())

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from ledgerline.operators.audit import check_entity, check_runs, leave_one_out, total_vs_detail
+from ledgerline.operators.audit import check_entity, check_runs, leave_one_out, run_pages, total_vs_detail
 from ledgerline.operators.diagnose import (
     break_down_missing, explain_missing_totals, page_number, repair_totals, similar_neighbours, split_checklist, unflagged_checklist,
 )
@@ -73,8 +73,8 @@ def test_explain_missing_totals(spark):
     assert [r.is_total for r in fixed.filter("townland_linked = 'Gamma'").orderBy("i").collect()] == [0, 0, 1]
     assert check_runs(fixed.drop("run_no")).filter("townland_linked = 'Gamma'").first().valuation_ok
 
-    other = check_runs(table(spark, [(5, "ZETA", "9 0 0", 1, ""), (5, "Zeta", "1 0 0", 0, "")]))
-    parts = {r.townland_linked: r.subcategory for r in break_down_missing(report, df, other).collect()}
+    reading = table(spark, [(5, "ZETA", "9 0 0", 1, ""), (5, "Zeta", "1 0 0", 0, "")])
+    parts = {r.townland_linked: r.subcategory for r in break_down_missing(report, df, check_runs(reading), run_pages(reading)).collect()}
     assert parts == {"Epsilon": "continues_to_unscanned_page", "Zeta": "extraction_miss_other_model_has_total"}
 
 
@@ -132,8 +132,8 @@ def test_summary_and_comparison(spark):
     assert (got.pages_processed, got.entry_rows, got.townland_segments, got.segments_with_total_row) == (4, 19, 8, 3)
     assert (got.segments_with_total_row_pct, got.valuation_pass_count, got.valuation_pass_pct) == (37.5, 1, 33.33)
     assert (got.one_page_townlands_segments, got.multi_page_townlands_valuation_pass_pct, got.gv_join_review_rows) == (8, 0.0, 2)
-    other = check_runs(table(spark, [(1, "Alpha", "1 0 0", 1, ""), (9, "Beta", "1 0 0", 0, "")]))
-    both = compare_models(summary, checks, other).collect()
+    other = table(spark, [(1, "Alpha", "1 0 0", 1, ""), (9, "Beta", "1 0 0", 0, "")])
+    both = compare_models(summary, run_pages(df), run_pages(other)).collect()
     assert [(r.llm, r.common_pages) for r in both] == [("m1", 1)]
 
 
