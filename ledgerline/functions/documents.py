@@ -25,18 +25,25 @@ _ENTRY = ", ".join(f"{f}: string" for f in (*TEXT_FIELDS, *FLAG_DEFAULTS, *OLD_N
 DOCUMENT_SCHEMA = f"parishes array<struct<parish: string, entries: array<struct<{_ENTRY}>>>>"
 
 
-def is_strict_json(text: Column) -> Column:
-    """True if the whole text is exactly one JSON value.
+def marked_json(text: Column) -> Column:
+    """The text parsed as the first item of an array whose second item is the text's own digest.
 
-    The parser ignores what follows the first value, so the text is read as
-    the first item of an array whose second item is its own digest.
+    The parser ignores what follows the first value; the mark shows whether anything did.
     """
-    mark = F.md5(text)
-    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
-    exact = (F.try_variant_get(both, "$[1]", "string") == mark) & F.try_variant_get(both, "$[2]", "variant").isNull()
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.md5(text), F.lit('"]')))
+
+
+def is_marked_strict(marked: Column, text: Column) -> Column:
+    """Whether a text, parsed by ``marked_json``, is exactly one JSON value."""
+    exact = (F.try_variant_get(marked, "$[1]", "string") == F.md5(text)) & F.try_variant_get(marked, "$[2]", "variant").isNull()
     return F.coalesce(exact, F.lit(False))
 
 
+def is_strict_json(text: Column) -> Column:
+    """True if the whole text is exactly one JSON value."""
+    return is_marked_strict(marked_json(text), text)
+
+
 def _kind(variant: Column) -> Column:
     """ARRAY, OBJECT, VOID or a scalar type name; null for a missing value."""
     return F.regexp_extract(F.schema_of_variant(variant), r"^\w+", 0)

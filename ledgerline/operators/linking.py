@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -132,25 +133,31 @@ def link_names(
     walk = _fold(fraction(threshold) * 100.0, method)
     schema = f"_page_no bigint, {BLOCK} int, _lead bigint, name string, out_name string, out_norm string"
     border = F.struct(F.col("prev_name").alias("in_name"), F.col("prev_norm").alias("in_norm"))
-    used = table.groupBy(BLOCK).agg(F.min_by(border, "_page_no").alias("b")).select(BLOCK, "b.*")
-    pending, done = used, None
+    # one row per block: the name it was walked with, and the walk that counts
+    used = materialize(table.groupBy(BLOCK).agg(F.min_by(border, "_page_no").alias("b")).select(BLOCK, "b.*", F.lit(0).alias("walk")))
+    walks: list[DataFrame] = []
+    outs = None
     while True:
-        walked = table.join(F.broadcast(pending), BLOCK).groupBy(BLOCK).applyInPandas(walk, schema)
-        if done is not None:
-            walked = walked.unionByName(done.join(F.broadcast(pending), BLOCK, "left_anti"))
-        done = materialize(walked)
-        out = done.groupBy(BLOCK).agg(F.first("out_name").alias("out_name"), F.first("out_norm").alias("out_norm"))
+        pending = used.filter(F.col("walk") == len(walks))
+        walked = table.join(pending.drop("walk"), BLOCK).groupBy(BLOCK).applyInPandas(walk, schema)
+        walks.append(materialize(walked))  # only the blocks whose border has changed
+        new = walks[-1].groupBy(BLOCK).agg(F.first("out_name").alias("out_name"), F.first("out_norm").alias("out_norm"))
+        outs = new if outs is None else outs.join(new, BLOCK, "left_anti").unionByName(new)
+        outs = materialize(outs)
         by_block = Window.orderBy(BLOCK)
-        given = out.select(
-            BLOCK, F.lag("out_name").over(by_block).alias("in_name"), F.lag("out_norm").over(by_block).alias("in_norm")
+        given = outs.select(
+            BLOCK, F.lag("out_name").over(by_block).alias("_name"), F.lag("out_norm").over(by_block).alias("_norm")
         )
-        same = used.select(BLOCK, F.col("in_name").alias("u_name"), F.col("in_norm").alias("u_norm"))
-        differs = ~(F.col("in_name").eqNullSafe(F.col("u_name")) & F.col("in_norm").eqNullSafe(F.col("u_norm")))
-        pending = given.join(same, BLOCK).filter(differs).select(BLOCK, "in_name", "in_norm")
-        if pending.isEmpty():
-            return done.select("_page_no", "_lead", "name")
-        pending = materialize(pending)
-        used = materialize(used.join(F.broadcast(pending), BLOCK, "left_anti").unionByName(pending))
+        same = F.col("_name").eqNullSafe(F.col("in_name")) & F.col("_norm").eqNullSafe(F.col("in_norm"))
+        used = materialize(
+            used.join(given, BLOCK).select(
+                BLOCK, F.col("_name").alias("in_name"), F.col("_norm").alias("in_norm"), F.when(same, F.col("walk")).otherwise(len(walks)).alias("walk")
+            )
+        )
+        if used.filter(F.col("walk") == len(walks)).isEmpty():
+            break
+    every = [w.select(BLOCK, "_page_no", "_lead", "name", F.lit(i).alias("walk")) for i, w in enumerate(walks)]
+    return reduce(DataFrame.unionByName, every).join(used.select(BLOCK, "walk"), [BLOCK, "walk"]).select("_page_no", "_lead", "name")
 
 
 def link_pages(

@@ -4,9 +4,8 @@
 rows and writes them once. Every later scan works inside the resulting blocks
 and carries state over block borders through a table with one row per block,
 so neither a hot key nor the whole table ever meets in one task. That block
-table has as many rows as the range exchange had partitions. This bounds the
-broadcasts below and the one number per block that becomes an array literal
-in the plan.
+table has as many rows as the range exchange had partitions, and so has the
+one number per block that becomes an array literal in the plan.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from ledgerline.storage import materialize
 
 ROW = "grn"
 BLOCK = "blk"
+BLOCK_BYTES = 1 << 29
+_UNKNOWN_SIZE = 1 << 60  # what the planner says of sources it cannot measure
 _ID_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
 
@@ -26,10 +27,10 @@ def order_rows(df: DataFrame, order_by: Sequence[str | Column], blocks: int | No
     """Add ``grn`` (dense row number from 0, in order) and ``blk`` (its block).
 
     There are ``blocks`` blocks, by default as many as the session's shuffle
-    partitions.
+    partitions, and more where the scanned tables have over ``BLOCK_BYTES`` for each.
     """
     order_by = list(order_by)
-    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_scanned_bytes(df) // BLOCK_BYTES))
     ranged = df.repartitionByRange(blocks, *order_by)
     tagged = materialize(
         ranged.sortWithinPartitions(*order_by).withColumn("_seq", F.monotonically_increasing_id())
@@ -44,6 +45,13 @@ def order_rows(df: DataFrame, order_by: Sequence[str | Column], blocks: int | No
     return tagged.withColumn(ROW, offsets + F.col("_seq")).drop("_seq")
 
 
+def _scanned_bytes(df: DataFrame) -> int:
+    """Size of the tables that ``df`` reads, as the planner knows it; 0 for a source of unknown size."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
+    return sum(s for s in sizes if s < _UNKNOWN_SIZE)
+
+
 def _per_block(table: DataFrame, columns: Sequence[str], block: str) -> list[Column]:
     """Whole-number columns of a block table as lookups by block: one literal array each, no join."""
     rows = {r[block]: r for r in table.select(block, *columns).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerline.functions.documents import (
-    FLAG_DEFAULTS, TEXT_FIELDS, can_flatten, document_statistics, is_strict_json, typed_document,
+    FLAG_DEFAULTS, TEXT_FIELDS, can_flatten, document_statistics, is_marked_strict, marked_json, typed_document,
 )
 from ledgerline.functions.text import clean_key, trim_text
 from ledgerline.storage import materialize
@@ -28,9 +28,10 @@ def scan_pages(spark: SparkSession, folder: str, model: str, glob: str = PAGE_GL
 def read_documents(texts: DataFrame, model: str, page: str = "page_name", text: str = "text") -> DataFrame:
     """Classify and type page texts that are already in a table."""
     docs = texts.select(F.col(page).alias("page_name"), trim_text(text).alias("text"))
-    docs = docs.withColumn("_strict", is_strict_json(F.col("text")))
-    strict = F.when(F.col("_strict"), F.col("text"))
-    docs = docs.withColumns({"document": typed_document(strict), "_flat": can_flatten(F.try_parse_json(strict))})
+    docs = docs.withColumn("_marked", marked_json(F.col("text")))
+    docs = docs.withColumn("_strict", is_marked_strict(F.col("_marked"), F.col("text")))
+    value = F.when(F.col("_strict"), F.try_variant_get("_marked", "$[0]", "variant"))
+    docs = docs.withColumns({"document": typed_document(F.when(F.col("_strict"), F.col("text"))), "_flat": can_flatten(value)})
     docs = docs.withColumn("document", F.when(F.col("_flat"), F.col("document")))
     entries = F.aggregate("document", F.lit(0), lambda n, p: n + F.size(p["entries"]))
     status = (
@@ -85,8 +86,13 @@ def fill_names(rows: DataFrame) -> DataFrame:
 
 
 def load_pages(spark: SparkSession, folder: str, model: str) -> tuple[DataFrame, DataFrame]:
-    """(filled rows, quarantine) of a folder of page documents; each file is read and parsed once."""
-    docs = materialize(scan_pages(spark, folder, model))
+    """(filled rows, quarantine) of a folder of page documents.
+
+    Each file is read once; its text is parsed once for its shape and once into typed fields, and
+    kept only where the page goes to quarantine.
+    """
+    docs = scan_pages(spark, folder, model)
+    docs = materialize(docs.withColumn("text", F.when(F.col("status") != "ok", F.col("text"))))
     quarantine = docs.filter("status <> 'ok'").select("page_name", "llm", "status", "text")
     return fill_names(flatten_documents(docs)), quarantine
 
