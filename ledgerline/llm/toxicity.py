@@ -27,8 +27,9 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
 INVISIBLE = "­​‌‍⁠﻿"
 
-SAMPLE_PER_CLASS = 5000  # bound of the labelled rows that fit the lexicon, per class (expected size)
+SAMPLE_TOXIC, SAMPLE_CLEAN = 5000, 20_000  # bounds of the labelled rows that fit the lexicon (expected sizes)
 MIN_DOCS = 5  # toxic documents that must hold an entry
+CHANCE = 0.01  # accepted expectation of entries that are toxic by chance
 MIN_WEIGHT = 2.0  # log odds of an entry
 SHORTEST, LONGEST = 4, 12  # letters of an entry
 THRESHOLD = 0.7
@@ -116,15 +117,21 @@ def _beginnings(word: str) -> list[str]:
     return [word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1)]
 
 
-def choose_entries(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
+def choose_entries(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, n_candidates: int) -> dict[str, float]:
     """Entries from (toxic documents, clean documents) per word beginning.
 
-    A beginning must have the weight and the support. One that nearly always
-    goes on in the same way gives way to its continuation, and one that a
-    chosen shorter beginning covers is left out.
+    A beginning must have the weight and the support, and among ``n_candidates`` beginnings such counts must be
+    unlikely by chance. One that nearly always goes on in the same way gives way to its continuation, and one
+    that a chosen shorter beginning covers is left out.
     """
-    def weight(pair):
-        return math.log((pair[0] + 0.5) / (n_toxic + 1)) - math.log((pair[1] + 0.5) / (n_clean + 1))
+    share = n_toxic / (n_toxic + n_clean)
+
+    def weight(toxic: int, clean: int) -> float:
+        return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
+
+    def by_chance(toxic: int, clean: int) -> float:
+        ways = math.lgamma(toxic + clean + 1) - math.lgamma(toxic + 1) - math.lgamma(clean + 1)
+        return ways + toxic * math.log(share) + math.log(n_candidates)
 
     longer: Counter = Counter()
     for entry, (toxic, _) in counts.items():
@@ -132,23 +139,32 @@ def choose_entries(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: in
             longer[entry[:-1]] = max(longer[entry[:-1]], toxic)
     chosen: dict[str, float] = {}
     for entry in sorted(counts, key=lambda e: (len(e), e)):
-        pair = counts[entry]
-        if pair[0] < MIN_DOCS or weight(pair) < MIN_WEIGHT or pair[1] > 0.02 * pair[0] + 1:
+        toxic, clean = counts[entry]
+        if toxic < MIN_DOCS or weight(toxic, clean) < MIN_WEIGHT or clean > 0.02 * toxic + 1 or by_chance(toxic, clean) > math.log(CHANCE):
             continue
-        if longer[entry] >= 0.95 * pair[0] or any(entry[:n] in chosen for n in range(SHORTEST, len(entry))):
+        if longer[entry] >= 0.95 * toxic or any(entry[:n] in chosen for n in range(SHORTEST, len(entry))):
             continue
-        chosen[entry] = weight(pair)
+        chosen[entry] = weight(toxic, clean)
     return chosen
 
 
+def _one_of_copies(sample: DataFrame) -> DataFrame:
+    """One row (_text, _y) of most near copies: those whose smallest hashed run of five words is equal, fewer words as a whole."""
+    rows = sample.withColumn("_words", F.split(F.lower("_text"), "[\\x20\\x09-\\x0D]+"))  # a column, so that it is cut once
+    n = F.size("_words")
+    runs = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(5)]))
+    key = F.when(n >= 5, F.array_min(runs)).otherwise(F.xxhash64("_words"))
+    return rows.withColumn("_copies", key).dropDuplicates(["_y", "_copies"]).select("_text", "_y")
+
+
 def fit_lexicon(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-    sample_per_class: int = SAMPLE_PER_CLASS,
+    sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN,
 ) -> dict:
     """Entries, exception phrases and the logistic curve, from a bounded sample of the labelled rows.
 
-    ``sample_per_class`` bounds the expected number of rows of each class. Rows with a
-    null id, text or label teach nothing. Without rows of both classes the
+    ``sample_toxic`` and ``sample_clean`` bound the expected number of rows of the classes. Of near copies
+    one row counts. Rows with a null id, text or label teach nothing. Without rows of both classes the
     lexicon is empty and every score is the curve's value for no hit (0.02).
     """
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).filter("_y IN (0, 1) AND _id IS NOT NULL").distinct()
@@ -156,11 +172,12 @@ def fit_lexicon(
     empty = {"weights": {}, "exceptions": [], "beta": [-4.0, 0.0, 0.0]}
     if len(sizes) < 2:
         return empty
-    share = F.when(F.col("_y") == 1, sample_per_class / sizes[1]).otherwise(sample_per_class / sizes[0])
+    share = F.when(F.col("_y") == 1, sample_toxic / sizes[1]).otherwise(sample_clean / sizes[0])
     draw = F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) / 1_000_003
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).filter("_text IS NOT NULL")
     drawn = F.broadcast(known.filter(draw < share))  # its size is bounded by the sample's
-    sample = materialize(rows.join(drawn, "_id").select("_text", F.col("_y").cast("int").alias("_y")))
+    sample = rows.join(drawn, "_id").select("_text", F.col("_y").cast("int").alias("_y"))
+    sample = materialize(_one_of_copies(sample))
 
     def count_beginnings():
         folding = Folding()
@@ -175,15 +192,17 @@ def fit_lexicon(
 
         return work
 
-    summed = map_rows(sample, count_beginnings, "entry string, toxic bigint, clean bigint").groupBy("entry").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
+    summed = materialize(
+        map_rows(sample, count_beginnings, "entry string, toxic bigint, clean bigint").groupBy("entry").agg(
+            F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
+        )
     )
     kept = summed.filter((F.col("entry") == "") | ((F.col("toxic") >= MIN_DOCS) & (F.col("clean") <= 0.02 * F.col("toxic") + 1)))
     counts = {r.entry: (r.toxic, r.clean) for r in kept.collect()}  # bounded by the sample
     n_toxic, n_clean = counts.pop("", (0, 0))
     if not n_toxic or not n_clean:
         return empty
-    weights = choose_entries(counts, n_toxic, n_clean)
+    weights = choose_entries(counts, n_toxic, n_clean, summed.filter(F.col("toxic") >= MIN_DOCS).count())
 
     def phrases():
         matcher = Matcher(weights)
