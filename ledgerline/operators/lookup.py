@@ -167,13 +167,16 @@ def _shown_labels() -> Column:
 
 
 def _best_label_scores(scored: DataFrame, method: str) -> DataFrame:
-    """F25 for (page, parish_norm, rank, _labels): ``score``, 0..100. Each distinct (name, label) is scored once, however
-    many pages hold it; a pair without a label scores 0."""
-    pairs = scored.select("parish_norm", F.explode("_labels").alias("_label")).distinct()
-    known = pairs.withColumn("_score", similarity("parish_norm", "_label", method) * 100.0)
-    each = scored.select("page", "parish_norm", "rank", F.explode("_labels").alias("_label"))
-    best = each.join(known, ["parish_norm", "_label"]).groupBy("page", "parish_norm", "rank").agg(F.max("_score").alias("score"))
-    found = scored.join(best, ["page", "parish_norm", "rank"], "left")
+    """add ``score`` (0..100), the highest similarity between ``parish_norm`` and a label of ``_labels``; 0 without labels.
+
+    Names and label sets recur from page to page: each distinct pair of them is scored once.
+    """
+    keyed = scored.withColumn("_set", F.xxhash64("_labels"))
+    pairs = keyed.groupBy("parish_norm", "_set").agg(F.first("_labels").alias("_labels"))
+    each = pairs.select("parish_norm", "_set", F.explode("_labels").alias("_label"))
+    each = each.withColumn("_score", similarity("parish_norm", "_label", method) * 100.0)
+    best = each.groupBy("parish_norm", "_set").agg(F.max("_score").alias("score"))
+    found = keyed.drop("_labels").join(best, ["parish_norm", "_set"], "left").drop("_set")
     return found.withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -196,10 +199,12 @@ def match_groups(
     overridden = groups.filter("_override is not null").select(
         "page", "parish_norm", F.col("_override").alias("_rec"), F.lit("override").alias("_method")
     )
-    scored = groups.filter("_override is null and not complete").join(candidates, "page")
-    scored = _best_label_scores(scored.withColumn("_labels", _shown_labels()), method)
+    labels = candidates.select("page", "rank", _shown_labels().alias("_labels"))
+    scored = groups.filter("_override is null and not complete").select("page", "parish_norm", "llm_parish").join(labels, "page")
+    scored = _best_label_scores(scored, method)
     best_first = Window.partitionBy("page", "parish_norm").orderBy(F.desc("score"), "rank")
     top = scored.withColumn("_rn", F.row_number().over(best_first)).filter(F.col("_rn") <= TOP_CANDIDATES)
+    top = top.join(candidates, ["page", "rank"])
     ranked = top.groupBy("page", "parish_norm", "llm_parish").agg(
         F.array_sort(F.collect_list(F.struct("_rn", "score", "rank", "rec"))).alias("top")
     )
