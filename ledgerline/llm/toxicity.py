@@ -27,7 +27,8 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
 INVISIBLE = "­​‌‍⁠﻿"
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 5000, 20_000  # bounds of the labelled rows that fit the lexicon (expected sizes)
+SAMPLE_TOXIC, SAMPLE_CLEAN = 5000, 10_000  # bounds of the labelled rows that fit the lexicon (expected sizes)
+TEXTS_AT_ONCE = 100  # whose word beginnings a task counts before it passes them on
 MIN_DOCS = 5  # toxic documents that must hold an entry
 CHANCE = 0.01  # accepted expectation of entries that are toxic by chance
 MIN_WEIGHT = 2.0  # log odds of an entry
@@ -183,12 +184,16 @@ def fit_lexicon(
         folding = Folding()
 
         def work(batch):
+            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                yield count(batch.slice(i, TEXTS_AT_ONCE))
+
+        def count(batch):
             toxic, clean = Counter(), Counter()
             for body, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 (toxic if y else clean).update({b for w in set(fold(body, folding).split()) for b in _beginnings(w)})
                 (toxic if y else clean)[""] += 1
             keys = list(toxic.keys() | clean.keys())
-            yield {"entry": keys, "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]}
+            return {"entry": keys, "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]}
 
         return work
 
