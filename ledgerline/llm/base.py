@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +12,6 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"  # the characters that end a word
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def case(name: str, sql: str | None = None) -> Callable[[Query], Query]:

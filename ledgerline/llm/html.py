@@ -18,7 +18,7 @@ MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'<>]|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 END_OF_RAW = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in ("script", "style", "textarea", "title", "xmp", "noframes")}
@@ -52,8 +52,9 @@ UNLIKELY = frozenset(
     " login masthead menu menus menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager"
     " pagination paywall popup promo promotion promoted recommended recommendations related remark replies reply respond responses rss"
     " share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe subscription taboola tags toolbar"
-    " topbar widget widgets alert".split()
+    " topbar widget widgets alert discussion thread guestbook search searchform form warning".split()
 )
+ABSENT = frozenset("has with no without js".split())  # a name with one of these speaks of another part
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 LIKELY = frozenset("article body content entry hentry main page post story text blog".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
@@ -64,35 +65,41 @@ DEPTH_SHARE = (1.0, 0.5, 1 / 3)  # of its points for the parent and the next anc
 
 
 class Node:
-    __slots__ = ("tag", "parent", "words", "skip", "items", "score", "length", "linked", "in_skip")
+    __slots__ = ("tag", "parent", "words", "skip", "named", "items", "score", "length", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, words: frozenset = frozenset(), skip: bool = False) -> None:
-        self.tag, self.parent, self.words, self.skip = tag, parent, words, skip
+    def __init__(self, tag: str, parent: Node | None, words: frozenset = frozenset(), skip: bool = False, named: bool = False) -> None:
+        self.tag, self.parent, self.words = tag, parent, words
+        self.skip, self.named = skip, named  # named: skipped only for its class or id
         self.items: list = []  # texts and nodes in page order
         self.score, self.length, self.linked = 0.0, 0, 0
-        self.in_skip = skip or (parent is not None and parent.in_skip)
 
 
 def _start(tag: str, attributes: str, parent: Node) -> Node:
-    words, skip = frozenset(), tag in DROPPED
-    if attributes:
-        names = []
-        for m in ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key == "hidden" and not m[2] and not m[3]:
-                skip = True
-            elif key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                skip = True
-            elif key == "role":
-                skip = skip or value in ROLES
-            elif key in ("class", "id"):
-                names += WORDS.findall(value)
-        words = frozenset(names)
-    if tag not in ("html", "body", "main", "article") and words & UNLIKELY and not words & LIKELY - {"text", "body", "page", "content", "post", "entry"}:
-        skip = True
+    skip, named = tag in DROPPED, False
+    tokens: list[str] = []
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+            skip = True
+        elif key == "role":
+            skip = skip or value in ROLES
+        elif key in ("class", "id"):
+            tokens += value.split()
+    parts = [frozenset(WORDS.findall(t)) for t in tokens]
+    if tag not in ("html", "body", "main", "article"):
+        unlikely = [p & UNLIKELY for p in parts if p & UNLIKELY and not p & ABSENT]
+        if unlikely and all(u == {"header"} for u in unlikely):
+            named = not _inside(parent, ("article", "main"))  # an article's own header holds its title
+        else:
+            named = bool(unlikely)
     if tag == "header" and not _inside(parent, ("article", "main")):
         skip = True
-    return Node(tag, parent, words, skip)
+    if tag in ("article", "main"):  # what holds the article is no side part, whatever its name
+        above: Node | None = parent
+        while above is not None:
+            above.skip = above.skip and not above.named
+            above = above.parent
+    return Node(tag, parent, frozenset().union(*parts), skip or named, named and not skip)
 
 
 def _inside(node: Node | None, tags: tuple[str, ...]) -> bool:

@@ -303,6 +303,14 @@ def test_html_parts():
     assert html.main_text(page) == "\n\n".join([*want, "one item", "two item"])
 
 
+def test_html_names():
+    text = "Some words, with commas, that are long enough to be a paragraph of their own."
+    page = f"""<body><div class="page has-sidebar"><div id="ad-wrap"><article><div class="article-header"><h1>Top</h1></div><p title="a hidden gem">{text}
+    <div class="article-comments"><p>{text} {text}</div><p hidden>{text}<aside>{text}</aside></article></div>
+    <section id="user_comments"><p>{text} {text} {text}</p></section></div>"""
+    assert html.main_text(page) == f"Top\n\n{text}"
+
+
 def test_html_odd_rows(spark):
     pages = ["", None, "plain text only", "<p>a<p>b", "<", "<div", "</p></div>x", "<!-- open", "<b>" * 5000 + "deep", "<p title='>'>q</p>"]
     rows = [(i, None, p, "clash") for i, p in enumerate(pages)] + [(None, "u", "<p>z</p>", "clash")] * 2
