@@ -166,17 +166,16 @@ def _shown_labels() -> Column:
     return F.array_distinct(F.flatten(F.array(*forms)))
 
 
-def _best_label_scores(scored: DataFrame, method: str) -> DataFrame:
-    """add ``score`` (0..100), the highest similarity between ``parish_norm`` and a label of ``_labels``; 0 without labels.
+def _best_label_scores(scored: DataFrame, sets: DataFrame, method: str) -> DataFrame:
+    """add ``score`` (0..100), the highest similarity between ``parish_norm`` and a label of the set ``_set``; 0 without labels.
 
-    Names and label sets recur from page to page: each distinct pair of them is scored once.
+    Names and label sets (``sets``: _set, _labels) recur from page to page: each distinct pair of them is scored once.
     """
-    keyed = scored.withColumn("_set", F.xxhash64("_labels"))
-    pairs = keyed.groupBy("parish_norm", "_set").agg(F.first("_labels").alias("_labels"))
+    pairs = scored.select("parish_norm", "_set").distinct().join(sets, "_set")
     each = pairs.select("parish_norm", "_set", F.explode("_labels").alias("_label"))
     each = each.withColumn("_score", similarity("parish_norm", "_label", method) * 100.0)
     best = each.groupBy("parish_norm", "_set").agg(F.max("_score").alias("score"))
-    found = keyed.drop("_labels").join(best, ["parish_norm", "_set"], "left").drop("_set")
+    found = scored.join(best, ["parish_norm", "_set"], "left").drop("_set")
     return found.withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -199,9 +198,10 @@ def match_groups(
     overridden = groups.filter("_override is not null").select(
         "page", "parish_norm", F.col("_override").alias("_rec"), F.lit("override").alias("_method")
     )
-    labels = candidates.select("page", "rank", _shown_labels().alias("_labels"))
-    scored = groups.filter("_override is null and not complete").select("page", "parish_norm", "llm_parish").join(labels, "page")
-    scored = _best_label_scores(scored, method)
+    labels = candidates.select("page", "rank", _shown_labels().alias("_labels")).withColumn("_set", F.xxhash64("_labels"))
+    labels = materialize(labels)
+    scored = groups.filter("_override is null and not complete").select("page", "parish_norm", "llm_parish").join(labels.drop("_labels"), "page")
+    scored = _best_label_scores(scored, labels.select("_set", "_labels").dropDuplicates(["_set"]), method)
     best_first = Window.partitionBy("page", "parish_norm").orderBy(F.desc("score"), "rank")
     top = scored.withColumn("_rn", F.row_number().over(best_first)).filter(F.col("_rn") <= TOP_CANDIDATES)
     top = top.join(candidates, ["page", "rank"])
