@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 import sys
 import unicodedata
 from collections import Counter
