@@ -20,8 +20,9 @@ from ledgerline.functions.documents import is_strict_json
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Known misprint, fence patterns, and the endings that close a cut document.
+# Known misprint, slips that are tidied in a fenced reply, fence patterns, and the endings that close a cut document.
 MISPRINT = ('""sublocation_2"', '"sublocation_2"')
+SLIPS = ((",]", "]"), (",}", "}"), ('""', '"'))
 CLOSED_FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
 OPEN_FENCE = r"```(?:json)?\s*([\s\S]*)$"
 AFTER_ENTRY = "]}]}"
@@ -80,7 +81,9 @@ def salvage(content: str) -> tuple[str | None, bool, str | None]:
         ok, value, error_at = _parse(text)
         recovered = False
         if not ok and tier == "fence":
-            tidy = text.replace(",]", "]").replace(",}", "}").replace('""', '"')
+            tidy = text
+            for slip in SLIPS:
+                tidy = tidy.replace(*slip)
             ok, value, _ = _parse(tidy)
             tier = "fence_tidied" if ok else tier
         if not ok and tier != "raw":

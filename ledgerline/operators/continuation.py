@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerline.functions.similarity import similarity
 from ledgerline.functions.text import clean_key, fraction, normalise_name, to_number
 from ledgerline.operators.lookup import VERIFIED
-from ledgerline.operators.ordering import BLOCK, ROW, fill_down, number_runs, order_rows, with_previous
+from ledgerline.operators.ordering import BLOCK, ROW, number_runs, order_rows, with_previous
 from ledgerline.operators.skew import attach
 
 

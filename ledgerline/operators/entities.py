@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerline.functions.text import clean_key, is_filled, normalise_name, trim_text
+from ledgerline.functions.text import is_filled, normalise_name, trim_text
 from ledgerline.operators.components import connected_components
 from ledgerline.operators.continuation import resolve_continued
 from ledgerline.operators.lookup import EFFECTIVE, VERIFIED

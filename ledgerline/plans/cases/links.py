@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ledgerline.functions.similarity import similarity
-from ledgerline.functions.text import trim_text
 from ledgerline.operators.components import connected_components
 from ledgerline.operators.continuation import resolve_continued
 from ledgerline.operators.entities import (

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions.documents import FLAG_DEFAULTS, TEXT_FIELDS
 from ledgerline.functions.payload import request_line
-from ledgerline.functions.text import to_int, with_prefix
+from ledgerline.functions.text import to_int
 from ledgerline.operators.runs import suppress_repeats
 
 SHOWN_LEVELS = ("townland", "sublocation_1", "sublocation_2")
