@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerline.llm.base import case, map_rows, table
+from ledgerline.llm.copies import near_copies
 from ledgerline.operators.components import connected_components
 from ledgerline.operators.skew import attach
 from ledgerline.storage import materialize
@@ -231,11 +232,11 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: the row whose id names the component.
+    """One document of each group of near copies (``copies``, not the fingerprints): the row whose id names the component.
 
     Of repeated rows of an id one stays. Rows with a null id stay, as no id can stand for them.
     """
-    found = near_duplicates(docs, doc_id, text).filter("doc_id IS NOT NULL")
+    found = near_copies(docs, doc_id, text)
     others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(others, F.col(doc_id) == F.col("_gone"), "left_anti")
     repeated = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))

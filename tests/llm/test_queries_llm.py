@@ -1,6 +1,7 @@
 """Registered training-data queries against SQL or brute force on the small tables."""
 
 import inspect
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -9,6 +10,7 @@ import corpus_pipeline
 import duckdb
 import pytest
 from ledgerline.llm import ORACLES, QUERIES
+from ledgerline.llm.simhash import near_duplicates
 from tools.compare import TABLES, _agree, normal
 
 FOLDER = "/root/testdata/sf0.001"
@@ -177,3 +179,53 @@ def test_pipeline_stages(spark, db, texts):
     packed = corpus_pipeline.run(spark, FOLDER)
     assert {"doc_id", "sequence_id", "offset"} <= set(packed.columns)
     assert {r.doc_id for r in packed.select("doc_id").collect()} <= set(texts) - leaks
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def least_of_copies(texts):
+    """Smallest id of each component of texts with five-word Jaccard similarity >= 0.8, by brute force."""
+    sets = {d: shingles(t) for d, t in texts.items()}
+    parent = {d: d for d in texts}
+
+    def find(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in texts:
+        for b in texts:
+            common, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if a < b and (not either or common / either >= 0.8):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {find(d) for d in texts}
+
+
+def test_near_dedup_stage_equals_brute_force(spark, texts):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    single = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, FOLDER)
+    assert {r.doc_id for r in single.collect()} == least_of_copies(texts)
+
+
+def test_near_copies_far_beyond_the_fingerprints(spark):
+    """Chains of edited copies from 0.5 to 1, some of few words, also when stars are cut into small parts."""
+    from ledgerline.llm.copies import near_copies
+
+    rng = random.Random(8)
+    texts = {}
+    for family in range(12):
+        words = [f"f{family}w{rng.randint(0, 900)}" for _ in range(rng.choice([3, 12, 60, 200]))]
+        for _ in range(12):
+            texts[len(texts)] = " ".join(words)
+            words = list(words)
+            for _ in range(rng.randint(0, 1 + len(words) // 40)):
+                words[rng.randrange(len(words))] = f"x{rng.randint(0, 10**6)}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = least_of_copies(texts)
+    assert 12 < len(want) < len({r.component_id for r in near_duplicates(docs).collect()})
+    for part_shingles in (1_000_000, 300):
+        assert {r.component_id for r in near_copies(docs, part_shingles=part_shingles).collect()} == want
