@@ -54,29 +54,39 @@ UNLIKELY = frozenset(
     " share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe subscription taboola tags toolbar"
     " topbar widget widgets alert discussion thread guestbook search searchform form warning".split()
 )
+DOUBTFUL = frozenset(  # of these, inside an article only parts that are mostly links go
+    "alert comment community consent copyright disclaimer discussion feedback foot header notice notices notification overlay promotion"
+    " promoted recommended related remark replies reply respond responses search skip social subscription thread warning".split()
+)
+CODED = frozenset(  # no title of a section gives an id such a word
+    "adsense adslot breadcrumbs combx commentlist cookiebar disqus menubar navbar outbrain searchform shoutbox sidebar sidebars taboola"
+    " topbar".split()
+)
 ABSENT = frozenset("has with no without js".split())  # a name with one of these speaks of another part
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 LIKELY = frozenset("article body content entry hentry main page post story text blog".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+UNNAMED = HEADINGS | {"html", "body", "main", "article", "p", "pre", "blockquote"}  # their names say nothing about their text
 
 SHORT = 25  # a paragraph with fewer letters passes no points up
 DEPTH_SHARE = (1.0, 0.5, 1 / 3)  # of its points for the parent and the next ancestors
 
 
 class Node:
-    __slots__ = ("tag", "parent", "words", "skip", "named", "items", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "words", "skip", "named", "doubt", "items", "score", "length", "linked")
 
     def __init__(self, tag: str, parent: Node | None, words: frozenset = frozenset(), skip: bool = False, named: bool = False) -> None:
         self.tag, self.parent, self.words = tag, parent, words
-        self.skip, self.named = skip, named  # named: skipped only for its class or id
+        self.skip, self.named = skip, named  # named: skipped only for its class or id, or as a form
+        self.doubt = False  # goes if it is mostly links
         self.items: list = []  # texts and nodes in page order
         self.score, self.length, self.linked = 0.0, 0, 0
 
 
 def _start(tag: str, attributes: str, parent: Node) -> Node:
-    skip, named = tag in DROPPED, False
-    tokens: list[str] = []
+    skip, named, doubt = tag in DROPPED and tag != "form", tag == "form", False
+    tokens: list[tuple[str, str]] = []
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
@@ -84,14 +94,16 @@ def _start(tag: str, attributes: str, parent: Node) -> Node:
         elif key == "role":
             skip = skip or value in ROLES
         elif key in ("class", "id"):
-            tokens += value.split()
-    parts = [frozenset(WORDS.findall(t)) for t in tokens]
-    if tag not in ("html", "body", "main", "article"):
-        unlikely = [p & UNLIKELY for p in parts if p & UNLIKELY and not p & ABSENT]
-        if unlikely and all(u == {"header"} for u in unlikely):
-            named = not _inside(parent, ("article", "main"))  # an article's own header holds its title
+            tokens += [(key, t) for t in value.split()]
+    parts = [(key, frozenset(WORDS.findall(t))) for key, t in tokens]
+    if tag not in UNNAMED:
+        unlikely = [(key, p & UNLIKELY) for key, p in parts if p & UNLIKELY and not p & ABSENT]
+        if unlikely and _inside(parent, ("article", "main")):  # ids are often made of titles there
+            sure = any(u & CODED or key == "class" and u - DOUBTFUL for key, u in unlikely)
+            named = named or sure
+            doubt = not sure and any(u != {"header"} for _, u in unlikely)  # an article's own header holds its title
         else:
-            named = bool(unlikely)
+            named = named or bool(unlikely)
     if tag == "header" and not _inside(parent, ("article", "main")):
         skip = True
     if tag in ("article", "main"):  # what holds the article is no side part, whatever its name
@@ -99,7 +111,9 @@ def _start(tag: str, attributes: str, parent: Node) -> Node:
         while above is not None:
             above.skip = above.skip and not above.named
             above = above.parent
-    return Node(tag, parent, frozenset().union(*parts), skip or named, named and not skip)
+    node = Node(tag, parent, frozenset().union(*(p for _, p in parts)), skip or named, named and not skip)
+    node.doubt = doubt
+    return node
 
 
 def _inside(node: Node | None, tags: tuple[str, ...]) -> bool:
@@ -187,6 +201,38 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _settle(root: Node) -> None:
+    """Drop doubtful parts that are mostly links; keep a form that holds most of the text."""
+    order, stack = [], [(root, False)]
+    forms, doubtful = [], False
+    while stack:
+        node, hidden = stack.pop()
+        order.append(node)
+        doubtful = doubtful or node.doubt
+        if node.skip and node.named and node.tag == "form" and not hidden:
+            forms.append(node)
+        stack.extend((x, hidden or node.skip) for x in node.items if type(x) is Node)
+    if doubtful:
+        _measure(root)
+        for node in reversed(order):
+            node.skip = node.skip or node.doubt and link_density(node) > 0.5
+        _clear(order)
+    if forms:
+        _measure(root)
+        kept = root.length
+        for form in forms:
+            _measure(form)
+        most = max(forms, key=lambda n: n.length)
+        if most.length >= SHORT and most.length > kept and link_density(most) <= 0.5:
+            most.skip = False
+        _clear(order)
+
+
+def _clear(nodes: list[Node]) -> None:
+    for node in nodes:
+        node.length = node.linked = 0
+
+
 def _plain(node: Node) -> str:
     out, stack = [], [node]
     while stack:
@@ -286,6 +332,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _settle(root)
     return "\n\n".join(b for node in best_containers(root) for b in blocks_of(node))
 
 

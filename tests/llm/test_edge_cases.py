@@ -311,6 +311,24 @@ def test_html_names():
     assert html.main_text(page) == f"Top\n\n{text}"
 
 
+def test_html_article_parts_with_telling_names():
+    text = "Some words, with commas, that are long enough to be a paragraph of their own."
+    links = "<a href=x>Another page of this site</a> <a href=y>And one more page of it</a>"
+    page = f"""<body><article><h1 id="related-work">One</h1><p>{text}</p><section id="discussion"><h2 id="search-results">Two</h2><p>{text}</p></section>
+    <p class="warning">{text}</p><div id="feedback-loop"><p>{text}</p></div><div class="related">{links}</div><div id="replies">{links}</div>
+    <div class="article-comments"><p>{text} {text}</p></div><div id="sidebar"><p>{text}</p></div></article></body>"""
+    assert html.main_text(page) == "\n\n".join(["One", text, "Two", text, text, text])
+
+
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div class='content'>{}</div>"])
+def test_html_form_around_the_page(inner):
+    text = "Some words, with commas, that are long enough to be a paragraph of their own."
+    body = inner.format(f"<h1>Top</h1><p>{text}</p><p>{text}</p>")
+    page = f"<body><form id='aspnetForm' action=x><input value=q><select><option>o</select>{body}</form><p>Rest</p></body>"
+    assert html.main_text(page) == f"Top\n\n{text}\n\n{text}"
+    assert html.main_text(f"<body>{body}<form>{text}<input></form></body>") == f"Top\n\n{text}\n\n{text}"
+
+
 def test_html_odd_rows(spark):
     pages = ["", None, "plain text only", "<p>a<p>b", "<", "<div", "</p></div>x", "<!-- open", "<b>" * 5000 + "deep", "<p title='>'>q</p>"]
     rows = [(i, None, p, "clash") for i, p in enumerate(pages)] + [(None, "u", "<p>z</p>", "clash")] * 2
