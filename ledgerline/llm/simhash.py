@@ -234,17 +234,20 @@ def near_duplicates(
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near copies (``copies``, not the fingerprints): the row whose id names the component.
 
-    Of repeated rows of an id one stays. Rows with a null id stay, as no id can stand for them.
+    Rows are judged by id and text: of rows of one id in one group one stays, different texts under one id
+    are in groups of their own. Rows with a null id stay, as no id can stand for them.
     """
     found = near_copies(docs, doc_id, text)
-    others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(others, F.col(doc_id) == F.col("_gone"), "left_anti")
+    others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_of")).distinct()
+    kept = docs.join(others, (F.col(doc_id) == F.col("_gone")) & (F.xxhash64(text) == F.col("_of")), "left_anti")
     repeated = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
     if repeated.isEmpty():  # then no id needs its rows compared
         return kept
     again = F.col(doc_id) == F.col("_again")
-    one = kept.join(repeated, again, "left_semi").groupBy(F.col(doc_id).alias("_id")).agg(
-        F.min_by(F.struct(*kept.columns), F.xxhash64(text)).alias("_row")
+    groups = found.filter("doc_id = component_id").join(repeated, F.col("doc_id") == F.col("_again"))
+    groups = groups.select("_again", F.col("text_hash").alias("_of"), F.col("component").alias("_group")).distinct()
+    one = kept.join(groups, again & (F.xxhash64(text) == F.col("_of"))).groupBy("_again", "_group").agg(
+        F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(text)).alias("_row")
     )
     return kept.join(repeated, again, "left_anti").unionByName(one.select("_row.*"))
 

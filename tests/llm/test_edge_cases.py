@@ -244,6 +244,15 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash.near_duplicates(fresh(spark)).count() == 0
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, one), (2, one), (2, two), (3, two), (4, three), (4, three), (4, one), (5, three)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(1, one), (2, two), (4, three)]
+    pair = spark.createDataFrame([(7, one), (7, two), (8, one), (9, two)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(pair).collect()) == [(7, one), (7, two)]
+
+
 # token counts
 
 
