@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import sys
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark import cloudpickle
@@ -15,71 +16,82 @@ from ledgerline.llm.base import case, map_rows, table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the functions travel with the tasks
 
 MINIMA = 128  # least phrase hashes that make a fingerprint
-FACTOR = 0x9E3779B97F4A7C15  # of the polynomial over a phrase's code points
-MASK = (1 << 64) - 1
-CODE_BITS = 21  # a code point fits
-CHUNK = 1 << 20  # code points that are unpacked at a time
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+CHUNK = 100_000  # phrases hashed at once
 
 
 class Parse:
     """LZ78 parse of a text that may go on: each phrase is the longest known one and a code point more.
 
-    A phrase is known by its node in the trie; its hash extends the hash of the phrase before its last code point.
+    With a phrase all its beginnings are known, so a phrase is found by its length.
     """
 
     def __init__(self) -> None:
-        self.steps: dict[int, int] = {}
-        self.hashes = [1]
-        self.node = 0
-
-    def read(self, text: str) -> None:
-        steps, hashes, node = self.steps, self.hashes, self.node
-        get = steps.get
-        for i in range(0, len(text), CHUNK):
-            for code in np.frombuffer(text[i : i + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32).tolist():
-                key = node << CODE_BITS | code
-                known = get(key)
-                if known is None:
-                    steps[key] = len(hashes)
-                    hashes.append((hashes[node] * FACTOR + code + 1) & MASK)
-                    node = 0
-                else:
-                    node = known
-        self.node = node
-
-    def mark(self) -> tuple[int, int]:
-        return len(self.hashes), self.node
-
-    def back_to(self, mark: tuple[int, int]) -> None:
-        for _ in range(len(self.hashes) - mark[0]):
-            self.steps.popitem()
-        del self.hashes[mark[0] :]
-        self.node = mark[1]
-
-    def minima(self) -> np.ndarray:
-        """The least distinct 32-bit hashes of the phrases, ascending; none for an empty text."""
-        mixed = np.array(self.hashes[1:], np.uint64)
-        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return np.unique((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)[:MINIMA]
-
-
-def parse(text: str) -> Parse:
-    found = Parse()
-    found.read(text)
-    return found
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the least hashes of both phrase sets together that are in each of them; of two empty sets 1."""
-    either = np.unique(np.concatenate([a, b]))[:MINIMA]
-    if not len(either):
-        return 1.0
-    return float((np.isin(either, a) & np.isin(either, b)).sum() / len(either))
-
-
-def as_text(minima: np.ndarray) -> str:
-    return minima.astype(">u4").tobytes().hex()
+        self.known: set[str] = set()
+        self.pending = ""  # the beginning of the next phrase
+
+    def read(self, text: str) -> list[str]:
+        """Parse what comes next; returns the new phrases."""
+        known, text, new = self.known, self.pending + text, []
+        add, start, size = self.known.add, 0, len(text)
+        while start < size:
+            end = start + 2
+            phrase = text[start:end]
+            if phrase in known:
+                while phrase in known and end <= size:
+                    end += 1
+                    phrase = text[start:end]
+            elif text[start] not in known:
+                end, phrase = start + 1, text[start]
+            if end > size:  # a known phrase that may go on
+                break
+            add(phrase)
+            new.append(phrase)
+            start = end
+        self.pending = text[start:]
+        return new
+
+    def try_on(self, text: str) -> list[str]:
+        """The new phrases if ``text`` came next; the parse stays where it is."""
+        before = self.pending
+        new = self.read(text)
+        self.known.difference_update(new)
+        self.pending = before
+        return new
+
+
+def phrase_hashes(phrases: list[str]) -> np.ndarray:
+    """32-bit hashes: of each phrase the sum of its code points times powers of a fixed number, then mixed."""
+    parts = [np.zeros(0, np.uint64)]
+    for i in range(0, len(phrases), CHUNK):
+        own = phrases[i : i + CHUNK]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        starts = np.cumsum(sizes) - sizes
+        codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint64(1)
+        powers = np.cumprod(np.full(sizes.max(), FACTOR), dtype=np.uint64)
+        parts.append(np.add.reduceat(codes * powers[np.arange(len(codes)) - np.repeat(starts, sizes)], starts))
+    mixed = np.concatenate(parts)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
+
+
+def minima(phrases: list[str], more: Sequence[int] = ()) -> list[int]:
+    """The least distinct 32-bit hashes of phrases, and of ``more`` such hashes, ascending; at most MINIMA."""
+    hashes = np.sort(phrase_hashes(phrases))
+    hashes = hashes[np.diff(hashes, prepend=hashes[:1] + 1) != 0]  # distinct ones
+    return sorted({*hashes[:MINIMA].tolist(), *more})[:MINIMA]
+
+
+def likeness(a: list[int], b: list[int]) -> float:
+    """Share of the least values of both phrase sets together that are in each of them; of two empty sets 1."""
+    both = {*a} & {*b}
+    either = sorted({*a, *b})[:MINIMA]
+    return sum(v in both for v in either) / len(either) if either else 1.0
+
+
+def as_text(values: list[int]) -> str:
+    return np.array(values, ">u4").tobytes().hex()
 
 
 class _Held:
@@ -88,16 +100,13 @@ class _Held:
     def __init__(self, doc_id, text: str) -> None:
         self.doc_id, self.text = doc_id, text
         self.cut = len(text) - len(text) // 3
-        self.parse = parse(text[: self.cut])
-        before = self.parse.mark()
-        self.parse.read(text[self.cut :])
-        self.minima = self.parse.minima()
-        self.parse.back_to(before)
+        self.parse = Parse()
+        self.stays = minima(self.parse.read(text[: self.cut]))
+        self.minima = minima(self.parse.try_on(text[self.cut :]), self.stays)
 
-    def row(self, next_text: str, next_minima: np.ndarray) -> dict:
+    def row(self, next_text: str, next_minima: list[int]) -> dict:
         tail = next_text[: len(self.text) - self.cut]
-        self.parse.read(tail)
-        edited = self.parse.minima()
+        edited = minima(self.parse.try_on(tail), self.stays)
         body = (self.text[: self.cut] + tail).encode("utf-8", "surrogatepass")
         return {
             "doc_id": self.doc_id, "n_chars": len(self.text), "edited_sha256": hashlib.sha256(body).hexdigest(),
@@ -111,7 +120,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def hash_texts():
         def work(batch):
-            yield {"doc_id": batch.column(0), "fingerprint": [as_text(parse(body.as_py() or "").minima()) for body in batch.column(1)]}
+            yield {"doc_id": batch.column(0), "fingerprint": [as_text(minima(Parse().read(body.as_py() or ""))) for body in batch.column(1)]}
 
         return work
 

@@ -100,9 +100,7 @@ def phrase_set(text):
 def phrase_hashes(text):
     out = set()
     for phrase in phrase_set(text):
-        h = 1
-        for c in phrase:
-            h = (h * phrases.FACTOR + ord(c) + 1) % 2**64
+        h = sum((ord(c) + 1) * int(phrases.FACTOR) ** (k + 1) for k, c in enumerate(phrase)) % 2**64
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             h = (h ^ h >> shift) * factor % 2**64
         out.add((h ^ h >> 31) >> 32)
