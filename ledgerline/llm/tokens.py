@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import sys
 from collections.abc import Callable
 
@@ -23,22 +24,32 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """The added tokens of a tokenizer file, which stand for themselves wherever a text holds them."""
+    with open(path or vocabulary_path("byte_bpe_50k.json"), encoding="utf-8") as lines:
+        return {t["content"]: t["id"] for t in json.load(lines)["added_tokens"]}
+
+
 class Encoder:
-    """Byte-level encoder over a rank file; the length of a token in bytes gives its place in the text."""
+    """Byte-level encoder over a rank file; the length of a token in bytes gives its place in the text.
+
+    ``added`` tokens, by default those of the tokenizer file with the same ranks, are found in texts before any merge.
+    """
 
-    def __init__(self, path: str | None = None) -> None:
+    def __init__(self, path: str | None = None, added: dict[str, int] | None = None) -> None:
         import public_tokenizers
         import tiktoken
 
         with open(path or vocabulary_path(), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for token, rank in ranks.items():
+        added = added_tokens() if added is None and path is None else added or {}
+        self.sizes = np.zeros(max([*ranks.values(), *added.values()]) + 1, dtype=np.int64)
+        for token, rank in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
             self.sizes[rank] = len(token)
-        self._encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def ids(self, text: str) -> np.ndarray:
-        return self._encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+        return self._encoding.encode_to_numpy(text, allowed_special="all")
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first byte, byte after the last) of every token of the text."""
