@@ -22,13 +22,12 @@ START = "▁"  # the vocabulary's mark of a word's beginning
 
 SAMPLE_PER_LANGUAGE = 2000  # bound of the labelled rows that fit the model, per language (expected size)
 MIN_DOCS = 5  # a language needs so many labelled rows
-MAX_LANGUAGES = 200
 EVIDENCE_WORDS = 20  # a longer text counts as so many words of its average when scored
 CACHE_WORDS = 200_000  # scored tokens a task keeps
 PART_LETTERS = 1_000_000  # letters of texts whose words are scored together
 WORDS_AT_ONCE = 20_000
 COMMON_LETTERS = 64
-LONG_WORD = 40  # longer words are summed one by one, with rescaling
+LONG_WORD = 40  # longer words are summed one by one, with rescaling, and teach in parts
 UND = "und"
 
 
@@ -93,8 +92,17 @@ def log_probability(word: str, pieces: dict[str, int], models: list[list[float]]
 
 
 def expected_counts(word: str, pieces: dict[str, int], probability: list[float], longest: int) -> dict[int, float]:
-    """Expected number of times each piece is used, over the segmentations of a word (words up to 40 letters)."""
-    marked = START + word
+    """Expected number of times each piece is used, over the segmentations of a word (see ``parts_of``)."""
+    return _counts_of(START + word, pieces, probability, longest)
+
+
+def parts_of(word: str) -> list[str]:
+    """A word with its mark, a long one in parts of LONG_WORD letters, of which the first carries the mark."""
+    parts = [word[i : i + LONG_WORD] for i in range(0, len(word), LONG_WORD)]
+    return [START + parts[0], *parts[1:]]
+
+
+def _counts_of(marked: str, pieces: dict[str, int], probability: list[float], longest: int) -> dict[int, float]:
     size, edges = len(marked), edges_of(marked, pieces, longest)
     total, _ = forward(edges, size, probability, longest)
     back = [0.0] * (size + 1)
@@ -127,8 +135,8 @@ def fit_languages(
 
     ``sample_per_language`` bounds the expected number of rows of each language.
     Starts from equal probabilities of all pieces, which favours long pieces, then
-    ``rounds`` + 1 EM steps over the distinct words. Rows with a null text or
-    language, and languages with fewer than five rows, teach nothing.
+    ``rounds`` + 1 EM steps over the distinct words, long ones in parts. Rows with a null text or
+    language, and languages with fewer than five rows, teach nothing. The driver holds one number per piece and language.
     """
     vocabulary = vocabulary or vocabulary_path()
     pieces = load_pieces(vocabulary)
@@ -136,7 +144,7 @@ def fit_languages(
     rows = docs.select(F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"), F.col(doc_id).alias("_id"))
     rows = rows.filter("_text IS NOT NULL AND _lang IS NOT NULL")
     sizes = rows.groupBy("_lang").count().filter(F.col("count") >= MIN_DOCS)
-    sizes = sorted((r["_lang"], r["count"]) for r in sizes.orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect())
+    sizes = sorted((r["_lang"], r["count"]) for r in sizes.collect())
     languages = [name for name, _ in sizes]
     if not languages:
         return {"languages": [], "models": [], "vocabulary": vocabulary}
@@ -148,7 +156,7 @@ def fit_languages(
         def work(batch):
             counts: dict[str, Counter] = {}
             for body, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts.setdefault(name, Counter()).update(w for w in LETTERS.findall(body.lower()) if len(w) <= 40)
+                counts.setdefault(name, Counter()).update(p for w in LETTERS.findall(body.lower()) for p in parts_of(w))
             for name, own in counts.items():
                 yield {"lang": [name] * len(own), "word": list(own), "n": list(own.values())}
 
@@ -166,7 +174,7 @@ def fit_languages(
             def work(batch):
                 sums: dict[tuple[str, int], float] = {}
                 for name, word, n in zip(*[c.to_pylist() for c in batch.columns]):
-                    for piece, x in expected_counts(word, own, current[languages.index(name)], longest).items():
+                    for piece, x in _counts_of(word, own, current[languages.index(name)], longest).items():
                         sums[name, piece] = sums.get((name, piece), 0.0) + n * x
                 yield {"lang": [k[0] for k in sums], "piece": [k[1] for k in sums], "n": list(sums.values())}
 
