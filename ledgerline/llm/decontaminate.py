@@ -67,7 +67,10 @@ class WordHashes:
 
 def shingle_hashes(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
     """Hashes of the word shingles in order; a text with fewer words is one shingle, one without words has none."""
-    h = hashes(text or "")
+    return _rolled(hashes(text or ""), size)
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
     if not len(h):
         return h
     n = max(1, len(h) - size + 1)
@@ -96,20 +99,32 @@ class Items:
     shingles: list[np.ndarray]  # distinct, sorted
     classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # width -> (key, permutation, item), sorted by key
     all_shingles: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # words of an item with fewer than a shingle -> (hash, item), sorted by hash
 
 
 def index_items(rows: list[tuple], permutations: int = PERMUTATIONS) -> Items:
-    """Signatures of items; the class of an item is the next power of two of its shingle count."""
+    """Signatures of items; the class of an item is the next power of two of its shingle count.
+
+    An item of fewer words than a shingle is one shingle of its own width, looked up among the runs of as many words.
+    """
     hashes = WordHashes()
-    ids, shingles, by_class = [], [], {}
+    ids, shingles, by_class, by_words = [], [], {}, {}
     for item_id, text in rows:
-        own = np.unique(shingle_hashes(text, hashes))
+        words = hashes(text or "")
+        own = np.unique(_rolled(words, SHINGLE))
         if not len(own):
             continue
-        width = 1 << int(len(own) - 1).bit_length()
-        by_class.setdefault(width, []).append(len(ids))
+        if len(words) < SHINGLE:
+            by_words.setdefault(len(words), []).append((own[0], len(ids)))
+        else:
+            by_class.setdefault(1 << int(len(own) - 1).bit_length(), []).append(len(ids))
         ids.append(item_id)
         shingles.append(own)
+    short = {}
+    for n, members in by_words.items():
+        keys, item = np.array([m[0] for m in members], np.uint64), np.array([m[1] for m in members])
+        order = np.argsort(keys, kind="stable")
+        short[n] = keys[order], item[order]
     classes = {}
     for width, members in by_class.items():
         keys = np.concatenate([minima(shingles[m], permutations) for m in members])
@@ -117,8 +132,9 @@ def index_items(rows: list[tuple], permutations: int = PERMUTATIONS) -> Items:
         item = np.repeat(np.array(members), permutations)
         order = np.argsort(keys, kind="stable")
         classes[width] = keys[order], which[order], item[order]
-    every = np.unique(np.concatenate(shingles)) if shingles else np.zeros(0, np.uint64)
-    return Items(ids, shingles, classes, every)
+    long = [shingles[m] for members in by_class.values() for m in members]
+    every = np.unique(np.concatenate(long)) if long else np.zeros(0, np.uint64)
+    return Items(ids, shingles, classes, every, short)
 
 
 def _held(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -142,7 +158,7 @@ class Searcher:
         any item cannot share a minimum, so its signature is not computed.
         """
         near = np.flatnonzero(self.bits[(h >> np.uint64(64 - BITS)).view(np.int64)])
-        if len(near):
+        if len(near):  # then there are items of whole shingles
             near = near[_held(h[near], self.items.all_shingles)]
         found: set[int] = set()
         if not len(near):
@@ -158,12 +174,24 @@ class Searcher:
                     found.update(item[hit][which[hit] == k].tolist())
         return found
 
+    def _short(self, words: np.ndarray) -> list[tuple[int, float]]:
+        """Items of fewer words than a shingle that stand in the text, word by word."""
+        out = []
+        for n, (keys, item) in self.items.short.items():
+            if len(words) >= n:
+                runs = np.unique(_rolled(words, n))
+                low, high = np.searchsorted(keys, runs, "left"), np.searchsorted(keys, runs, "right")
+                out += [(int(i), 1.0) for k in np.flatnonzero(high > low) for i in item[low[k] : high[k]]]
+        return out
+
     def matches(self, text: str | None) -> list[tuple[int, float]]:
         """(item number, exact containment) of every item held by the text."""
-        h = shingle_hashes(text, self.hashes)
-        if not len(h):
-            return []
-        found, own, out = self.candidates(h), None, []
+        words = self.hashes(text or "")
+        out = self._short(words)
+        if len(words) < SHINGLE:
+            return out
+        h = _rolled(words, SHINGLE)
+        found, own = self.candidates(h), None
         for i in sorted(found):
             own = np.unique(h) if own is None else own
             item = self.items.shingles[i]
@@ -188,9 +216,10 @@ def find_items(
 
     Words are runs without white space, in lower case; shingles have five words.
     Items are searched for in blocks of ``block`` (ordered by id), one pass over the
-    documents each, so what a task holds is bounded; documents are never shuffled.
-    Items or texts that are null or have no word match nothing; an item or text of fewer
-    words is one shingle; a repeated row repeats its matches. A null id is reported as null.
+    documents each, so what a task holds is bounded; documents are never shuffled. An item of fewer
+    words is one shingle, held by a text with these words one after the other (containment 1).
+    Items or texts that are null or have no word match nothing; a repeated document or item repeats
+    its matches, and equal items are searched once. A null id is reported as null.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     asked = items.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text")).filter("_text IS NOT NULL")
@@ -200,14 +229,15 @@ def find_items(
     for part in _blocks(asked, block):
 
         def search(part=part):
-            index = index_items(part, permutations)
+            index = index_items([((item, times), body) for item, body, times in part], permutations)
             searcher = Searcher(index, containment, permutations)
 
             def work(batch):
                 found = [
-                    (doc, index.ids[i], share, len(index.shingles[i]))
+                    (doc, index.ids[i][0], share, len(index.shingles[i]))
                     for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                     for i, share in searcher.matches(body)
+                    for _ in range(index.ids[i][1])
                 ]
                 if found:
                     yield dict(zip(("doc_id", "item_id", "containment", "n_shingles"), zip(*found)))
@@ -234,7 +264,7 @@ def without_items(
     for part in _blocks(asked, block):
 
         def keeps(part=part):
-            searcher = Searcher(index_items(part, permutations), containment, permutations)
+            searcher = Searcher(index_items([(item, body) for item, body, _ in part], permutations), containment, permutations)
             return lambda bodies: [not searcher.matches(body) for body in bodies]
 
         docs = filter_rows(docs, keeps, text)
@@ -242,7 +272,8 @@ def without_items(
 
 
 def _blocks(items: DataFrame, size: int):
-    """The item rows in blocks of a bounded size."""
+    """The distinct items (id, text, times) in blocks of a bounded size."""
+    items = items.groupBy("_item", "_text").agg(F.count("*").alias("_times"))
     count = items.count()
     if count <= size:
         if count:
@@ -251,7 +282,7 @@ def _blocks(items: DataFrame, size: int):
     n = -(-count // size) * 2  # hashed blocks: half full on average, so that they stay below the size
     numbered = items.withColumn("_block", F.pmod(F.xxhash64("_item", "_text"), F.lit(n)))
     for i in range(n):
-        rows = [(r["_item"], r["_text"]) for r in numbered.filter(F.col("_block") == i).collect()]
+        rows = [(r["_item"], r["_text"], r["_times"]) for r in numbered.filter(F.col("_block") == i).collect()]
         if rows:
             yield rows
 
@@ -261,14 +292,15 @@ WITH doc_words AS (
   SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 item_words AS (
   SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark),
+widths AS (SELECT DISTINCT least(len(ws), {SHINGLE}) AS w FROM item_words WHERE len(ws) > 0),
 doc_shingles AS (
-  SELECT DISTINCT id AS doc_id, array_to_string(ws[i:i + {SHINGLE - 1}], ' ') AS s
-  FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - {SHINGLE - 1}, 1) + 1)) AS i FROM doc_words WHERE len(ws) > 0)),
+  SELECT DISTINCT id AS doc_id, w, array_to_string(ws[i:i + w - 1], ' ') AS s
+  FROM (SELECT id, ws, w, unnest(range(1, len(ws) - w + 2)) AS i FROM doc_words, widths WHERE len(ws) >= w)),
 item_shingles AS (
-  SELECT DISTINCT id AS item_id, array_to_string(ws[i:i + {SHINGLE - 1}], ' ') AS s
-  FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - {SHINGLE - 1}, 1) + 1)) AS i FROM item_words WHERE len(ws) > 0)),
+  SELECT DISTINCT id AS item_id, w, array_to_string(ws[i:i + w - 1], ' ') AS s
+  FROM (SELECT id, ws, least(len(ws), {SHINGLE}) AS w, unnest(range(1, greatest(len(ws) - {SHINGLE - 1}, 1) + 1)) AS i FROM item_words WHERE len(ws) > 0)),
 sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id),
-shared AS (SELECT doc_id, item_id, count(*) AS c FROM doc_shingles JOIN item_shingles USING (s) GROUP BY doc_id, item_id)
+shared AS (SELECT doc_id, item_id, count(*) AS c FROM doc_shingles JOIN item_shingles USING (w, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, c / n AS containment, n AS n_shingles FROM shared JOIN sizes USING (item_id) WHERE c / n >= {CONTAINMENT}
 """
 
