@@ -58,6 +58,11 @@ DOUBTFUL = frozenset(  # of these, inside an article only parts that are mostly
     "alert comment community consent copyright disclaimer discussion feedback foot header notice notices notification overlay promotion"
     " promoted recommended related remark replies reply respond responses search skip social subscription thread warning".split()
 )
+SIDE_CLASSES = frozenset(  # of these, as classes of a block they are no title and name a side part
+    "comment comments consent copyright notice notices notification overlay promoted promotion related replies reply respond responses"
+    " social subscription".split()
+)
+READERS = frozenset("comment comments commentlist replies reply respond responses".split())  # what readers say
 CODED = frozenset(  # no title of a section gives an id such a word
     "adsense adslot breadcrumbs combx commentlist cookiebar disqus menubar navbar outbrain searchform shoutbox sidebar sidebars taboola"
     " topbar".split()
@@ -67,6 +72,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 LIKELY = frozenset("article body content entry hentry main page post story text blog".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl table figure".split())
 UNNAMED = HEADINGS | {"html", "body", "main", "article", "p", "pre", "blockquote"}  # their names say nothing about their text
 
 SHORT = 25  # a paragraph with fewer letters passes no points up
@@ -74,13 +80,14 @@ DEPTH_SHARE = (1.0, 0.5, 1 / 3)  # of its points for the parent and the next anc
 
 
 class Node:
-    __slots__ = ("tag", "parent", "words", "skip", "named", "doubt", "items", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "words", "skip", "named", "doubt", "items", "points", "score", "length", "linked")
 
     def __init__(self, tag: str, parent: Node | None, words: frozenset = frozenset(), skip: bool = False, named: bool = False) -> None:
         self.tag, self.parent, self.words = tag, parent, words
         self.skip, self.named = skip, named  # named: skipped only for its class or id, or as a form
         self.doubt = False  # goes if it is mostly links
         self.items: list = []  # texts and nodes in page order
+        self.points = 0.0  # that it passes up as a paragraph
         self.score, self.length, self.linked = 0.0, 0, 0
 
 
@@ -99,14 +106,17 @@ def _start(tag: str, attributes: str, parent: Node) -> Node:
     if tag not in UNNAMED:
         unlikely = [(key, p & UNLIKELY) for key, p in parts if p & UNLIKELY and not p & ABSENT]
         if unlikely and _inside(parent, ("article", "main")):  # ids are often made of titles there
-            sure = any(u & CODED or key == "class" and u - DOUBTFUL for key, u in unlikely)
+            sure = any(u & CODED or key == "class" and (u - DOUBTFUL or tag not in INLINE and u & SIDE_CLASSES) for key, u in unlikely)
+            sure = sure or tag not in INLINE and any(key == "id" and t in READERS for key, t in tokens)
             named = named or sure
             doubt = not sure and any(u != {"header"} for _, u in unlikely)  # an article's own header holds its title
         else:
             named = named or bool(unlikely)
     if tag == "header" and not _inside(parent, ("article", "main")):
         skip = True
-    if tag in ("article", "main"):  # what holds the article is no side part, whatever its name
+    if tag == "article" and any(p & READERS and not p & ABSENT for _, p in parts):
+        named = True  # what a reader says, marked up as an article
+    elif tag in ("article", "main") and not _inside(parent, ("article",)):  # what holds the article is no side part, whatever its name
         above: Node | None = parent
         while above is not None:
             above.skip = above.skip and not above.named
@@ -258,6 +268,7 @@ def best_containers(root: Node) -> list[Node]:
             continue
         text = "".join(x for x in node.items if type(x) is str) if direct and node.tag not in PARAGRAPHS else _plain(node)
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - link_density(node))
+        node.points = points
         up = node if direct and node.tag not in PARAGRAPHS else node.parent
         for share in DEPTH_SHARE:
             while up is not None and up.tag in INLINE:
@@ -279,20 +290,43 @@ def best_containers(root: Node) -> list[Node]:
     best = max(candidates.values(), key=lambda n: (n.score * (1 - link_density(n)), -position[id(n)]))
     while best.parent is not None and best.tag in PARAGRAPHS | {"tr", "tbody", "ul", "ol", "dl", "table"} and best.parent.tag not in ("#root", "html"):
         best = best.parent  # a cell or list item is part of a container
+    points = sum(n.points for n in order)
+    while True:
+        chosen = _with_siblings(best)
+        if _points_below(chosen) > 0.5 * points or best.parent is None or best.parent.tag in ("#root", "html"):
+            return chosen
+        best = best.parent  # most of what was scored lies outside: the container of the parts
+
+
+def _points_below(nodes: list[Node]) -> float:
+    total, stack = 0.0, [n for n in nodes if type(n) is Node]
+    while stack:
+        n = stack.pop()
+        total += n.points
+        stack.extend(x for x in n.items if type(x) is Node and not x.skip)
+    return total
+
+
+def _with_siblings(best: Node) -> list[Node]:
+    """The container and the siblings that belong to it, with all that lies between them, as one part of the page."""
     if best.parent is None or best.tag == "body":
         return [best]
-    least = max(10.0, 0.2 * best.score)
-    chosen = []
-    for x in best.parent.items:
+    least = 0.2 * best.score * (1 - link_density(best))
+    around, kept = best.parent.items, []
+    for i, x in enumerate(around):
         if type(x) is not Node or x.skip:
             continue
-        if x is best:
-            chosen.append(x)
-        elif x.score * (1 - link_density(x)) >= least:
-            chosen.append(x)
-        elif x.tag in PARAGRAPHS | HEADINGS and x.length and link_density(x) < 0.25:
-            chosen.append(x)
-    return chosen
+        own = x.tag == best.tag and x.words == best.words and x.length and link_density(x) < 0.25
+        plain = x.tag in PARAGRAPHS | HEADINGS | LISTS and x.length and link_density(x) < 0.25
+        if x is best or x.score > 0 and x.score * (1 - link_density(x)) >= least or own or plain:
+            kept.append(i)
+    part = Node("div", None)
+    wanted = set(kept)
+    for i in range(kept[0], kept[-1] + 1):  # an unscored block between kept ones goes only if it is mostly links
+        x = around[i]
+        if i in wanted or type(x) is str or not x.skip and link_density(x) <= 0.5:
+            part.items.append(x)
+    return [part]
 
 
 def blocks_of(node: Node) -> list[str]:
