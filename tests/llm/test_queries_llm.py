@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import accumulate
 
 import corpus_pipeline
 import duckdb
@@ -59,7 +60,6 @@ def test_packing_is_a_partition(spark, texts):
     import public_tokenizers
 
     encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encoder.encode_special_tokens = True
     pieces, sequences = defaultdict(dict), defaultdict(list)
     for r in QUERIES["op3_packing"](spark, FOLDER).collect():
         pieces[r.doc_id][r.piece] = r
@@ -117,20 +117,26 @@ def test_simhash_components(spark, texts):
 
 
 def test_token_counts(spark, texts):
+    """All columns of all texts; ids, and so spans in code points, from the tokenizer file."""
     from tokenizers import Tokenizer
     import public_tokenizers
 
     encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encoder.encode_special_tokens = True
     got = defaultdict(dict)
     for r in QUERIES["op6_token_counts"](spark, FOLDER).collect():
-        got[r.doc_id][r.section] = int(r.n_tokens)
+        got[r.doc_id][r.section] = (r.start_byte, r.n_bytes, r.n_tokens, r.n_crossing)
     assert sorted(got) == sorted(texts)
-    for doc, text in list(texts.items())[:60]:
-        want = defaultdict(int)
-        for first, _ in encoder.encode(text, add_special_tokens=False).offsets:
-            want[text[:first].count("\n")] += 1
-        assert {s: n for s, n in got[doc].items() if n} == dict(want)
+    for doc, text in texts.items():
+        tokens, crossing = defaultdict(int), defaultdict(int)
+        line_of = list(accumulate((c == "\n" for c in text), initial=0))
+        for first, after in encoder.encode(text, add_special_tokens=False).offsets:
+            tokens[line_of[first]] += 1
+            crossing[line_of[first]] += line_of[first] != line_of[after - 1]
+        want, at = {}, 0
+        for i, line in enumerate(text.encode().splitlines(keepends=True) if "\r" not in text else text.encode().replace(b"\r", b"x").splitlines(keepends=True)):
+            want[i] = (at, len(line), tokens[i], crossing[i])
+            at += len(line)
+        assert got[doc] == (want or {0: (0, 0, 0, 0)}), doc
 
 
 def test_html_extraction(spark, db):
