@@ -67,8 +67,8 @@ def cut_pieces(
 class Sweep:
     """One block of the order: documents wait on a stack, a gap takes the largest that fit."""
 
-    def __init__(self, opens: bool = False, capacity: int = CAPACITY) -> None:
-        self.opens, self.capacity = opens, capacity
+    def __init__(self, capacity: int = CAPACITY) -> None:
+        self.capacity = capacity
         self.sizes: list[int] = []
         self.ids: list[int] = []
         self.out: list[tuple] = []
@@ -91,28 +91,22 @@ class Sweep:
             self.ids.append(item)
             return
         left = self.fill(size, item)
-        if left == size and not self.opens:
+        if left == size:
             self.out.append((GAP, size, item, None, 1, self.free_gaps))
             self.free_gaps += 1
-        elif left and not self.opens:
+        elif left:
             self.out.append((GAP, left, item, None, None, None))
 
     def end(self) -> None:
-        """Documents without a gap: they stay free, or open sequences of their own, the largest first."""
-        if not self.opens:
-            self.out += [(DOC, s, i, None, 1, n) for n, (s, i) in enumerate(zip(self.sizes, self.ids))]
-            return
-        while self.sizes:
-            size, doc = self.sizes.pop(), self.ids.pop()
-            self.out.append((PLACED, 0, doc, doc, None, None))
-            self.fill(self.capacity - size, doc)
+        """Documents without a gap stay free."""
+        self.out += [(DOC, s, i, None, 1, n) for n, (s, i) in enumerate(zip(self.sizes, self.ids))]
 
 
-def _sweep_blocks(state: DataFrame, blocks: int, opens: bool, capacity: int) -> DataFrame:
+def _sweep_blocks(state: DataFrame, blocks: int, capacity: int) -> DataFrame:
     """Sweep every block; free documents and gaps keep their block and their rank in it."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, one = TaskContext.get().partitionId(), Sweep(opens, capacity)
+        block, one = TaskContext.get().partitionId(), Sweep(capacity)
 
         def drain():
             columns = list(zip(*one.out)) or [()] * 6
@@ -134,8 +128,7 @@ def _sweep_blocks(state: DataFrame, blocks: int, opens: bool, capacity: int) ->
 
     order = [F.col("size"), F.col("kind"), F.col("id")]
     rows = state.select("kind", "size", "id")
-    ranged = rows.repartition(1) if blocks == 1 else rows.repartitionByRange(blocks, *order)
-    return ranged.sortWithinPartitions(*order).mapInArrow(sweep, _STATE)
+    return rows.repartitionByRange(blocks, *order).sortWithinPartitions(*order).mapInArrow(sweep, _STATE)
 
 
 def plan_borders(classes: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -261,8 +254,8 @@ def best_fit(units: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK
     A sequence is named after its first unit. Units longer than half the
     capacity open sequences at the start, as no two of them share one; more
     are opened, for the largest units, when the gaps fit less than a tenth of the
-    rest. What the driver sees of a round are counts by size and by block. When no
-    more than ``block_rows`` rows matter, they form one block, which ends the packing.
+    rest. What the driver sees of a round are counts by size and by block. A round is the same whatever the number
+    of rows, and each one places or opens something, so the rounds end.
     """
     state = units.select(F.inline(_opened(F.col("length") * 2 > capacity, capacity, "length", "unit")))
     state, done, rounds = materialize(state), [], 0
@@ -278,12 +271,10 @@ def best_fit(units: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK
         useful = state.filter((F.col("kind") == DOC) | ((F.col("kind") == GAP) & (F.col("size") >= min(docs))))
         if on_round:
             on_round(rounds, sum(docs.values()), sum(gaps.values()))
-        if rows <= block_rows:
-            state = materialize(_sweep_blocks(useful, 1, True, capacity))
-        elif fit * 10 < tokens:
+        if fit * 10 < tokens:
             state = materialize(_open(useful, docs, -(-(tokens - fit) // capacity), capacity, rounds))
         else:
-            swept = materialize(_sweep_blocks(useful, -(-rows // block_rows), False, capacity))
+            swept = materialize(_sweep_blocks(useful, -(-rows // block_rows), capacity))
             state = materialize(_match_borders(swept, capacity))
     placed = done[0]
     for part in done[1:]:
