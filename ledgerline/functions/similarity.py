@@ -3,25 +3,27 @@
 ``indel`` is the normalised insert/delete ratio (twice the longest common
 subsequence over the summed lengths), ``difflib`` the matching-block ratio of
 Python's standard library. Both are 0..1 here; pairs reach the Python side in
-Arrow batches and only after the equi-joins and the native bound have
-removed everything that cannot match. A batch scores equal pairs once.
+Arrow batches and only after the equi-joins and the native bounds have
+removed everything that cannot match. A batch is scored as a whole (``lanes``).
 """
 
 from __future__ import annotations
 
 import sys
 from difflib import SequenceMatcher
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+from ledgerline.functions.lanes import difflib_ratios, indel_ratios
+
 # Executors get these functions with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 METHODS = ("indel", "difflib")
-_CACHE = 65536
+_KINDS, _RUN = 32, 2  # of a signature: so many kinds of characters, of each up to so many
 _SLACK = 1e-9  # keeps the whole-number edit bound on the lossless side
 
 
@@ -59,18 +61,71 @@ def _once(udf):
 
 def similarity(a: Column | str, b: Column | str, method: str = "indel") -> Column:
     """Similarity of two text columns, 0..1."""
-    ratio = ratio_function(method)
+    ratio_function(method)  # an unknown method is an error here
+    ratios = indel_ratios if method == "indel" else difflib_ratios
 
     @F.pandas_udf("double")
     def score(left: pd.Series, right: pd.Series) -> pd.Series:
-        known = lru_cache(maxsize=_CACHE)(ratio)
-        return pd.Series(
-            [None if x is None or y is None else known(x, y) for x, y in zip(left, right)], dtype="float64"
-        )
+        known = (left.notna() & right.notna()).to_numpy()
+        out = np.full(len(left), np.nan)
+        out[known] = ratios(left[known].tolist(), right[known].tolist())
+        return pd.Series(out)
 
     return _once(score)(a, b)
 
 
+def best_similarity(name: Column | str, labels: Column | str, method: str = "indel") -> Column:
+    """the highest similarity between a text and an array of texts; 0 of an empty array, null if either is null."""
+    ratio_function(method)
+    ratios = indel_ratios if method == "indel" else difflib_ratios
+
+    @F.pandas_udf("double")
+    def score(names: pd.Series, arrays: pd.Series) -> pd.Series:
+        known = np.flatnonzero((names.notna() & arrays.notna()).to_numpy())
+        out = np.full(len(names), np.nan)
+        out[known] = 0.0
+        own = [arrays.iloc[i] for i in known]
+        sizes = np.array([len(a) for a in own], np.int64)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            left = [n for i in some for n in [names.iloc[known[i]]] * sizes[i]]
+            scores = ratios(left, [t for i in some for t in own[i]])
+            out[known[some]] = np.maximum.reduceat(scores, np.cumsum(sizes[some]) - sizes[some])
+        return pd.Series(out)
+
+    return _once(score)(name, labels)
+
+
+def char_signature(name: Column | str) -> Column:
+    """64 bits that stand for the characters of a text: 32 kinds (the letters a to z apart), of each a run of up to two ones."""
+    name = F.col(name) if isinstance(name, str) else name
+    kinds = F.transform(
+        F.when(F.length(name) > 0, F.sequence(F.lit(1), F.length(name))).otherwise(F.array().cast("array<int>")),
+        lambda i: (F.pmod(F.ascii(F.substring(name, i, 1)), F.lit(_KINDS)) * _RUN).cast("int"),
+    )
+
+    def one_more(bits: Column, at: Column) -> Column:
+        full = F.lit((1 << _RUN) - 1).cast("bigint")
+        run = F.call_function("shiftrightunsigned", bits, at).bitwiseAND(full)
+        grown = (run * 2 + 1).bitwiseAND(full)
+        return bits.bitwiseOR(F.call_function("shiftleft", grown, at))
+
+    return F.aggregate(kinds, F.lit(0).cast("bigint"), one_more)
+
+
+def common_at_most(bits_a: Column, length_a: Column, bits_b: Column, length_b: Column) -> Column:
+    """Native bound: no more characters than these can be common to two texts of these signatures, in whatever order."""
+    beyond = F.least(length_a - F.bit_count(bits_a), length_b - F.bit_count(bits_b))  # characters that the runs do not show
+    return F.bit_count(bits_a.bitwiseAND(bits_b)) + beyond
+
+
+def ratio_at_most(bits_a: Column, length_a: Column, bits_b: Column, length_b: Column) -> Column:
+    """Native bound of both similarities, 0..1, from signatures and lengths."""
+    total = length_a + length_b
+    common = F.least(common_at_most(bits_a, length_a, bits_b, length_b), length_a, length_b)
+    return F.when(total > 0, common * 2.0 / total + _SLACK).otherwise(F.lit(1.0))
+
+
 def edit_budget(length_a: Column, length_b: Column, threshold: float) -> Column:
     """Most inserted plus deleted characters a pair may need and still reach the threshold."""
     return F.floor((length_a + length_b) * (1.0 - threshold) + _SLACK).cast("int")

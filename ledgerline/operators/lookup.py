@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerline.functions.similarity import similarity
+from ledgerline.functions.similarity import best_similarity, char_signature, ratio_at_most
 from ledgerline.functions.text import fraction, is_filled, normalise_name, normalise_parish, prefer, trim_text
 from ledgerline.operators.skew import attach
 from ledgerline.storage import materialize
@@ -98,7 +98,11 @@ def _admin_columns(record: Column, found: Column, otherwise: Column | None = Non
 def cascade(keys: DataFrame, lookup: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
     """J2 on distinct (page, parish_norm): exact hit with a county, else the page's fallback, else blank."""
     by_key, fallback, _ = lookup
-    found = keys.join(by_key, ["page", "parish_norm"], "left").join(fallback, "page", "left")
+    return _settled(keys.join(by_key, ["page", "parish_norm"], "left").join(fallback, "page", "left"))
+
+
+def _settled(found: DataFrame) -> DataFrame:
+    """The admin columns and the method from ``rec`` (the exact hit) and ``fallback``, which may be null."""
     exact = F.coalesce(F.col("rec.county_effective"), F.lit("")) != ""
     found = found.withColumns(
         {
@@ -131,6 +135,34 @@ def join_admin(
     return out.drop("page", "parish_norm").withColumn("townland_gv", F.col(label))
 
 
+def page_lookup(truth: DataFrame, order: str = "row_no") -> DataFrame:
+    """J1 with one row per page: (page, by_parish, fallback); ``by_parish`` maps the parish keys of the page to their records."""
+    by_key, fallback, _ = build_lookup(truth, order)
+    pairs = F.collect_list(F.struct("parish_norm", "rec"))  # the parishes of one page
+    packed = by_key.groupBy("page").agg(F.map_from_entries(pairs).alias("by_parish"))
+    return packed.join(fallback, "page", "full")
+
+
+def store_by_page(df: DataFrame, table: str, path: str, page: str | None = None, buckets: int = 200) -> DataFrame:
+    """Write a table in buckets by its trimmed page (column ``page``), sorted in them; tables of as many buckets join without an exchange."""
+    keyed = df if page is None else df.withColumn("page", trim_text(page))
+    # one writer task per bucket, so that a bucket is one sorted file
+    dealt = keyed.repartition(buckets, "page")
+    dealt.write.bucketBy(buckets, "page").sortBy("page").option("path", path).mode("errorifexists").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def join_admin_stored(rows: DataFrame, lookup: DataFrame, parish: str = "parish", label: str = "townland_filled") -> DataFrame:
+    """J2 on tables stored by page: rows with their ``page``, and ``page_lookup``. Where both have the same buckets nothing is shuffled.
+
+    For rows that are looked up again and again, or that arrive stored. A page of very many rows stays one
+    task's; ``join_admin`` splits it.
+    """
+    found = rows.withColumn("parish_norm", normalise_parish(parish)).join(lookup, "page", "left")
+    found = found.withColumn("rec", F.try_element_at("by_parish", F.col("parish_norm"))).drop("by_parish")
+    return _settled(found).drop("page", "parish_norm").withColumn("townland_gv", F.col(label))
+
+
 def clean_overrides(overrides: DataFrame, order: str = "row_no") -> DataFrame:
     """Last override per (page, parish); a blank parish stands for the whole page."""
     fields = F.struct(*[prefer(c, F.lit("")).alias(c) for c in EFFECTIVE])
@@ -166,17 +198,44 @@ def _shown_labels() -> Column:
     return F.array_distinct(F.flatten(F.array(*forms)))
 
 
-def _best_label_scores(scored: DataFrame, sets: DataFrame, method: str) -> DataFrame:
-    """add ``score`` (0..100), the highest similarity between ``parish_norm`` and a label of the set ``_set``; 0 without labels.
+SPLIT_NAMES = 2000  # names of a page that meet its candidates in one task
+
 
-    Names and label sets (``sets``: _set, _labels) recur from page to page: each distinct pair of them is scored once.
+def bounded_scores(groups: DataFrame, candidates: DataFrame, method: str, top: int = TOP_CANDIDATES) -> DataFrame:
+    """Every candidate of every (page, parish_norm) of ``groups`` with its ``score`` (0..100), null where it cannot be among the first.
+
+    ``candidates`` are (page, rank, _labels). Best first: lengths and signatures bound all scores, natively. The candidates with
+    the highest bounds are scored, and of the others only those whose bound reaches the last of these scores; no other
+    one can be among the first ``top``. A candidate without labels scores 0. Candidates are written once, so their
+    measured size decides whether they are broadcast; then the rows of a group never move. Names of a page
+    beyond SPLIT_NAMES are dealt to several tasks.
     """
-    pairs = scored.select("parish_norm", "_set").distinct().join(sets, "_set")
-    each = pairs.select("parish_norm", "_set", F.explode("_labels").alias("_label"))
-    each = each.withColumn("_score", similarity("parish_norm", "_label", method) * 100.0)
-    best = each.groupBy("parish_norm", "_set").agg(F.max("_score").alias("score"))
-    found = scored.join(best, ["parish_norm", "_set"], "left").drop("_set")
-    return found.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    group = ["page", "parish_norm"]
+    parts = groups.groupBy("page").agg(F.ceil(F.count("*") / SPLIT_NAMES).cast("int").alias("_parts"))
+    bags = F.transform("_labels", lambda t: F.struct(F.length(t).alias("n"), char_signature(t).alias("bits")))
+    offered = candidates.select("page", "rank", "_labels", bags.alias("_bags")).join(parts, "page")
+    offered = materialize(offered.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts"))
+    wanted = groups.join(parts, "page").withColumn("_salt", F.pmod(F.xxhash64("parish_norm"), F.col("_parts")).cast("int")).drop("_parts")
+    wanted = wanted.withColumn("_bits", char_signature("parish_norm")).repartition(*group)
+    most = F.transform("_bags", lambda b: ratio_at_most(F.col("_bits"), F.length("parish_norm"), b["bits"], b["n"]) * 100.0)
+    rows = wanted.join(offered, ["page", "_salt"]).withColumn("_most", F.coalesce(F.array_max(most), F.lit(0.0))).drop("_salt", "_bags", "_bits")
+    likely = Window.partitionBy(*group).orderBy(F.desc("_most"), "rank")
+    rows = rows.withColumn("_first", F.row_number().over(likely) <= top)
+
+    def scored(when: Column) -> Column:
+        return best_similarity(F.when(when, F.col("parish_norm")), F.when(when, F.col("_labels")), method) * 100.0
+
+    rows = rows.withColumn("_score", scored(F.col("_first")))
+    rows = rows.withColumn("_least", F.min("_score").over(Window.partitionBy(*group)))
+    rows = rows.withColumn("_other", scored(~F.col("_first") & (F.col("_most") >= F.col("_least"))))
+    return rows.withColumn("score", F.coalesce("_score", "_other")).drop("_labels", "_most", "_first", "_score", "_least", "_other")
+
+
+def top_candidates(groups: DataFrame, candidates: DataFrame, method: str, top: int = TOP_CANDIDATES) -> DataFrame:
+    """The ``top`` candidates of each (page, parish_norm) by (score, rank), with ``score`` and place ``_rn``."""
+    best_first = Window.partitionBy("page", "parish_norm").orderBy(F.desc("score"), "rank")
+    every = bounded_scores(groups, candidates, method, top).filter("score is not null")
+    return every.withColumn("_rn", F.row_number().over(best_first)).filter(F.col("_rn") <= top)
 
 
 def match_groups(
@@ -198,13 +257,9 @@ def match_groups(
     overridden = groups.filter("_override is not null").select(
         "page", "parish_norm", F.col("_override").alias("_rec"), F.lit("override").alias("_method")
     )
-    labels = candidates.select("page", "rank", _shown_labels().alias("_labels")).withColumn("_set", F.xxhash64("_labels"))
-    labels = materialize(labels)
-    scored = groups.filter("_override is null and not complete").select("page", "parish_norm", "llm_parish").join(labels.drop("_labels"), "page")
-    scored = _best_label_scores(scored, labels.select("_set", "_labels").dropDuplicates(["_set"]), method)
-    best_first = Window.partitionBy("page", "parish_norm").orderBy(F.desc("score"), "rank")
-    top = scored.withColumn("_rn", F.row_number().over(best_first)).filter(F.col("_rn") <= TOP_CANDIDATES)
-    top = top.join(candidates, ["page", "rank"])
+    labels = candidates.select("page", "rank", _shown_labels().alias("_labels"))
+    wanted = groups.filter("_override is null and not complete").select("page", "parish_norm", "llm_parish")
+    top = top_candidates(wanted, labels, method).join(candidates, ["page", "rank"])
     ranked = top.groupBy("page", "parish_norm", "llm_parish").agg(
         F.array_sort(F.collect_list(F.struct("_rn", "score", "rank", "rec"))).alias("top")
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerline.functions.similarity import may_reach, similarity
+from ledgerline.functions.similarity import char_signature, may_reach, ratio_at_most, similarity
 from ledgerline.functions.text import fraction, normalise_name, squash
 from ledgerline.storage import materialize
 
@@ -47,7 +47,7 @@ def _tokens(name: Column) -> Column:
 
 
 def rarest_tokens(names: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
-    """(block, name, kind, keys): the tokens of each distinct name as hashes, the rarest of all names first.
+    """(block, name, bits, kind, keys): the tokens of each distinct name as hashes, the rarest of all names first, and its signature.
 
     Written once: the order must be the same on both sides of a join. Kinds that no pair of
     the name needs are left out.
@@ -63,11 +63,11 @@ def rarest_tokens(names: DataFrame, block: Sequence[str], threshold: float) -> D
     rare_first = F.array_sort(F.collect_list(F.struct("_seen", "text", "nth")))  # at most the length of a name
     sorted_ = tokens.join(seen, ["kind", "text"]).groupBy(*block, "name", "kind").agg(rare_first.alias("_sorted"))
     keys = F.transform("_sorted", lambda t: F.xxhash64(F.col("kind"), t["text"], t["nth"]))
-    return materialize(sorted_.select(*block, "name", "kind", keys.alias("keys")))
+    return materialize(sorted_.select(*block, "name", char_signature("name").alias("bits"), "kind", keys.alias("keys")))
 
 
 def _keys(tokens: DataFrame, block: Sequence[str], threshold: float, short_side: bool, name: str) -> DataFrame:
-    """(block, name, _key): so many of the rarest tokens that any pair within its edit budget shares one.
+    """(block, name, its signature, _key): so many of the rarest tokens that any pair within its edit budget shares one.
 
     Long names use pairs of neighbouring characters, of which all but the spoiled ones are common; the
     others characters, of which t (s + l) / 2 are common. Two sets that share c tokens share one
@@ -84,18 +84,24 @@ def _keys(tokens: DataFrame, block: Sequence[str], threshold: float, short_side:
         pairs = F.floor(n * _spoiled(threshold)[1] + _EPS) + 1
         wanted = F.lit(True)
     many = F.when(F.col("kind") == 1, chars).otherwise(pairs).cast("int")
-    return tokens.filter(wanted).select(*block, F.col("name").alias(name), F.explode(F.slice("keys", F.lit(1), many)).alias("_key"))
+    bits = F.col("bits").alias(f"_bits_{name}")
+    return tokens.filter(wanted).select(*block, F.col("name").alias(name), bits, F.explode(F.slice("keys", F.lit(1), many)).alias("_key"))
 
 
 def _meet(short: DataFrame, long: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
-    """Pairs (block, s, l) that share a key and may reach the threshold. Keys of many names are dealt to several tasks."""
+    """Pairs (block, s, l) that share a key and may reach the threshold: by their characters, then by edits.
+
+    Keys of many names are dealt to several tasks.
+    """
     on = [*block, "_key"]
     hot = long.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > SPLIT_ROWS)
     hot = materialize(hot.select(*on, F.ceil(F.col("_n") / SPLIT_ROWS).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
     left = short.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     right = long.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64("l"), parts).cast("int")).drop("_parts")
-    met = left.join(right, [*on, "_salt"]).filter((F.length("s") <= F.length("l")) & may_reach(F.col("s"), F.col("l"), threshold))
+    lengths = F.length("s"), F.length("l")
+    alike = ratio_at_most(F.col("_bits_s"), lengths[0], F.col("_bits_l"), lengths[1]) >= threshold
+    met = left.join(right, [*on, "_salt"]).filter((lengths[0] <= lengths[1]) & alike & may_reach(F.col("s"), F.col("l"), threshold))
     return met.select(*block, "s", "l").distinct()
 
 
