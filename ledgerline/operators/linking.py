@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions.similarity import ratio_function
 from ledgerline.functions.text import PAGE_NUMBER, clean_key, fraction, normalise_name, trim_text
@@ -19,7 +19,9 @@ from ledgerline.storage import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PAGE_BLOCK = 100_000
+PAGE_BLOCK = 100_000  # pages that one task walks
+SUMMARY_BLOCK = 256  # block summaries that one task combines
+_SUMMARY = "seq int, test string, out_name string, out_norm string"
 
 
 def page_boundaries(
@@ -63,11 +65,21 @@ def page_boundaries(
     return keyed, pages
 
 
-def _fold(threshold: float, method: str):
-    """Walk one block of pages in order; only page rows, never table rows."""
+def _similar(threshold: float, method: str) -> Callable[[str | None, str], bool]:
     ratio = ratio_function(method)
 
+    @lru_cache(maxsize=65536)
+    def reaches(carried: str, first: str) -> bool:
+        return ratio(carried, first) * 100.0 >= threshold
+
+    return lambda carried, first: carried is not None and reaches(carried, first)
+
+
+def _fold(threshold: float, method: str):
+    """Walk one block of pages in order, from the name handed to it; only page rows, never table rows."""
+
     def run(pages: pd.DataFrame) -> pd.DataFrame:
+        similar = _similar(threshold, method)
         pages = pages.sort_values("_page_no")
         carried, carried_norm = pages["in_name"].iloc[0], pages["in_norm"].iloc[0]
         names = []
@@ -75,18 +87,109 @@ def _fold(threshold: float, method: str):
             pages["linked"], pages["first_norm"], pages["last_name"], pages["last_norm"], pages["reach"], pages["passes"]
         ):
             if not linked:
-                carried = None
-            name = carried if carried is not None and reach and ratio(carried_norm, first) * 100.0 >= threshold else None
+                carried = carried_norm = None
+            name = carried if reach and similar(carried_norm, first) else None
             names.append(name)
             if last is None:
-                carried = None
+                carried = carried_norm = None
             elif not (name is not None and passes):
                 carried, carried_norm = last, last_norm
-        out = pages[["_page_no", BLOCK, "_lead"]].assign(name=names)
-        # the outgoing name, on every row, so that a block's result is one table
-        out["out_name"] = carried
-        out["out_norm"] = carried_norm if carried is not None else None
-        return out
+        return pages[["_page_no", "_lead"]].assign(name=names)
+
+    return run
+
+
+# What a block of pages does to the name handed to it. A page that a name can pass hands on that name if it is similar
+# to the page's own, else its own name; any other page hands on its own name or none. So a block is a list of tests,
+# one for each distinct name on the way: the first one that fails says what the block hands on, and if none fails
+# the name passes. The test of a page that nothing passes is null. Lists of neighbouring blocks combine to such a list.
+
+
+def _summarise(threshold: float, method: str):
+    """Tests of one block of pages (seq, test, out_name, out_norm)."""
+
+    def run(pages: pd.DataFrame) -> pd.DataFrame:
+        similar = _similar(threshold, method)
+        pages = pages.sort_values("_page_no")
+        open_ = (pages["linked"] & pages["reach"] & pages["passes"] & pages["last_name"].notna()).tolist()
+        firsts, own = pages["first_norm"].tolist(), list(zip(pages["last_name"], pages["last_norm"]))
+        tests = []
+        for i, first in enumerate(firsts):
+            if not open_[i] or all(first != t for _, t in tests):
+                tests.append((i, first if open_[i] else None))
+            if not open_[i]:
+                break
+        after: dict[int, int] = {}  # the page whose own name the block hands on, once page i has set its own
+
+        def end_of(i: int) -> int:
+            way = []
+            while i not in after:
+                way.append(i)
+                stop = next((j for j in range(i + 1, len(firsts)) if not open_[j] or not similar(own[i][1], firsts[j])), None)
+                if stop is None:
+                    after[i] = i
+                else:
+                    i = stop
+            for j in way:
+                after[j] = after[i]
+            return after[i]
+
+        rows = [(i, test, *own[end_of(i)]) for i, test in tests]
+        return pd.DataFrame(rows, columns=["seq", "test", "out_name", "out_norm"]).assign(**{BLOCK: pages[BLOCK].iloc[0]})
+
+    return run
+
+
+def _handed_on(tests: list[tuple], name: tuple, similar: Callable) -> tuple:
+    """(name, norm) that a block hands on when it is handed ``name``."""
+    for test, out in tests:
+        if test is None or not similar(name[1], test):
+            return out
+    return name
+
+
+def _tests_by_block(rows: pd.DataFrame) -> list[tuple[int, list[tuple]]]:
+    rows = rows.sort_values([BLOCK, "seq"])
+    rows = rows.astype(object).where(rows.notna(), None)
+    found: dict[int, list[tuple]] = {}
+    for block, test, name, norm in zip(rows[BLOCK], rows["test"], rows["out_name"], rows["out_norm"]):
+        found.setdefault(int(block), []).append((test, (name, norm)))
+    return list(found.items())
+
+
+def _combine(threshold: float, method: str):
+    """Tests of neighbouring blocks as the tests of one."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        similar = _similar(threshold, method)
+        upper, blocks = rows["_upper"].iloc[0], _tests_by_block(rows)
+        out: list[tuple] = []
+        for k, (_, tests) in enumerate(blocks):
+            for test, name in tests:
+                if test is not None and any(test == t for t, *_ in out):
+                    continue
+                for _, later in blocks[k + 1 :]:
+                    name = _handed_on(later, name, similar)
+                out.append((test, *name))
+                if test is None:
+                    break
+            if out[-1][0] is None:
+                break
+        return pd.DataFrame(out, columns=["test", "out_name", "out_norm"]).assign(seq=range(len(out)), **{BLOCK: upper})
+
+    return run
+
+
+def _hand_out(threshold: float, method: str):
+    """The name handed to each of neighbouring blocks, from the one handed to the first."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        similar = _similar(threshold, method)
+        name, out = (rows["in_name"].iloc[0], rows["in_norm"].iloc[0]), []
+        for block, tests in _tests_by_block(rows):
+            out.append((block, *name))
+            name = _handed_on(tests, name, similar)
+        return pd.DataFrame(out, columns=[BLOCK, "in_name", "in_norm"])
 
     return run
 
@@ -99,14 +202,14 @@ def follows(page: Column, previous: Column) -> Column:
 
 
 def link_names(
-    pages: DataFrame, threshold: float, method: str, page_block: int = PAGE_BLOCK, adjacent_only: bool = False
+    pages: DataFrame, threshold: float, method: str, page_block: int = PAGE_BLOCK, adjacent_only: bool = False,
+    summary_block: int = SUMMARY_BLOCK,
 ) -> DataFrame:
     """The name each page takes over, as (_page_no, _lead, name); exact and parallel over blocks of pages.
 
-    Blocks are walked independently, each starting from the plain last name of
-    the page before it. A block is walked again only while the name its
-    predecessor hands over differs from the one it was walked with; this ends
-    once no border changes. Block tables have one row per ``page_block`` pages.
+    A parallel prefix scan: every block of ``page_block`` pages is summarised once, summaries are combined
+    ``summary_block`` at a time up to one, names are handed down the same tree, and every block is walked once with the
+    name handed to it. The number of jobs grows with the logarithm of the pages, whatever the chains.
     """
     pages = dense_blocks(pages, "_page_no", page_block)
     before = with_previous(pages, {"_prev": "last", "_prev_page": "_page"}, row="_page_no")
@@ -126,38 +229,26 @@ def link_names(
             F.col("last.norm").alias("last_norm"),
             "reach",
             "passes",
-            F.col("_prev.name").alias("prev_name"),
-            F.col("_prev.norm").alias("prev_norm"),
         )
     )
-    walk = _fold(fraction(threshold) * 100.0, method)
-    schema = f"_page_no bigint, {BLOCK} int, _lead bigint, name string, out_name string, out_norm string"
-    border = F.struct(F.col("prev_name").alias("in_name"), F.col("prev_norm").alias("in_norm"))
-    # one row per block: the name it was walked with, and the walk that counts
-    used = materialize(table.groupBy(BLOCK).agg(F.min_by(border, "_page_no").alias("b")).select(BLOCK, "b.*", F.lit(0).alias("walk")))
-    walks: list[DataFrame] = []
-    outs = None
-    while True:
-        pending = used.filter(F.col("walk") == len(walks))
-        walked = table.join(pending.drop("walk"), BLOCK).groupBy(BLOCK).applyInPandas(walk, schema)
-        walks.append(materialize(walked))  # only the blocks whose border has changed
-        new = walks[-1].groupBy(BLOCK).agg(F.first("out_name").alias("out_name"), F.first("out_norm").alias("out_norm"))
-        outs = new if outs is None else outs.join(new, BLOCK, "left_anti").unionByName(new)
-        outs = materialize(outs)
-        by_block = Window.orderBy(BLOCK)
-        given = outs.select(
-            BLOCK, F.lag("out_name").over(by_block).alias("_name"), F.lag("out_norm").over(by_block).alias("_norm")
-        )
-        same = F.col("_name").eqNullSafe(F.col("in_name")) & F.col("_norm").eqNullSafe(F.col("in_norm"))
-        used = materialize(
-            used.join(given, BLOCK).select(
-                BLOCK, F.col("_name").alias("in_name"), F.col("_norm").alias("in_norm"), F.when(same, F.col("walk")).otherwise(len(walks)).alias("walk")
-            )
-        )
-        if used.filter(F.col("walk") == len(walks)).isEmpty():
-            break
-    every = [w.select(BLOCK, "_page_no", "_lead", "name", F.lit(i).alias("walk")) for i, w in enumerate(walks)]
-    return reduce(DataFrame.unionByName, every).join(used.select(BLOCK, "walk"), [BLOCK, "walk"]).select("_page_no", "_lead", "name")
+    how = fraction(threshold) * 100.0, method
+    n = (table.agg(F.max(BLOCK)).first()[0] or 0) + 1
+    levels: list[DataFrame] = []
+    while n > 1:
+        if levels:
+            above = levels[-1].withColumn("_upper", F.floor(F.col(BLOCK) / summary_block).cast("int"))
+            found = above.groupBy("_upper").applyInPandas(_combine(*how), f"{BLOCK} int, {_SUMMARY}")
+        else:
+            found = table.groupBy(BLOCK).applyInPandas(_summarise(*how), f"{BLOCK} int, {_SUMMARY}")
+        levels.append(materialize(found))
+        n = -(-n // summary_block)
+    handed = table.sparkSession.createDataFrame([(0, None, None)], f"{BLOCK} int, in_name string, in_norm string")
+    for tests in reversed(levels):
+        above = handed.withColumnRenamed(BLOCK, "_upper")
+        met = tests.withColumn("_upper", F.floor(F.col(BLOCK) / summary_block).cast("int")).join(above, "_upper")
+        handed = materialize(met.groupBy("_upper").applyInPandas(_hand_out(*how), f"{BLOCK} int, in_name string, in_norm string"))
+    walked = table.join(handed, BLOCK).groupBy(BLOCK).applyInPandas(_fold(*how), "_page_no bigint, _lead bigint, name string")
+    return materialize(walked)
 
 
 def link_pages(
@@ -170,6 +261,7 @@ def link_pages(
     method: str = "indel",
     page_block: int = PAGE_BLOCK,
     adjacent_only: bool = False,
+    summary_block: int = SUMMARY_BLOCK,
 ) -> DataFrame:
     """W6 on an ordered table: the lead run of a page takes the name its predecessor ends with.
 
@@ -180,7 +272,7 @@ def link_pages(
     of pages.
     """
     keyed, pages = page_boundaries(df, page, label, scope)
-    names = link_names(pages, threshold, method, page_block, adjacent_only)
+    names = link_names(pages, threshold, method, page_block, adjacent_only, summary_block)
     lead = names.filter("name is not null").select(F.col("_lead").alias("_stretch"), F.col("name").alias("_taken"))
     out = attach(keyed, lead, ["_stretch"], BLOCK)
     return out.withColumn(name, F.coalesce("_taken", label)).drop(

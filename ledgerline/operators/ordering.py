@@ -4,8 +4,8 @@
 rows and writes them once. Every later scan works inside the resulting blocks
 and carries state over block borders through a table with one row per block,
 so neither a hot key nor the whole table ever meets in one task. That block
-table has as many rows as the range exchange had partitions, and so has the
-one number per block that becomes an array literal in the plan.
+table has as many rows as the range exchange had partitions. Its prefix sums
+are taken in two levels and joined to the rows by block, so plans do not grow with the blocks.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ BLOCK = "blk"
 BLOCK_BYTES = 1 << 29
 _UNKNOWN_SIZE = 1 << 60  # what the planner says of sources it cannot measure
 _ID_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
+_GROUP = 1024  # blocks whose numbers are summed up in one window partition
 
 
 def order_rows(df: DataFrame, order_by: Sequence[str | Column], blocks: int | None = None) -> DataFrame:
@@ -38,11 +39,10 @@ def order_rows(df: DataFrame, order_by: Sequence[str | Column], blocks: int | No
     tagged = tagged.withColumn(BLOCK, F.shiftright("_seq", _ID_BITS).cast("int")).withColumn(
         "_seq", F.col("_seq").bitwiseAND((1 << _ID_BITS) - 1)
     )
-    before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = tagged.groupBy(BLOCK).agg(F.count("*").alias("_n"))
-    offset = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    (offsets,) = _per_block(sizes.select(BLOCK, offset.alias("offset")), ["offset"], BLOCK)
-    return tagged.withColumn(ROW, offsets + F.col("_seq")).drop("_seq")
+    sizes = tagged.groupBy(BLOCK).agg(F.count("*").alias("_offset"))
+    offsets = materialize(sums_before(sizes, ["_offset"], BLOCK))
+    numbered = tagged.join(offsets, BLOCK).withColumn(ROW, F.col("_offset") + F.col("_seq"))
+    return numbered.select(*[c for c in df.columns if c not in (BLOCK, ROW)], BLOCK, ROW)
 
 
 def _scanned_bytes(df: DataFrame) -> int:
@@ -52,15 +52,19 @@ def _scanned_bytes(df: DataFrame) -> int:
     return sum(s for s in sizes if s < _UNKNOWN_SIZE)
 
 
-def _per_block(table: DataFrame, columns: Sequence[str], block: str) -> list[Column]:
-    """Whole-number columns of a block table as lookups by block: one literal array each, no join."""
-    rows = {r[block]: r for r in table.select(block, *columns).collect()}
-    span = range(max(rows, default=-1) + 1)
-    out = []
-    for column in columns:
-        values = ",".join(str(rows[b][column] if b in rows else 0) for b in span) or "0"
-        out.append(F.get(F.split(F.lit(values), ",").cast("array<bigint>"), F.col(block)))
-    return out
+def sums_before(table: DataFrame, columns: Sequence[str], block: str = BLOCK) -> DataFrame:
+    """The table (one row per block) with each column replaced by its sum over all blocks before.
+
+    In two levels: groups of blocks are summed, the sums before each group are taken over one row per group,
+    those before each block inside its group.
+    """
+    table = table.withColumn("_group", F.floor(F.col(block) / _GROUP))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = table.groupBy("_group").agg(*[F.sum(c).alias(f"_of_{c}") for c in columns])
+    groups = groups.select("_group", *[F.coalesce(F.sum(f"_of_{c}").over(before.orderBy("_group")), F.lit(0)).alias(f"_of_{c}") for c in columns])
+    inside = before.partitionBy("_group").orderBy(block)
+    sums = {c: (F.col(f"_of_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).cast("bigint") for c in columns}
+    return table.join(groups, "_group").withColumns(sums).drop("_group", *[f"_of_{c}" for c in columns])
 
 
 def dense_blocks(df: DataFrame, row: str, size: int = 250_000, block: str = BLOCK) -> DataFrame:
@@ -121,16 +125,15 @@ def number_runs(
         # 1 if the first run of a block only goes on with the last run of the block before
         head, tail = F.col(f"_head_{name}.k"), F.lag(F.col(f"_tail_{name}")).over(by_block)["k"]
         joined[f"_joined_{name}"] = F.coalesce((head.isNotNull() & head.eqNullSafe(tail)).cast("bigint"), F.lit(0))
-        total = F.col(f"_starts_{name}")
-        bases.append((F.sum(total - F.col(f"_joined_{name}")).over(by_block) - total).alias(f"_base_{name}"))
+        bases.append((F.col(f"_starts_{name}") - F.col(f"_joined_{name}")).alias(f"_base_{name}"))
     local = materialize(df.withColumns(keys).withColumns(starts).withColumns(counts).drop(*starts))
-    table = local.groupBy(block).agg(*edges).withColumns(joined).select(block, *bases)
-    found = _per_block(table, [f"_base_{name}" for name in runs], block)
+    table = materialize(local.groupBy(block).agg(*edges).withColumns(joined).select(block, *bases, *joined))
+    table = materialize(sums_before(table, [f"_base_{name}" for name in runs], block))
+    base = lambda name: F.col(f"_base_{name}") - F.col(f"_joined_{name}")
     numbers = {
-        name: F.when(F.col(f"_key_{name}").isNotNull(), base + F.col(f"_count_{name}") - 1)
-        for name, base in zip(runs, found)
+        name: F.when(F.col(f"_key_{name}").isNotNull(), base(name) + F.col(f"_count_{name}") - 1) for name in runs
     }
-    return local.withColumns(numbers).drop(*[f"_{part}_{name}" for name in runs for part in ("key", "count")])
+    return local.join(table, block).withColumns(numbers).select(*[c for c in df.columns if c not in runs], *runs)
 
 
 def fill_down(

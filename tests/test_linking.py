@@ -1,9 +1,11 @@
+import hashlib
 import random
 
 from ledgerline.functions.similarity import indel_ratio
 from ledgerline.operators.continuation import resolve_continued
 from ledgerline.operators.linking import link_pages
 from ledgerline.operators.ordering import order_rows
+from ledgerline.storage import materialize
 
 NAMES = ["Carrivcashel", "Carrycashel", "CARRYCASHEL.", "Carrycastle", "Tully", "tully", "", "", None]
 SCOPE = ["c", "b", "p"]
@@ -52,8 +54,8 @@ def test_link_pages_equals_sequential_model(spark):
         # many small corpora side by side in one table: a page-free scope change keeps them apart
         rows = corpus(seed, pages=40)
         df = order_rows(spark.createDataFrame(rows, schema), ["page_name", "i"], blocks=5)
-        for page_block in (3, 100_000):
-            got = link_pages(df, 0.77, label="v", scope=SCOPE, page_block=page_block).collect()
+        for page_block, summary_block in ((3, 256), (2, 3), (1, 2), (100_000, 256)):
+            got = link_pages(df, 0.77, label="v", scope=SCOPE, page_block=page_block, summary_block=summary_block).collect()
             want = model_links(rows, 0.77)
             assert {r.i: (r.townland_linked or "").strip() for r in got} == {i: (v or "").strip() for i, v in want.items()}
 
@@ -67,6 +69,36 @@ def test_long_chain_crosses_page_blocks(spark):
     assert {r.i: r.townland_linked for r in got} == model_links(rows, 0.77)
 
 
+def test_chain_of_many_spellings(spark):
+    """No page ends the chain: names pass, fail against a spelling further on and give way, over three levels of blocks."""
+    rng = random.Random(9)
+    spellings = ["Carrivcashel", "Carrycashel", "Carycashel", "Carricashe", "Corrycastle", "Karrivcashel", "Carrivcashil"]
+    rows = [(i, f"pg{i:03d}", rng.choice(spellings), "C", "B", "P", 0) for i in range(150)]
+    df = order_rows(spark.createDataFrame(rows, "i int, page_name string, v string, c string, b string, p string, cont int"), ["i"], 4)
+    for threshold in (0.77, 0.9):
+        want = model_links(rows, threshold)
+        assert len(set(want.values())) > 1
+        for page_block, summary_block in ((7, 4), (2, 3)):
+            got = link_pages(df, threshold, label="v", scope=SCOPE, page_block=page_block, summary_block=summary_block).collect()
+            assert {r.i: r.townland_linked for r in got} == want
+
+
+def test_long_chains_take_no_more_jobs(spark):
+    """A chain over 100 blocks of 100 pages takes as many jobs as pages that have nothing in common."""
+    schema = "i int, page_name string, v string, c string, b string, p string, cont int"
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for name in (lambda i: "Carrivcashel" if i == 0 else "Carrycashel", lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+        rows = [(i, f"pg{i:05d}", name(i), "C", "B", "P", 0) for i in range(10_000)]
+        df = materialize(order_rows(spark.createDataFrame(rows, schema), ["i"], 4))
+        group = f"links {len(jobs)}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = {r.townland_linked for r in link_pages(df, 0.77, label="v", scope=SCOPE, page_block=100).collect()}
+        assert got == ({"Carrivcashel"} if not jobs else {r[2] for r in rows})
+        jobs.append(len(tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("", "")
+    assert abs(jobs[0] - jobs[1]) <= 3 and jobs[0] < 60  # adaptive plans differ by a broadcast or two
+
+
 def test_continuation_equals_sequential_model(spark):
     schema = "i int, page_name string, v string, c string, b string, p string, cont int"
     for seed in range(3):

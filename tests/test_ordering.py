@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from ledgerline.operators.dedupe import keep_last
-from ledgerline.operators.ordering import fill_down, number_runs, order_rows, with_previous
+from ledgerline.operators import ordering
+from ledgerline.operators.ordering import fill_down, number_runs, order_rows, sums_before, with_previous
 from ledgerline.operators.runs import contiguous_runs, forward_fill, suppress_repeats
 
 
@@ -23,6 +24,25 @@ def test_order_rows_is_dense(spark):
     assert len({r.blk for r in got}) > 3
 
 
+def test_sums_before_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "_GROUP", 4)
+    rng = random.Random(2)
+    rows = [(b, rng.randint(0, 50), rng.randint(-5, 5)) for b in range(0, 60, 1) if b % 7]  # some blocks are empty
+    got = {r.blk: (r.x, r.y) for r in sums_before(spark.createDataFrame(rows, "blk int, x bigint, y bigint"), ["x", "y"]).collect()}
+    assert got == {b: (sum(r[1] for r in rows if r[0] < b), sum(r[2] for r in rows if r[0] < b)) for b, _, _ in rows}
+
+
+def test_plans_do_not_grow_with_the_blocks(spark):
+    df = spark.range(2000).selectExpr("id", "CAST(id % 7 AS string) AS k")
+    sizes = []
+    for blocks in (3, 300):
+        runs = contiguous_runs(order_rows(df, ["id"], blocks), ["k"], "k", "run")
+        sizes.append(len(runs._jdf.queryExecution().optimizedPlan().toString()))
+        got = sorted((r.id, r.grn, r.run) for r in runs.collect())
+        assert got == [(i, i, i) for i in range(2000)]
+    assert sizes[1] < 1.1 * sizes[0]
+
+
 def test_runs_previous_and_fill(spark):
     for seed in range(3):
         rows, shuffled = sample(seed)
