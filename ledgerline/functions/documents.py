@@ -124,9 +124,21 @@ def can_flatten(value: Column) -> Column:
     return blocks.isNull() | F.coalesce(_is_block_list(items) & objects_only, F.lit(False))
 
 
-def typed_document(text: Column) -> Column:
-    """blocks with default values: flags as int, missing text as '', no blocks as an empty list; null for null."""
-    blocks = F.from_json(text, DOCUMENT_SCHEMA)["parishes"]
+def raw_blocks(text: Column) -> Column:
+    """The blocks of a page document as typed fields, without defaults; what has another shape is null."""
+    return F.from_json(text, DOCUMENT_SCHEMA)["parishes"]
+
+
+def is_whole(blocks: Column) -> Column:
+    """Whether every block and entry was read, so that the shape needs no closer look: only objects give a non-null one."""
+    read = F.forall(
+        blocks, lambda p: F.coalesce(F.forall(p["entries"], lambda e: e.isNotNull()), F.lit(False))
+    )
+    return F.coalesce(read, F.lit(False))
+
+
+def typed_document(blocks: Column) -> Column:
+    """``raw_blocks`` with default values: flags as int, missing text as '', no blocks as an empty list."""
 
     def entry(e: Column) -> Column:
         old = {f: e[OLD_NAMES[f]] for f in OLD_NAMES}
@@ -140,7 +152,7 @@ def typed_document(text: Column) -> Column:
 
     p_entries_type = f"array<struct<{_ENTRY}>>"
     empty = F.array().cast(f"array<struct<parish: string, entries: {p_entries_type}>>")
-    return F.when(text.isNotNull(), F.transform(F.coalesce(blocks, empty), block))
+    return F.transform(F.coalesce(blocks, empty), block)
 
 
 def document_statistics(document: Column) -> Column:

@@ -7,18 +7,23 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerline.functions.documents import repair_shape
 from ledgerline.functions.salvage import extract_json
 from ledgerline.functions.text import result_name
-from ledgerline.storage import materialize
+from ledgerline.storage import materialize_counted
 
 STATUSES = ("written", "skipped_existing", "parse_failed", "normalize_failed")
 
 
 def finalise_replies(replies: DataFrame, existing: DataFrame | None = None, only_missing: bool = False) -> DataFrame:
+    """The rows of ``finalise_counted``."""
+    return finalise_counted(replies, existing, only_missing)[0]
+
+
+def finalise_counted(replies: DataFrame, existing: DataFrame | None = None, only_missing: bool = False) -> tuple[DataFrame, dict]:
     """One row per reply (custom_id, text): page file name, status, tier, recovered, document JSON.
 
     With ``only_missing`` the ids whose page is in ``existing`` (page_file)
     are skipped before any parsing; without it every reply is written again.
-    The result is written once: documents, failures and counts all read it,
-    and no filter on the status repeats the parsing.
+    The result is written once: documents and failures read it, and no filter on the status repeats the
+    parsing. Beside it A6, gathered by the job that writes: a count per status, and attempted.
     """
     todo = replies.withColumn("page_file", result_name("custom_id")).withColumn("_skip", F.lit(False))
     if only_missing and existing is not None:
@@ -33,13 +38,13 @@ def finalise_replies(replies: DataFrame, existing: DataFrame | None = None, only
         .when(F.col("document").isNull(), "normalize_failed")
         .otherwise("written")
     )
-    return materialize(
-        shaped.select("custom_id", "page_file", status.alias("status"), "reply.tier", "reply.recovered", "document")
-    )
+    counts = {s: F.count_if(F.col("status") == s) for s in STATUSES}
+    result = shaped.select("custom_id", "page_file", status.alias("status"), "reply.tier", "reply.recovered", "document")
+    return materialize_counted(result, **counts, attempted=F.count("*"))
 
 
 def finalise_counts(finalised: DataFrame) -> DataFrame:
-    """Count per status and attempted, one row."""
+    """A6 of a stored result: count per status and attempted, one row. ``finalise_counted`` has them without another pass."""
     counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
     return finalised.agg(*counts, F.count("*").alias("attempted"))
 

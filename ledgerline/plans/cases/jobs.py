@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.operators.dedupe import finalise_names, keep_last
-from ledgerline.operators.finalise import dead_letters, finalise_counts, finalise_replies
+from ledgerline.operators.finalise import STATUSES, dead_letters, finalise_counted, finalise_replies
 from ledgerline.operators.worklist import sync_plan, validate_names, work_left
 from ledgerline.plans.cases.base import case, cents, table
 from ledgerline.sinks import manifest_rows, request_rows
@@ -134,14 +134,16 @@ _EXISTING_SQL = ", existing AS (SELECT DISTINCT custom_id FROM base WHERE value
            count(*) AS attempted FROM s""",
 )
 def count_refinalised(spark, folder):
-    return finalise_counts(_refinalised(spark, folder))
+    """The counts that the job gathers while it writes the pages."""
+    counts = _refinalised(spark, folder)[1]
+    return spark.createDataFrame([counts], ", ".join(f"{c} bigint" for c in (*STATUSES, "attempted")))
 
 
 def _refinalised(spark, folder):
     replies, _ = latest_replies(parse_chat_replies(_chat_lines(spark, folder)))
     page = F.concat(F.lit("EV_LOG_"), F.col("user_id"), F.lit("_"), F.dayofmonth("ts"), F.lit(".jpg.json"))
     existing = table(spark, folder, "events").filter("value > 50").select(page.alias("page_file"))
-    return finalise_replies(replies, existing, only_missing=True)
+    return finalise_counted(replies, existing, only_missing=True)
 
 
 @case(
@@ -152,7 +154,7 @@ def _refinalised(spark, folder):
     FROM results WHERE status IN ('parse_failed', 'normalize_failed') AND custom_id NOT IN (FROM existing)""",
 )
 def failures_of_replies(spark, folder):
-    return dead_letters(_refinalised(spark, folder), "chat")
+    return dead_letters(_refinalised(spark, folder)[0], "chat")
 
 
 def _jobs(spark, folder):

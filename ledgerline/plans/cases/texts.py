@@ -9,8 +9,7 @@ from ledgerline.functions.documents import document_statistics
 from ledgerline.operators.lookup import admin_records
 from ledgerline.plans.cases.base import case, cents, money_sql, table
 from ledgerline.sinks import page_display
-from ledgerline.sources.pages import fill_names, flatten_documents, load_counts, read_documents
-from ledgerline.storage import materialize
+from ledgerline.sources.pages import fill_names, flatten_documents, read_documents, store_documents
 
 
 @case(
@@ -180,8 +179,8 @@ def part_truth(spark, folder):
     )
 
 
-def document_pages(spark, folder):
-    """Documents as page JSON: a line is a block, a sentence an entry, its long first word the name."""
+def read_pages(spark, folder):
+    """Documents as page JSON, read but not stored: a line is a block, a sentence an entry, its long first word the name."""
 
     def entry(sentence):
         word = F.substring_index(sentence, " ", 1)
@@ -200,7 +199,12 @@ def document_pages(spark, folder):
     text = F.to_json(F.struct(blocks.alias("parishes")))
     text = F.when(F.col("source") == "src3", F.substring_index(text, "]", 1)).when(F.col("source") == "src5", "").otherwise(text)
     pages = table(spark, folder, "documents").select(F.concat(F.lit("DOC_"), F.lpad("doc_id", 9, "0")).alias("page_name"), text.alias("text"))
-    return materialize(read_documents(pages, "documents"))
+    return read_documents(pages, "documents")
+
+
+def document_pages(spark, folder):
+    """The pages as a load stores them, and what it has counted."""
+    return store_documents(read_pages(spark, folder))
 
 
 _ENTRY_SQL = """
@@ -226,7 +230,7 @@ named AS (
     FROM named""",
 )
 def flatten_document_pages(spark, folder):
-    rows = fill_names(flatten_documents(document_pages(spark, folder)))
+    rows = fill_names(flatten_documents(read_pages(spark, folder)))
     return rows.select(
         "page_name", "parish_idx", "entry_idx", "parish", F.md5("occupier").alias("occupier_md5"), "townland_raw", "townland",
         "townland_filled", "n_shared", "is_total",
@@ -241,7 +245,7 @@ def flatten_document_pages(spark, folder):
     FROM documents""",
 )
 def statuses_of_pages(spark, folder):
-    return document_pages(spark, folder).select("page_name", "status")
+    return document_pages(spark, folder)[0].select("page_name", "status")
 
 
 @case(
@@ -251,7 +255,9 @@ def statuses_of_pages(spark, folder):
            (SELECT count(*) FROM documents WHERE source IN ('src3', 'src5')) AS skipped""",
 )
 def counts_of_load(spark, folder):
-    return load_counts(document_pages(spark, folder))
+    """The counts that the job gathers while it stores the documents."""
+    counts = document_pages(spark, folder)[1]
+    return spark.createDataFrame([counts], "pages bigint, entry_rows bigint, skipped bigint")
 
 
 @case(
@@ -262,7 +268,7 @@ def counts_of_load(spark, folder):
     FROM named GROUP BY 1""",
 )
 def statistics_of_documents(spark, folder):
-    docs = document_pages(spark, folder).filter("status = 'ok'")
+    docs = document_pages(spark, folder)[0].filter("status = 'ok'")
     return docs.select("page_name", document_statistics(F.col("document")).alias("s")).select("page_name", "s.*")
 
 
@@ -278,5 +284,5 @@ def statistics_of_documents(spark, folder):
     FROM c""",
 )
 def display_of_pages(spark, folder):
-    rows = fill_names(flatten_documents(document_pages(spark, folder)))
+    rows = fill_names(flatten_documents(read_pages(spark, folder)))
     return page_display(rows).select("page_name", "parish_idx", "entry_idx", "townland", "sublocation_1")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from collections.abc import Callable
 
-from ledgerline.functions.documents import (
-    FLAG_DEFAULTS, TEXT_FIELDS, can_flatten, document_statistics, is_marked_strict, marked_json, typed_document,
-)
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ledgerline.functions.documents import FLAG_DEFAULTS, TEXT_FIELDS, can_flatten, is_marked_strict, is_whole, marked_json, raw_blocks, typed_document
 from ledgerline.functions.text import clean_key, trim_text
-from ledgerline.storage import materialize
+from ledgerline.storage import materialize, materialize_counted
 
 PAGE_GLOB = "*.jpg.json"
 ROW_ORDER = ("page_name", "parish_idx", "entry_idx")
@@ -28,11 +28,12 @@ def scan_pages(spark: SparkSession, folder: str, model: str, glob: str = PAGE_GL
 def read_documents(texts: DataFrame, model: str, page: str = "page_name", text: str = "text") -> DataFrame:
     """Classify and type page texts that are already in a table."""
     docs = texts.select(F.col(page).alias("page_name"), trim_text(text).alias("text"))
-    docs = docs.withColumn("_marked", marked_json(F.col("text")))
+    docs = _once(docs, _marked=marked_json(F.col("text")), _blocks=raw_blocks(F.col("text")))
     docs = docs.withColumn("_strict", is_marked_strict(F.col("_marked"), F.col("text")))
-    value = F.when(F.col("_strict"), F.try_variant_get("_marked", "$[0]", "variant"))
-    docs = docs.withColumns({"document": typed_document(F.when(F.col("_strict"), F.col("text"))), "_flat": can_flatten(value)})
-    docs = docs.withColumn("document", F.when(F.col("_flat"), F.col("document")))
+    # the few documents that the typed fields do not hold in full are looked at piece by piece
+    whole = F.when(F.col("_strict"), is_whole(F.col("_blocks")) | can_flatten(F.try_variant_get("_marked", "$[0]", "variant")))
+    docs = _once(docs, _flat=whole)
+    docs = _once(docs.drop("_marked"), document=F.when(F.col("_flat"), typed_document(F.col("_blocks"))))
     entries = F.aggregate("document", F.lit(0), lambda n, p: n + F.size(p["entries"]))
     status = (
         F.when(F.col("text") == "", "empty")
@@ -47,6 +48,12 @@ def read_documents(texts: DataFrame, model: str, page: str = "page_name", text:
     )
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once a row: no later step can pull their expressions over the generator."""
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
 def flatten_documents(docs: DataFrame) -> DataFrame:
     """One row per entry with its ordinals, without fill."""
     # Unusable pages have no document. The outer form keeps the optimizer from
@@ -85,22 +92,31 @@ def fill_names(rows: DataFrame) -> DataFrame:
     )
 
 
-def load_pages(spark: SparkSession, folder: str, model: str) -> tuple[DataFrame, DataFrame]:
+def store_documents(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """Write a scan once; the text is kept only where the page goes to quarantine. Also A6, counted by the same job."""
+    kept = docs.withColumn("text", F.when(F.col("status") != "ok", F.col("text")))
+    return materialize_counted(kept, **_load_measures())
+
+
+def load_pages(spark: SparkSession, folder: str, model: str, on_counts: Callable[[dict], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """(filled rows, quarantine) of a folder of page documents.
 
     Each file is read once; its text is parsed once for its shape and once into typed fields, and
-    kept only where the page goes to quarantine.
+    kept only where the page goes to quarantine. ``on_counts`` is told A6: pages, entry_rows, skipped.
     """
-    docs = scan_pages(spark, folder, model)
-    docs = materialize(docs.withColumn("text", F.when(F.col("status") != "ok", F.col("text"))))
+    docs, counts = store_documents(scan_pages(spark, folder, model))
+    if on_counts:
+        on_counts(counts)
     quarantine = docs.filter("status <> 'ok'").select("page_name", "llm", "status", "text")
     return fill_names(flatten_documents(docs)), quarantine
 
 
-def load_counts(docs: DataFrame) -> DataFrame:
-    """Pages, rows and skipped files of a scan."""
+def _load_measures() -> dict[str, Column]:
     ok = F.col("status") == "ok"
-    rows = F.when(ok, document_statistics(F.col("document"))["entries"])
-    return docs.agg(
-        F.count_if(ok).alias("pages"), F.coalesce(F.sum(rows), F.lit(0)).alias("entry_rows"), F.count_if(~ok).alias("skipped")
-    )
+    rows = F.when(ok, F.aggregate("document", F.lit(0), lambda n, p: n + F.size(p["entries"])))
+    return {"pages": F.count_if(ok), "entry_rows": F.coalesce(F.sum(rows), F.lit(0)), "skipped": F.count_if(~ok)}
+
+
+def load_counts(docs: DataFrame) -> DataFrame:
+    """A6 of a scan that is already stored: pages, rows and skipped files. ``store_documents`` counts them while it writes."""
+    return docs.agg(*[c.alias(name) for name, c in _load_measures().items()])

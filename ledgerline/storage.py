@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _written: list[str] = []
@@ -37,6 +37,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, and aggregates of the rows gathered by the same job while they are written."""
+    observed = Observation()
+    written = materialize(df.observe(observed, *[c.alias(name) for name, c in counts.items()]))
+    return written, observed.get
+
+
 def drop_materialized(spark: SparkSession) -> None:
     """Delete the tables this process has written; call it after the last sink."""
     jvm = spark.sparkContext._jvm
