@@ -63,13 +63,11 @@ def check_runs(
     page: str = "page_name",
     strip_currency: bool = True,
     one_page: str | None = "is_one_page_townland",
-    list_pages: bool = True,
 ) -> DataFrame:
     """A1 on an ordered table (``grn``/``blk``): one row per contiguous run, money as text.
 
-    Run numbers (``run_no``) are used if the table carries them.
-    ``list_pages=False`` leaves out the page_names text; the long form of the
-    same fact is ``run_pages``.
+    Run numbers (``run_no``) are used if the table carries them. Pages are counted; which ones
+    they are is ``run_pages``, one row each.
     """
     if one_page not in df.columns:
         one_page = None
@@ -79,29 +77,21 @@ def check_runs(
         F.min_by(first, ROW).alias("_first"),
         F.min(ROW).alias("first_grn"),
         F.max(ROW).alias("last_grn"),
-        F.collect_set(page).alias("_pages") if list_pages else F.count_distinct(page).alias("page_count"),
+        F.count_distinct(page).alias("page_count"),
     ]
     runs = runs.withColumns({f"_{n}": to_pence(n, strip_currency) for n in ("land_val", "total_val")})
     runs = runs.withColumn("_flag", to_number("is_total"))
     money = {n: F.col(f"_{n}") for n in ("land_val", "total_val")}
     checked = total_vs_detail(runs, ["run_no"], F.col("_flag"), money, F.col(ROW), extra=extra)
-    if list_pages:
-        names = F.array_join(F.array_sort("_pages"), ",")
-        checked = checked.withColumns({"page_count": F.size("_pages").cast("bigint"), "page_names": names}).drop("_pages")
     text = {c: from_pence(c) for c in ("sum_land_val", "total_land_val", "sum_total_val", "total_total_val")}
     return checked.select("*", "_first.*").drop("_first").withColumns(text)
 
 
 def run_pages(df: DataFrame, page: str = "page_name") -> DataFrame:
-    """Long form of page_names: the distinct pages of each run."""
+    """The distinct pages of each run."""
     return in_runs(df).select("run_no", page).distinct()
 
 
-def page_names(pages: DataFrame, page: str = "page_name") -> DataFrame:
-    """The page_names text of each run, for a sink that wants one cell; everything else works on ``run_pages``."""
-    return pages.groupBy("run_no").agg(F.array_join(F.array_sort(F.collect_set(page)), ",").alias("page_names"))
-
-
 def leave_one_out(
     df: DataFrame,
     by: Sequence[str],

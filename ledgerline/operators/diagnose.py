@@ -105,9 +105,8 @@ def explain_missing_totals(
     near = ("neighbor_direction", "neighbor_townland", "neighbor_similarity", "neighbor_total_rows")
     report = report.withColumn("category", classify(unflagged, F.col("neighbor_direction").isNotNull(), F.col("row_count")))
     report = report.withColumns({c: F.when(~unflagged, F.col(c)) for c in near})
-    pages = ["page_names"] if "page_names" in checks.columns else []
     return report.select(
-        "run_no", "first_grn", "last_grn", *scope, label, *pages, "row_count", "category", *near,
+        "run_no", "first_grn", "last_grn", *scope, label, "row_count", "category", *near,
         "candidate_row_pos", "candidate_grn", "candidate_is_last_row", "candidate_occupier",
         "candidate_total_val", "sum_other_rows_total_val",
     )
@@ -126,13 +125,13 @@ def page_number(page: Column | str) -> Column:
     return F.concat_ws("_", F.regexp_extract(page, PAGE_NUMBER, 1), F.regexp_extract(page, PAGE_NUMBER, 2))
 
 
-def split_checklist(report: DataFrame) -> DataFrame:
-    """D3: split segments with the number of their first page."""
-    first_page = F.substring_index("page_names", ",", 1)
-    return report.filter("category = 'split_segment'").select(
-        page_number(first_page).alias("page_num"), LABEL, "neighbor_direction", "neighbor_townland",
-        "neighbor_similarity", "neighbor_total_rows", "parish_effective", "county_effective", "barony_effective",
-        "page_names", "row_count",
+def split_checklist(report: DataFrame, pages: DataFrame, page: str = "page_name") -> DataFrame:
+    """D3: split segments with the number of their first page; ``pages`` are the run pages (``run_pages``)."""
+    split = report.filter("category = 'split_segment'")
+    first = pages.join(split.select("run_no"), "run_no", "left_semi").groupBy("run_no").agg(F.min(page).alias("_first"))
+    return split.join(first, "run_no", "left").select(
+        "run_no", page_number(F.col("_first")).alias("page_num"), LABEL, "neighbor_direction", "neighbor_townland",
+        "neighbor_similarity", "neighbor_total_rows", "parish_effective", "county_effective", "barony_effective", "row_count",
     )
 
 

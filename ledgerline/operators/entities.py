@@ -134,12 +134,13 @@ def scope_inventory(
 
 
 def entity_summary(df: DataFrame, keys: Sequence[str] = CANONICAL_KEYS, page: str = "target_filename") -> DataFrame:
-    """A3: pages (sorted, ', '-joined), page count and one-page flag per entity."""
-    found = df.groupBy(*keys).agg(F.collect_set(page).alias("_pages"))
-    count = F.size("_pages").cast("bigint")
-    return found.select(
-        *keys, F.array_join(F.array_sort("_pages"), ", ").alias("pages"), count.alias("page_count"), (count == 1).alias("is_one_page")
-    )
+    """A3: page count and one-page flag per entity; the pages themselves are ``entity_pages``, one row each."""
+    return page_scope(df, keys, page)
+
+
+def entity_pages(df: DataFrame, keys: Sequence[str] = CANONICAL_KEYS, page: str = "target_filename") -> DataFrame:
+    """A3/K7: distinct (entity, page) rows."""
+    return df.select(*keys, page).filter(F.col(page).isNotNull()).distinct()
 
 
 def pages_to_check(df: DataFrame, keys: Sequence[str] = CANONICAL_KEYS, page: str = "target_filename") -> DataFrame:

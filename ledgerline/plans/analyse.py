@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline import sinks
-from ledgerline.operators.audit import check_runs, page_names, run_pages
+from ledgerline.operators.audit import check_runs, run_pages
 from ledgerline.operators.diagnose import explain_missing_totals
 from ledgerline.operators.entities import flag_one_page, in_scope, scope_inventory
 from ledgerline.operators.linking import link_pages
@@ -68,7 +68,7 @@ def analyse_rows(
     blocks: int | None = None,
 ) -> Analysis:
     combined, review = enrich(rows, truth, overrides, threshold, method, blocks)
-    checks = materialize(check_runs(combined, strip_currency=strip_currency, list_pages=False))
+    checks = materialize(check_runs(combined, strip_currency=strip_currency))
     no_total = explain_missing_totals(
         combined, checks, strip_currency=strip_currency, method=neighbour_method
     )
@@ -101,9 +101,9 @@ def write_analysis(result: Analysis, path: str) -> None:
     """All outputs of an analysis below one folder."""
     sinks.write_combined(result.combined.drop(ROW, BLOCK, "run_no"), f"{path}/combined_extractions")
     sinks.write_csv(result.review, f"{path}/gv_join_review")
-    names = page_names(run_pages(result.combined))
-    sinks.write_csv(result.checks.join(names, "run_no", "left"), f"{path}/valuation_checks")
-    sinks.write_csv(result.no_total.join(names, "run_no", "left"), f"{path}/no_total_rows")
+    pages = run_pages(result.combined)
+    for name, table in (("valuation_checks", result.checks), ("no_total_rows", result.no_total)):
+        sinks.write_csv(sinks.with_page_cell(table, pages, ["run_no"], "page_name", "page_names"), f"{path}/{name}")
     sinks.write_json(result.one_page, f"{path}/one_page_townlands")
     sinks.write_json(result.multi_page, f"{path}/multi_page_townlands")
     sinks.write_json(result.summary, f"{path}/performance_summary")

@@ -16,6 +16,7 @@ from ledgerline.plans.cases.base import (
     CHECKS_SQL, LEDGER_ORDER, LEDGER_SQL, REPORT_SQL, RUNS_SQL, case, cents, ledger, money_sql, ordered_ledger, table,
 )
 from ledgerline.plans.summary import category_counts, check_metrics, checked_pages, compare_models, performance_summary
+from ledgerline.sinks import with_page_cell
 from ledgerline.storage import materialize
 
 
@@ -163,7 +164,9 @@ _CHECK_COLUMNS = (
 
 @case("run_checks", f"WITH {CHECKS_SQL} SELECT {_CHECK_COLUMNS} FROM checks")
 def check_ledger_runs(spark, folder):
-    return check_runs(ordered_ledger(spark, folder)).select(*_CHECK_COLUMNS.split(", "))
+    rows = contiguous_runs(ordered_ledger(spark, folder))
+    shown = with_page_cell(check_runs(rows), run_pages(rows), ["run_no"], "page_name", "page_names")
+    return shown.select(*_CHECK_COLUMNS.split(", "))
 
 
 @case("run_pages", f"WITH {RUNS_SQL} SELECT DISTINCT run_no, page_name FROM runs WHERE run_no IS NOT NULL")
@@ -219,7 +222,9 @@ def unflagged_ledger_totals(spark, folder):
     FROM report WHERE category = 'split_segment'""",
 )
 def split_ledger_runs(spark, folder):
-    return split_checklist(_report(spark, folder)[2]).select(
+    rows, _, report = _report(spark, folder)
+    pages = run_pages(rows)
+    return with_page_cell(split_checklist(report, pages), pages, ["run_no"], "page_name", "page_names").select(
         "page_num", "townland_linked", "neighbor_direction", "neighbor_townland", "neighbor_total_rows", "page_names", "row_count"
     )
 
@@ -241,7 +246,7 @@ def _other_reading(spark, folder):
         "is_total", F.when((F.col("event_type") == "click") & (F.col("k") < 30), 1).otherwise(F.col("is_total"))
     )
     rows = contiguous_runs(order_rows(other, LEDGER_ORDER))
-    return materialize(check_runs(rows, list_pages=False)), run_pages(rows)
+    return materialize(check_runs(rows)), run_pages(rows)
 
 
 _OTHER_SQL = """,
@@ -264,7 +269,7 @@ found AS (
 )
 def other_reading_has_total(spark, folder):
     rows = contiguous_runs(ordered_ledger(spark, folder))
-    checks = materialize(check_runs(rows, list_pages=False))
+    checks = materialize(check_runs(rows))
     return other_model_has_total(checks.filter("not has_total_row"), run_pages(rows), *_other_reading(spark, folder))
 
 
@@ -353,7 +358,7 @@ def compare_readings(spark, folder):
         "townland_linked", F.when(F.col("event_type").isin("purchase", "signup"), F.col("name")).otherwise("")
     )
     rows, sales = contiguous_runs(rows), contiguous_runs(order_rows(sales, LEDGER_ORDER))
-    a, b = (materialize(check_runs(r, list_pages=False)) for r in (rows, sales))
+    a, b = (materialize(check_runs(r)) for r in (rows, sales))
     summaries = performance_summary(rows, a, "all_names").unionByName(performance_summary(sales, b, "sales_only"))
     return compare_models(summaries, run_pages(rows), run_pages(sales)).select("llm", "common_pages")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ledgerline.operators.components import connected_components
 from ledgerline.operators.continuation import resolve_continued
 from ledgerline.operators.entities import (
-    add_canonical, entity_summary, flag_one_page, page_scope, pages_to_check, resolve_and_cluster, scope_inventory,
+    add_canonical, entity_pages, entity_summary, flag_one_page, page_scope, pages_to_check, resolve_and_cluster, scope_inventory,
 )
 from ledgerline.operators.linking import link_pages
 from ledgerline.operators.lookup import REVIEW_COLUMNS, join_admin, resolve_admin, resolve_fuzzy
@@ -16,6 +16,7 @@ from ledgerline.operators.skew import hash_salt
 from ledgerline.plans.analyse import analyse_rows
 from ledgerline.plans.cases.base import CHECKS_SQL, LEDGER_SQL, case, ledger, ordered_ledger, table
 from ledgerline.plans.cases.texts import normal_sql, parish_sql, part_truth
+from ledgerline.sinks import with_page_cell
 from ledgerline.storage import materialize
 
 
@@ -486,7 +487,9 @@ def many_supplier_orders(spark, folder):
            count(DISTINCT l_suppkey) AS page_count, count(DISTINCT l_suppkey) = 1 AS is_one_page FROM lineitem GROUP BY 1""",
 )
 def summarise_order_suppliers(spark, folder):
-    return entity_summary(_order_suppliers(spark, folder), _ORDER_KEYS, "supplier")
+    rows = _order_suppliers(spark, folder)
+    pages = entity_pages(rows, _ORDER_KEYS, "supplier")
+    return with_page_cell(entity_summary(rows, _ORDER_KEYS, "supplier"), pages, _ORDER_KEYS, "supplier", "pages", ", ")
 
 
 @case(

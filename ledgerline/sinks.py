@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,6 +24,17 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def with_page_cell(
+    df: DataFrame, pages: DataFrame, keys: Sequence[str], page: str, name: str, separator: str = ","
+) -> DataFrame:
+    """A1/A3 as files show them: the distinct pages of each row's group, sorted, in one text cell.
+
+    ``pages`` is the long form (keys, page). Only for a file that wants such a cell: it grows with the group.
+    """
+    cells = pages.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(page)), separator).alias(name))
+    return df.join(cells, list(keys), "left").withColumn(name, F.coalesce(name, F.lit("")))
+
+
 def with_whole_flags(df: DataFrame) -> DataFrame:
     """K1: flags as BIGINT, unreadable ones 0."""
     return df.withColumns({c: to_int(c, 0).cast("bigint") for c in FLAG_DEFAULTS if c in df.columns})

@@ -7,6 +7,7 @@ from ledgerline.operators.diagnose import (
 from ledgerline.operators.ordering import order_rows
 from ledgerline.operators.runs import contiguous_runs
 from ledgerline.plans.summary import category_counts, compare_models, performance_summary
+from ledgerline.sinks import with_page_cell
 
 PAGE = "EV_LOG_001_{:03d}.jpg"
 
@@ -41,14 +42,15 @@ def test_check_runs(spark):
     assert [r.townland_linked for r in got] == ["Alpha", "Beta East", "Beta Eazt", "Gamma", "Delta", "Epsilon", "Zeta", "Other"]
     alpha = got[0]
     assert (alpha.sum_total_val, alpha.total_total_val, alpha.valuation_ok, alpha.multiple_total_rows) == ("3 0 0", "3 0 0", True, True)
-    assert (alpha.page_names, alpha.page_count, alpha.row_count, alpha.total_row_count) == (PAGE.format(1) + "," + PAGE.format(2), 2, 4, 2)
+    assert (alpha.page_count, alpha.row_count, alpha.total_row_count) == (2, 4, 2)
     beta = got[1]
     assert beta.has_total_row and not beta.valuation_ok and beta.sum_land_val == "0 0 0"  # 0 against a positive total fails
     assert got[2].failure_reason == "no_total_row" and got[2].sum_total_val is None
     literal = check_runs(table(spark, ROWS), strip_currency=False).filter("townland_linked = 'Alpha'").first()
     assert literal.sum_total_val == "1 2 0"
-    slim = check_runs(table(spark, ROWS), list_pages=False).orderBy("run_no").first()
-    assert slim.page_count == 2 and "page_names" not in slim.asDict()
+    rows = contiguous_runs(table(spark, ROWS))
+    shown = with_page_cell(check_runs(rows), run_pages(rows), ["run_no"], "page_name", "page_names").orderBy("run_no").first()
+    assert shown.page_names == PAGE.format(1) + "," + PAGE.format(2)
 
 
 def test_explain_missing_totals(spark):
@@ -68,7 +70,7 @@ def test_explain_missing_totals(spark):
 
     checklist = unflagged_checklist(report)
     assert [r.confidence_tier for r in checklist.collect()] == [1]
-    assert [r.page_num for r in split_checklist(report).collect()] == ["001_002"]
+    assert [r.page_num for r in split_checklist(report, run_pages(df)).collect()] == ["001_002"]
     fixed = repair_totals(df, checklist)
     assert [r.is_total for r in fixed.filter("townland_linked = 'Gamma'").orderBy("i").collect()] == [0, 0, 1]
     assert check_runs(fixed.drop("run_no")).filter("townland_linked = 'Gamma'").first().valuation_ok

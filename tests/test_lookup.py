@@ -1,10 +1,11 @@
 from pyspark.sql import functions as F
 
 from ledgerline.operators.entities import (
-    entity_summary, flag_one_page, in_scope, page_scope, pages_to_check, resolve_and_cluster, scope_inventory,
+    entity_pages, entity_summary, flag_one_page, in_scope, page_scope, pages_to_check, resolve_and_cluster, scope_inventory,
 )
 from ledgerline.operators.lookup import REVIEW_COLUMNS, join_admin, resolve_admin, resolve_fuzzy
 from ledgerline.sources.admin import OVERRIDE_COLUMNS, TRUTH_COLUMNS, marked_for_check
+from ledgerline.sinks import with_page_cell
 
 ADMIN = ["county_effective", "barony_effective", "parish_effective"]
 
@@ -107,7 +108,9 @@ def test_scope_operators(spark):
     many = scope_inventory(scoped, False).orderBy("target_filename").collect()
     assert [(r.townland_linked, r.target_filename) for r in many] == [("A", "g1"), ("A", "g2")]
     keys = ["county_effective", "townland_linked"]
-    summary = {tuple(r[:2]): (r.pages, r.page_count, r.is_one_page) for r in entity_summary(scoped, keys, "page_name").collect()}
+    pages = entity_pages(scoped, keys, "page_name")
+    shown = with_page_cell(entity_summary(scoped, keys, "page_name"), pages, keys, "page_name", "pages", ", ")
+    summary = {tuple(r[k] for k in keys): (r.pages, r.page_count, r.is_one_page) for r in shown.collect()}
     assert summary == {("C", "A"): ("g1, g2", 2, False), ("C", "B"): ("g1", 1, True)}
     assert [r.page_name for r in pages_to_check(scoped, keys, "page_name").collect()] == ["g1"]
 
