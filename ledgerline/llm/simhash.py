@@ -22,7 +22,7 @@ SHINGLE = 4
 BUDGET = 4  # bits in which linked fingerprints may differ
 SEED = 42
 BITS = 64
-RUN_ROWS = 500_000  # a task joins tries of at least so many fingerprints at once
+RUN_ROWS = 500_000  # a task joins tries of at least so many fingerprints at once; a subtree of more is dealt to several tasks
 CHUNK = 100_000  # node pairs that advance together
 
 
@@ -101,9 +101,11 @@ def _depth(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return BITS - np.bitwise_count(x).astype(np.int64)
 
 
-def trie_classes(x: np.ndarray, starts: np.ndarray, budget: int) -> np.ndarray:
+def trie_classes(x: np.ndarray, starts: np.ndarray, budget: int, middles: np.ndarray | None = None) -> np.ndarray:
     """Class (an index) of every number of the sorted, distinct runs of ``x``; runs begin at ``starts``.
 
+    A run with a middle (above its start) is two sorted runs, of which only the pairs between them are compared.
+
     Each run is a binary trie with its single-child paths left out: a node is an interval
     whose numbers share ``_depth`` leading bits. Pairs of nodes go down together, from
     (root, root) of each run. A pair is dropped when its shared prefixes already differ
@@ -112,7 +114,9 @@ def trie_classes(x: np.ndarray, starts: np.ndarray, budget: int) -> np.ndarray:
     """
     label = np.arange(len(x))
     stops = np.append(starts[1:], len(x))
-    roots = np.stack([starts, stops, starts, stops])[:, stops - starts > 1]
+    middles = starts if middles is None else middles
+    two = middles > starts
+    roots = np.stack([starts, np.where(two, middles, stops), middles, stops])[:, (stops - starts > 1) & (middles < stops)]
     stack = [roots[:, i : i + CHUNK] for i in range(0, roots.shape[1], CHUNK)]
     changes = np.arange(len(x))
     while stack:
@@ -158,13 +162,15 @@ def trie_classes(x: np.ndarray, starts: np.ndarray, budget: int) -> np.ndarray:
     return label
 
 
-def linked_fingerprints(prints: DataFrame, fp: str = "fp", budget: int = BUDGET) -> DataFrame:
+def linked_fingerprints(prints: DataFrame, fp: str = "fp", budget: int = BUDGET, run_rows: int = RUN_ROWS) -> DataFrame:
     """(a, b) between distinct fingerprints that connect all those within the budget of each other.
 
     The 64 bits are cut into budget + 1 blocks. Two linked fingerprints agree in
     one block at least, so in the trie whose bits start with that block they lie
     below the same node at its depth. Each such subtree is joined with itself by one task,
-    which returns a star for each class it finds: no more links than fingerprints.
+    which returns a star for each class it finds: no more links than fingerprints. A subtree of more than
+    ``run_rows`` fingerprints is dealt into parts by hash; each part is joined with itself and each pair of parts with each
+    other by tasks of their own.
     """
     cuts = [round(i * BITS / (budget + 1)) for i in range(budget + 2)]
     turns = F.array(
@@ -177,16 +183,29 @@ def linked_fingerprints(prints: DataFrame, fp: str = "fp", budget: int = BUDGET)
             for i in range(budget + 1)
         ]
     )
-    turned = prints.select(F.inline(turns)).repartition("turn", "lead")
-    # the sign bit is turned, so that signed order is the order of the bits
-    turned = turned.withColumn("bits", F.col("bits").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))).sortWithinPartitions("turn", "lead", "bits")
+    turned = prints.select(F.inline(turns))
+    hot = turned.groupBy("turn", "lead").agg(F.ceil(F.count("*") / run_rows).cast("int").alias("_parts")).filter("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    own = turned.join(materialize(hot), ["turn", "lead"], "left").withColumn("_own", F.pmod(F.xxhash64("bits"), parts).cast("int"))
+    own = own.withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # of the two parts i < j of a pair, j comes second; the sign bit is turned, so that signed order is the order of the bits
+    dealt = own.select(
+        "turn", "lead", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
+        (F.col("_own") > F.col("_other")).cast("int").alias("side"), F.col("bits").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")).alias("bits"),
+    )
+    keys = ["turn", "lead", "i", "j"]
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "side", "bits")
+
+    def new_runs(rows: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((np.diff(rows[:4], axis=1) != 0).any(axis=0)) + 1
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stars(parts: list[np.ndarray]):
             rows = np.concatenate(parts, axis=1)
-            new_run = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-            x = rows[2].view(np.uint64) ^ np.uint64(1 << 63)
-            label = trie_classes(x, np.concatenate([[0], new_run]), budget)
+            starts = np.concatenate([[0], new_runs(rows)])
+            firsts = np.add.reduceat((rows[4] == 0).astype(np.int64), starts)  # of the first of two parts
+            x = rows[5].view(np.uint64) ^ np.uint64(1 << 63)
+            label = trie_classes(x, starts, budget, np.where(rows[2][starts] < rows[3][starts], starts + firsts, starts))
             at = np.flatnonzero(label != np.arange(len(x)))
             by = np.array(cuts, np.uint64)[rows[0][at]]
             back = lambda v: np.where(by == 0, v, (v >> by) | (v << (np.uint64(BITS) - np.maximum(by, np.uint64(1))))).view(np.int64)
@@ -194,14 +213,14 @@ def linked_fingerprints(prints: DataFrame, fp: str = "fp", budget: int = BUDGET)
 
         held, rows = [], 0
         for batch in batches:
-            part = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            part = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             if not part.shape[1]:
                 continue
             held.append(part)
             rows += part.shape[1]
             if rows >= RUN_ROWS:  # all but the last run, which may go on
                 every = np.concatenate(held, axis=1)
-                ends = np.flatnonzero((np.diff(every[0]) != 0) | (np.diff(every[1]) != 0)) + 1
+                ends = new_runs(every)
                 if len(ends):
                     yield stars([every[:, : ends[-1]]])
                     every = every[:, ends[-1] :]
@@ -209,7 +228,7 @@ def linked_fingerprints(prints: DataFrame, fp: str = "fp", budget: int = BUDGET)
         if rows:
             yield stars(held)
 
-    return turned.mapInArrow(join, "a bigint, b bigint")
+    return dealt.mapInArrow(join, "a bigint, b bigint")
 
 
 def near_duplicates(

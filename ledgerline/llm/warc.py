@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerline.llm.base import case, table
-from ledgerline.operators.ordering import BLOCK, ROW, fill_down, order_rows
+from ledgerline.operators.ordering import BLOCK, ROW, order_rows
 from ledgerline.operators.skew import attach
 
 # Headers that a 304 answer may renew in the stored one, and tracking parameters of URLs.
@@ -38,6 +38,30 @@ def _lower_names(headers: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def with_latest(ordered: DataFrame, url: str, response: Column, name: str) -> DataFrame:
+    """As-of join on captures numbered by (URL, time): the last response of the same URL up to each row, null before the first.
+
+    Inside a block of the order it is carried down by a window. A block hands the last response of its last URL to the
+    next one; blocks that lie within one URL and hold no response hand on what they were handed, which one row per block decides.
+    """
+    rows = ordered.withColumn("_response", response)
+    up_to = Window.partitionBy(BLOCK, url).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(BLOCK).agg(
+        F.min_by(url, ROW).alias("_first_url"), F.max_by(url, ROW).alias("_last_url"),
+        F.max_by(F.struct(F.col(url).alias("url"), F.col("_response").alias("response")), F.when(F.col("_response").isNotNull(), F.col(ROW))).alias("_last"),
+    )
+    ends = ends.withColumn("_own", F.when(F.col("_last.url") == F.col("_last_url"), F.col("_last.response")))
+    of_url = Window.partitionBy("_last_url").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, 0)
+    by_block = Window.orderBy(BLOCK)  # one row per block
+    handed = ends.withColumn("_known", F.last("_own", ignorenulls=True).over(of_url)).select(
+        BLOCK, F.lag("_last_url").over(by_block).alias("_handed_url"), F.lag("_known").over(by_block).alias("_handed")
+    )
+    inside = F.last("_response", ignorenulls=True).over(up_to)
+    found = rows.withColumn(name, inside).join(handed, BLOCK)
+    carried = F.when(F.col(url) == F.col("_handed_url"), F.col("_handed"))
+    return found.withColumn(name, F.coalesce(name, carried)).drop("_response", "_handed", "_handed_url")
+
+
 def resolve_revisits(
     captures: DataFrame,
     record_id: str = "record_id",
@@ -78,7 +102,7 @@ def resolve_revisits(
     ordered = order_rows(rows, ["_url", "_ts", "_full", "record_id"])
     usable = (F.col("_full") == 1) & (F.col("_url") != "") & F.col("_ts").isNotNull()
     response = F.when(usable, F.struct("record_id", "_headers", "_digest"))
-    filled = fill_down(ordered, ["_url"], response, "_of").filter("_full = 0").drop(ROW, BLOCK)
+    filled = with_latest(ordered, "_url", response, "_of").filter("_full = 0").drop(ROW, BLOCK)
     mine, theirs = F.col("_headers"), F.col("_of._headers")
     tag = lambda h: F.regexp_replace(F.btrim(h["etag"]), WEAK, "")
     agrees = (

@@ -7,6 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from ledgerline.llm import decontaminate, html, langid, lines, packing, quality, simhash, tokens, toxicity, warc
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = "alpha beta, gamma delta.\n" * 20_000
@@ -233,6 +234,35 @@ def test_fingerprints_link_across_blocks(spark):
     assert [find(int(v)) for v in x] == [int(x[i]) for i in want]
 
 
+def test_hot_subtree_is_dealt_to_several_tasks(spark):
+    """10^5 fingerprints below one 12-bit prefix, cut into parts of 30,000: the same components as in one task, from several tasks."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 52, 21_000, dtype=np.uint64)
+    prints = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 52, len(base), dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 52, len(base), dtype=np.uint64)) for _ in range(4)]))
+    prints = (prints | np.uint64(0xABC << 52)).view(np.int64)
+    assert len(prints) > 100_000
+    df = spark.createDataFrame([(int(p),) for p in prints], "fp bigint")
+
+    def components(run_rows):
+        parent = {}
+
+        def find(v):
+            while parent.setdefault(v, v) != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        links = simhash.linked_fingerprints(df, run_rows=run_rows)
+        tasks = links.withColumn("t", F.spark_partition_id()).select("t").distinct().count()
+        for r in links.collect():
+            a, b = find(r.a), find(r.b)
+            parent[max(a, b)] = min(a, b)
+        return {v: find(v) for v in list(parent) if find(v) != v}, tasks
+
+    whole, parts = components(simhash.RUN_ROWS), components(30_000)
+    assert whole[0] == parts[0] and len(whole[0]) > 60_000 and parts[1] >= 4
+
+
 def test_simhash_odd_rows(spark, odd):
     got = simhash.near_duplicates(odd)
     assert ids(got) == ALL
@@ -428,6 +458,20 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], CAPTURE)).count() == 0
 
 
+def test_revisits_odd_rows(spark):
+    """A null record id with a payload, a very long URL and header, repeated rows, clashing columns."""
+    long = "http://e.org/" + "x" * 100_000
+    rows = [
+        (None, "http://e.org/n", 1, False, {"ETag": '"n"'}, "h", "body of none"), (20, "http://e.org/n", 2, True, {"ETag": '"n"'}, None, None),
+        (21, long, 1, False, {"ETag": '"l"', "X-Long": "y" * 100_000}, "h", "z" * 100_000), (22, long + "#top", 2, True, {"ETag": '"l"'}, None, None),
+        (22, long + "#top", 2, True, {"ETag": '"l"'}, None, None), (None, long, 3, True, {"ETag": '"l"'}, None, None),
+    ]
+    df = spark.createDataFrame([(*r, "a", "b") for r in rows], CAPTURE + ", blk string, _of string")
+    got = warc.resolve_revisits(df, payload="body").collect()
+    shown = sorted((str(r.record_id), str(r.response_id), r.status, len(r.payload or ""), len(r.headers.get("x-long", ""))) for r in got)
+    assert shown == [("20", "None", "resolved", 0, 0), ("22", "21", "resolved", 100_000, 100_000)] + [("22", "21", "resolved", 100_000, 100_000), ("None", "21", "resolved", 100_000, 100_000)]
+
+
 def test_revisits_of_one_hot_url(spark):
     rng = random.Random(6)
     rows = [(i, "http://hot.org/", rng.randint(0, 300), rng.random() < 0.6, {"ETag": f'"{rng.randint(0, 2)}"'}, None, None) for i in range(600)]
