@@ -219,7 +219,7 @@ def first_in_windows(anchors: DataFrame, stored: DataFrame, same_label: bool, k:
     the anchors meet one block of their own neighbourhood; the k-th score found there raises each window's low end, which
     prunes the other pairs of blocks and the rows in them. Nothing that can be among the first is left out.
     """
-    home = anchors.select("anchor_block", "block").groupBy("anchor_block").agg(F.mode("block", deterministic=True).alias("block"))
+    home = materialize(anchors.select("anchor_block", "block").groupBy("anchor_block").agg(F.mode("block", deterministic=True).alias("block")))
     found = materialize(_first(_searched(anchors.drop("block"), stored, home, same_label, k), k))
     raised = found.filter(F.col("rank") == k).select(F.col("anchor_id").alias("vec_id"), "name", F.col("score").alias("_low"))
     window = anchors.select("vec_id", F.inline("windows")).join(raised, ["vec_id", "name"], "left")
@@ -227,7 +227,7 @@ def first_in_windows(anchors: DataFrame, stored: DataFrame, same_label: bool, k:
         F.collect_list(F.struct("name", F.coalesce("_low", "low").alias("low"), "high")).alias("windows")
     )
     asked = materialize(anchors.drop("block", "windows").join(window, "vec_id"))
-    pairs = _pairs(asked, stored).join(home, ["anchor_block", "block"], "left_anti")
+    pairs = materialize(_pairs(asked, stored).join(home, ["anchor_block", "block"], "left_anti"))
     rest = _searched(asked, stored, pairs, same_label, k)
     return _first(found.drop("rank").unionByName(rest), k)
 
@@ -257,14 +257,14 @@ def hard_negatives(
     anchors = anchors.withColumn("anchor_block", F.floor(F.col("block") / ANCHOR_BLOCKS).cast("int"))
     window = lambda name, low, high: F.struct(name.alias("name"), low.alias("low"), high.alias("high"))
     whole = window(F.lit(0).cast("bigint"), F.lit(LEAST).cast("bigint"), F.lit(MOST).cast("bigint"))
-    best = first_in_windows(anchors.withColumn("windows", F.array(whole)), stored, True, positives)
+    best = first_in_windows(materialize(anchors.withColumn("windows", F.array(whole))), stored, True, positives)
     best = materialize(best.select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")))
     tens, ones = F.expr("positive_score div 10"), F.col("positive_score") % 10
     low = tens * 3 + F.ceil(ones * 3 / 10)  # 30 p <= 100 n <= 90 p, without large products
     high = tens * 9 + F.floor(ones * 9 / 10)
     windows = best.filter("positive_score >= 0").groupBy(F.col("anchor_id").alias("vec_id"))
     windows = windows.agg(F.collect_list(window(F.col("positive_id"), low, high)).alias("windows"))
-    found = first_in_windows(anchors.join(windows, "vec_id"), stored, False, negatives)
+    found = first_in_windows(materialize(anchors.join(windows, "vec_id")), stored, False, negatives)
     found = found.select("anchor_id", F.col("name").alias("positive_id"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     out = found.join(best, ["anchor_id", "positive_id"])
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
