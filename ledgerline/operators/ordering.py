@@ -127,7 +127,7 @@ def number_runs(
         joined[f"_joined_{name}"] = F.coalesce((head.isNotNull() & head.eqNullSafe(tail)).cast("bigint"), F.lit(0))
         bases.append((F.col(f"_starts_{name}") - F.col(f"_joined_{name}")).alias(f"_base_{name}"))
     local = materialize(df.withColumns(keys).withColumns(starts).withColumns(counts).drop(*starts))
-    table = materialize(local.groupBy(block).agg(*edges).withColumns(joined).select(block, *bases, *joined))
+    table = local.groupBy(block).agg(*edges).withColumns(joined).select(block, *bases, *joined)
     table = materialize(sums_before(table, [f"_base_{name}" for name in runs], block))
     base = lambda name: F.col(f"_base_{name}") - F.col(f"_joined_{name}")
     numbers = {

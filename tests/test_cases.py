@@ -12,7 +12,8 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLED = [
     "total_vs_detail", "leave_one_out", "page_link", "missing_breakdown", "cascade_lookup", "review_queue", "canonical_entities",
     "reply_finalise_chat", "page_display", "build_requests_chat", "last_wins", "similar_pairs_difflib", "cascade_default", "cascade_review",
-    "truth_file", "name_files", "combined_file", "document_files", "old_field_names", "chain_components",
+    "truth_file", "name_files", "combined_file", "document_files", "old_field_names", "chain_components", "page_bitmap_counts",
+    "page_bitmap_common", "reply_source_generate", "page_files", "work_left_filtered", "cascade_stored", "load_counts", "finalise_counts",
 ]
 
 
