@@ -11,7 +11,7 @@ from ledgerline.operators.finalise import finalise_replies
 from ledgerline.operators.lookup import join_admin_stored, page_lookup, store_by_page
 from ledgerline.operators.pagesets import common_pages, count_pages, merge_words, number_pages, page_words, pages_of, with_page_ids
 from ledgerline.operators.skew import hash_salt
-from ledgerline.page_files import write_page_files
+from ledgerline.page_files import read_page_files, write_page_files
 from ledgerline.plans.cases import jobs, links
 from ledgerline.plans.cases.base import ORACLES, case, table
 from ledgerline.sources.reply_files import scan_reply_files
@@ -82,13 +82,13 @@ def finalise_stored_generate(spark, folder):
 
 
 @case("page_files", f"WITH {jobs._REPLIES_SQL} SELECT page_file, parish FROM results WHERE status = 'written'")
-def read_page_files(spark, folder):
+def pages_of_replies(spark, folder):
     """One file per page, written by tasks and published as a whole."""
     replies, _ = latest_replies(parse_chat_replies(jobs._chat_lines(spark, folder)))
     path = _place(spark, "pages")
     write_page_files(finalise_replies(replies).filter("status = 'written'"), path, "page_file", "document")
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return files.select(F.col("_metadata.file_name").alias("page_file"), F.get_json_object("value", "$.parishes[0].parish").alias("parish"))
+    files = read_page_files(spark, path)
+    return files.select(F.col("name").alias("page_file"), F.get_json_object("content", "$.parishes[0].parish").alias("parish"))
 
 
 @case("work_left_filtered", ORACLES["work_left"])

@@ -8,7 +8,7 @@ from ledgerline.operators.bloom import blocks_for, build_filter, may_hold, merge
 from ledgerline.operators.lookup import join_admin, join_admin_stored, page_lookup, store_by_page
 from ledgerline.operators.pagesets import common_pages, count_pages, merge_words, number_pages, page_words, pages_of, with_page_ids
 from ledgerline.operators.skew import hash_salt
-from ledgerline.page_files import STAGING, write_page_files
+from ledgerline.page_files import STAGING, PageFiles, read_page_files, write_page_files
 from ledgerline.sources.reply_files import Range, list_files, read_lines, scan_reply_files, stream_reply_files
 from ledgerline.sources.replies import latest_replies, parse_chat_replies
 from ledgerline.storage import materialize_counted
@@ -159,6 +159,21 @@ def test_page_files_appear_as_a_whole(spark, tmp_path):
     assert len(files_below(path)) == 42
 
 
+def test_page_files_are_listed_by_the_tasks(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    pages = spark.range(0, 50, 1, 2).selectExpr("concat('page', id, '.json') AS page", "concat('é ', id) AS doc")
+    write_page_files(pages, path, "page", "doc", folder_pages=10)
+    write_page_files(pages.limit(1).selectExpr("'empty' AS page", "CAST(NULL AS string) AS doc"), path, "page", "doc")
+    parts = PageFiles({"path": path}).reader(None).partitions()  # all that the driver holds of a scan
+    assert len(parts) == 7 and max(len(os.listdir(part.path)) for part in parts) == 10
+    for place in (path, f"file://{path}/"):
+        got = [tuple(r) for r in read_page_files(spark, place).collect()]
+        assert sorted(got) == sorted([(f"page{i}.json", f"é {i}") for i in range(50)] + [("empty", "")])
+    nothing = str(tmp_path / "nothing")
+    write_page_files(pages.limit(0), nothing, "page", "doc")
+    assert read_page_files(spark, nothing).count() == 0
+
+
 # lookups stored by page
 
 
