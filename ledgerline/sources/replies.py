@@ -23,15 +23,25 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(trim_text("value") != "")
 
 
+def _once(df: DataFrame, *columns: Column, keep: tuple[str, ...]) -> DataFrame:
+    """The columns, each evaluated once a line: no later step can pull their expressions over the generator."""
+    return df.select(F.inline(F.array(F.struct(*columns))), *keep)
+
+
 def _parsed(lines: DataFrame, line: str, order: str) -> DataFrame:
-    """(value, line_order), each line parsed once: no later step can pull the parser over the explode."""
+    """(value, line_order), each line parsed once."""
     return lines.select(F.explode(F.array(F.try_parse_json(line))).alias("value"), F.col(order).alias("line_order"))
 
 
-def _as_rows(parsed: DataFrame, custom_id: Column, text: Column, error: Column) -> DataFrame:
-    """The reply columns as one row; a filter on them stays behind it."""
-    reply = F.struct(custom_id.alias("custom_id"), text.alias("text"), error.alias("error"))
-    return parsed.select(F.inline(F.array(reply)), "line_order")
+def _id(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "string").alias("custom_id")
+
+
+def _as_rows(parts: DataFrame, text: Column, problem: Column) -> DataFrame:
+    """The reply columns as rows, the text of those without a problem; a filter on them stays behind it."""
+    rows = _once(parts, problem.alias("error"), keep=tuple(parts.columns))
+    shown = _once(rows, F.when(F.col("error").isNull(), text).alias("text"), keep=("custom_id", "error", "line_order"))
+    return shown.select("custom_id", "text", "error", "line_order")
 
 
 def _truthy(value: Column) -> Column:
@@ -43,37 +53,45 @@ def _part(value: Column, path: str) -> Column:
 
 
 def parse_chat_replies(lines: DataFrame, line: str = "value", order: str = "line_order") -> DataFrame:
-    """Form A: id, text, error (JSON or message), order; text and error may both be null for empty replies."""
+    """Form A: id, text, error (JSON or message), order; text and error may both be null for empty replies.
+
+    A content shows that there are a response and a body; only without one are they looked at, which writes them out as text.
+    """
     lines, value = _parsed(lines, line, order), F.col("value")
-    error, response = _part(value, "$.error"), _part(value, "$.response")
-    body = _part(value, "$.response.body")
-    content = _part(value, "$.response.body.choices[0].message.content")
+    content, error = _part(value, "$.response.body.choices[0].message.content"), _part(value, "$.error")
+    parts = _once(lines, _id(value, "$.custom_id"), content.alias("content"), error.alias("failed"), keep=("value", "line_order"))
+    response, body = _part(value, "$.response"), _part(value, "$.response.body")
     problem = (
         F.when(value.isNull(), "malformed line")
-        .when(_truthy(error), F.to_json(error))
+        .when(_truthy(F.col("failed")), F.to_json("failed"))
+        .when(F.col("content").isNotNull(), F.lit(None))
         .when(~_truthy(response), "no response field")
         .when(~_truthy(body), "no response.body")
-        .when(content.isNull(), "parse choices")
+        .otherwise("parse choices")
     )
-    text = F.try_variant_get(value, "$.response.body.choices[0].message.content", "string")
-    return _as_rows(lines, F.try_variant_get(value, "$.custom_id", "string"), F.when(problem.isNull(), text), problem)
+    return _as_rows(parts, F.try_variant_get("content", "$", "string"), problem)
 
 
 def parse_generate_replies(lines: DataFrame, line: str = "value", order: str = "line_order") -> DataFrame:
-    """Form B: all text parts of the first candidate, joined; the response may sit under either name."""
+    """Form B: all text parts of the first candidate, joined; the response may sit under either name.
+
+    Parts show that there is a response; only without them is it looked at, which writes it out as text.
+    """
     lines, value = _parsed(lines, line, order), F.col("value")
-    error = _part(value, "$.error")
-    first, second = _part(value, "$.response"), _part(value, "$.generateContentResponse")
+    first, second, error = _part(value, "$.response"), _part(value, "$.generateContentResponse"), _part(value, "$.error")
     response = F.when(F.coalesce(first.cast("string"), F.lit("null")) != "null", first).otherwise(second)
-    parts = F.try_variant_get(response, "$.candidates[0].content.parts", "array<variant>")
-    texts = F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))
+    listed = lambda v, path: F.try_variant_get(v, f"{path}.candidates[0].content.parts", "array<variant>")
+    found = F.coalesce(listed(value, "$.response"), listed(response, "$"))
+    parts = _once(lines, _id(value, "$.key"), found.alias("parts"), error.alias("failed"), keep=("value", "line_order"))
+    texts = F.transform("parts", lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))
     problem = (
         F.when(value.isNull(), "malformed line")
-        .when(_truthy(error), F.to_json(error))
+        .when(_truthy(F.col("failed")), F.to_json("failed"))
+        .when(F.col("parts").isNotNull(), F.lit(None))
         .when(~_truthy(response), "no response")
-        .when(parts.isNull(), "parse response")
+        .otherwise("parse response")
     )
-    return _as_rows(lines, F.try_variant_get(value, "$.key", "string"), F.when(problem.isNull(), F.array_join(texts, "")), problem)
+    return _as_rows(parts, F.array_join(texts, ""), problem)
 
 
 def latest_replies(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from ledgerline.sources.admin import scan_overrides, scan_truth
 from ledgerline.sources.names import (
     image_jobs, image_listing, names_from_json, names_from_list, names_from_scan, names_from_table,
 )
+from ledgerline.sources.replies import parse_chat_replies, parse_generate_replies
 from ledgerline.streaming.arrivals import finalise_arrivals
 
 DOCUMENT = '{"parishes":[{"parish":"P","entries":[{"townland":"A"}]}]}'
@@ -201,3 +202,39 @@ def test_written_documents_and_cleanup(spark, tmp_path):
     storage.drop_materialized(spark)
     with pytest.raises(Exception):
         result.count()
+
+
+ODD_REPLIES = [
+    "", "not json", "null", "3", '"text"', "[]", "{}", '{"key":"a"}', '{"key":7,"custom_id":7,"response":null,"generateContentResponse":null}',
+    *[f'{{"key":"k","custom_id":"k","error":{e},"response":{{}}}}' for e in ('null', '""', '{}', '[]', '0', 'false', '"null"', '"no"', '{"a":1}', '[1]', 'true')],
+    *[f'{{"key":"k","custom_id":"k","response":{r},"generateContentResponse":{{"candidates":[{{"content":{{"parts":[{{"text":"second"}}]}}}}]}}}}' for r in ('null', '"null"', '""', '{}', '[]', '0', '"x"', '{"body":{}}', '{"body":{"choices":[]}}', '{"body":null}', '{"candidates":[]}')],
+    *[f'{{"key":"k","response":{{"candidates":[{{"content":{{"parts":{p}}}}}]}}}}' for p in ('[]', 'null', '{}', '"x"', '[{"text":"a"},{"text":null},{},{"text":3},"x",{"text":"b"}]')],
+    *[f'{{"custom_id":"k","response":{{"body":{{"choices":[{{"message":{{"content":{c}}}}}]}}}}}}' for c in ('null', '""', '"a"', '5', '{"a":"b"}', '["x"]')],
+    '{"key":"k","custom_id":"k","error":"no","response":{"candidates":[{"content":{"parts":[{"text":"a"}]}}],"body":{"choices":[{"message":{"content":"a"}}]}}}',
+]
+
+
+def test_replies_are_looked_at_once(spark):
+    """The same rows as by the rules written out, and a well-formed response is not taken apart again for each rule."""
+    rows = spark.createDataFrame([(line, i) for i, line in enumerate(ODD_REPLIES)], "value string, line_order bigint")
+    value = F.try_parse_json("value")
+    part = lambda path: F.try_variant_get(value, path, "variant")
+    truthy = lambda v: ~F.coalesce(v.cast("string"), F.lit("")).isin("", "null", "{}", "[]", "0", "false")
+    failed = F.when(value.isNull(), "malformed line").when(truthy(part("$.error")), F.to_json(part("$.error")))
+
+    content = "$.response.body.choices[0].message.content"
+    chat = failed.when(~truthy(part("$.response")), "no response field").when(~truthy(part("$.response.body")), "no response.body").when(part(content).isNull(), "parse choices")
+    first, second = part("$.response"), part("$.generateContentResponse")
+    response = F.when(F.coalesce(first.cast("string"), F.lit("null")) != "null", first).otherwise(second)
+    parts = F.try_variant_get(response, "$.candidates[0].content.parts", "array<variant>")
+    generate = failed.when(~truthy(response), "no response").when(parts.isNull(), "parse response")
+    texts = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit(""))), "")
+    for parse, key, text, problem in (
+        (parse_chat_replies, "$.custom_id", F.try_variant_get(value, content, "string"), chat),
+        (parse_generate_replies, "$.key", texts, generate),
+    ):
+        want = rows.select(F.try_variant_get(value, key, "string").alias("custom_id"), F.when(problem.isNull(), text).alias("text"), problem.alias("error"), "line_order")
+        got = parse(rows)
+        assert got.columns == want.columns and got.orderBy("line_order").collect() == want.orderBy("line_order").collect()
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("try_variant_get") <= 16
