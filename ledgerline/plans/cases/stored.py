@@ -61,9 +61,9 @@ def suppliers_of_both_halves(spark, folder):
 
 
 def _stored_replies(spark, lines):
-    """Reply lines as a model service leaves them: some files, in the order of the lines."""
+    """Reply lines as a model service leaves them: files in the order of the lines, as many as the data needs."""
     path = _place(spark, "replies")
-    lines.repartitionByRange(4, "line_order").sortWithinPartitions("line_order").select("value").write.text(path)
+    lines.repartitionByRange("line_order").sortWithinPartitions("line_order").select("value").write.text(path)
     return scan_reply_files(spark, path, ".txt", SPLIT_BYTES)
 
 

@@ -2,6 +2,7 @@
 
 ``spark.read.format("reply_lines")`` cuts files into byte ranges; a line belongs to the range in which it begins, so a
 file gives the same rows however it is cut. ``file`` and ``offset`` order all lines, whatever the partitions.
+Where a small ``splitBytes`` would give more than ``RANGES`` ranges, they grow with the data, up to ``SPLIT_BYTES``.
 Files are opened where the tasks run, by any file system that pyarrow knows (local or shared folders, object
 stores). Blank lines are left out; bytes that are no UTF-8 are replaced.
 """
@@ -22,6 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the classes trave
 
 SCHEMA = "file string, offset bigint, value string"
 SPLIT_BYTES = 64 << 20
+RANGES = 1024
 BATCH_LINES = 2000
 BUFFER = 1 << 20
 _BLANK = b" \t\r\n\x0b\x0c"
@@ -61,7 +63,7 @@ def list_files(path: str, suffix: str = "") -> dict[str, int]:
 def read_lines(part: Range) -> Iterator[pa.RecordBatch]:
     """The lines of a range with their offsets. The range's last line is read to its end."""
     files, inner = _opened(part.path)
-    with io.BufferedReader(files.open_input_file(inner), BUFFER) as stream:
+    with io.BufferedReader(files.open_input_file(inner), min(BUFFER, max(part.end - part.start, io.DEFAULT_BUFFER_SIZE))) as stream:
         at = part.start
         if at > 0:  # the line that begins before the range belongs to the range before, also if it ends at its border
             at -= 1
@@ -90,8 +92,11 @@ def _batch(path: str, offsets: list[int], values: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["file", "offset", "value"])
 
 
-def _cut(path: str, start: int, end: int, size: int) -> list[Range]:
-    return [Range(path, at, min(at + size, end)) for at in range(start, end, size)]
+def cut_files(spans: dict[str, tuple[int, int]], split: int) -> list[Range]:
+    """Ranges of the spans (start, end) of files; each is a task, so their number must not grow with the bytes over a small ``split``."""
+    total = sum(end - start for start, end in spans.values())
+    size = max(split, min(-(-total // RANGES), SPLIT_BYTES))
+    return [Range(path, at, min(at + size, end)) for path, (start, end) in sorted(spans.items()) for at in range(start, end, size)]
 
 
 class ReplyLines(DataSource):
@@ -123,7 +128,7 @@ class _Base:
 
 class _BatchReader(_Base, DataSourceReader):
     def partitions(self) -> list[Range]:
-        return [part for path, size in list_files(self.path, self.suffix).items() for part in _cut(path, 0, size, self.split)]
+        return cut_files({path: (0, size) for path, size in list_files(self.path, self.suffix).items()}, self.split)
 
 
 class _StreamReader(_Base, DataSourceStreamReader):
@@ -140,10 +145,7 @@ class _StreamReader(_Base, DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         known = start["files"]
-        return [
-            part for path, size in sorted(end["files"].items()) if size > known.get(path, 0)
-            for part in _cut(path, known.get(path, 0), size, self.split)
-        ]
+        return cut_files({path: (known.get(path, 0), size) for path, size in end["files"].items() if size > known.get(path, 0)}, self.split)
 
     def commit(self, end: dict) -> None:
         pass

@@ -9,7 +9,7 @@ from ledgerline.operators.lookup import join_admin, join_admin_stored, page_look
 from ledgerline.operators.pagesets import common_pages, count_pages, merge_words, number_pages, page_words, pages_of, with_page_ids
 from ledgerline.operators.skew import hash_salt
 from ledgerline.page_files import STAGING, PageFiles, read_page_files, write_page_files
-from ledgerline.sources.reply_files import Range, list_files, read_lines, scan_reply_files, stream_reply_files
+from ledgerline.sources.reply_files import RANGES, SPLIT_BYTES, Range, cut_files, list_files, read_lines, scan_reply_files, stream_reply_files
 from ledgerline.sources.replies import latest_replies, parse_chat_replies
 from ledgerline.storage import materialize_counted
 from pyspark.sql import functions as F
@@ -114,6 +114,18 @@ def test_later_line_wins_however_files_are_cut(spark, tmp_path):
         scan_reply_files(spark, str(folder / "not_there")).count()
 
 
+def test_number_of_ranges_is_bounded():
+    for sizes, split in (([10_000, 0, 7], 100), ([1 << 30, 1 << 20, 5], 1 << 16), ([9 << 30], 1 << 16), ([1 << 40], 1 << 16), ([100], 1 << 20)):
+        spans = {f"f{i}": (i, i + size) for i, size in enumerate(sizes)}
+        parts = cut_files(spans, split)
+        for path, (start, end) in spans.items():  # gapless, every byte once
+            own = [part for part in parts if part.path == path]
+            assert sum(part.end - part.start for part in own) == end - start
+            assert [part.start for part in own] == [start, *[part.end for part in own[:-1]]][: len(own)]
+        assert len(parts) <= max(RANGES, -(-sum(sizes) // SPLIT_BYTES)) + len(sizes)
+    assert len(cut_files({"f": (0, 10_000)}, 100)) == 100  # a small file is cut as asked
+
+
 def test_stream_reads_what_is_new(spark, tmp_path):
     folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     folder.mkdir()
