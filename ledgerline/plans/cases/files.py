@@ -10,13 +10,14 @@ from ledgerline import sinks
 from ledgerline.functions.documents import OLD_NAMES
 from ledgerline.operators.dedupe import first_rows
 from ledgerline.operators.finalise import finalise_replies
+from ledgerline.page_files import read_page_files, write_page_files
 from ledgerline.plans.cases import ledgers, texts  # noqa: F401  (they register the cases repeated here)
 from ledgerline.plans.cases.base import ORACLES, QUERIES, case, ledger, table
 from ledgerline.plans.cases.jobs import _REPLIES_SQL, _chat_lines
 from ledgerline.plans.cases.links import _open_pages, hash_salt, resolve_admin
 from ledgerline.plans.cases.texts import part_truth
 from ledgerline.sources.admin import marked_for_check, scan_truth
-from ledgerline.sources.names import image_listing, names_from_json, names_from_scan
+from ledgerline.sources.names import image_listing, names_from_scan, names_in_json
 from ledgerline.sources.pages import fill_names, flatten_documents, read_documents
 from ledgerline.sources.replies import latest_replies, parse_chat_replies
 from ledgerline.storage import checkpoint_root
@@ -50,10 +51,11 @@ def read_name_files(spark, folder):
     documents = table(spark, folder, "documents").select(F.floor(F.col("doc_id") / 100).alias("file"), F.concat("source", F.lit("/"), "doc_id", F.lit(".jpg")).alias("name"))
     item = F.when(F.length("name") % 2 == 0, F.to_json(F.struct(F.col("name").alias("target_filename")))).otherwise(F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2))
     lists = documents.withColumn("item", item).groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("value"))
-    lists.write.partitionBy("file").text(f"{path}/lists")
+    write_page_files(lists.select(F.concat("file", F.lit(".json")).alias("name"), "value"), f"{path}/lists", content="value")
     pages = table(spark, folder, "pages").filter("page_id is not null").select("page_id", F.to_json(F.struct(F.concat("page_id", F.lit(".html")).alias("target_filename"))).alias("value"))
-    pages.write.partitionBy("page_id").text(f"{path}/single")
-    return names_from_json(spark, f"{path}/lists/*").unionByName(names_from_json(spark, f"{path}/single/*"))
+    write_page_files(pages.select(F.concat("page_id", F.lit(".json")).alias("name"), "value"), f"{path}/single", content="value")
+    lists, single = (names_in_json(read_page_files(spark, place), "content", place) for place in (f"{path}/lists", f"{path}/single"))
+    return lists.unionByName(single)
 
 
 @case("image_files", "SELECT source AS folder, true AS has_names, true AS has_bytes FROM documents WHERE source IS NOT NULL GROUP BY source")

@@ -20,14 +20,19 @@ def _names(df: DataFrame, value: Column) -> DataFrame:
 
 
 def names_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """S6 of the files at a path; the driver lists them. Many small files are better kept as ``page_files``."""
+    return names_in_json(spark.read.text(path, wholetext=True), "value", path)
+
+
+def names_in_json(texts: DataFrame, text: str = "value", place: str = "a text") -> DataFrame:
     """A list of names, a list of {target_filename}, or one such object; other shapes fail."""
-    value = F.try_parse_json("value")
+    value = F.try_parse_json(text)
     listed = F.try_variant_get(value, "$", "array<variant>")
     single = F.try_variant_get(value, "$.target_filename", "variant")
     is_object = F.schema_of_variant(value).startswith("OBJECT")
     items = F.when(listed.isNotNull(), listed).when(is_object & single.isNotNull(), F.array(value))
-    items = F.coalesce(items, F.raise_error(F.lit(f"unsupported JSON shape in {path}")).cast("array<variant>"))
-    files = spark.read.text(path, wholetext=True).select(F.explode(items).alias("item"))
+    items = F.coalesce(items, F.raise_error(F.lit(f"unsupported JSON shape in {place}")).cast("array<variant>"))
+    files = texts.select(F.explode(items).alias("item"))
     plain = F.when(F.schema_of_variant("item") == "STRING", F.col("item").cast("string"))
     nested = F.when(
         F.schema_of_variant("item").startswith("OBJECT"), F.try_variant_get("item", "$.target_filename", "string")

@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from __spark_entry__ import queries
 from ledgerline.operators.bloom import blocks_for, build_filter, may_hold, merge_filters, work_left_filtered
 from ledgerline.operators.lookup import join_admin, join_admin_stored, page_lookup, store_by_page
 from ledgerline.operators.pagesets import common_pages, count_pages, merge_words, number_pages, page_words, pages_of, with_page_ids
@@ -186,6 +187,11 @@ def test_page_files_are_listed_by_the_tasks(spark, tmp_path):
     assert read_page_files(spark, nothing).count() == 0
 
 
+def test_name_files_are_not_listed_by_the_driver(spark):
+    names = queries()["name_files"](spark, "/root/testdata/sf0.001")
+    assert names.count() > 200 and not names.inputFiles()  # inputFiles: what the driver has listed
+
+
 # lookups stored by page
 
 
