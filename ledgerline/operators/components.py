@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.storage import materialize
 
+UNSETTLED = 4  # pointers are followed until at most one node in so many is not below a root
+
 
 def connected_components(
     pairs: DataFrame,
@@ -18,38 +20,44 @@ def connected_components(
 ) -> DataFrame:
     """Smallest node of the component of each paired node: (block, node, component).
 
-    Parent pointers start at the smallest neighbour. In each round an edge offers its
-    other end's grandparent to the node and to the node's parent, the pointers take the
-    smallest offer and are halved, so also a settled tree hooks onto a smaller
-    one and rounds grow with the logarithm of a chain's length. There is no
-    limit: the loop ends when no pointer moves. Every round is a table in the shared folder.
-    Hubs: messages are minima, combined map side; the joins are inner or left and may be split.
+    Every round points each node at its smallest neighbour (or itself), follows the pointers until most nodes are
+    below a root, and replaces both ends of every edge by where they point; edges inside one node go.
+    What is left is a smaller graph of the same components, about a third of a shuffled chain, and a sorted chain is done
+    in one round. Pointers never lead to a larger node, so the smallest node of a component stays. The loop ends
+    when no edge is left; then the pointers of all rounds are followed once, from the last to the first.
+    Each round's pointers and edges are tables in the shared folder, so all rounds together write and shuffle a small multiple
+    of the first. Hubs: minima are combined map side; the joins are inner or left and may be split.
     """
     block = list(block)
-    one_way = pairs.select(*block, F.col(a).alias("node"), F.col(b).alias("other"))
-    other_way = pairs.select(*block, F.col(b).alias("node"), F.col(a).alias("other"))
-    edges = materialize(one_way.unionByName(other_way).filter(F.col("node") != F.col("other")).distinct())
-    alone = pairs.filter(F.col(a) == F.col(b)).select(*block, F.col(a).alias("node"), F.col(a).alias("parent"))
-    near = edges.groupBy(*block, "node").agg(F.least(F.col("node"), F.min("other")).alias("parent"))
-    pointers = materialize(near.unionByName(alone).groupBy(*block, "node").agg(F.min("parent").alias("parent")))
-    state = materialize(_with_grandparent(pointers, block))
-    rounds = 0
-    while True:
-        rounds += 1
+    edges = materialize(pairs.select(*block, F.col(a).alias("_a"), F.col(b).alias("_b")).filter("_a is not null and _b is not null"))
+    rounds: list[DataFrame] = []
+    while not rounds or not edges.isEmpty():
         if on_round:
-            on_round(rounds)
-        far = state.select(*block, F.col("node").alias("other"), F.col("grand").alias("offer"))
-        offers = edges.join(far, [*block, "other"]).groupBy(*block, "node").agg(F.min("offer").alias("offer"))
-        met = state.join(offers, [*block, "node"], "left")
-        hooks = met.groupBy(*block, F.col("parent").alias("node")).agg(F.min("offer").alias("hook"))
-        moved = met.join(hooks, [*block, "node"], "left").select(
-            *block, "node", F.least("parent", "grand", "offer", "hook").alias("parent"), F.col("grand").alias("before")
-        )
-        state = materialize(_with_grandparent(materialize(moved), block))
-        if state.filter((F.col("grand") != F.col("before")) | (F.col("grand") != F.col("parent"))).isEmpty():
-            return state.select(*block, "node", F.col("grand").alias("component"))
-
-
-def _with_grandparent(pointers: DataFrame, block: list[str]) -> DataFrame:
-    up = pointers.select(*block, F.col("node").alias("parent"), F.col("parent").alias("grand"))
-    return pointers.join(up, [*block, "parent"])
+            on_round(len(rounds) + 1)
+        both = edges.select(*block, F.col("_a").alias("node"), F.col("_b").alias("other"))
+        both = both.unionByName(edges.select(*block, F.col("_b").alias("node"), F.col("_a").alias("other")))
+        pointers = both.groupBy(*block, "node").agg(F.least(F.col("node"), F.min("other")).alias("parent"))
+        settled = False
+        while not settled:
+            pointers = materialize(_follow(pointers, block))
+            nodes, moving = pointers.agg(F.count("*"), F.count_if("moving")).first()
+            pointers, settled = pointers.drop("moving"), moving * UNSETTLED <= nodes
+        rounds.append(pointers)
+        for end in ("_a", "_b"):
+            to = pointers.select(*block, F.col("node").alias(end), F.col("parent").alias("_to"))
+            edges = edges.join(to, [*block, end]).drop(end).withColumnRenamed("_to", end)
+        kept = edges.filter(F.col("_a") != F.col("_b"))
+        edges = materialize(kept.select(*block, F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct())
+    found = rounds.pop().withColumnRenamed("parent", "component")
+    while rounds:
+        above = found.select(*block, F.col("node").alias("parent"), "component")
+        found = rounds.pop().join(above, [*block, "parent"], "left")
+        found = found.select(*block, "node", F.coalesce("component", "parent").alias("component"))
+    return materialize(found)
+
+
+def _follow(pointers: DataFrame, block: list[str]) -> DataFrame:
+    """Every pointer leads to where its target points; ``moving`` marks those whose target was not a root."""
+    up = pointers.select(*block, F.col("node").alias("parent"), F.col("parent").alias("_up"))
+    moving = (F.col("_up") != F.col("parent")).alias("moving")
+    return pointers.join(up, [*block, "parent"]).select(*block, "node", F.col("_up").alias("parent"), moving)

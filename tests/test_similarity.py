@@ -4,6 +4,8 @@ import random
 import pytest
 
 from ledgerline.functions.similarity import difflib_ratio, indel_ratio
+from ledgerline.operators import components as components_module
+from ledgerline.operators.components import connected_components
 from ledgerline.operators.entities import add_canonical, components
 from ledgerline.operators.simjoin import _keys, best_match, closest_to, rarest_tokens, similar_pairs
 from pyspark.sql import functions as F
@@ -138,6 +140,24 @@ def test_components_of_long_chains(spark, kind):
     assert {r.name: r.canonical for r in got} == dict.fromkeys(order, min(order)) and max(rounds) <= 10
 
 
+def test_rounds_of_components_shrink(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components_module, "materialize", lambda df: written.append(df.localCheckpoint()) or written[-1])
+    order = list(range(600))
+    random.Random(5).shuffle(order)
+    got = connected_components(spark.createDataFrame(list(zip(order, order[1:])), "a int, b int")).collect()
+    assert {r.node: r.component for r in got} == dict.fromkeys(range(600), 0)
+    assert sum(df.count() for df in written) < 6 * 600  # all rounds together, with the pairs and the result
+
+
+def test_components_of_odd_pairs(spark):
+    pairs = [(1, 1), (2, None), (None, None), (5, 4), (4, 5), (5, 4), (9, 8), (8, 7)] + [(100, 100 + i) for i in range(1, 50)] + [(300 + i, 400) for i in range(50)]
+    got = connected_components(spark.createDataFrame(pairs, "a int, b int")).collect()
+    want = {1: 1, 4: 4, 5: 4, 7: 7, 8: 7, 9: 7, 400: 300} | {100 + i: 100 for i in range(50)} | {300 + i: 300 for i in range(50)}
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
 def test_add_canonical(spark):
     rows = [("C", "Ballymore"), ("c.", "BALLY-MORE"), ("C", "Ballymor"), ("C", ""), ("C", None), ("D", "Ballymor"), ("C", "Tully")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, county string, name string")
