@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.functions.documents import FLAG_DEFAULTS, TEXT_FIELDS
 from ledgerline.functions.payload import request_line
 from ledgerline.functions.text import to_int
-from ledgerline.operators.runs import suppress_repeats
 
 SHOWN_LEVELS = ("townland", "sublocation_1", "sublocation_2")
 
@@ -47,9 +46,18 @@ def write_combined(df: DataFrame, path: str, model: str = "llm", mode: str = "ov
 
 
 def page_display(rows: DataFrame) -> DataFrame:
-    """K8: page tables with repeated names shown once, in document order."""
-    raw = rows.withColumn("townland", F.col("townland_raw"))
-    shown = suppress_repeats(raw, ["page_name", "parish_idx"], ["entry_idx"], SHOWN_LEVELS)
+    """K8: page tables with repeated names shown once, in document order.
+
+    A page is one document that a task has held as a single record, so its blocks are bounded windows
+    (``fill_names`` has the rows in these partitions already). ``suppress_repeats`` does the same for groups without such a bound.
+    """
+    block = Window.partitionBy("page_name", "parish_idx").orderBy("entry_idx")
+    shown = rows.withColumn("townland", F.col("townland_raw"))
+    changed = F.row_number().over(block) == 1
+    for level in SHOWN_LEVELS:
+        changed = changed | ~F.lag(level).over(block).eqNullSafe(F.col(level))
+        text = F.coalesce(F.col(level).cast("string"), F.lit(""))
+        shown = shown.withColumn(f"shown_{level}", F.when(changed, text).otherwise(""))
     columns = ["page_name", "parish_idx", "entry_idx", "parish"]
     columns += [F.col(f"shown_{c}").alias(c) if c in SHOWN_LEVELS else F.col(c) for c in TEXT_FIELDS]
     return shown.select(*columns, *FLAG_DEFAULTS)

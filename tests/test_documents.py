@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline import storage
 from ledgerline.functions.documents import document_statistics, is_strict_json, repair_shape
 from ledgerline.functions.salvage import extract_json, salvage
 from ledgerline.operators.finalise import dead_letters, finalise_counts, finalise_replies
@@ -122,6 +123,15 @@ def test_scan_and_flatten(spark, folder):
     assert [r.townland for r in shown] == ["", " X ", "  ", "", "", "Y", ""]
 
 
+def test_page_display_writes_no_table(spark, folder):
+    rows, _ = load_pages(spark, folder, "m1")
+    before = len(storage._written)
+    shown = page_display(rows.unionByName(rows.withColumn("page_name", F.lit("z_001.jpg"))))
+    got = shown.orderBy("page_name", "parish_idx", "entry_idx").collect()
+    assert [r.townland for r in got] == ["", " X ", "  ", "", "", "Y", ""] * 2
+    assert len(storage._written) == before
+
+
 def test_replies_end_to_end(spark, tmp_path):
     chat = lambda cid, content, **kw: {"custom_id": cid, "response": {"body": {"choices": [{"message": {"content": content}}]}}, **kw}
     lines = [
