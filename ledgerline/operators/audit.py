@@ -72,7 +72,7 @@ def check_runs(
     if one_page not in df.columns:
         one_page = None
     runs = in_runs(df, scope, label)
-    first = F.struct(*[clean_key(c).alias(c) for c in scope], label, *([one_page] if one_page else []))
+    first = F.struct(*scope, label, *([one_page] if one_page else []))
     extra = [
         F.min_by(first, ROW).alias("_first"),
         F.min(ROW).alias("first_grn"),
@@ -84,7 +84,8 @@ def check_runs(
     money = {n: F.col(f"_{n}") for n in ("land_val", "total_val")}
     checked = total_vs_detail(runs, ["run_no"], F.col("_flag"), money, F.col(ROW), extra=extra)
     text = {c: from_pence(c) for c in ("sum_land_val", "total_land_val", "sum_total_val", "total_total_val")}
-    return checked.select("*", "_first.*").drop("_first").withColumns(text)
+    clean = {c: clean_key(c) for c in scope}  # once a run
+    return checked.select("*", "_first.*").drop("_first").withColumns(clean | text)
 
 
 def run_pages(df: DataFrame, page: str = "page_name") -> DataFrame:
@@ -110,7 +111,7 @@ def leave_one_out(
     whether it is the last row. ``among`` (by, more payload columns) names the groups that count; it meets
     the group totals, not the rows.
     """
-    position = F.struct(*order)
+    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
     totals = df.groupBy(*by).agg(
         F.sum(value).alias("_sum"), F.count("*").alias("_rows"), F.max(position).alias("_last")
     )
@@ -126,7 +127,7 @@ def leave_one_out(
         F.min(
             F.struct(
                 F.abs(F.col(value) - F.col("_rest")).alias("distance"),
-                position.alias("at"),
+                F.struct(*order).alias("at"),
                 F.struct(F.col(value).alias("value"), F.col("_rest").alias("rest"), *payload).alias("row"),
                 (position == F.col("_last")).alias("is_last_row"),
             )

@@ -11,6 +11,7 @@ from ledgerline.functions.text import PAGE_NUMBER, fraction, from_pence, normali
 from ledgerline.operators.audit import leave_one_out, run_pages
 from ledgerline.operators.ordering import BLOCK, ROW
 from ledgerline.operators.runs import LABEL, SCOPE, in_runs
+from ledgerline.storage import materialize
 
 
 def similar_neighbours(
@@ -166,11 +167,12 @@ def break_down_missing(
     report: DataFrame, df: DataFrame, other_checks: DataFrame, other_pages: DataFrame, page: str = "page_name"
 ) -> DataFrame:
     """Genuinely missing totals by page position, corpus coverage and the other model (its checks and run pages)."""
-    missing = report.filter("category = 'genuinely_missing'")
+    missing = materialize(report.filter("category = 'genuinely_missing'"))
     ends = df.groupBy(F.col(page).alias("_last_page")).agg(F.max(ROW).alias("last_grn"))
     coverage = next_page_in_corpus(df, page).withColumnRenamed(page, "_last_page")
     ends = ends.join(coverage, "_last_page").select("last_grn", "next_in_corpus")
-    found = other_model_has_total(missing, run_pages(df, page), other_checks, other_pages, page=page).withColumn("_found", F.lit(True))
+    own_pages = run_pages(df, page).join(missing.select("run_no"), "run_no", "left_semi")
+    found = other_model_has_total(missing, own_pages, other_checks, other_pages, page=page).withColumn("_found", F.lit(True))
     out = missing.join(ends, "last_grn", "left").join(found, "run_no", "left")
     bottom = F.col("next_in_corpus").isNotNull()
     sub = (

@@ -102,8 +102,9 @@ def number_runs(
 
     ``runs`` maps each new column to (key, blank): rows for which ``blank``
     holds belong to no run (null number) and end the run before them. All
-    numberings share one sort; the counts inside the blocks are written once,
-    after which the result is a plain scan.
+    numberings share one exchange and one sort, before the keys are made; the counts inside the blocks are written once,
+    after which the result is a plain scan. Keys are not written: over the block borders only a block's
+    first and last row need them again.
     """
     window = _in_block(row, block)
     so_far = window.rowsBetween(Window.unboundedPreceding, 0)
@@ -116,6 +117,7 @@ def number_runs(
     for name in runs:
         key, start, count = (F.col(f"_{part}_{name}") for part in ("key", "start", "count"))
         starts[f"_start_{name}"] = (key.isNotNull() & ~F.lag(key).over(window).eqNullSafe(key)).cast("bigint")
+        starts[f"_in_{name}"] = key.isNotNull()
         counts[f"_count_{name}"] = F.sum(start).over(so_far)
         edges += [
             F.min_by(F.struct(key.alias("k")), row).alias(f"_head_{name}"),
@@ -126,13 +128,13 @@ def number_runs(
         head, tail = F.col(f"_head_{name}.k"), F.lag(F.col(f"_tail_{name}")).over(by_block)["k"]
         joined[f"_joined_{name}"] = F.coalesce((head.isNotNull() & head.eqNullSafe(tail)).cast("bigint"), F.lit(0))
         bases.append((F.col(f"_starts_{name}") - F.col(f"_joined_{name}")).alias(f"_base_{name}"))
-    local = materialize(df.withColumns(keys).withColumns(starts).withColumns(counts).drop(*starts))
-    table = local.groupBy(block).agg(*edges).withColumns(joined).select(block, *bases, *joined)
+    starts["_edge"] = F.lag(row).over(window).isNull() | F.lead(row).over(window).isNull()
+    placed = df.repartition(block).sortWithinPartitions(block, row)
+    local = materialize(placed.withColumns(keys).withColumns(starts).withColumns(counts).drop(*keys, *[f"_start_{name}" for name in runs]))
+    table = local.filter("_edge").withColumns(keys).groupBy(block).agg(*edges).withColumns(joined).select(block, *bases, *joined)
     table = materialize(sums_before(table, [f"_base_{name}" for name in runs], block))
     base = lambda name: F.col(f"_base_{name}") - F.col(f"_joined_{name}")
-    numbers = {
-        name: F.when(F.col(f"_key_{name}").isNotNull(), base(name) + F.col(f"_count_{name}") - 1) for name in runs
-    }
+    numbers = {name: F.when(F.col(f"_in_{name}"), base(name) + F.col(f"_count_{name}") - 1) for name in runs}
     return local.join(table, block).withColumns(numbers).select(*[c for c in df.columns if c not in runs], *runs)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions.text import clean_key
 from ledgerline.operators.ordering import BLOCK, ROW, fill_down, number_runs, order_rows, with_previous
@@ -22,8 +22,12 @@ def contiguous_runs(
     block: str = BLOCK,
 ) -> DataFrame:
     """Number the runs of equal (scope, label); a blank label ends a run and has none."""
-    keys = [clean_key(c) for c in (*scope, label)]
-    return number_runs(df, {name: (keys, clean_key(label) == "")}, row, block)
+    return number_runs(df, {name: run_keys(scope, label)}, row, block)
+
+
+def run_keys(scope: Sequence[str] = SCOPE, label: str = LABEL) -> tuple[list[Column], Column]:
+    """What ``number_runs`` needs for runs of equal (scope, label): the key and whether a row has none."""
+    return [clean_key(c) for c in (*scope, label)], clean_key(label) == ""
 
 
 def in_runs(df: DataFrame, scope: Sequence[str] = SCOPE, label: str = LABEL, name: str = "run_no") -> DataFrame:

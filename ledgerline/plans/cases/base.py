@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.functions.text import from_pence
-from ledgerline.operators.ordering import order_rows
+from ledgerline.operators.ordering import BLOCK, ROW, order_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,19 +43,27 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
     Errors carry a blank name, low values an upper-case one; the ``k`` of the
     properties decides the flags.
     """
-    k, pence = F.col("k"), F.col("pence")
+    return _survey_rows(_paged_events(spark, folder))
+
+
+def _paged_events(spark: SparkSession, folder: str) -> DataFrame:
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + 1
+    page = F.concat(F.lit("EV_LOG_"), F.lpad("user_id", 7, "0"), F.lit("_"), F.lpad(day, 3, "0"), F.lit(".jpg"))
+    return table(spark, folder, "events").select("event_id", "ts", "user_id", page.alias("page_name"), "event_type", "value", "props")
+
+
+def _survey_rows(events: DataFrame) -> DataFrame:
+    k, pence = F.col("k"), F.col("pence")
     label = (
         F.when(F.col("event_type") == "error", "").when(F.col("value") < 20, F.upper("event_type")).otherwise(F.col("event_type"))
     )
-    events = table(spark, folder, "events").withColumns(
-        {"k": F.get_json_object("props", "$.k").try_cast("int"), "pence": cents("value")}
-    )
+    order = [c for c in (BLOCK, ROW) if c in events.columns]
+    events = events.withColumns({"k": F.get_json_object("props", "$.k").try_cast("int"), "pence": cents("value")})
     events = events.select(
         "event_id",
         "ts",
         "user_id",
-        F.concat(F.lit("EV_LOG_"), F.lpad("user_id", 7, "0"), F.lit("_"), F.lpad(day, 3, "0"), F.lit(".jpg")).alias("page_name"),
+        "page_name",
         F.concat(F.lit("c"), F.substring("user_id", -1, 1)).alias("county_effective"),
         F.lit("b").alias("barony_effective"),
         F.concat(F.lit("p"), F.col("user_id")).alias("parish_effective"),
@@ -67,12 +75,14 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k >= 50, 1).otherwise(0).alias("is_continued"),
         "event_type",
         "k",
+        *order,
     )
     return events.withColumns({"target_filename": F.col("page_name"), "townland_linked": F.col("name")})
 
 
 def ordered_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    return order_rows(ledger(spark, folder), LEDGER_ORDER)
+    """The ledger in order. Its columns are made of the ordered events, so that the exchange and the sampling of its ranges do without them."""
+    return _survey_rows(order_rows(_paged_events(spark, folder), LEDGER_ORDER))
 
 
 LEDGER_SQL = """
