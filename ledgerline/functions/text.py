@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Characters dropped from names, and label affixes, in matching order.
 APOSTROPHES = "'`"
@@ -43,6 +43,12 @@ def _no_edge_space(text: Column) -> Column:
     return (text == "") | (ends[0] & ends[1])
 
 
+def with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once a row: no later step can pull their expressions over the generator."""
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
 def trim_text(c: Column | str) -> Column:
     """Trim every kind of Unicode white space; null becomes ''."""
     text = F.coalesce(_col(c).cast("string"), F.lit(""))

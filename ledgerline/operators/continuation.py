@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.functions.similarity import similarity
-from ledgerline.functions.text import clean_key, fraction, normalise_name, to_number
+from ledgerline.functions.similarity import may_reach, similarity
+from ledgerline.functions.text import clean_key, fraction, normalise_name, to_number, with_once
 from ledgerline.operators.lookup import VERIFIED
 from ledgerline.operators.ordering import BLOCK, ROW, number_runs, order_rows, with_previous
 from ledgerline.operators.skew import attach
@@ -44,9 +44,13 @@ def resolve_continued(
     # sheets of one scope are adjacent, so the previous sheet with a name is the nearest earlier page
     sheets = number_sheets(sheets, groups)
     starts = runs.filter(to_number(continued) > 0).join(sheets, "_sheet").filter("prior is not null")
-    starts = starts.withColumns({"_a": normalise_name("name"), "_b": normalise_name("prior")})
-    starts = starts.filter("_a <> '' and _b <> ''").withColumn("_score", similarity("_a", "_b", method) * 100.0)
-    taken = starts.filter(F.col("_score") >= limit).select("_run", F.col("prior").alias("_taken"))
+    starts = with_once(starts, _a=normalise_name("name"), _b=normalise_name("prior")).filter("_a <> '' and _b <> ''")
+    # equal names need no score, and names too far apart for the limit are ruled out before Python sees them
+    equal = F.col("_a") == F.col("_b")
+    starts = starts.filter(equal | may_reach(F.col("_a"), F.col("_b"), limit / 100.0))
+    scored = starts.withColumn("_score", similarity(F.when(~equal, F.col("_a")), "_b", method) * 100.0)
+    reached = F.when(equal, 100.0).otherwise(F.col("_score")) >= limit
+    taken = scored.filter(reached).select("_run", F.col("prior").alias("_taken"))
     with_key = rows.withColumn("_run", F.coalesce("_run", F.lit(-1)))
     out = attach(with_key, taken, ["_run"], BLOCK)
     return out.withColumn(label, F.coalesce("_taken", label)).drop("_taken", "_run", "_sheet", *groups, ROW, BLOCK)

@@ -17,6 +17,7 @@ from ledgerline.storage import materialize
 CANONICAL = "townland_canonical"
 LINK_KEYS = (*EFFECTIVE, "townland_linked")
 CANONICAL_KEYS = (*VERIFIED, CANONICAL)
+HOT_ROWS = 100_000  # rows of one name that a task takes
 
 
 def components(
@@ -36,11 +37,18 @@ def canonical_map(
     normalise_scope: bool = True,
 ) -> DataFrame:
     """G1: (normalised scope, normalised name) -> canonical name; blank maps to blank."""
+    return _counted_map(df, scope, label, threshold, method, normalise_scope).drop("_rows")
+
+
+def _counted_map(
+    df: DataFrame, scope: Sequence[str], label: str, threshold: float, method: str, normalise_scope: bool
+) -> DataFrame:
+    """``canonical_map`` with the number of rows of each name."""
     fold = normalise_name if normalise_scope else (lambda c: F.lower(trim_text(c)))
     block = [f"_k{i}" for i in range(len(scope))]
     names = df.select(*[fold(c).alias(k) for k, c in zip(block, scope)], normalise_name(label).alias("name"))
-    names = materialize(names.distinct())
-    pairs = similar_pairs(names, block, "name", threshold, method)
+    names = materialize(names.groupBy(*block, "name").agg(F.count("*").alias("_rows")))
+    pairs = similar_pairs(names.drop("_rows"), block, "name", threshold, method)
     found = components(pairs, block)
     return names.join(found, [*block, "name"], "left").withColumn("canonical", F.coalesce("canonical", "name"))
 
@@ -55,15 +63,22 @@ def add_canonical(
     normalise_scope: bool = True,
     salt: Column | str | None = None,
 ) -> DataFrame:
-    """Look the canonical name up; unmatched rows keep their own normalised name."""
-    mapping = canonical_map(df, scope, label, threshold, method, normalise_scope)
+    """Look the canonical name up; unmatched rows keep their own normalised name.
+
+    Only names of more than ``HOT_ROWS`` rows, a short list, are dealt by ``salt``; the rows of any other name meet it in one task.
+    """
+    mapping = _counted_map(df, scope, label, threshold, method, normalise_scope)
     block = [f"_k{i}" for i in range(len(scope))]
     fold = normalise_name if normalise_scope else (lambda c: F.lower(trim_text(c)))
     keyed = df.withColumns({k: fold(c) for k, c in zip(block, scope)}).withColumn("_name", normalise_name(label))
-    mapping = mapping.select(*block, F.col("name").alias("_name"), F.col("canonical").alias("_canon"))
+    mapping = mapping.withColumnRenamed("name", "_name")
+    hot = materialize(mapping.filter(F.col("_rows") > HOT_ROWS).select(*block, "_name", F.lit(True).alias("_hot")))
+    keyed = keyed.join(hot, [*block, "_name"], "left")
+    mapping = mapping.select(*block, "_name", F.col("canonical").alias("_canon"))
     salt = hash_salt(df.columns) if salt is None else salt
+    salt = F.when(F.col("_hot"), F.col(salt) if isinstance(salt, str) else salt).otherwise(F.lit(0))
     out = attach(keyed, mapping, [*block, "_name"], salt)
-    return out.withColumn(name, F.coalesce("_canon", "_name")).drop(*block, "_name", "_canon")
+    return out.withColumn(name, F.coalesce("_canon", "_name")).drop(*block, "_name", "_canon", "_hot")
 
 
 def resolve_and_cluster(

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from ledgerline.functions.text import clean_key, to_pence, trim_text
-from ledgerline.operators import ordering
+from ledgerline.operators import entities, ordering
 from ledgerline.plans.cases import ledgers
 
 FOLDER = "/root/testdata/sf0.001"
@@ -59,3 +59,16 @@ def test_short_ways_keep_odd_texts(spark):
     }
     df = spark.createDataFrame([(t,) for t in [*amounts, None]], "t string")
     assert {r.t: r.p for r in df.select("t", to_pence("t").alias("p")).collect()} == amounts | {None: 0}
+
+
+def test_only_names_of_many_rows_are_dealt(spark, monkeypatch):
+    names = ["Tully"] * 40 + ["tully."] * 5 + ["Tullyy"] * 3 + ["Grange", "", None]
+    df = spark.createDataFrame([(i, "C", n) for i, n in enumerate(names)], "i int, county string, name string")
+    dealt, attach = [], entities.attach
+    monkeypatch.setattr(entities, "attach", lambda rows, values, keys, salt: dealt.append(rows.select(salt, *keys).distinct().count()) or attach(rows, values, keys, salt))
+    want = ["tully"] * 48 + ["grange", "", ""]
+    for many, salts in ((entities.HOT_ROWS, 4), (20, 5)):
+        monkeypatch.setattr(entities, "HOT_ROWS", many)
+        got = entities.add_canonical(df, ["county"], "name", threshold=0.8).orderBy("i").collect()
+        assert [r.townland_canonical for r in got] == want and got[0].asDict().keys() == {"i", "county", "name", "townland_canonical"}
+        assert dealt[-1] == salts if many > 20 else dealt[-1] > salts
