@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions.similarity import may_reach, similarity
-from ledgerline.functions.text import PAGE_NUMBER, fraction, from_pence, normalise_name, squash, to_pence
+from ledgerline.functions.text import PAGE_NUMBER, clean_key, fraction, from_pence, normalise_name, squash, to_pence
 from ledgerline.operators.audit import leave_one_out, run_pages
 from ledgerline.operators.ordering import BLOCK, ROW
 from ledgerline.operators.runs import LABEL, SCOPE, in_runs
@@ -154,13 +154,20 @@ def other_model_has_total(
     ``pages`` and ``other_pages`` are the run pages of the two readings (``run_pages``).
     """
 
-    def keys(checks: DataFrame, of_runs: DataFrame) -> DataFrame:
-        named = checks.select("run_no", *scope, normalise_name(LABEL).alias("_name"))
-        return named.join(of_runs.select("run_no", F.col(page).alias("_page")), "run_no")
+    def rows(checks: DataFrame, of_runs: DataFrame) -> DataFrame:
+        return checks.select("run_no", *scope, LABEL).join(of_runs.select("run_no", page), "run_no")
 
-    on = ["_page", *scope, "_name"]
-    theirs = keys(other_checks.filter("has_total_row"), other_pages).select(*on).distinct()
-    return keys(open_runs, pages).join(theirs, on, "left_semi").select("run_no").distinct()
+    return same_keys_with_total(rows(open_runs, pages), rows(other_checks.filter("has_total_row"), other_pages), scope, page=page)
+
+
+def same_keys_with_total(
+    open_rows: DataFrame, total_rows: DataFrame, scope: Sequence[str] = SCOPE, label: str = LABEL, page: str = "page_name"
+) -> DataFrame:
+    """J12 on rows: numbers of the runs of ``open_rows`` that share page, scope and name with a row of ``total_rows``."""
+    key = {"_page": F.col(page), **{c: clean_key(c) for c in scope}, "_name": normalise_name(label)}
+    columns = [c.alias(name) for name, c in key.items()]
+    theirs = total_rows.select(*columns).distinct()
+    return open_rows.select("run_no", *columns).distinct().join(theirs, list(key), "left_semi").select("run_no").distinct()
 
 
 def break_down_missing(

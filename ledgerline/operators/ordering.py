@@ -97,6 +97,7 @@ def number_runs(
     runs: Mapping[str, tuple[Sequence[str | Column], Column | None]],
     row: str = ROW,
     block: str = BLOCK,
+    marks: Mapping[str, Mapping[str, Column]] | None = None,
 ) -> DataFrame:
     """Number contiguous runs of equal keys in row order, from 0.
 
@@ -105,7 +106,12 @@ def number_runs(
     numberings share one exchange and one sort, before the keys are made; the counts inside the blocks are written once,
     after which the result is a plain scan. Keys are not written: over the block borders only a block's
     first and last row need them again.
+
+    ``marks`` maps a numbering to new columns and conditions: whether any row of the row's run meets
+    the condition (null for rows of no run). A run inside a block is settled there; the runs
+    at the block borders, two a block at most, come back as a small table.
     """
+    marks = {name: dict((marks or {}).get(name, {})) for name in runs}
     window = _in_block(row, block)
     so_far = window.rowsBetween(Window.unboundedPreceding, 0)
     by_block = Window.orderBy(block)
@@ -113,7 +119,7 @@ def number_runs(
     for name, (key, blank) in runs.items():
         value = F.struct(*key)
         keys[f"_key_{name}"] = value if blank is None else F.when(~blank, value)
-    starts, counts, edges, joined, bases = {}, {}, [], {}, []
+    starts, counts, marked, edges, joined, bases, ends = {}, {}, {}, [], {}, [], []
     for name in runs:
         key, start, count = (F.col(f"_{part}_{name}") for part in ("key", "start", "count"))
         starts[f"_start_{name}"] = (key.isNotNull() & ~F.lag(key).over(window).eqNullSafe(key)).cast("bigint")
@@ -128,14 +134,32 @@ def number_runs(
         head, tail = F.col(f"_head_{name}.k"), F.lag(F.col(f"_tail_{name}")).over(by_block)["k"]
         joined[f"_joined_{name}"] = F.coalesce((head.isNotNull() & head.eqNullSafe(tail)).cast("bigint"), F.lit(0))
         bases.append((F.col(f"_starts_{name}") - F.col(f"_joined_{name}")).alias(f"_base_{name}"))
+        of_run = Window.partitionBy(block, f"_count_{name}")
+        for mark, condition in marks[name].items():
+            marked[mark] = F.bool_or(F.when(F.col(f"_in_{name}"), F.coalesce(condition, F.lit(False)))).over(of_run)
+            edges += [F.min_by(mark, row).alias(f"_head_{mark}"), F.max_by(mark, row).alias(f"_tail_{mark}")]
+            ends += [f"_head_{mark}", f"_tail_{mark}"]
+        if marks[name]:
+            for end in ("head", "tail"):
+                joined[f"_{end}_in_{name}"] = F.col(f"_{end}_{name}.k").isNotNull()
+            ends += [f"_head_in_{name}", f"_tail_in_{name}", f"_starts_{name}"]
     starts["_edge"] = F.lag(row).over(window).isNull() | F.lead(row).over(window).isNull()
     placed = df.repartition(block).sortWithinPartitions(block, row)
-    local = materialize(placed.withColumns(keys).withColumns(starts).withColumns(counts).drop(*keys, *[f"_start_{name}" for name in runs]))
-    table = local.filter("_edge").withColumns(keys).groupBy(block).agg(*edges).withColumns(joined).select(block, *bases, *joined)
+    local = placed.withColumns(keys).withColumns(starts).withColumns(counts).withColumns(marked)
+    local = materialize(local.drop(*keys, *[f"_start_{name}" for name in runs]))
+    table = local.filter("_edge").withColumns(keys).groupBy(block).agg(*edges).withColumns(joined)
+    table = table.select(block, *bases, *dict.fromkeys([*joined, *ends]))
     table = materialize(sums_before(table, [f"_base_{name}" for name in runs], block))
     base = lambda name: F.col(f"_base_{name}") - F.col(f"_joined_{name}")
     numbers = {name: F.when(F.col(f"_in_{name}"), base(name) + F.col(f"_count_{name}") - 1) for name in runs}
-    return local.join(table, block).withColumns(numbers).select(*[c for c in df.columns if c not in runs], *runs)
+    out = local.join(table.select(block, *[f"_{part}_{name}" for name in runs for part in ("base", "joined")]), block).withColumns(numbers)
+    for name, of in ((n, list(m)) for n, m in marks.items() if m):
+        last = {"head": base(name), "tail": base(name) + F.col(f"_starts_{name}") - 1}
+        sides = [F.struct(F.when(F.col(f"_{e}_in_{name}"), no).alias(name), *[F.col(f"_{e}_{m}").alias(f"_all_{m}") for m in of]) for e, no in last.items()]
+        border = table.select(F.inline(F.array(*sides))).filter(F.col(name).isNotNull())
+        border = border.groupBy(name).agg(*[F.bool_or(f"_all_{m}").alias(f"_all_{m}") for m in of])
+        out = out.join(border, name, "left").withColumns({m: F.when(F.col(name).isNotNull(), F.coalesce(f"_all_{m}", m)) for m in of})
+    return out.select(*[c for c in df.columns if c not in runs and c not in marked], *runs, *marked)
 
 
 def fill_down(

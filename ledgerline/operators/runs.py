@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,9 +20,13 @@ def contiguous_runs(
     name: str = "run_no",
     row: str = ROW,
     block: str = BLOCK,
+    marks: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Number the runs of equal (scope, label); a blank label ends a run and has none."""
-    return number_runs(df, {name: run_keys(scope, label)}, row, block)
+    """Number the runs of equal (scope, label); a blank label ends a run and has none.
+
+    ``marks``: new columns that say whether any row of the run meets a condition (see ``number_runs``).
+    """
+    return number_runs(df, {name: run_keys(scope, label)}, row, block, {name: marks or {}})
 
 
 def run_keys(scope: Sequence[str] = SCOPE, label: str = LABEL) -> tuple[list[Column], Column]:

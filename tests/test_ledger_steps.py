@@ -37,6 +37,48 @@ def test_keys_of_runs_are_not_written(spark, tables):
     assert not any(c.startswith("_key_") for t in tables for c in t.columns)
 
 
+def test_other_total_reads_flags_where_rows_are_numbered(spark, tables, monkeypatch):
+    written, write = [], ledgers.materialize
+    monkeypatch.setattr(ledgers, "materialize", lambda df: written.append(df) or write(df))
+    assert queries()["other_model_total"](spark, FOLDER).count() > 0
+    assert not written  # no table of checks
+    numbered = next(t for t in tables if "_edge" in t.columns)
+    assert not {"total_val", "land_val", "event_id", "ts", "occupier"} & set(numbered.columns)
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 40])
+def test_marks_say_whether_any_row_of_the_run_meets_them(spark, blocks):
+    import random
+
+    rng = random.Random(blocks)
+    names = [n for _ in range(25) for n in [rng.choice(["a", "b", "c", ""])] * rng.choice([1, 1, 2, 3, 30])]
+    rows = [(i, n, rng.choice([True, False, False, False, None]), rng.random() < 0.02) for i, n in enumerate(names)]
+    df = ordering.order_rows(spark.createDataFrame(rows, "i int, n string, x boolean, y boolean"), ["i"], blocks)
+    runs = {"r": (["n"], F.col("n") == ""), "s": (["n"], F.col("n").isin("", "b")), "t": (["n"], None)}
+    marks = {"r": {"x": F.col("x"), "any_y": F.col("y")}, "s": {"s_y": F.col("y")}}
+    got = ordering.number_runs(df, runs, marks=marks).orderBy("i").collect()
+    plain = ordering.number_runs(df, runs).orderBy("i").collect()
+    want, met = {"r": [], "s": []}, {"x": set(), "any_y": set(), "s_y": set()}
+    for name, blank in (("r", ("",)), ("s", ("", "b"))):
+        last, number = None, -1
+        for _, n, x, y in rows:
+            number += n not in blank and n != last
+            last = None if n in blank else n
+            want[name].append(None if n in blank else number)
+            for mark, value in (("x", x), ("any_y", y)) if name == "r" else (("s_y", y),):
+                if value and n not in blank:
+                    met[mark].add(number)
+    assert [(g.r, g.s, g.t) for g in got] == [(p.r, p.s, p.t) for p in plain]
+    assert [g.r for g in got] == want["r"] and [g.s for g in got] == want["s"]
+    for mark, name in (("x", "r"), ("any_y", "r"), ("s_y", "s")):
+        assert [g[mark] for g in got] == [None if no is None else no in met[mark] for no in want[name]]
+
+
+def test_marks_of_an_empty_table(spark):
+    df = ordering.order_rows(spark.createDataFrame([], "i int, n string"), ["i"], 3)
+    assert ordering.number_runs(df, {"r": (["n"], None)}, marks={"r": {"m": F.col("i") > 0}}).collect() == []
+
+
 def test_page_cells_only_of_split_runs(spark, monkeypatch):
     seen, cells = [], ledgers.with_page_cell
     monkeypatch.setattr(ledgers, "with_page_cell", lambda df, pages, *rest: seen.append(pages) or cells(df, pages, *rest))
