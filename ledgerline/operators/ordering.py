@@ -144,7 +144,8 @@ def number_runs(
                 joined[f"_{end}_in_{name}"] = F.col(f"_{end}_{name}.k").isNotNull()
             ends += [f"_head_in_{name}", f"_tail_in_{name}", f"_starts_{name}"]
     starts["_edge"] = F.lag(row).over(window).isNull() | F.lead(row).over(window).isNull()
-    placed = df.repartition(block).sortWithinPartitions(block, row)
+    # a number of partitions: small bytes of many rows are not put together in a few tasks, whose sorts would spill
+    placed = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), block).sortWithinPartitions(block, row)
     local = placed.withColumns(keys).withColumns(starts).withColumns(counts).withColumns(marked)
     local = materialize(local.drop(*keys, *[f"_start_{name}" for name in runs]))
     table = local.filter("_edge").withColumns(keys).groupBy(block).agg(*edges).withColumns(joined)
